@@ -47,11 +47,17 @@ def _jpeg(content: Column) -> Column:
     Each fold step jumps to the next 0xFF byte or over one segment, so the number of
     0xFF bytes bounds the steps.
     """
-    hx = F.hex(F.substring(content, 1, 65536))
-    n = F.length(hx) / 2
+    # ".FF.D8.." keeps byte borders visible, so a search never straddles two bytes
+    hx = F.regexp_replace(F.hex(F.substring(content, 1, 65536)), "(..)", ".$1")
+    n = F.length(hx) / 3
 
     def byte(off: Column, k: int) -> Column:
-        return F.conv(F.substring(hx, ((off + k) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.conv(F.substring(hx, ((off + k) * 3 + 2).cast("int"), F.lit(2)), 16, 10).cast("int")
+
+    def next_ff(off: Column) -> Column:
+        rest = F.substring(hx, (off * 3 + 1).cast("int"), F.length(hx))
+        at = F.instr(rest, ".FF")
+        return F.when(at > 0, off + (at - 1) / 3).otherwise(n)
 
     empty = F.struct(F.lit(2).alias("off"), F.lit(None).cast("int").alias("w"),
                      F.lit(None).cast("int").alias("h"), F.lit(False).alias("done"))
@@ -66,12 +72,12 @@ def _jpeg(content: Column) -> Column:
         frame = (m >= 0xC0) & (m <= 0xCF) & ~m.isin(0xC4, 0xC8, 0xCC)
         return (F.when(s["done"], s)
                 .when(off + 9 >= n, state(off, null, null, F.lit(True)))
-                .when(byte(off, 0) != 0xFF, state(off + 1, null, null, F.lit(False)))
+                .when(byte(off, 0) != 0xFF, state(next_ff(off), null, null, F.lit(False)))
                 .when(frame, state(off, byte(off, 7) * 256 + byte(off, 8),
                                    byte(off, 5) * 256 + byte(off, 6), F.lit(True)))
                 .otherwise(state(off + 2 + byte(off, 2) * 256 + byte(off, 3), null, null, F.lit(False))))
 
-    steps = F.greatest(F.lit(1), (F.length(hx) - F.length(F.replace(hx, F.lit("FF"), F.lit("")))) / 2 + 1).cast("int")
+    steps = F.greatest(F.lit(1), 2 * (F.size(F.split(hx, r"\.FF")) - 1) + 1).cast("int")
     end = F.aggregate(F.sequence(F.lit(1), steps), empty, step)
     return F.when(end["w"].isNotNull(), F.struct(end["w"].cast("bigint").alias("width"), end["h"].cast("bigint").alias("height")))
 
