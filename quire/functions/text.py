@@ -113,14 +113,19 @@ def untagged(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(c, _TAG, " "), _NBSP, " "))
 
 
+def _with(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def context_after(after: Column, limit: int = 60) -> Column:
-    t = untagged(F.substring(after, 1, 400))
-    return F.when(F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))).otherwise(t)
+    return _with(untagged(F.substring(after, 1, 400)), lambda t: F.when(
+        F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))).otherwise(t))
 
 
 def context_before(before: Column, limit: int = 60) -> Column:
-    t = untagged(F.right(before, F.lit(400)))
-    return F.when(F.length(t) > limit, F.concat(F.lit("…"), F.ltrim(F.right(t, F.lit(limit))))).otherwise(t)
+    return _with(untagged(F.right(before, F.lit(400))), lambda t: F.when(
+        F.length(t) > limit, F.concat(F.lit("…"), F.ltrim(F.right(t, F.lit(limit))))).otherwise(t))
 
 
 def heading_text(inner: Column) -> Column:

@@ -8,6 +8,8 @@ runs on documents without any other box issue.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +30,31 @@ def _issue(family: int, ord_: Column, kind: Column | str, label=None, marker=Non
                     s(label).alias("label"), s(marker).alias("marker"), s(context).alias("context"))
 
 
-def _cut(src: Column, pattern: str) -> tuple[Column, Column]:
-    """(markers, gaps): gaps has one more entry than markers."""
-    return F.regexp_extract_all(src, F.lit(pattern), F.lit(0)), F.split(src, pattern)
+def _cut(docs: DataFrame, pattern: str, src: str = "src") -> DataFrame:
+    """Adds `hits`, `gaps` (one more than hits) and `pieces`, each gap with the marker that
+    ends it. They are columns, not inlined expressions: lambdas below read them per marker."""
+    d = (docs.withColumn("hits", F.regexp_extract_all(src, F.lit(pattern), F.lit(0)))
+         .withColumn("gaps", F.split(src, pattern)))
+    pieces = F.zip_with("gaps", F.concat(F.col("hits"), F.array(F.lit(""))), lambda g, h: F.concat(g, h))
+    return d.withColumn("pieces", pieces)
 
 
-def _following(hits: Column, gaps: Column, i: Column) -> Column:
+def _following(i: Column) -> Column:
     """The source after marker i, at least its next 400 characters.
 
-    A gap and its marker are five characters or more, so 81 pairs always reach that far.
+    A marker is five characters or more, so 81 pieces always reach that far.
     """
-    seg = F.slice(F.zip_with(gaps, F.concat(hits, F.array(F.lit(""))), lambda g, h: F.concat(g, h)), i + 2, F.lit(81))
-    return F.array_join(seg, "")
+    return F.array_join(F.slice(F.col("pieces"), i + 2, F.lit(81)), "")
 
 
-def _preceding(hits: Column, gaps: Column, i: Column) -> Column:
+def _preceding(i: Column) -> Column:
     start = F.greatest(F.lit(1), i - 80)
-    seg = F.slice(F.zip_with(F.concat(F.array(F.lit("")), hits), gaps, lambda h, g: F.concat(h, g)), start, i - start + 2)
-    return F.array_join(seg, "")
+    return F.concat(F.array_join(F.slice(F.col("pieces"), start, i - start + 1), ""), F.get(F.col("gaps"), i))
+
+
+def _rows(d: DataFrame, found: Column) -> DataFrame:
+    # the outer form keeps the optimizer from computing the array a second time in a filter
+    return d.select("doc_id", F.inline_outer(F.filter(found, lambda x: x.isNotNull()))).filter("kind is not null")
 
 
 def _label(marker: Column) -> Column:
@@ -54,139 +63,134 @@ def _label(marker: Column) -> Column:
     return F.try_element_at(pretty, norm)
 
 
-def _index(hits: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(hits))
+def sources(docs: DataFrame) -> DataFrame:
+    """(doc_id, src): the text the detectors look at, markers clean and code left out."""
+    d = M.normalize_markers(docs.select("doc_id", "html"))
+    return d.select("doc_id", T.without_code(F.col("html")).alias("src"))
 
 
-def box_issues(src: Column) -> Column:
+def box_issues(src: DataFrame) -> DataFrame:
     """Unclosed boxes, stray closings and headings inside boxes, in order of detection."""
-    hits, gaps = _cut(src, IU + fixed.BOX_MARKER)
-    names = F.transform(hits, _label)
+    d = _cut(src, IU + fixed.BOX_MARKER).withColumn("names", F.transform("hits", _label))
 
     def at(i: Column) -> Column:
-        cur, prev = F.get(names, i), F.get(names, i - 1)
+        cur, prev = F.get(F.col("names"), i), F.get(F.col("names"), i - 1)
         prev_open = prev.isNotNull() & (prev != "fin")
-        gap = F.get(gaps, i)
-        head = F.regexp_extract(gap, HEADING, 1)
+        gap = F.get(F.col("gaps"), i)
         return (F.when((cur == "fin") & ~F.coalesce(prev_open, F.lit(False)),
-                       _issue(0, i, "stray-fin", context=T.context_after(_following(hits, gaps, i))))
+                       _issue(0, i, "stray-fin", context=T.context_after(_following(i))))
                 .when((cur == "fin") & gap.rlike(HEADING),
-                      _issue(0, i, "heading-inside-box", label=prev, context=T.heading_text(head)))
+                      _issue(0, i, "heading-inside-box", label=prev,
+                             context=T.heading_text(F.regexp_extract(gap, HEADING, 1))))
                 .when((cur == "fin"), F.lit(None).cast(ISSUE))
-                .when(prev_open, _issue(0, i, "unclosed-box", label=prev,
-                                        context=T.context_after(_following(hits, gaps, i - 1)))))
+                .when(prev_open, _issue(0, i, "unclosed-box", label=prev, context=T.context_after(_following(i - 1)))))
 
-    found = F.filter(F.transform(_index(hits), at), lambda x: x.isNotNull())
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(f"array<{ISSUE}>"))
+    return _rows(d, F.transform(F.sequence(F.lit(0), F.size("hits")), at))
 
 
-def leftover_issues(src: Column) -> Column:
-    """Opening markers still in the text of a document whose boxes have been formed."""
-    hits, gaps = _cut(src, IU + fixed.BOX_OPEN)
-    return F.transform(hits, lambda h, i: _issue(1, i, "box-not-formable", label=_label(h),
-                                                 context=T.context_after(_following(hits, gaps, i))))
+def box_verdict(src: DataFrame) -> DataFrame:
+    """(doc_id, src) of documents with opening markers whose box markers alternate
+    properly and hold no heading: the ones `box_issues` is silent about."""
+    d = _cut(src, IU + fixed.BOX_MARKER).withColumn("names", F.transform("hits", _label))
+    fair = F.forall(F.sequence(F.lit(0), F.greatest(F.size("names"), F.lit(1)) - 1), lambda i: F.when(
+        i % 2 == 0, F.get(F.col("names"), i) != "fin").otherwise(
+        (F.get(F.col("names"), i) == "fin") & ~F.get(F.col("gaps"), i).rlike(HEADING)))
+    return d.filter((F.size("names") > 0) & (F.size("names") % 2 == 0) & fair).select("doc_id", "src")
 
 
-def table_marker_issues(src: Column) -> Column:
-    hits, gaps = _cut(src, IU + fixed.TABLE_MARKER)
+def leftover_issues(src: DataFrame) -> DataFrame:
+    """Opening markers still in the text of a document whose boxes have been formed."""
+    d = _cut(src, IU + fixed.BOX_OPEN)
+    return _rows(d, F.transform("hits", lambda h, i: _issue(1, i, "box-not-formable", label=_label(h),
+                                                            context=T.context_after(_following(i)))))
 
+
+def table_marker_issues(src: DataFrame) -> DataFrame:
     def at(h: Column, i: Column) -> Column:
-        ok = F.get(gaps, i).rlike(rf"(?i){P_OPEN}{WS}*$") & F.get(gaps, i + 1).rlike(rf"(?i)^{WS}*</p>{WS}*<table\b")
+        ok = (F.get(F.col("gaps"), i).rlike(rf"(?i){P_OPEN}{WS}*$")
+              & F.get(F.col("gaps"), i + 1).rlike(rf"(?i)^{WS}*</p>{WS}*<table\b"))
         word = F.lower(F.regexp_replace(h, rf"\[{WS}*|{WS}*\]", ""))
-        return F.when(~ok, _issue(2, i, "table-marker", marker=word, context=T.context_after(_following(hits, gaps, i))))
+        return F.when(~ok, _issue(2, i, "table-marker", marker=word, context=T.context_after(_following(i))))
 
-    return F.filter(F.transform(hits, at), lambda x: x.isNotNull())
+    return _rows(_cut(src, IU + fixed.TABLE_MARKER), F.transform("hits", at))
 
 
-def unmarked_table_issues(src: Column) -> Column:
+def unmarked_table_issues(src: DataFrame) -> DataFrame:
     """Tables without a marker before them and none since the previous table ended."""
-    pat = r"(?i)<table\b[^>]*>"
-    hits, gaps = _cut(src, pat)
-    closes = F.transform(gaps, lambda g: g.rlike("(?i)</table>"))
-    tails = F.transform(gaps, lambda g: F.element_at(F.split(g, "(?i)</table>"), -1).rlike(IU + fixed.TABLE_MARKER))
+    d = _cut(src, r"(?i)<table\b[^>]*>")
+    since = F.transform("gaps", lambda g: F.struct(
+        g.rlike("(?i)</table>").alias("closed"),
+        F.element_at(F.split(g, "(?i)</table>"), -1).rlike(IU + fixed.TABLE_MARKER).alias("marked")))
     # a table inside a table: look on in the text of the enclosing one
-    flags = F.aggregate(F.arrays_zip(closes.alias("c"), tails.alias("t")),
-                        F.array().cast("array<boolean>"),
-                        lambda acc, x: F.concat(acc, F.array(
-                            x["t"] | (~x["c"] & F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(False))))))
+    flags = F.aggregate(since, F.array().cast("array<boolean>"), lambda acc, x: F.concat(acc, F.array(
+        x["marked"] | (~x["closed"] & F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(False))))))
+    d = d.withColumn("flags", flags)
 
     def at(h: Column, i: Column) -> Column:
-        marked = F.get(gaps, i).rlike(rf"{IU}{P_OPEN}{WS}*{fixed.TABLE_MARKER}{WS}*</p>{WS}*$")
-        return F.when(~marked & ~F.get(flags, i), _issue(3, i, "table-without-marker",
-                                                        context=T.context_after(_following(hits, gaps, i))))
-
-    return F.when(F.size(hits) > 0, F.filter(F.transform(hits, at), lambda x: x.isNotNull())
-                  ).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        marked = F.get(F.col("gaps"), i).rlike(rf"{IU}{P_OPEN}{WS}*{fixed.TABLE_MARKER}{WS}*</p>{WS}*$")
+        return F.when(~marked & ~F.get(F.col("flags"), i),
+                      _issue(3, i, "table-without-marker", context=T.context_after(_following(i))))
 
+    return _rows(d, F.transform("hits", at))
 
-def _or_before(after: Column, before: Column) -> Column:
-    return F.when(after != "", after).otherwise(before)
 
+def _or_before(i: Column) -> Column:
+    after = T.context_after(_following(i))
+    return F.when(after != "", after).otherwise(T.context_before(_preceding(i)))
 
-def group_end_issues(src: Column) -> Column:
-    hits, gaps = _cut(src, IU + fixed.GROUP_END)
 
+def group_end_issues(src: DataFrame) -> DataFrame:
     def at(h: Column, i: Column) -> Column:
-        alone = F.get(gaps, i).rlike(rf"(?i){P_OPEN}{WS}*$") & F.get(gaps, i + 1).rlike(rf"(?i)^{WS}*</p>")
-        return F.when(~alone, _issue(4, i, "accordion-marker", marker="fin acordeón",
-                                     context=_or_before(T.context_after(_following(hits, gaps, i)),
-                                                        T.context_before(_preceding(hits, gaps, i)))))
+        alone = (F.get(F.col("gaps"), i).rlike(rf"(?i){P_OPEN}{WS}*$")
+                 & F.get(F.col("gaps"), i + 1).rlike(rf"(?i)^{WS}*</p>"))
+        return F.when(~alone, _issue(4, i, "accordion-marker", marker="fin acordeón", context=_or_before(i)))
 
-    return F.filter(F.transform(hits, at), lambda x: x.isNotNull())
+    return _rows(_cut(src, IU + fixed.GROUP_END), F.transform("hits", at))
 
 
-def resource_issues(src: Column) -> Column:
-    hits, gaps = _cut(M.split_resource_breaks(src), IU + fixed.RESOURCE_MARKER)
+def resource_issues(src: DataFrame) -> DataFrame:
+    d = _cut(M.split_resource_breaks(src, "src"), IU + fixed.RESOURCE_MARKER)
 
     def at(h: Column, i: Column) -> Column:
-        opens = F.get(gaps, i).rlike(rf"(?i)<(?:p|li)\b[^>]*>{NBSP_OR_WS}*$")
-        # nothing after the marker: the line ends here (a following marker is text)
-        ends = F.get(gaps, i + 1).rlike(rf"(?i)^{NBSP_OR_WS}*</(?:p|li)>") | (
-            (i == F.size(hits) - 1) & F.get(gaps, i + 1).rlike(rf"(?i)^{NBSP_OR_WS}*$"))
+        after = F.get(F.col("gaps"), i + 1)
+        opens = F.get(F.col("gaps"), i).rlike(rf"(?i)<(?:p|li)\b[^>]*>{NBSP_OR_WS}*$")
+        # nothing after the marker: the line or the document ends here
+        ends = after.rlike(rf"(?i)^{NBSP_OR_WS}*</(?:p|li)>") | (
+            (i == F.size("hits") - 1) & after.rlike(rf"(?i)^{NBSP_OR_WS}*$"))
         word = F.lower(F.regexp_replace(h, rf"\[{WS}*|{WS}*:{WS}*\]", ""))
         name = F.when(T.strip_diacritics(word) == "video", "vídeo").otherwise(word)
-        return F.when(~(opens & ~ends), _issue(5, i, "resource-marker", marker=name,
-                                               context=_or_before(T.context_after(_following(hits, gaps, i)),
-                                                                  T.context_before(_preceding(hits, gaps, i)))))
+        return F.when(~opens | ends, _issue(5, i, "resource-marker", marker=name, context=_or_before(i)))
 
-    return F.filter(F.transform(hits, at), lambda x: x.isNotNull())
+    return _rows(d, F.transform("hits", at))
 
 
-ROW_DETECTORS = {
-    "box": box_issues, "table": table_marker_issues, "unmarked": unmarked_table_issues,
-    "group-end": group_end_issues, "resource": resource_issues,
-}
-
+def unformable_boxes(src: DataFrame) -> DataFrame:
+    """Boxes left over after forming, in documents with no other box issue."""
+    placed = K.by_doc(box_verdict(src).select("doc_id", F.col("src").alias("html")))
+    left = K.untokenize(M.form_boxes(K.tokens(placed, placed=True)))
+    return leftover_issues(left.select("doc_id", F.col("html").alias("src")))
 
-def sources(docs: DataFrame, normalize: bool = True) -> DataFrame:
-    """(doc_id, src): the text the detectors look at, code left out."""
-    html = M.normalize_markers(F.col("html")) if normalize else F.col("html")
-    return docs.select("doc_id", T.without_code(html).alias("src"))
 
+DETECTORS = {
+    "box": box_issues, "unformable": unformable_boxes, "table": table_marker_issues,
+    "unmarked": unmarked_table_issues, "group-end": group_end_issues, "resource": resource_issues,
+}
 
-def row_issues(docs: DataFrame, families: list[str]) -> DataFrame:
-    src = sources(docs)
-    parts = F.concat(*[ROW_DETECTORS[f](F.col("src")) for f in families])
-    return src.select("doc_id", F.inline(parts))
 
+def detect(docs: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Marker issues: (doc_id, family, ord, kind, label, marker, context).
 
-def unformable_boxes(docs: DataFrame) -> DataFrame:
-    """Boxes left over after forming, in documents with no other box issue."""
+    Each family is its own pass over the rows; only `unformable` shuffles, and only the
+    documents no other box issue was found in.
+    """
     src = sources(docs)
-    fair = src.filter(F.col("src").rlike(IU + fixed.BOX_OPEN)).filter(F.size(box_issues(F.col("src"))) == 0)
-    placed = K.by_doc(fair.select("doc_id", F.col("src").alias("html")))
-    left = K.untokenize(M.form_boxes(K.tokens(placed, placed=True)))
-    return left.select("doc_id", F.inline(leftover_issues(F.col("html"))))
-
-
-def detect(docs: DataFrame) -> DataFrame:
-    """All marker issues: (doc_id, family, ord, kind, label, marker, context)."""
-    return row_issues(docs, list(ROW_DETECTORS)).unionByName(unformable_boxes(docs))
+    parts = [DETECTORS[f](src) for f in families or DETECTORS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def heading_issue_rows(parsed: DataFrame) -> DataFrame:
     """Heading-tag issues in the shape of `detect`, from `heading_tags.parse`."""
-    return parsed.select("doc_id", F.inline("issues")).select(
+    return parsed.select("doc_id", F.inline_outer("issues")).filter("kind is not null").select(
         "doc_id", F.lit(6).alias("family"), "ord", "kind", "label",
         F.col("written").alias("marker"), "context")
 

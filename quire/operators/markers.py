@@ -1,8 +1,8 @@
 """Author markers: normalisation and the ordered passes that act on them.
 
-Row passes (`Column -> Column`) rewrite one document's HTML inside its row, with no
-shuffle. Token passes (`DataFrame -> DataFrame`) rewrite `tok` in a token table that is
-already placed by document; tokens that disappear become empty and are filtered.
+Row passes rewrite the `html` column of a document table inside its row, with no shuffle.
+Token passes rewrite `tok` in a token table that is already placed by document; tokens
+that disappear become empty and are filtered. Both map a DataFrame to a DataFrame.
 """
 
 from __future__ import annotations
@@ -31,39 +31,49 @@ def rewrite_matches(html: Column, pattern: str, fn) -> Column:
     hits = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     gaps = F.split(html, pattern)
     padded = F.concat(F.transform(hits, fn), F.array(F.lit("")))
-    merged = F.array_join(F.flatten(F.zip_with(gaps, padded, lambda g, h: F.array(g, h))), "")
-    return F.when(html.rlike(pattern), merged).otherwise(html)
+    return F.array_join(F.flatten(F.zip_with(gaps, padded, lambda g, h: F.array(g, h))), "")
+
+
+def rewrite(docs: DataFrame, pattern: str, fn, col: str = "html") -> DataFrame:
+    """`rewrite_matches` on a column, skipped for rows without a match.
+
+    The hits are a column of their own and read twice, so the optimizer keeps them as one
+    evaluation per row instead of folding them into the lambda.
+    """
+    d = docs.withColumn("_hits", F.regexp_extract_all(col, F.lit(pattern), F.lit(0)))
+    padded = F.concat(F.transform("_hits", fn), F.array(F.lit("")))
+    merged = F.array_join(F.flatten(F.zip_with(F.split(col, pattern), padded, lambda g, h: F.array(g, h))), "")
+    return d.withColumn(col, F.when(F.size("_hits") > 0, merged).otherwise(F.col(col))).drop("_hits")
 
 
 # --- row passes -------------------------------------------------------------------
 
-def normalize_markers(html: Column) -> Column:
+def normalize_markers(docs: DataFrame, col: str = "html") -> DataFrame:
     """Bring every marker to a clean bracket, line markers to a paragraph of their own."""
     def bracket(b: Column) -> Column:
         no_anchor = sub(b, rf"(?i)<a[^>]*>{WS}*</a>", "")
         bare = sub(no_anchor, "<[^>]*>", "")
         return F.when(~b.contains("<"), b).when(bare.rlike(rf"{IU}^{ANY_MARKER}$"), bare).otherwise(no_anchor)
 
-    out = rewrite_matches(html, r"\[[^\]]*\]", bracket)
-
+    d = rewrite(docs, r"\[[^\]]*\]", bracket, col)
     # as many rounds as formatting tags are nested before any one bracket
-    runs = F.regexp_extract_all(out, F.lit(rf"(?i)((?:<(?:{fixed.FORMAT_TAGS})\b[^>]*>\s*)+)\["), F.lit(1))
-    rounds = F.coalesce(F.array_max(F.transform(runs, lambda r: F.size(F.split(r, "<")) - 1)), F.lit(0))
+    runs = F.regexp_extract_all(col, F.lit(rf"(?i)((?:<(?:{fixed.FORMAT_TAGS})\b[^>]*>\s*)+)\["), F.lit(1))
+    d = d.withColumn("_rounds", F.coalesce(F.array_max(F.transform(runs, lambda r: F.size(F.split(r, "<")) - 1)), F.lit(0)))
     wrapped = rf"{IU}<({fixed.FORMAT_TAGS})\b[^>]*>{WS}*({ANY_MARKER}){WS}*</\1>"
-    out = F.when(rounds == 0, out).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), out, lambda acc, _i: sub(acc, wrapped, "$2")))
+    out = F.when(F.col("_rounds") == 0, F.col(col)).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_rounds"), F.lit(1))), F.col(col), lambda acc, _i: sub(acc, wrapped, "$2")))
 
     out = sub(out, rf"{IU}({ANY_MARKER}){WS}*(?:{BR}{WS}*)+", "$1")
     out = sub(out, rf"{IU}(?:{BR}{WS}*)+({LINE_MARKER})", "$1")
     # leading marker to its own paragraph, then the same for a trailing one
     out = sub(out, rf"{IU}({P_OPEN}){WS}*({LINE_MARKER}){WS}*+(?!</p>)", rf"<p>$2</p>{_CUT}$1")
-    out = sub(out, rf"{IU}(?<!{WS})(?<!<p(?:\s[^>]{{0,400}})?>){WS}*({LINE_MARKER}){WS}*</p>", "</p><p>$1</p>")
+    out = sub(out, rf"{IU}(?={WS}*\[)(?<!{WS})(?<!<p(?:\s[^>]{{0,400}})?>){WS}*({LINE_MARKER}){WS}*</p>", "</p><p>$1</p>")
     out = sub(out, rf"{IU}{_CUT}{P_OPEN}{WS}*({LINE_MARKER}){WS}*</p>", "<p>$1</p>")
     out = sub(out, _CUT, "")
-    return F.when(html.contains("["), out).otherwise(html)
+    return d.withColumn(col, F.when(F.col(col).contains("["), out).otherwise(F.col(col))).drop("_rounds")
 
 
-def embed_iframes(html: Column, prefix: str = fixed.CLASS_PREFIX) -> Column:
+def embed_iframes(docs: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFrame:
     """Escaped iframes to real ones inside a wrapper, alone or as a whole paragraph."""
     frame = r"&lt;iframe\b.*?&lt;/iframe&gt;"
 
@@ -73,14 +83,14 @@ def embed_iframes(html: Column, prefix: str = fixed.CLASS_PREFIX) -> Column:
                                 '<iframe style="display: block; margin: 1em auto; max-width: 100%;"')
         return F.concat(F.lit(f'<div class="{prefix}video">'), body, F.lit("</div>"))
 
-    return rewrite_matches(html, rf"(?is){P_OPEN}\s*{frame}\s*</p>|{frame}", real)
+    return rewrite(docs, rf"(?is){P_OPEN}\s*{frame}\s*</p>|{frame}", real)
 
 
 RESOURCE_LEADING = (rf"{IU}^{NBSP_OR_WS}*\[{NBSP_OR_WS}*({fixed.RESOURCE_WORDS}){NBSP_OR_WS}*:"
                     rf"{NBSP_OR_WS}*\]{NBSP_OR_WS}*")
 
 
-def split_resource_breaks(html: Column) -> Column:
+def split_resource_breaks(docs: DataFrame, col: str = "html") -> DataFrame:
     """A paragraph with resource markers after line breaks becomes one per marker line."""
     def para(p: Column) -> Column:
         start = F.regexp_extract(p, rf"(?i)^({P_OPEN})", 1)
@@ -89,10 +99,10 @@ def split_resource_breaks(html: Column) -> Column:
             F.when(i == 0, s).when(s.rlike(RESOURCE_LEADING), F.concat(F.lit("</p>"), start, s))
             .otherwise(F.concat(F.lit("<br />"), s))))
         split = F.concat(start, F.array_join(lines, ""), F.lit("</p>"))
-        return F.when(inner.rlike(rf"{IU}{BR}{NBSP_OR_WS}*{RESOURCE_MARKER}"),
+        return F.when(p.rlike(rf"{IU}{BR}{NBSP_OR_WS}*{RESOURCE_MARKER}"),
                       sub(split, rf"(?i){P_OPEN}{WS}*</p>", "")).otherwise(p)
 
-    return rewrite_matches(html, rf"(?is){P_OPEN}.*?</p>", para)
+    return rewrite(docs, rf"(?is){P_OPEN}.*?</p>", para, col)
 
 
 # --- token passes -------------------------------------------------------------------
@@ -314,7 +324,7 @@ def _href(url: Column) -> Column:
 def found_links(toks: DataFrame) -> DataFrame:
     """(doc_id, pos, ord, url, href): plain addresses in text outside anchors."""
     t = with_anchor(toks).filter("kind in ('text', 'bracket') and not in_anchor")
-    hits = t.select("doc_id", "pos", F.posexplode(F.regexp_extract_all(T.swap(F.col("tok"), ("&amp;", "&")), F.lit(URL), F.lit(0))).alias("ord", "raw"))
+    hits = t.select("doc_id", "pos", F.posexplode_outer(F.regexp_extract_all(T.swap(F.col("tok"), ("&amp;", "&")), F.lit(URL), F.lit(0))).alias("ord", "raw")).filter("raw is not null")
     url = F.regexp_replace("raw", r"[.,;:!?]+$", "")
     return hits.select("doc_id", "pos", "ord", url.alias("url"), _href(url).alias("href"))
 
@@ -324,10 +334,11 @@ def autolink(toks: DataFrame) -> DataFrame:
         url = F.regexp_replace(m, r"[.,;:!?]+$", "")
         return F.concat(F.lit('<a href="'), _href(url), F.lit('">'), url, F.lit("</a>"), F.substring(m, F.length(url) + 1, F.length(m)))
     t = with_anchor(toks)
-    new = F.when(F.col("kind").isin("text", "bracket") & ~F.col("in_anchor"), rewrite_matches(F.col("tok"), URL, one)).otherwise(F.col("tok"))
+    plain = F.col("kind").isin("text", "bracket") & ~F.col("in_anchor") & F.col("tok").rlike(URL)
+    new = F.when(plain, rewrite_matches(F.col("tok"), URL, one)).otherwise(F.col("tok"))
     # linked text is re-split so that later passes see the new anchors as tags
     out = t.withColumn("tok", new)
-    out = out.select("doc_id", "pos", F.posexplode(
+    out = out.select("doc_id", "pos", F.posexplode_outer(
         F.when(F.col("kind") == "text", F.regexp_extract_all("tok", F.lit(r"<[^>]+>|[^<]+|<"), F.lit(0)))
         .otherwise(F.array("tok"))).alias("_i", "tok"))
     kind, tag = K.classify(F.col("tok"))
@@ -407,7 +418,6 @@ def apply_passes(docs: DataFrame, row_passes=None, token_passes=None) -> DataFra
 
     One exchange places the documents; every pass after it is a window or a projection.
     """
-    rows = reduce(lambda c, p: p[1](c), row_passes or ROW_PASSES, F.col("html"))
-    placed = K.by_doc(docs.select("doc_id", "html")).select("doc_id", rows.alias("html"))
+    placed = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html")))
     toks = reduce(lambda d, p: d.transform(p[1]), token_passes or TOKEN_PASSES, K.tokens(placed, placed=True))
     return K.untokenize(toks)

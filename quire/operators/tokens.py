@@ -54,7 +54,9 @@ def tokens(docs: DataFrame, placed: bool = False) -> DataFrame:
     """(doc_id, pos, tok, kind, tag): one row per tag, bracket group or text run."""
     base = docs if placed else by_doc(docs.select("doc_id", "html"))
     toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN), F.lit(0))
-    out = base.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
+    # the outer form: the plain one makes the optimizer filter on the array's size below the
+    # generator, which computes the array twice
+    out = base.select("doc_id", F.posexplode_outer(toks).alias("pos", "tok")).filter("tok is not null")
     kind, tag = classify(F.col("tok"))
     out = out.select("doc_id", "pos", "tok", kind.alias("kind"), tag.alias("tag"))
     return out.filter(F.col("tag").isNull() | ~F.col("tag").isin(fixed.TRANSPARENT_TAGS))
