@@ -30,31 +30,48 @@ def _issue(family: int, ord_: Column, kind: Column | str, label=None, marker=Non
                     s(label).alias("label"), s(marker).alias("marker"), s(context).alias("context"))
 
 
-def _cut(docs: DataFrame, pattern: str, src: str = "src") -> DataFrame:
-    """Adds `hits`, `gaps` (one more than hits) and `pieces`, each gap with the marker that
-    ends it. They are columns, not inlined expressions: lambdas below read them per marker."""
-    d = (docs.withColumn("hits", F.regexp_extract_all(src, F.lit(pattern), F.lit(0)))
-         .withColumn("gaps", F.split(src, pattern)))
-    pieces = F.zip_with("gaps", F.concat(F.col("hits"), F.array(F.lit(""))), lambda g, h: F.concat(g, h))
-    return d.withColumn("pieces", pieces)
+class Cut:
+    """The source cut at its markers, as columns of the document table.
 
+    `hits` are the markers, `gaps` the text around them (one more), `pieces` each gap with
+    the marker that ends it. They are columns and not inlined expressions because the
+    lambdas below read them once per marker.
+    """
 
-def _following(i: Column) -> Column:
-    """The source after marker i, at least its next 400 characters.
+    def __init__(self, name: str):
+        self.name = name
 
-    A marker is five characters or more, so 81 pieces always reach that far.
-    """
-    return F.array_join(F.slice(F.col("pieces"), i + 2, F.lit(81)), "")
+    def col(self, part: str) -> Column:
+        return F.col(f"{self.name}_{part}")
+
+    def add(self, docs: DataFrame, pattern: str, src: str = "src") -> DataFrame:
+        d = (docs.withColumn(f"{self.name}_hits", F.regexp_extract_all(src, F.lit(pattern), F.lit(0)))
+             .withColumn(f"{self.name}_gaps", F.split(src, pattern)))
+        ends = F.concat(self.hits, F.array(F.lit("")))
+        return d.withColumn(f"{self.name}_pieces", F.zip_with(self.gaps, ends, lambda g, h: F.concat(g, h)))
+
+    hits = property(lambda self: self.col("hits"))
+    gaps = property(lambda self: self.col("gaps"))
+    pieces = property(lambda self: self.col("pieces"))
+
+    def gap(self, i: Column) -> Column:
+        return F.get(self.gaps, i)
 
+    def following(self, i: Column) -> Column:
+        """The source after marker i, at least its next 400 characters: a marker is five
+        characters or more, so 81 pieces always reach that far."""
+        return F.array_join(F.slice(self.pieces, i + 2, F.lit(81)), "")
 
-def _preceding(i: Column) -> Column:
-    start = F.greatest(F.lit(1), i - 80)
-    return F.concat(F.array_join(F.slice(F.col("pieces"), start, i - start + 1), ""), F.get(F.col("gaps"), i))
+    def preceding(self, i: Column) -> Column:
+        start = F.greatest(F.lit(1), i - 80)
+        return F.concat(F.array_join(F.slice(self.pieces, start, i - start + 1), ""), self.gap(i))
 
+    def context(self, i: Column) -> Column:
+        return T.context_after(self.following(i))
 
-def _rows(d: DataFrame, found: Column) -> DataFrame:
-    # the outer form keeps the optimizer from computing the array a second time in a filter
-    return d.select("doc_id", F.inline_outer(F.filter(found, lambda x: x.isNotNull()))).filter("kind is not null")
+    def context_or_before(self, i: Column) -> Column:
+        after = self.context(i)
+        return F.when(after != "", after).otherwise(T.context_before(self.preceding(i)))
 
 
 def _label(marker: Column) -> Column:
@@ -69,122 +86,143 @@ def sources(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", T.without_code(F.col("html")).alias("src"))
 
 
-def box_issues(src: DataFrame) -> DataFrame:
+# Each detector adds what it needs to the document table and returns it with an array of
+# issues (null where there is none).
+
+def _box_names(src: DataFrame) -> tuple[DataFrame, Cut]:
+    c = Cut("box")
+    d = c.add(src, IU + fixed.BOX_MARKER)
+    return d.withColumn("box_names", F.transform(c.hits, _label)), c
+
+
+def box_issues(src: DataFrame) -> tuple[DataFrame, Column]:
     """Unclosed boxes, stray closings and headings inside boxes, in order of detection."""
-    d = _cut(src, IU + fixed.BOX_MARKER).withColumn("names", F.transform("hits", _label))
+    d, c = _box_names(src)
 
     def at(i: Column) -> Column:
-        cur, prev = F.get(F.col("names"), i), F.get(F.col("names"), i - 1)
+        cur, prev = F.get(c.col("names"), i), F.get(c.col("names"), i - 1)
         prev_open = prev.isNotNull() & (prev != "fin")
-        gap = F.get(F.col("gaps"), i)
-        return (F.when((cur == "fin") & ~F.coalesce(prev_open, F.lit(False)),
-                       _issue(0, i, "stray-fin", context=T.context_after(_following(i))))
-                .when((cur == "fin") & gap.rlike(HEADING),
+        return (F.when((cur == "fin") & ~F.coalesce(prev_open, F.lit(False)), _issue(0, i, "stray-fin", context=c.context(i)))
+                .when((cur == "fin") & c.gap(i).rlike(HEADING),
                       _issue(0, i, "heading-inside-box", label=prev,
-                             context=T.heading_text(F.regexp_extract(gap, HEADING, 1))))
+                             context=T.heading_text(F.regexp_extract(c.gap(i), HEADING, 1))))
                 .when((cur == "fin"), F.lit(None).cast(ISSUE))
-                .when(prev_open, _issue(0, i, "unclosed-box", label=prev, context=T.context_after(_following(i - 1)))))
+                .when(prev_open, _issue(0, i, "unclosed-box", label=prev, context=c.context(i - 1))))
 
-    return _rows(d, F.transform(F.sequence(F.lit(0), F.size("hits")), at))
+    return d, F.transform(F.sequence(F.lit(0), F.size(c.hits)), at)
 
 
 def box_verdict(src: DataFrame) -> DataFrame:
     """(doc_id, src) of documents with opening markers whose box markers alternate
     properly and hold no heading: the ones `box_issues` is silent about."""
-    d = _cut(src, IU + fixed.BOX_MARKER).withColumn("names", F.transform("hits", _label))
-    fair = F.forall(F.sequence(F.lit(0), F.greatest(F.size("names"), F.lit(1)) - 1), lambda i: F.when(
-        i % 2 == 0, F.get(F.col("names"), i) != "fin").otherwise(
-        (F.get(F.col("names"), i) == "fin") & ~F.get(F.col("gaps"), i).rlike(HEADING)))
-    return d.filter((F.size("names") > 0) & (F.size("names") % 2 == 0) & fair).select("doc_id", "src")
+    d, c = _box_names(src)
+    names = c.col("names")
+    fair = F.forall(F.sequence(F.lit(0), F.greatest(F.size(names), F.lit(1)) - 1), lambda i: F.when(
+        i % 2 == 0, F.get(names, i) != "fin").otherwise((F.get(names, i) == "fin") & ~c.gap(i).rlike(HEADING)))
+    good = (F.size(names) > 0) & (F.size(names) % 2 == 0) & fair
+    # a generated column: a plain filter would be pushed below the cuts and repeat them
+    return d.select("doc_id", F.explode_outer(F.when(good, F.array("src"))).alias("src")).filter("src is not null")
 
 
-def leftover_issues(src: DataFrame) -> DataFrame:
+def leftover_issues(src: DataFrame) -> tuple[DataFrame, Column]:
     """Opening markers still in the text of a document whose boxes have been formed."""
-    d = _cut(src, IU + fixed.BOX_OPEN)
-    return _rows(d, F.transform("hits", lambda h, i: _issue(1, i, "box-not-formable", label=_label(h),
-                                                            context=T.context_after(_following(i)))))
+    c = Cut("left")
+    return c.add(src, IU + fixed.BOX_OPEN), F.transform(
+        c.hits, lambda h, i: _issue(1, i, "box-not-formable", label=_label(h), context=c.context(i)))
+
 
+def table_marker_issues(src: DataFrame) -> tuple[DataFrame, Column]:
+    c = Cut("mark")
 
-def table_marker_issues(src: DataFrame) -> DataFrame:
     def at(h: Column, i: Column) -> Column:
-        ok = (F.get(F.col("gaps"), i).rlike(rf"(?i){P_OPEN}{WS}*$")
-              & F.get(F.col("gaps"), i + 1).rlike(rf"(?i)^{WS}*</p>{WS}*<table\b"))
+        ok = c.gap(i).rlike(rf"(?i){P_OPEN}{WS}*$") & c.gap(i + 1).rlike(rf"(?i)^{WS}*</p>{WS}*<table\b")
         word = F.lower(F.regexp_replace(h, rf"\[{WS}*|{WS}*\]", ""))
-        return F.when(~ok, _issue(2, i, "table-marker", marker=word, context=T.context_after(_following(i))))
+        return F.when(~ok, _issue(2, i, "table-marker", marker=word, context=c.context(i)))
 
-    return _rows(_cut(src, IU + fixed.TABLE_MARKER), F.transform("hits", at))
+    return c.add(src, IU + fixed.TABLE_MARKER), F.transform(c.hits, at)
 
 
-def unmarked_table_issues(src: DataFrame) -> DataFrame:
+def unmarked_table_issues(src: DataFrame) -> tuple[DataFrame, Column]:
     """Tables without a marker before them and none since the previous table ended."""
-    d = _cut(src, r"(?i)<table\b[^>]*>")
-    since = F.transform("gaps", lambda g: F.struct(
+    c = Cut("table")
+    d = c.add(src, r"(?i)<table\b[^>]*>")
+    since = F.transform(c.gaps, lambda g: F.struct(
         g.rlike("(?i)</table>").alias("closed"),
         F.element_at(F.split(g, "(?i)</table>"), -1).rlike(IU + fixed.TABLE_MARKER).alias("marked")))
     # a table inside a table: look on in the text of the enclosing one
     flags = F.aggregate(since, F.array().cast("array<boolean>"), lambda acc, x: F.concat(acc, F.array(
         x["marked"] | (~x["closed"] & F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(False))))))
-    d = d.withColumn("flags", flags)
+    d = d.withColumn("table_flags", F.when(F.size(c.hits) > 0, flags))
 
     def at(h: Column, i: Column) -> Column:
-        marked = F.get(F.col("gaps"), i).rlike(rf"{IU}{P_OPEN}{WS}*{fixed.TABLE_MARKER}{WS}*</p>{WS}*$")
-        return F.when(~marked & ~F.get(F.col("flags"), i),
-                      _issue(3, i, "table-without-marker", context=T.context_after(_following(i))))
+        marked = c.gap(i).rlike(rf"{IU}{P_OPEN}{WS}*{fixed.TABLE_MARKER}{WS}*</p>{WS}*$")
+        return F.when(~marked & ~F.get(c.col("flags"), i) & (F.size(c.col("flags")) > 0),
+                      _issue(3, i, "table-without-marker", context=c.context(i)))
 
-    return _rows(d, F.transform("hits", at))
+    return d, F.transform(c.hits, at)
 
 
-def _or_before(i: Column) -> Column:
-    after = T.context_after(_following(i))
-    return F.when(after != "", after).otherwise(T.context_before(_preceding(i)))
+def group_end_issues(src: DataFrame) -> tuple[DataFrame, Column]:
+    c = Cut("end")
 
-
-def group_end_issues(src: DataFrame) -> DataFrame:
     def at(h: Column, i: Column) -> Column:
-        alone = (F.get(F.col("gaps"), i).rlike(rf"(?i){P_OPEN}{WS}*$")
-                 & F.get(F.col("gaps"), i + 1).rlike(rf"(?i)^{WS}*</p>"))
-        return F.when(~alone, _issue(4, i, "accordion-marker", marker="fin acordeón", context=_or_before(i)))
+        alone = c.gap(i).rlike(rf"(?i){P_OPEN}{WS}*$") & c.gap(i + 1).rlike(rf"(?i)^{WS}*</p>")
+        return F.when(~alone, _issue(4, i, "accordion-marker", marker="fin acordeón", context=c.context_or_before(i)))
 
-    return _rows(_cut(src, IU + fixed.GROUP_END), F.transform("hits", at))
+    return c.add(src, IU + fixed.GROUP_END), F.transform(c.hits, at)
 
 
-def resource_issues(src: DataFrame) -> DataFrame:
-    d = _cut(M.split_resource_breaks(src, "src"), IU + fixed.RESOURCE_MARKER)
+def resource_issues(src: DataFrame) -> tuple[DataFrame, Column]:
+    c = Cut("res")
+    d = M.split_resource_breaks(src.withColumn("res_src", F.col("src")), "res_src")
 
     def at(h: Column, i: Column) -> Column:
-        after = F.get(F.col("gaps"), i + 1)
-        opens = F.get(F.col("gaps"), i).rlike(rf"(?i)<(?:p|li)\b[^>]*>{NBSP_OR_WS}*$")
+        after = c.gap(i + 1)
+        opens = c.gap(i).rlike(rf"(?i)<(?:p|li)\b[^>]*>{NBSP_OR_WS}*$")
         # nothing after the marker: the line or the document ends here
         ends = after.rlike(rf"(?i)^{NBSP_OR_WS}*</(?:p|li)>") | (
-            (i == F.size("hits") - 1) & after.rlike(rf"(?i)^{NBSP_OR_WS}*$"))
+            (i == F.size(c.hits) - 1) & after.rlike(rf"(?i)^{NBSP_OR_WS}*$"))
         word = F.lower(F.regexp_replace(h, rf"\[{WS}*|{WS}*:{WS}*\]", ""))
         name = F.when(T.strip_diacritics(word) == "video", "vídeo").otherwise(word)
-        return F.when(~opens | ends, _issue(5, i, "resource-marker", marker=name, context=_or_before(i)))
+        return F.when(~opens | ends, _issue(5, i, "resource-marker", marker=name, context=c.context_or_before(i)))
+
+    return c.add(d, IU + fixed.RESOURCE_MARKER, "res_src"), F.transform(c.hits, at)
+
+
+ROW_DETECTORS = {
+    "box": box_issues, "table": table_marker_issues, "unmarked": unmarked_table_issues,
+    "group-end": group_end_issues, "resource": resource_issues,
+}
+FAMILIES = ["box", "unformable", "table", "unmarked", "group-end", "resource"]
 
-    return _rows(d, F.transform("hits", at))
+
+def row_issues(src: DataFrame, detectors: list) -> DataFrame:
+    """Run detectors in one pass over the rows, without a shuffle."""
+    found = []
+    d = src
+    for detect_one in detectors:
+        d, arr = detect_one(d)
+        found.append(F.filter(arr, lambda x: x.isNotNull()))
+    # the outer form keeps the optimizer from computing the arrays a second time in a filter
+    return d.select("doc_id", F.inline_outer(F.concat(*found))).filter("kind is not null")
 
 
 def unformable_boxes(src: DataFrame) -> DataFrame:
     """Boxes left over after forming, in documents with no other box issue."""
     placed = K.by_doc(box_verdict(src).select("doc_id", F.col("src").alias("html")))
     left = K.untokenize(M.form_boxes(K.tokens(placed, placed=True)))
-    return leftover_issues(left.select("doc_id", F.col("html").alias("src")))
-
-
-DETECTORS = {
-    "box": box_issues, "unformable": unformable_boxes, "table": table_marker_issues,
-    "unmarked": unmarked_table_issues, "group-end": group_end_issues, "resource": resource_issues,
-}
+    return row_issues(left.select("doc_id", F.col("html").alias("src")), [leftover_issues])
 
 
-def detect(docs: DataFrame, families: list[str] | None = None) -> DataFrame:
+def detect(docs: DataFrame, families: list[str] = FAMILIES) -> DataFrame:
     """Marker issues: (doc_id, family, ord, kind, label, marker, context).
 
-    Each family is its own pass over the rows; only `unformable` shuffles, and only the
-    documents no other box issue was found in.
+    One pass over the rows finds everything but boxes that cannot be formed; those take a
+    second one that shuffles only the documents without any other box issue.
     """
     src = sources(docs)
-    parts = [DETECTORS[f](src) for f in families or DETECTORS]
+    rows = [ROW_DETECTORS[f] for f in families if f in ROW_DETECTORS]
+    parts = ([row_issues(src, rows)] if rows else []) + ([unformable_boxes(src)] if "unformable" in families else [])
     return reduce(DataFrame.unionByName, parts)
 
 
