@@ -182,7 +182,7 @@ def orient_tables(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFram
     """A paragraph holding only an orientation marker right before a table becomes the
     table's class."""
     w = K.doc_window()
-    t = _neighbours(t)
+    t = _neighbours(toks)
     is_table = (F.col("kind") == "open") & (F.col("tag") == "table")
     marker = F.lower(F.regexp_extract(F.col("tok"), rf"{IU}^\[{WS}*({fixed.TABLE_WORDS}){WS}*\]$", 1))
     used = ((F.col("kind") == "bracket") & (marker != "") & (F.col("p1") == "p") & (F.col("n1") == "/p")
@@ -421,3 +421,34 @@ def apply_passes(docs: DataFrame, row_passes=None, token_passes=None) -> DataFra
     placed = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html")))
     toks = reduce(lambda d, p: d.transform(p[1]), token_passes or TOKEN_PASSES, K.tokens(placed, placed=True))
     return K.untokenize(toks)
+
+
+# --- embedded images ------------------------------------------------------------------
+
+def image_path(url: Column) -> Column:
+    return F.concat(F.lit(f"{fixed.RESOURCE_DIR}/img_"), F.sha2(I.data_url_bytes(url), 256), F.lit("."),
+                    I.image_ext(I.data_url_subtype(url)))
+
+
+def extract_images(docs: DataFrame) -> DataFrame:
+    """Data URLs become paths named by content; every occurrence is rewritten."""
+    return rewrite(docs, I.DATA_URL, image_path)
+
+
+def image_refs(docs: DataFrame) -> DataFrame:
+    """(doc_id, ord, sha, path, content): one row per occurrence of an embedded image."""
+    urls = F.regexp_extract_all("html", F.lit(I.DATA_URL), F.lit(0))
+    u = docs.select("doc_id", F.posexplode_outer(urls).alias("ord", "url")).filter("url is not null")
+    content = I.data_url_bytes(F.col("url"))
+    return u.select("doc_id", "ord", F.sha2(content, 256).alias("sha"), image_path(F.col("url")).alias("path"), content.alias("content"))
+
+
+def image_store(refs: DataFrame) -> DataFrame:
+    """One row per distinct image with its number of references and documents.
+
+    Both counts combine on the map side: first per image and document, then per image, so
+    an image that a third of the corpus carries arrives as one row per task.
+    """
+    per_doc = refs.groupBy("sha", "doc_id").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.first("content").alias("content"))
+    return per_doc.groupBy("sha").agg(F.min("path").alias("path"), F.sum("n").alias("refs"), F.count("*").alias("docs"),
+                                      F.first("content").alias("content"))
