@@ -161,7 +161,13 @@ def inline_images(spark, sf):
                                           F.col("img_w").alias("w"), F.col("img_h").alias("h"))
 
 
-FOLD_SQL = CTX_SQL + FORM_SQL + ORIENT_SQL + LISTS_SQL + r""",
+# lists are continued among top-level blocks; the content of a formed box is not
+TOP_SQL = """,
+top as (
+  select * from form_el e where not exists (
+    select 1 from formed f where f.doc_id = e.doc_id and f.open_pos < e.pos and e.pos < f.close_pos)
+)"""
+FOLD_SQL = CTX_SQL + FORM_SQL + ORIENT_SQL + TOP_SQL + LISTS_SQL.replace("from el\n", "from top\n") + r""",
 folded as (
   select e.doc_id, e.pos, case
     when e.opens or e.closes then e.html_formed
@@ -183,7 +189,7 @@ folded as (
     when e.k = 18 and e.pos % 2 = 1 then replace(e.html, ' data-w="12" data-h="7" />', case when e.text <> ''
         then ' class="sem_img_inline" width="12" height="7" style="width:12px;height:7px" />' else ' />' end)
     else e.html_formed end as html
-  from form_el e join ori o using (doc_id, pos) join (select doc_id, pos, """ + LIST_START + """ as start_at from ls) l using (doc_id, pos)
+  from form_el e join ori o using (doc_id, pos) left join (select doc_id, pos, """ + LIST_START + """ as start_at from ls) l using (doc_id, pos)
 )"""
 
 
