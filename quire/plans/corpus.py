@@ -65,8 +65,8 @@ def slug(x: str) -> str:
 
 
 def fnv1a(x: str) -> str:
-    return (f"lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split({x}, ''), c -> c <> ''), "
-            "c -> unicode(c)::BIGINT)), (h, c) -> ((xor(h, c)::HUGEINT * 16777619) & 4294967295)::BIGINT))), 8, '0')")
+    return (f"lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), "
+            "lambda c: unicode(c)::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) & 4294967295)::BIGINT))), 8, '0')")
 
 
 # --- marked documents ------------------------------------------------------------------
@@ -167,3 +167,122 @@ fl as (
 
 def with_sql(*ctes: str) -> str:
     return "with " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# --- structured documents: many headings, with and without structure tags ---------------
+
+def structured_case(t: str, i: str, m: str) -> str:
+    esc = f"replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    body = f"(case when {i} % 11 = 0 then '' else {esc} end)"
+    a1 = (f"(case {i} % 4 when 1 then ' data-structure-tag=\"pagina-principal\"' when 2 then ' data-structure-tag=\"subpagina\"' "
+          f"when 3 then ' data-structure-tag=\"3er-nivel\"' else '' end)")
+    a2 = (f"(case (doc_id + {i}) % 4 when 1 then ' data-structure-tag=\"titulo-idevice\"' when 2 then ' data-structure-tag=\"acordeon\"' "
+          f"when 3 then ' data-structure-tag=\"pestanas\"' else '' end)")
+    return f"""case {m} when 0 then '<h1' || {a1} || '>' || {body} || '</h1>'
+      when 1 then '<h2' || {a2} || '>' || {body} || '</h2>' when 2 then '<h2' || {a2} || '>' || {body} || '</h2>'
+      when 3 then '<h2' || {a2} || '>' || {body} || '</h2>' when 4 then '<h3>' || {body} || '</h3>'
+      when 5 then '<p>[fin acordeón]</p>' when 8 then '<h5>' || {body} || '</h5>' else '<p>' || {esc} || '</p>' end"""
+
+
+M = "((doc_id + {i} * 5 + length({t})) % 9)"
+
+
+def structured_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs(doc_id, source, lang, filename, html) rich in headings."""
+    t = "substr(trim(t), 1, 30)"
+    lines = f"transform(split(text, '\\n'), (t, i) -> {structured_case(t, 'i', M.format(t='trim(t)', i='i'))})"
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.expr("'doc-' || cast(doc_id as string) || '.docx'").alias("filename"),
+        F.array_join(F.expr(lines), "").alias("html"))
+
+
+HS_SQL = LINES_SQL + f""",
+hs_el as (
+  select doc_id, source, lang, line_no::INT as pos, m, html, {plain('html')} as text,
+    (case m when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 2 when 4 then 3 when 8 then 5 end)::INT as level,
+    (case when m = 0 then nullif(line_no % 4, 0) end)::INT as word_level,
+    case when m in (1, 2, 3) then case (doc_id + line_no) % 4 when 1 then 'idevice-title' when 2 then 'accordion' when 3 then 'tabs' end end as word_option
+  from (select *, {structured_case('substr(txt, 1, 30)', 'line_no', 'm')} as html from (select *, {M.format(t='txt', i='line_no')} as m from lines))
+),
+hs as (
+  select *, (level is not null and text <> '') as is_real,
+    coalesce(sum(case when level = 1 and text <> '' then 1 else 0 end) over w, 0)::INT as h1_ord,
+    coalesce(sum(case when level = 2 and text <> '' then 1 else 0 end) over w, 0)::INT as h2_ord
+  from hs_el window w as (partition by doc_id order by pos rows unbounded preceding)
+),
+hk as (
+  select *, coalesce(last_value(case when is_real and level = 2 then h2_ord when is_real and level = 1 then 0 end ignore nulls) over (
+    partition by doc_id order by pos rows unbounded preceding), 0)::INT as h2_key
+  from hs
+),
+per_doc as (
+  select doc_id, bool_or(is_real and level = 1) as any_h1,
+    bool_or(h1_ord = 0 and ((is_real and level = 2) or (coalesce(level, 0) not in (1, 2) and text <> ''))) as early
+  from hs group by doc_id
+),
+sect0 as (
+  select doc_id, 0 as h1_ord, 'Contenido' as title, null::INT as word_level, true as synthetic, -1 as pos
+  from per_doc where coalesce(early, false) or not coalesce(any_h1, false)
+  union all select doc_id, h1_ord, text, word_level, false, pos from hs where is_real and level = 1
+),
+sect as (
+  select *, (case when idx = 0 then 1 else coalesce(word_level, 1) end)::INT as level
+  from (select *, (row_number() over (partition by doc_id order by h1_ord) - 1)::INT as idx from sect0)
+),
+items as (
+  select doc_id, h1_ord, h2_ord, text, coalesce(word_option, 'html') as option, word_option, pos from hs where is_real and level = 2
+),
+pages_out as (
+  select doc_id, idx as page_idx, title, level, h1_ord,
+    case level when 2 then max(case when level = 1 then idx end) over p when 3 then max(case when level = 2 then idx end) over p end as parent_idx
+  from sect window p as (partition by doc_id order by idx rows between unbounded preceding and 1 preceding)
+),
+secs as (
+  select *, (row_number() over (partition by doc_id order by pos) - 1)::INT as sec from (
+    select doc_id, pos, level, text, '' as html, h1_ord, h2_key from hk where is_real
+    union all
+    select doc_id, min(pos), 999, '', string_agg(html, '' order by pos), h1_ord, h2_key
+    from (select *, sum(is_real::INT) over (partition by doc_id order by pos) as isl from hk where is_real or level is null)
+    where not is_real group by doc_id, isl, h1_ord, h2_key)
+),
+conts as (
+  select doc_id, h1_ord, h2_key, string_agg(case when level is null then html when level in (3, 4) then '<h' || level || '>' || {escape_xml('text')} || '</h' || level || '>' else '' end, '' order by pos) as content
+  from hk where is_real or level is null group by all
+),
+cut as (
+  select *, case when strpos(content, '<p>[fin acordeón]</p>') > 0 then substr(content, 1, strpos(content, '<p>[fin acordeón]</p>') - 1) else content end as body0,
+    case when strpos(content, '<p>[fin acordeón]</p>') > 0 then replace(substr(content, strpos(content, '<p>[fin acordeón]</p>') + 21), '<p>[fin acordeón]</p>', '') else '' end as spill0
+  from conts
+),
+chunk0 as (
+  select c.doc_id, c.h1_ord, c.h2_key as h2_ord, i.text, i.option, coalesce(i.option in ('accordion', 'tabs'), false) as panel,
+    case when i.option in ('accordion', 'tabs') then body0 else replace(content, '<p>[fin acordeón]</p>', '') end as body,
+    case when i.option in ('accordion', 'tabs') then spill0 else '' end as spill
+  from cut c left join items i on i.doc_id = c.doc_id and i.h1_ord = c.h1_ord and i.h2_ord = c.h2_key
+),
+chunk1 as (
+  select *, panel and (not coalesce(lag(panel) over w, false) or lag(option) over w <> option or lag(spill) over w <> '') as fresh
+  from chunk0 where h2_ord > 0 or body <> '' window w as (partition by doc_id, h1_ord order by h2_ord)
+),
+chunks as (
+  select *, sum(case when option = 'idevice-title' then 1 else 0 end) over w as block_seq,
+    case when panel then sum(case when fresh then 1 else 0 end) over w end as group_id,
+    lead(fresh) over o as next_fresh, lead(panel) over o as next_panel
+  from chunk1 window w as (partition by doc_id, h1_ord order by h2_ord rows unbounded preceding), o as (partition by doc_id, h1_ord order by h2_ord)
+),
+blocks_out as (
+  select doc_id, h1_ord, (row_number() over (partition by doc_id, h1_ord order by block_seq) - 1)::INT as block_idx, title,
+    case when html = '' then '<p></p>' else html end as html
+  from (select doc_id, h1_ord, block_seq, coalesce(max(case when option = 'idevice-title' then text end), '') as title,
+      string_agg(case when h2_ord = 0 then body
+        when panel then (case when fresh then '<div class="exe-fx exe-' || option || '">' || chr(10) else '' end) || '<h2>' || {escape_xml('text')} || '</h2>' || chr(10)
+          || (case when body = '' then '<p></p>' else body end) || (case when spill <> '' or coalesce(next_fresh, true) or not coalesce(next_panel, false) then chr(10) || '</div>' else '' end)
+          || (case when spill <> '' then chr(10) || spill else '' end)
+        when option = 'idevice-title' then case when body = '' then '<p></p>' else body end
+        else '<h2>' || {escape_xml('text')} || '</h2>' || (case when body <> '' then chr(10) || body else '' end) end, chr(10) order by h2_ord) as html
+    from chunks group by doc_id, h1_ord, block_seq)
+),
+page_blocks as (
+  select p.doc_id, p.page_idx, coalesce(b.block_idx, 0) as block_idx, coalesce(b.title, '') as title, coalesce(b.html, '<p></p>') as html
+  from pages_out p left join blocks_out b on b.doc_id = p.doc_id and b.h1_ord = p.h1_ord
+)"""
