@@ -173,8 +173,8 @@ def with_sql(*ctes: str) -> str:
 
 def structured_case(t: str, i: str, m: str) -> str:
     esc = f"replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-    body = f"(case when {i} % 11 = 0 then '' else {esc} end)"
-    a1 = (f"(case {i} % 4 when 1 then ' data-structure-tag=\"pagina-principal\"' when 2 then ' data-structure-tag=\"subpagina\"' "
+    body = f"(case when {i} % 11 = 5 then '' else {esc} end)"
+    a1 = (f"(case (doc_id + {i}) % 4 when 1 then ' data-structure-tag=\"pagina-principal\"' when 2 then ' data-structure-tag=\"subpagina\"' "
           f"when 3 then ' data-structure-tag=\"3er-nivel\"' else '' end)")
     a2 = (f"(case (doc_id + {i}) % 4 when 1 then ' data-structure-tag=\"titulo-idevice\"' when 2 then ' data-structure-tag=\"acordeon\"' "
           f"when 3 then ' data-structure-tag=\"pestanas\"' else '' end)")
@@ -200,7 +200,7 @@ HS_SQL = LINES_SQL + f""",
 hs_el as (
   select doc_id, source, lang, line_no::INT as pos, m, html, {plain('html')} as text,
     (case m when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 2 when 4 then 3 when 8 then 5 end)::INT as level,
-    (case when m = 0 then nullif(line_no % 4, 0) end)::INT as word_level,
+    (case when m = 0 then nullif((doc_id + line_no) % 4, 0) end)::INT as word_level,
     case when m in (1, 2, 3) then case (doc_id + line_no) % 4 when 1 then 'idevice-title' when 2 then 'accordion' when 3 then 'tabs' end end as word_option
   from (select *, {structured_case('substr(txt, 1, 30)', 'line_no', 'm')} as html from (select *, {M.format(t='txt', i='line_no')} as m from lines))
 ),
