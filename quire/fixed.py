@@ -131,8 +131,8 @@ CHECKSUM_PARTS = ["content.xml", "ode.xml", "META-INF/manifest.xml"]
 # --- cleaner -------------------------------------------------------------------------
 TOC_TITLES = ["contenido", "contenidos", "índice", "indice", "tabla de contenido",
               "tabla de contenidos", "table of contents", "contents", "sumario"]
-BOX_STYLES = {"buaimportante": "importante", "buadefinicion": "definición",
-              "buaejemplo": "ejemplo"}
+# paragraph style ids that end in one of these words are boxes
+BOX_STYLE_ENDS = {"importante": "importante", "definicion": "definición", "ejemplo": "ejemplo"}
 COVER_STYLES = ["Ttulo", "FrameContents"]
 
 # --- messages (fixed values) -----------------------------------------------------------
