@@ -75,11 +75,11 @@ def structure_choices(spark, sf):
 # events of a memory: few keys, deletions, one owner with most of the rows
 def events(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select(F.col("lang").alias("owner"), F.expr("'s' || (doc_id * 31 % 90)").alias("shape"), F.expr("'t' || (doc_id * 31 % 90)").alias("titles"),
+    return d.select(F.col("lang").alias("owner"), F.expr("'s' || (doc_id * doc_id % 61)").alias("shape"), F.expr("'t' || (doc_id * doc_id % 61)").alias("titles"),
                     (F.col("doc_id") % 4 == 1).alias("is_default"), F.col("doc_id").alias("at"), F.col("source").alias("tags"))
 
 
-MEM_SQL = """with ev as (select lang as owner, 's' || (doc_id * 31 % 90) as shape, doc_id * 31 % 90 as key, doc_id % 4 = 1 as is_default, doc_id as ts, source as tags from documents),
+MEM_SQL = """with ev as (select lang as owner, 's' || (doc_id * doc_id % 61) as shape, doc_id * doc_id % 61 as key, doc_id % 4 = 1 as is_default, doc_id as ts, source as tags from documents),
 last_ev as (select owner, key, max(ts) as ts from ev group by all),
 cand as (select l.owner, l.key, l.ts, row_number() over (partition by l.owner order by l.ts desc) as r from last_ev l join ev e on e.owner = l.owner and e.ts = l.ts where not e.is_default),
 c20 as (select * from cand where r <= 20),
