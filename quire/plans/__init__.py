@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["issue_queries", "pass_queries", "scalar_queries", "structure_queries", "content_queries", "table_queries", "file_queries"]
+MODULES = ["issue_queries", "pass_queries", "scalar_queries", "structure_queries", "content_queries",
+           "table_queries", "file_queries", "stream_queries"]
 
 
 def load_all() -> None:

@@ -114,15 +114,19 @@ def element_case(t: str, i: str, k: str, dirty: bool) -> str:
       else '<p>' || {esc} || '</p>' end"""
 
 
-def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marked(documents: DataFrame) -> DataFrame:
     """docs(doc_id, source, lang, filename, html): built within the row, no shuffle."""
     lines = ("transform(split(text, '\\n'), (t, i) -> "
              + element_case("trim(t)", "i", K.format(t="t", i="i"), dirty=True) + ")")
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id", "source", "lang", F.expr("'doc-' || cast(doc_id as string) || '.docx'").alias("filename"),
         F.array_join(F.expr(lines), "").alias("html"))
 
 
+def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(table(spark, sf_dir, "documents"))
+
+
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
 
