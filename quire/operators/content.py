@@ -102,8 +102,8 @@ def sanitize(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX, col: str = "tok"
     return t.withColumn(col, F.coalesce(new, F.lit(""))).drop("_out", "open_tok", "n_inside")
 
 
-def sanitize_docs(docs: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFrame:
-    return K.untokenize(sanitize(K.tokens(docs), prefix))
+def sanitize_docs(docs: DataFrame, prefix: str = fixed.CLASS_PREFIX, placed: bool = False) -> DataFrame:
+    return K.untokenize(sanitize(K.tokens(docs, placed), prefix))
 
 
 def sanitize_preview(toks: DataFrame) -> DataFrame:

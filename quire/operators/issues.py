@@ -207,14 +207,14 @@ def row_issues(src: DataFrame, detectors: list) -> DataFrame:
     return d.select("doc_id", F.inline_outer(F.concat(*found))).filter("kind is not null")
 
 
-def unformable_boxes(src: DataFrame) -> DataFrame:
+def unformable_boxes(src: DataFrame, placed: bool = False) -> DataFrame:
     """Boxes left over after forming, in documents with no other box issue."""
-    placed = K.by_doc(box_verdict(src).select("doc_id", F.col("src").alias("html")))
-    left = K.untokenize(M.form_boxes(K.tokens(placed, placed=True)))
+    fair = box_verdict(src).select("doc_id", F.col("src").alias("html"))
+    left = K.untokenize(M.form_boxes(K.tokens(fair, placed)))
     return row_issues(left.select("doc_id", F.col("html").alias("src")), [leftover_issues])
 
 
-def detect(docs: DataFrame, families: list[str] = FAMILIES) -> DataFrame:
+def detect(docs: DataFrame, families: list[str] = FAMILIES, placed: bool = False) -> DataFrame:
     """Marker issues: (doc_id, family, ord, kind, label, marker, context).
 
     One pass over the rows finds everything but boxes that cannot be formed; those take a
@@ -222,7 +222,7 @@ def detect(docs: DataFrame, families: list[str] = FAMILIES) -> DataFrame:
     """
     src = sources(docs)
     rows = [ROW_DETECTORS[f] for f in families if f in ROW_DETECTORS]
-    parts = ([row_issues(src, rows)] if rows else []) + ([unformable_boxes(src)] if "unformable" in families else [])
+    parts = ([row_issues(src, rows)] if rows else []) + ([unformable_boxes(src, placed)] if "unformable" in families else [])
     return reduce(DataFrame.unionByName, parts)
 
 

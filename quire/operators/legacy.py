@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import images as I
 from ..functions import text as T
-from .tokens import upto
+from .tokens import by_doc, upto
 
 XML_TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^>]+>|[^<]+"
 NODE = fixed.CLASS_NODE
@@ -18,14 +18,14 @@ def _win():
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def xml_nodes(docs: DataFrame) -> DataFrame:
+def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
     """(doc_id, pos, depth, tag, tok, value, close_pos, parent_pos, sib): one row per XML
     element of docs(doc_id, xml), in document order.
 
     The parent of an element is the last element opened one level up. To find it with a
     window, each row also appears as a seeker in the level above its own.
     """
-    base = docs.select("doc_id", "xml").repartition("doc_id")
+    base = by_doc(docs.select("doc_id", "xml"), placed)
     t = base.select("doc_id", F.posexplode_outer(F.regexp_extract_all("xml", F.lit(XML_TOKEN), F.lit(0))).alias("pos", "tok")).filter(
         "tok is not null and not tok like '<?%' and not tok like '<!--%'")
     tag = F.regexp_extract("tok", r"^</?(?:[\w.-]+:)?([\w.-]+)", 1)

@@ -413,12 +413,12 @@ TOKEN_PASSES = [
 ]
 
 
-def apply_passes(docs: DataFrame, row_passes=None, token_passes=None) -> DataFrame:
+def apply_passes(docs: DataFrame, row_passes=None, token_passes=None, placed: bool = False) -> DataFrame:
     """All passes in their fixed order as one plan: docs in, docs out.
 
     One exchange places the documents; every pass after it is a window or a projection.
     """
-    placed = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html")))
+    placed = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html"), placed))
     toks = reduce(lambda d, p: d.transform(p[1]), token_passes or TOKEN_PASSES, K.tokens(placed, placed=True))
     return K.untokenize(toks)
 

@@ -28,8 +28,9 @@ def before(w):
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def by_doc(docs: DataFrame) -> DataFrame:
-    return docs.repartition("doc_id")
+def by_doc(docs: DataFrame, placed: bool = False) -> DataFrame:
+    """Place documents by `doc_id`, unless they are (a bucketed table, an earlier call)."""
+    return docs if placed else docs.repartition("doc_id")
 
 
 def clean_markup(html: Column) -> Column:
@@ -52,7 +53,7 @@ def classify(tok: Column) -> tuple[Column, Column]:
 
 def tokens(docs: DataFrame, placed: bool = False) -> DataFrame:
     """(doc_id, pos, tok, kind, tag): one row per tag, bracket group or text run."""
-    base = docs if placed else by_doc(docs.select("doc_id", "html"))
+    base = by_doc(docs.select("doc_id", "html"), placed)
     toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN), F.lit(0))
     # the outer form: the plain one makes the optimizer filter on the array's size below the
     # generator, which computes the array twice
@@ -115,9 +116,9 @@ def elements_of(toks: DataFrame, extra: dict[str, str] | None = None) -> DataFra
                     T.plain_text(F.col("html")).alias("text"), "html", "open_tag", *(extra or {}))
 
 
-def elements(docs: DataFrame) -> DataFrame:
+def elements(docs: DataFrame, placed: bool = False) -> DataFrame:
     """(doc_id, pos, tag, level, text, html, open_tag): top-level blocks in order."""
-    return elements_of(tokens(docs))
+    return elements_of(tokens(docs, placed))
 
 
 def paired(toks: DataFrame, tags: list[str]) -> DataFrame:

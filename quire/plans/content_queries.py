@@ -14,7 +14,7 @@ from .structure_queries import TOK_SQL
 
 
 def page_tokens(spark, sf):
-    return K.tokens(C.page_docs(spark, sf))
+    return K.tokens(C.page_docs(spark, sf), placed=True)
 
 
 def _decode(x):
@@ -43,7 +43,7 @@ s5 as (select doc_id, pos, case when kind in ('text', 'bracket') then {C.escape_
 
 @query("sanitize_allowlist", SAN_SQL + "select doc_id, string_agg(out, '' order by pos) as html from s5 group by doc_id")
 def sanitize_allowlist(spark, sf):
-    return Q.sanitize_docs(C.page_docs(spark, sf))
+    return Q.sanitize_docs(C.page_docs(spark, sf), placed=True)
 
 
 def _with_embeds(spark, sf):
@@ -90,8 +90,8 @@ from lines, (values (0, 0, 1), (1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 0, 0), (5, 1
 def list_flatten(spark, sf):
     from pyspark.sql import Window
     one = LIST_HTML.format(t="replace(trim(t), '&', '+')", i="i")
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), "").alias("html"))
-    r = Q.flatten_lists(K.tokens(d))
+    d = C.placed(spark, sf).select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), "").alias("html"))
+    r = Q.flatten_lists(K.tokens(d, placed=True))
     w = Window.partitionBy("doc_id").orderBy("pos")
     return r.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "level", "ordered", "instance", "text")
 
@@ -160,6 +160,6 @@ select doc_id, case when coalesce(string_agg(h, chr(10) order by line_no) filter
 def heading_media_place(spark, sf):
     """Level-2 headings kept as text: the image goes in front, the link stays."""
     one = HEAD_HTML.format(i="i", t=HEAD_TEXT.format(t="trim(t)"))
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), "").alias("html"))
-    _, blocks = R.build(d, K.elements(d))
+    d = C.placed(spark, sf).select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), "").alias("html"))
+    _, blocks = R.build(d, K.elements(d, placed=True))
     return blocks.select("doc_id", "html")

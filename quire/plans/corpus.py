@@ -123,17 +123,32 @@ def marked(documents: DataFrame) -> DataFrame:
         F.array_join(F.expr(lines), "").alias("html"))
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table placed by its key while its rows are still small: everything derived from a
+    row stays where it is, and so do the windows over it."""
+    return table(spark, sf_dir, name).repartition(key)
+
+
 def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(table(spark, sf_dir, "documents"))
+    return marked(placed(spark, sf_dir))
+
+
+def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents for work that needs no placement: they stay in the splits they
+    were read in, unless there are fewer of those than cores."""
+    d = table(spark, sf_dir, "documents")
+    few = d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    return marked(d.repartition("doc_id") if few else d)
 
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+    return pages.repartition("doc_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    d = d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "txt"))
+    d = placed(spark, sf_dir)
+    d = d.select("doc_id", "source", "lang", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "txt"))
     d = d.withColumn("txt", F.trim("txt"))
     return d.withColumn("k", F.expr(K.format(t="txt", i="line_no")))
 
@@ -195,7 +210,7 @@ def structured_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs(doc_id, source, lang, filename, html) rich in headings."""
     t = "substr(trim(t), 1, 30)"
     lines = f"transform(split(text, '\\n'), (t, i) -> {structured_case(t, 'i', M.format(t='trim(t)', i='i'))})"
-    return table(spark, sf_dir, "documents").select(
+    return placed(spark, sf_dir).select(
         "doc_id", "source", "lang", F.expr("'doc-' || cast(doc_id as string) || '.docx'").alias("filename"),
         F.array_join(F.expr(lines), "").alias("html"))
 

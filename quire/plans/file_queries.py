@@ -57,7 +57,7 @@ TBL = "'<w:tbl><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><
 def word_xml(spark, sf):
     """(doc, xml): body parts, one paragraph per line and a table after every tenth."""
     one = (PARA.format(i="i", t="trim(t)") + " || (case when i % 10 = 9 then " + TBL.format(i="i") + " else '' end)")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.concat(
+    return C.placed(spark, sf).select(F.col("doc_id").alias("doc"), F.concat(
         F.lit('<?xml version="1.0"?><w:document><w:body>'), F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), ""),
         F.lit("<w:sectPr/></w:body></w:document>")).alias("xml"))
 
@@ -191,7 +191,7 @@ def packages(spark, sf):
     has_root = "(case when doc_id % 9 = 8 then 'noroot' else 'root' end)"
     xml = (f"'<?xml version=\"1.0\"?><instance class=\"exe.engine.package.Package\" reference=\"2\"><dictionary><string role=\"key\" value=\"' || {has_root} || '\"></string>' || {root} || "
            f"'<string role=\"key\" value=\"extra\"></string><list>' || {extra} || '</list></dictionary></instance>'")
-    return table(spark, sf, "documents").select("doc_id", F.expr(xml).alias("xml"))
+    return C.placed(spark, sf).select("doc_id", F.expr(xml).alias("xml"))
 
 
 PKG_SQL = C.LINES_SQL + """,
@@ -204,7 +204,7 @@ PKG = C.with_sql(PKG_SQL)
 
 
 def nodes(spark, sf):
-    return E.xml_nodes(packages(spark, sf))
+    return E.xml_nodes(packages(spark, sf), placed=True)
 
 
 @query("legacy_page_tree", PKG + "select doc_id, page_ord, depth, title from pg")
@@ -267,7 +267,7 @@ def join_resources(spark, sf):
 
 @query("box_class_markers", C.with_sql(CTX_SQL + FORM_SQL) + "select doc_id, mark as marker, count(*) as n from form_el where opens group by all")
 def box_class_markers(spark, sf):
-    t = M.form_boxes(K.tokens(clean_docs(spark, sf))).filter("tag = 'div' and kind = 'open'")
+    t = M.form_boxes(K.tokens(clean_docs(spark, sf), placed=True)).filter("tag = 'div' and kind = 'open'")
     return t.select("doc_id", E.marker_of(F.col("tok"), "box").alias("marker")).filter("marker is not null").groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
 
 
@@ -291,7 +291,7 @@ ml as (
 def sink_marked_text(spark, sf):
     """Back to marker lines from the fully transformed documents."""
     from pyspark.sql import Window
-    r = E.marked_lines(K.tokens(M.apply_passes(C.marked_docs(spark, sf))))
+    r = E.marked_lines(K.tokens(M.apply_passes(C.marked_docs(spark, sf), placed=True), placed=True))
     w = Window.partitionBy("doc_id").orderBy("pos")
     return r.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "style", "text")
 

@@ -137,11 +137,11 @@ FULL_SQL = BOX_SQL + LEFT_SQL + TABLE_SQL + END_SQL + ALL_SQL
 
 
 def _family(name, *cols):
-    return lambda spark, sf: S.detect(C.marked_docs(spark, sf), [name]).select("doc_id", "ord", *cols)
+    return lambda spark, sf: S.detect(C.marked_docs(spark, sf) if name == "unformable" else C.marked_rows(spark, sf), [name], placed=True).select("doc_id", "ord", *cols)
 
 
 def _box(kind):
-    return lambda spark, sf: (S.detect(C.marked_docs(spark, sf), ["box"]).filter(F.col("kind") == kind)
+    return lambda spark, sf: (S.detect(C.marked_rows(spark, sf), ["box"]).filter(F.col("kind") == kind)
                               .select("doc_id", "ord", "label", "context"))
 
 
@@ -163,7 +163,7 @@ query("issue_resource_marker", C.with_sql(CTX_SQL + END_SQL) + "select doc_id, o
 
 @query("issue_counts", C.with_sql(BOX_SQL) + "select kind, label, count(*) as n from box_issues group by kind, label")
 def issue_counts(spark, sf):
-    return S.detect(C.marked_docs(spark, sf), ["box"]).groupBy("kind", "label").agg(F.count("*").alias("n"))
+    return S.detect(C.marked_rows(spark, sf), ["box"]).groupBy("kind", "label").agg(F.count("*").alias("n"))
 
 
 def _message_sql():
@@ -184,14 +184,14 @@ def _message_sql():
 
 @query("issue_messages", C.with_sql(FULL_SQL) + f"select doc_id, family, ord, {_message_sql()} as message from all_issues")
 def issue_messages(spark, sf):
-    return S.describe(S.detect(C.marked_docs(spark, sf))).select("doc_id", "family", "ord", "message")
+    return S.describe(S.detect(C.marked_docs(spark, sf), placed=True)).select("doc_id", "family", "ord", "message")
 
 
 @query("has_issues", C.with_sql(FULL_SQL) + """select doc_id, doc_id in (select doc_id from all_issues) as has_issues
 from documents""")
 def has_issues(spark, sf):
     d = C.marked_docs(spark, sf)
-    return S.has_issues(d, S.detect(d))
+    return S.has_issues(d, S.detect(d, placed=True))
 
 
 # --- heading tags ---------------------------------------------------------------------
@@ -264,6 +264,6 @@ def heading_tag_typo(spark, sf):
 select doc_id, family, ord, kind from all_issues
 union all select doc_id, 6, ord, kind from tag_out where kind is not null""")
 def issues_union(spark, sf):
-    found = S.detect(C.marked_docs(spark, sf))
+    found = S.detect(C.marked_docs(spark, sf), placed=True)
     heads = S.heading_issue_rows(H.parse(tagged_docs(spark, sf)))
     return S.union_all(found, heads).select("doc_id", "family", "ord", "kind")

@@ -22,7 +22,7 @@ def clean_docs(spark, sf):
 
 
 def clean_tokens(spark, sf):
-    return K.tokens(clean_docs(spark, sf))
+    return K.tokens(clean_docs(spark, sf), placed=True)
 
 
 @query("marker_normalize", C.with_sql(C.EL_SQL) + DOC_HTML.format(x="html", t="el"))
@@ -89,7 +89,7 @@ select doc_id, kind, text, count(*) as n from (
     case when pos % 4 = 1 then 'doctail' else {C.plain(C.escape_text('txt'))} end as text
   from sp where k = 13 and pos % 4 <> 0 and (pos % 4 = 1 or txt <> '')) group by all""")
 def resource_lines(spark, sf):
-    t = M.resource_lines(K.tokens(M.split_resource_breaks(clean_docs(spark, sf))))
+    t = M.resource_lines(K.tokens(M.split_resource_breaks(clean_docs(spark, sf)), placed=True))
     e = K.elements_of(t)
     kind = F.regexp_extract("open_tag", rf"{fixed.CLASS_PREFIX}recurso_(\w+)", 1)
     return (e.select("doc_id", kind.alias("kind"), "text").filter("kind <> ''")
@@ -146,7 +146,7 @@ a as (select doc_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as
 select doc_id, href, regexp_matches(href, '^(?i)https?://') as external, count(*) as n from a group by all""")
 def external_links(spark, sf):
     docs = C.page_docs(spark, sf).select("doc_id", F.concat(F.lit('<p><a href="'), "url", F.lit('">u</a></p>'), "html").alias("html"))
-    f = M.link_flags(K.tokens(docs))
+    f = M.link_flags(K.tokens(docs, placed=True))
     return f.groupBy("doc_id", "href", "external").agg(F.count("*").alias("n"))
 
 
@@ -195,7 +195,7 @@ folded as (
 
 @query("html_passes", C.with_sql(FOLD_SQL) + DOC_HTML.format(x="html", t="folded"))
 def html_passes(spark, sf):
-    return M.apply_passes(C.marked_docs(spark, sf))
+    return M.apply_passes(C.marked_docs(spark, sf), placed=True)
 
 
 # --- images -----------------------------------------------------------------------------
@@ -206,7 +206,7 @@ img as (select doc_id, line_no, source, from_base64(md5(txt)) as content from li
 
 def found_images(spark, sf):
     """Data URLs of the marked documents, one row per occurrence."""
-    d = C.marked_docs(spark, sf)
+    d = C.marked_rows(spark, sf)
     urls = F.regexp_extract_all("html", F.lit(I.DATA_URL), F.lit(0))
     return d.select("doc_id", "source", F.posexplode_outer(urls).alias("ord", "url")).filter("url is not null")
 
@@ -240,4 +240,4 @@ def image_extract(spark, sf):
 @query("image_dedup", C.with_sql(IMG_SQL) + """select sha256(content) as sha, 'content/resources/img_' || sha256(content) || '.png' as path,
   count(*) as refs, count(distinct doc_id) as docs from img group by content""")
 def image_dedup(spark, sf):
-    return M.image_store(M.image_refs(C.marked_docs(spark, sf))).select("sha", "path", "refs", "docs")
+    return M.image_store(M.image_refs(C.marked_rows(spark, sf))).select("sha", "path", "refs", "docs")

@@ -139,5 +139,5 @@ def fn_protect_code(spark, sf):
     from ..operators import tokens as K
     one = ("'<p>' || replace(replace(replace(trim(t), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || "
            "'</p><pre>[ejemplo] x [fin]</pre><p>[pie]</p><p>y</p><p>[fin]</p>'")
-    docs = table(spark, sf, "documents").select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), t -> {one})"), "").alias("html"))
-    return K.untokenize(M.form_boxes(K.tokens(docs)))
+    docs = C.placed(spark, sf).select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), t -> {one})"), "").alias("html"))
+    return K.untokenize(M.form_boxes(K.tokens(docs, placed=True)))

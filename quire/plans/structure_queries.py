@@ -23,7 +23,7 @@ def docs(spark, sf):
 
 
 def flow(spark, sf):
-    return R.flow(K.elements(docs(spark, sf)))
+    return R.flow(K.elements(docs(spark, sf), placed=True))
 
 
 def sections(spark, sf):
@@ -39,7 +39,7 @@ def pages(spark, sf):
 
 
 def built(spark, sf):
-    return R.build(docs(spark, sf), K.elements(docs(spark, sf)))
+    return R.build(docs(spark, sf), K.elements(docs(spark, sf), placed=True))
 
 
 @query("src_html_docs", """
@@ -73,13 +73,13 @@ pel as (select doc_id, block::INT as pos, arg_min(tag, pos) as tag, string_agg(t
 
 @query("elements", PAGE_EL_SQL + f"select doc_id, pos, tag, {C.plain('html')} as text, md5(html) as digest from pel")
 def elements(spark, sf):
-    return K.elements(C.page_docs(spark, sf)).select("doc_id", "pos", "tag", "text", F.md5("html").alias("digest"))
+    return K.elements(C.page_docs(spark, sf), placed=True).select("doc_id", "pos", "tag", "text", F.md5("html").alias("digest"))
 
 
 @query("elements_marked", C.with_sql(C.EL_SQL) + "select doc_id, pos, tag, level, text from el")
 def elements_marked(spark, sf):
     d = M.normalize_markers(C.marked_docs(spark, sf).select("doc_id", "html"))
-    return K.elements(d).select("doc_id", "pos", "tag", "level", "text")
+    return K.elements(d, placed=True).select("doc_id", "pos", "tag", "level", "text")
 
 
 @query("parse_structure", HS + "select doc_id, h1_ord, idx, title, level, word_level, synthetic from sect")
@@ -228,7 +228,7 @@ def _mode_query(key, h1, h2, h3):
     @query(key, C.with_sql(_modes(h1, h2, h3)) + "select doc_id, page_idx, title, level, parent_idx from mp")
     def run(spark, sf):
         d = docs(spark, sf)
-        return R.heading_mode_pages(K.elements(d), d, h1=h1, h2=h2, h3=h3)[0]
+        return R.heading_mode_pages(K.elements(d, placed=True), d, h1=h1, h2=h2, h3=h3)[0]
 
 
 _mode_query("heading_mode_pages", "page", "page", "page")
@@ -246,7 +246,7 @@ select p.doc_id, p.page_idx, coalesce(b.block_idx, 0)::INT as block_idx, coalesc
 from mp p left join bb b on b.doc_id = p.doc_id and b.page_idx = p.page_idx""")
 def heading_mode_blocks(spark, sf):
     d = docs(spark, sf)
-    return R.heading_mode_pages(K.elements(d), d, h1="page", h2="block", h3="block")[1]
+    return R.heading_mode_pages(K.elements(d, placed=True), d, h1="page", h2="block", h3="block")[1]
 
 
 # --- navigation -----------------------------------------------------------------------------
@@ -372,7 +372,7 @@ def render_summary(spark, sf):
   where (doc_id * 7 + line_no * 13 + length(trim(t))) % 23 = 18)
 select distinct sha, 'content/resources/img_' || sha || '.png' as path from i""")
 def sink_image_store(spark, sf):
-    return M.image_store(M.image_refs(C.marked_docs(spark, sf))).select("sha", "path")
+    return M.image_store(M.image_refs(C.marked_rows(spark, sf))).select("sha", "path")
 
 
 @query("sink_doc_properties", """

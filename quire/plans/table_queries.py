@@ -24,7 +24,7 @@ CHOICE_OPTION = "case when doc_id % 3 <> 0 and h2_ord % 4 = 0 then 'accordion' e
 
 def structures(spark, sf):
     d = C.structured_docs(spark, sf)
-    fl = R.flow(K.elements(d))
+    fl = R.flow(K.elements(d, placed=True))
     s = R.sections(fl).withColumn("level", F.expr(CHOICE_LEVEL))
     i = R.section_items(fl).withColumn("option", F.expr(CHOICE_OPTION))
     return Y.fingerprints(s, i)

@@ -26,6 +26,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = tempfile.mkdtemp(prefix="quire-checkpoint-")
-    spark.sparkContext.setCheckpointDir(where)
+        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-checkpoint-")
+        spark.sparkContext.setCheckpointDir(where)
     return where
