@@ -88,7 +88,6 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 CONTAINER_TAGS = ["div", "article", "section", "nav", "aside", "header", "footer", "main",
                   "figure", "ul", "ol", "dl", "table", "blockquote", "pre", "form", "details",
                   "h1", "h2", "h3", "h4", "h5", "h6", "video", "audio", "object", "iframe"]
-TRANSPARENT_TAGS = ["html", "body", "!doctype"]
 # tag, written tag, kept when empty
 SANITIZE_TAGS = [
     ("b", "strong", False), ("i", "em", False), ("strike", "del", False),

@@ -215,9 +215,9 @@ def depth_tag(depth: Column) -> Column:
 
 def attr(tag: Column, name: str) -> Column:
     """Attribute value of an opening tag, null when the attribute is absent."""
-    pat = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    val = F.concat(*[F.regexp_extract(tag, pat, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(rf"(?is)\s{name}\s*="), unescape_xml(val))
+    raw = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    bare = F.when(raw.startswith('"') | raw.startswith("'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", F.when(raw.contains("&"), unescape_xml(bare)).otherwise(bare))
 
 
 def has_attr(tag: Column, name: str) -> Column:

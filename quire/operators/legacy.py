@@ -90,10 +90,10 @@ def page_tree(nodes: DataFrame) -> DataFrame:
     """(doc_id, page_ord, node, depth): pages in reading order.
 
     The tree is walked level by level, one join per level, until a level is empty. A
-    package without a root page lists all its nodes at depth 0.
+    package without a root page lists all its nodes at depth 0. Edges and levels are kept
+    (spilling to disk) between the joins; a lost block is computed again.
     """
-    inst = instances(nodes).persist()
-    flds = fields(nodes).persist()
+    inst, flds = instances(nodes), fields(nodes)
     node_pos = inst.filter(F.col("class") == NODE).select("doc_id", F.col("pos").alias("target"))
     packages = inst.filter(F.col("class") == fixed.CLASS_PACKAGE).groupBy("doc_id").agg(F.min("pos").alias("owner"))
     root = resolve(flds.filter("key = 'root'"), inst).join(packages, ["doc_id", "owner"]).join(node_pos, ["doc_id", "target"], "left_semi")

@@ -46,34 +46,29 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
 
     A repeated slug takes the next number. Only where a document also has a slug that ends
     in a number can such a name be taken already; those documents go through an ordered
-    fold over their own pages, the others through a row number.
+    fold over their own pages, the others through the count of the slug so far.
     """
-    w = page_window()
     n = (F.col("page_idx") + 1).cast("string")
     slug = T.blank_to(T.slug(T.blank_to(F.col("title"), F.concat(F.lit("pagina-"), n))), F.concat(F.lit("pagina-"), n))
-    p = pages.withColumn("slug", slug)
-    d = Window.partitionBy("doc_id", "slug").orderBy("page_idx")
-    rest = (F.col("page_idx") > 0).cast("int")
-    p = p.withColumn("_nth", F.sum(rest).over(upto(d)))
-    doc = Window.partitionBy("doc_id")
-    p = p.withColumn("_clash", (F.max("_nth").over(doc) > 1)
-                     & (F.max(F.col("slug").rlike(r"-\d+$").cast("int")).over(doc) == 1))
-    plain = F.when(F.col("_nth") > 1, F.concat(F.col("slug"), F.lit("-"), F.col("_nth").cast("string"))).otherwise(F.col("slug"))
+    d = Window.partitionBy("doc_id", "_slug").orderBy("page_idx")
+    nth = F.sum((F.col("page_idx") > 0).cast("int")).over(upto(d))
+    p = pages.withColumn("_slug", slug).withColumn("_nth", nth)
+    cols = [c for c in p.columns if c not in ("doc_id", "page_idx")]
+    g = p.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_idx", *cols))).alias("ps"),
+        ((F.max("_nth") > 1) & F.bool_or(F.col("_slug").rlike(r"-\d+$"))).alias("clash"))
 
     def place(used: Column, s: Column) -> Column:
         free = F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda k: ~F.array_contains(used, F.concat(s, F.lit("-"), k.cast("string"))))
         return F.when(F.array_contains(used, s), F.concat(s, F.lit("-"), F.get(free, F.lit(0)).cast("string"))).otherwise(s)
 
-    folded = (p.filter("_clash and page_idx > 0").groupBy("doc_id")
-              .agg(F.array_sort(F.collect_list(F.struct("page_idx", "slug"))).alias("ps"))
-              .withColumn("names", F.aggregate("ps", F.array().cast("array<string>"),
-                                               lambda used, x: F.concat(used, F.array(place(used, x["slug"])))))
-              .select("doc_id", F.explode(F.arrays_zip("ps", "names")).alias("z"))
-              .select("doc_id", F.col("z.ps.page_idx").alias("page_idx"), F.col("z.names").alias("_name")))
-    p = p.join(folded, ["doc_id", "page_idx"], "left")
-    href = F.when(F.col("page_idx") == 0, "index.html").otherwise(
-        F.concat(F.lit("html/"), F.coalesce("_name", plain), F.lit(".html")))
-    return p.withColumn("href", href).drop("slug", "_nth", "_clash", "_name")
+    fold = F.aggregate(F.filter("ps", lambda x: x["page_idx"] > 0), F.array().cast("array<string>"),
+                       lambda used, x: F.concat(used, F.array(place(used, x["_slug"]))))
+    g = g.withColumn("names", F.when(F.col("clash"), fold))
+    plain = lambda x: F.when(x["_nth"] > 1, F.concat(x["_slug"], F.lit("-"), x["_nth"].cast("string"))).otherwise(x["_slug"])
+    rows = F.transform("ps", lambda x: F.struct(x.alias("p"), F.when(x["page_idx"] == 0, "index.html").otherwise(
+        F.concat(F.lit("html/"), F.coalesce(F.get("names", x["page_idx"] - 1), plain(x)), F.lit(".html"))).alias("href")))
+    return g.select("doc_id", F.inline_outer(rows)).select("doc_id", "p.*", "href").drop("_slug", "_nth")
 
 
 def page_neighbours(pages: DataFrame) -> DataFrame:
@@ -87,18 +82,29 @@ def page_neighbours(pages: DataFrame) -> DataFrame:
 
 def nav_tree(pages: DataFrame) -> DataFrame:
     """Adds `path` (page indexes from the root, zero-padded: its order is the menu's order),
-    `depth` and `n_children`. Levels are bounded by 4, so three parent steps suffice."""
-    up = pages.select("doc_id", F.col("page_idx").alias("_i"), F.col("parent_idx").alias("_p"))
-    p = pages.withColumn("_a1", F.col("parent_idx"))
-    for k in (1, 2, 3):
-        step = up.select("doc_id", F.col("_i").alias(f"_a{k}"), F.col("_p").alias(f"_a{k + 1}"))
-        p = p.join(step, ["doc_id", f"_a{k}"], "left")
+    `depth` and `n_children`. Levels are bounded by 4, so three parent steps suffice.
+
+    The parents of one document are an array beside its pages and looked up by index;
+    children are counted on the same placement.
+    """
+    cols = [c for c in pages.columns if c != "doc_id"]
+    d = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", *[c for c in cols if c != "page_idx"]))).alias("ps"))
+    d = d.withColumn("up", F.transform("ps", lambda x: x["parent_idx"]))
     pad = lambda c: F.lpad(c.cast("string"), 6, "0")
-    p = p.withColumn("path", F.concat_ws("/", *[pad(F.col(c)) for c in ("_a3", "_a2", "_a1", "page_idx")]))
-    kids = pages.filter("parent_idx is not null").groupBy("doc_id", F.col("parent_idx").alias("page_idx")).agg(F.count("*").alias("n_children"))
-    p = p.join(kids, ["doc_id", "page_idx"], "left")
-    return (p.withColumn("depth", F.size(F.split("path", "/")) - 1)
-            .withColumn("n_children", F.coalesce("n_children", F.lit(0))).drop("_a1", "_a2", "_a3", "_a4"))
+
+    def placed(x: Column) -> Column:
+        a1 = x["parent_idx"]
+        a2 = F.get("up", a1)
+        a3 = F.get("up", a2)
+        path = F.concat_ws("/", pad(a3), pad(a2), pad(a1), pad(x["page_idx"]))
+        return F.struct(x.alias("p"), path.alias("path"))
+
+    p = d.select("doc_id", F.inline_outer(F.transform("ps", placed))).select("doc_id", "p.*", "path")
+    # every page counts once for itself and once, without its columns, for its parent
+    both = p.select("doc_id", F.struct(*cols, "path").alias("_p"), F.explode(F.array("page_idx", "parent_idx")).alias("k")).filter("k is not null")
+    own = F.col("k") == F.col("_p.page_idx")
+    g = both.groupBy("doc_id", "k").agg(F.max(F.when(own, F.col("_p"))).alias("p"), F.count_if(~own).alias("n_children"))
+    return g.select("doc_id", "p.*", (F.size(F.split("p.path", "/")) - 1).alias("depth"), "n_children")
 
 
 def page_titles(pages: DataFrame) -> Column:

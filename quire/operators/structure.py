@@ -151,8 +151,9 @@ def split_group_end(html: Column) -> Column:
 
 
 def contents(fl: DataFrame) -> DataFrame:
-    """(doc_id, h1_ord, h2_key, content, media, text_html): the serialised content of
-    every item, and under `h2_key` 0 what comes before the first item."""
+    """(doc_id, h1_ord, h2_key, content, media, text_html, text, option): the serialised
+    content of every item with the item's own text and option, and under `h2_key` 0 what
+    comes before the first item."""
     f = with_heading_media(fl)
     e = f.filter("real or level is null")
     head = F.concat(F.col("media"), T.blank_to(F.col("text_html"), T.escape_xml(F.col("text"))))
@@ -160,9 +161,11 @@ def contents(fl: DataFrame) -> DataFrame:
              .when(F.col("level").isin(3, 4), F.concat(F.lit("<h"), F.col("level").cast("string"), F.lit(">"), head,
                                                        F.lit("</h"), F.col("level").cast("string"), F.lit(">"))).otherwise(""))
     lead = F.col("real") & (F.col("level") <= 2)
-    return (e.withColumn("piece", piece).groupBy("doc_id", "h1_ord", "h2_key")
+    own = F.when(F.col("real") & (F.col("level") == 2), F.coalesce(H.tag_value(F.col("open_tag"), 2), F.lit("html")))
+    return (e.withColumn("piece", piece).withColumn("own_option", own).groupBy("doc_id", "h1_ord", "h2_key")
             .agg(F.expr("listagg(piece, '') within group (order by pos)").alias("content"),
-                 F.max(F.when(lead, F.col("media"))).alias("media"), F.max(F.when(lead, F.col("text_html"))).alias("text_html"))
+                 F.max(F.when(lead, F.col("media"))).alias("media"), F.max(F.when(lead, F.col("text_html"))).alias("text_html"),
+                 F.max(F.when(lead, F.col("text"))).alias("text"), F.max("own_option").alias("option"))
             .withColumn("media", F.coalesce("media", F.lit(""))).withColumn("text_html", F.coalesce("text_html", F.lit(""))))
 
 
@@ -172,12 +175,16 @@ def h2_content(fl: DataFrame, items: DataFrame) -> DataFrame:
             .withColumn("content", F.coalesce("content", F.lit(""))))
 
 
-def item_chunks(fl: DataFrame, items: DataFrame) -> DataFrame:
+def item_chunks(fl: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """One row per stretch of a section: its own lead-in (`h2_ord` 0) and every item, with
-    the block and panel group it falls into and the HTML it contributes."""
+    the block and panel group it falls into and the HTML it contributes.
+
+    `items` brings options other than the document's own (remembered ones, for instance).
+    """
     c = contents(fl).withColumnRenamed("h2_key", "h2_ord")
     w = Window.partitionBy("doc_id", "h1_ord").orderBy("h2_ord")
-    i = c.join(items.select("doc_id", "h1_ord", "h2_ord", "text", "option"), ["doc_id", "h1_ord", "h2_ord"], "left")
+    i = c if items is None else c.drop("option").join(
+        items.select("doc_id", "h1_ord", "h2_ord", "option"), ["doc_id", "h1_ord", "h2_ord"], "left")
     i = i.withColumn("panel", F.coalesce(F.col("option").isin("accordion", "tabs"), F.lit(False)))
     halves = split_group_end(F.col("content"))
     body = F.when(F.col("panel"), halves["body"]).otherwise(strip_group_end(F.col("content")))
@@ -247,7 +254,7 @@ def build(docs: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, blocks) of the structured route, from converted elements."""
     fl = flow(elements)
     pgs = pages(sections(fl, docs))
-    return pgs, blocks(pgs, option_blocks(item_chunks(fl, section_items(fl))))
+    return pgs, blocks(pgs, option_blocks(item_chunks(fl)))
 
 
 # --- structure choices ----------------------------------------------------------------

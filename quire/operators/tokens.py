@@ -34,11 +34,13 @@ def by_doc(docs: DataFrame, placed: bool = False) -> DataFrame:
 
 
 def clean_markup(html: Column) -> Column:
-    """Drop comments, the head and the raw text of script and style elements."""
+    """Drop comments, the head, the document's own tags and the raw text of script and
+    style elements."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?is)<head\b[^>]*>.*?</head>", "")
     c = F.regexp_replace(c, r"(?is)(<script\b[^>]*>).*?(</script>)", "$1$2")
-    return F.regexp_replace(c, r"(?is)(<style\b[^>]*>).*?(</style>)", "$1$2")
+    c = F.regexp_replace(c, r"(?is)(<style\b[^>]*>).*?(</style>)", "$1$2")
+    return F.regexp_replace(c, r"(?i)</?(?:html|body|!doctype)\b[^>]*>", "")
 
 
 def classify(tok: Column) -> tuple[Column, Column]:
@@ -59,8 +61,7 @@ def tokens(docs: DataFrame, placed: bool = False) -> DataFrame:
     # generator, which computes the array twice
     out = base.select("doc_id", F.posexplode_outer(toks).alias("pos", "tok")).filter("tok is not null")
     kind, tag = classify(F.col("tok"))
-    out = out.select("doc_id", "pos", "tok", kind.alias("kind"), tag.alias("tag"))
-    return out.filter(F.col("tag").isNull() | ~F.col("tag").isin(fixed.TRANSPARENT_TAGS))
+    return out.select("doc_id", "pos", "tok", kind.alias("kind"), tag.alias("tag"))
 
 
 def with_code(toks: DataFrame) -> DataFrame:

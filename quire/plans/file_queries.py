@@ -204,7 +204,7 @@ PKG = C.with_sql(PKG_SQL)
 
 
 def nodes(spark, sf):
-    return E.xml_nodes(packages(spark, sf), placed=True)
+    return E.xml_nodes(packages(spark, sf), placed=True).persist()
 
 
 @query("legacy_page_tree", PKG + "select doc_id, page_ord, depth, title from pg")

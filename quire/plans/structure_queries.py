@@ -48,14 +48,14 @@ def src_html_docs(spark, sf):
     return C.page_docs(spark, sf).select("doc_id", F.col("url").alias("filename"), F.length("html").cast("bigint").alias("n_chars"))
 
 
-TOK_SQL = r"""with body as (select page_id as doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
-    '<head\b[^>]*>.*?</head>', '', 'gis'), '(<script\b[^>]*>).*?(</script>)', '\1\2', 'gis'), '(<style\b[^>]*>).*?(</style>)', '\1\2', 'gis') as html from pages),
+TOK_SQL = r"""with body as (select page_id as doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
+    '<head\b[^>]*>.*?</head>', '', 'gis'), '(<script\b[^>]*>).*?(</script>)', '\1\2', 'gis'), '(<style\b[^>]*>).*?(</style>)', '\1\2', 'gis'), '</?(html|body|!doctype)\b[^>]*>', '', 'gi') as html from pages),
 tk0 as (select doc_id, unnest(regexp_extract_all(html, '<[^>]+>|\[[^\[\]<>]*\]|[^<\[]+|[<\[]')) as tok,
   generate_subscripts(regexp_extract_all(html, '<[^>]+>|\[[^\[\]<>]*\]|[^<\[]+|[<\[]'), 1) - 1 as pos from body),
 tk1 as (select *, nullif(lower(regexp_extract(tok, '^</?([a-zA-Z!][a-zA-Z0-9:!-]*)', 1)), '') as tag from tk0),
 tk as (select *, case when tag is null then case when regexp_matches(tok, '^\[.*\]$') then 'bracket' else 'text' end when tok like '</%' then 'close'
    when tag in ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') or tok like '%/>' then 'void' else 'open' end as kind
-  from tk1 where tag is null or tag not in ('html', 'body', '!doctype'))"""
+  from tk1)"""
 
 CONTAINERS = "('div','article','section','nav','aside','header','footer','main','figure','ul','ol','dl','table','blockquote','pre','form','details','h1','h2','h3','h4','h5','h6','video','audio','object','iframe')"
 PAGE_EL_SQL = TOK_SQL + f""",
@@ -127,7 +127,7 @@ def page_parent(spark, sf):
 @query("h2_option_blocks", HS + "select doc_id, h1_ord, block_idx, title, html from blocks_out")
 def h2_option_blocks(spark, sf):
     fl = flow(spark, sf)
-    return R.option_blocks(R.item_chunks(fl, R.section_items(fl)))
+    return R.option_blocks(R.item_chunks(fl))
 
 
 @query("panel_groups", HS + """select doc_id, h1_ord, group_id, min(option) as option, count(*) as panels, min(h2_ord) as first_h2,

@@ -22,6 +22,20 @@ def local_session(cpus: str | int = "8", name: str = "quire") -> SparkSession:
     return spark
 
 
+# Joins within a document carry its id among their keys, and every side is placed by it:
+# with the first setting off they run on that placement instead of shuffling by all keys.
+# The second keeps a union of placed sides from claiming their placement: adaptive
+# execution may coalesce the sides differently afterwards.
+PLAN_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false",
+                 "spark.sql.unionOutputPartitioning": "false"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in PLAN_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,11 +20,13 @@ from .. import fixed
 ENTRY = "path string, entry string, entry_ord int, content binary"
 
 
-def _reader(wanted: str | None):
+def _reader(wanted: str | None, flush_bytes: int = 8 << 20):
     pattern = re.compile(wanted) if wanted else None
 
     def read(batches):
         import pandas as pd
+        names = ["path", "entry", "entry_ord", "content"]
+        rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
@@ -39,8 +41,14 @@ def _reader(wanted: str | None):
                             data = z.read(info)
                         except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
                             continue  # a damaged entry is an absent one
-                        # one entry per batch: memory stays at one entry, not one archive
-                        yield pd.DataFrame({"path": [path], "entry": [info.filename], "entry_ord": [n], "content": [data]})
+                        rows.append((path, info.filename, n, data))
+                        held += len(data)
+                        # what is held is a few megabytes, never a whole archive
+                        if held >= flush_bytes or len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
     return read
 
 
