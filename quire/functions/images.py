@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .text import let
 
 DATA_URL = r"data:image/([a-zA-Z0-9+.-]+);base64,([A-Za-z0-9+/=]+)"
 
@@ -48,7 +49,10 @@ def _jpeg(content: Column) -> Column:
     0xFF bytes bounds the steps.
     """
     # ".FF.D8.." keeps byte borders visible, so a search never straddles two bytes
-    hx = F.regexp_replace(F.hex(F.substring(content, 1, 65536)), "(..)", ".$1")
+    return let(F.regexp_replace(F.hex(F.substring(content, 1, 65536)), "(..)", ".$1"), _jpeg_frame)
+
+
+def _jpeg_frame(hx: Column) -> Column:
     n = F.length(hx) / 3
 
     def byte(off: Column, k: int) -> Column:
@@ -84,6 +88,10 @@ def _jpeg(content: Column) -> Column:
 
 def image_size(content: Column, kind: Column) -> Column:
     """struct(width, height) from the header bytes, null when they say nothing."""
+    return let(F.struct(content.alias("c"), kind.alias("k")), lambda x: _image_size(x["c"], x["k"]))
+
+
+def _image_size(content: Column, kind: Column) -> Column:
     def size(w: Column, h: Column) -> Column:
         return F.struct(w.alias("width"), h.alias("height"))
     n = F.length(content)
@@ -96,8 +104,7 @@ def image_size(content: Column, kind: Column) -> Column:
 
 
 def data_url_size(url: Column) -> Column:
-    kind = word_image_ext(data_url_subtype(url))
-    return image_size(data_url_bytes(url), kind)
+    return let(url, lambda u: image_size(data_url_bytes(u), word_image_ext(data_url_subtype(u))))
 
 
 def half_up(x: Column) -> Column:

@@ -20,6 +20,12 @@ def swap(c: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once, however often `fn` reads it. Keeps plans small
+    and expensive values out of inner loops."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def escape_text(c: Column) -> Column:
     return swap(c, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
@@ -113,18 +119,13 @@ def untagged(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(c, _TAG, " "), _NBSP, " "))
 
 
-def _with(value: Column, fn) -> Column:
-    """fn(value) with `value` computed once."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def context_after(after: Column, limit: int = 60) -> Column:
-    return _with(untagged(F.substring(after, 1, 400)), lambda t: F.when(
+    return let(untagged(F.substring(after, 1, 400)), lambda t: F.when(
         F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))).otherwise(t))
 
 
 def context_before(before: Column, limit: int = 60) -> Column:
-    return _with(untagged(F.right(before, F.lit(400))), lambda t: F.when(
+    return let(untagged(F.right(before, F.lit(400))), lambda t: F.when(
         F.length(t) > limit, F.concat(F.lit("…"), F.ltrim(F.right(t, F.lit(limit))))).otherwise(t))
 
 
@@ -216,8 +217,9 @@ def depth_tag(depth: Column) -> Column:
 def attr(tag: Column, name: str) -> Column:
     """Attribute value of an opening tag, null when the attribute is absent."""
     raw = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    bare = F.when(raw.startswith('"') | raw.startswith("'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", F.when(raw.contains("&"), unescape_xml(bare)).otherwise(bare))
+    def bare(r: Column) -> Column:
+        return F.when(r.startswith('"') | r.startswith("'"), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r)
+    return let(raw, lambda r: F.when(r != "", F.when(r.contains("&"), let(bare(r), unescape_xml)).otherwise(bare(r))))
 
 
 def has_attr(tag: Column, name: str) -> Column:
