@@ -76,14 +76,16 @@ class Encoder:
         odd = {i for i, t in enumerate(texts) if t and not t.isascii() and ("\u0130" in t or not unicodedata.is_normalized("NFC", t))}
         odd.update(np.flatnonzero(pc.match_substring_regex(column.fill_null(""), SEPARATORS).to_numpy(zero_copy_only=False)).tolist())
         plain = pa.array(["" if i in odd or t is None else t for i, t in enumerate(texts)], pa.large_string())
-        words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        words = pc.ascii_split_whitespace(pc.utf8_lower(plain))
         coded = words.flatten().dictionary_encode()
         names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > WORDS_KEPT:
             self.known = {"": b""}
-        if new := [w for w in names if w not in self.known]:
-            self.learn(new)
-        parts = [self.known[w] for w in names]
+        parts = list(map(self.known.get, names))
+        if new := [i for i, p in enumerate(parts) if p is None]:
+            self.learn([names[i] for i in new])
+            for i in new:
+                parts[i] = self.known[names[i]]
         size = np.array([len(p) // 4 for p in parts], dtype=np.int64)
         flat, first, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(size) - size, size[index]
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -212,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         enc, packer = encoder(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 32)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1)
-            sizes = texts.cast(pa.binary()).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if b.num_rows else []
+            sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) if b.num_rows else []
             at = 0
             while at < b.num_rows:
                 end, held = at + 1, sizes[at]
