@@ -58,9 +58,9 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_columns(df: DataFrame, made: list[tuple[str, str]], fn, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def map_columns(df: DataFrame, made: list[tuple[str, str]], fn, keep: list[str] | None = None, need: list[str] | None = None) -> DataFrame:
     """Adds columns that `fn(batch) -> list of arrays` makes from each Arrow batch. An input column of the same name is replaced.
-    keep: the input columns that stay (all)."""
+    keep: the input columns that stay (all); need: those that fn reads besides."""
     names = [n for n, _ in made]
     stay = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     schema = T.StructType(stay + [T.StructField(n, T._parse_datatype_string(t)) for n, t in made])
@@ -71,5 +71,5 @@ def map_columns(df: DataFrame, made: list[tuple[str, str]], fn, text: str = "tex
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in kept] + list(fn(b)), names=kept + names)
 
-    need = list(dict.fromkeys(kept + ([text] if text in df.columns else [])))
-    return df.select(*[F.col(f"`{n}`") for n in need]).mapInArrow(run, schema)
+    read = list(dict.fromkeys([*kept, *(["text"] if need is None else need)]))
+    return df.select(*[F.col(f"`{n}`") for n in read]).mapInArrow(run, schema)

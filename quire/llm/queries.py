@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, langid, packing
+from . import chat, langid, linededup, packing
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,28 @@ def langid_cross_parsing(spark, sf_dir):
     held_out = fold(F.col("doc_id"), 4) == 2
     samples = langid.learn(docs, held_out)
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
+
+
+LINES_SQL = """
+with l as (
+    select doc_id, i, line,
+        translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i
+          from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))
+), hot as (
+    select key, max(doc_id) as last_doc from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), marked as (
+    select l.*, hot.key is not null and l.doc_id <> hot.last_doc as gone from l left join hot using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+@query("op10_line_dedup_cuckoo", LINES_SQL)
+def line_dedup_cuckoo(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.apply(docs, linededup.build(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
