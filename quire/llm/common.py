@@ -37,20 +37,12 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, limit: int, max_bytes: int) -> list:
-    """(text, label) rows to fit on: at most `limit` labelled documents outside the held-out fold in the order of a hash of
-    their ids, and of those as many whole texts as `max_bytes` holds. Rows without id, text or label are no examples."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    rows = (docs.where(F.col("text").isNotNull() & ~held_out).select("doc_id", "text")
-            .join(known, "doc_id").select(F.xxhash64("doc_id").alias("_order"), F.octet_length("text").alias("_bytes"), "text", "_label"))
-    small = rows.where(F.col("_bytes") <= max_bytes // 8).orderBy("_order", "text").limit(limit)
-    out, used = [], 0
-    for r in small.toLocalIterator():
-        used += r["_bytes"]
-        if used > max_bytes:
-            break
-        out.append((r["text"], int(r["_label"])))
-    return out
+def learning_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, limit: int) -> DataFrame:
+    """The rows of docs to fit on, with their 0/1 label as _label and a fixed order as _order: at most `limit` labelled ids outside
+    the held-out fold, in the order of a hash. The ids are that bounded list, so the documents are not shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).select("*", F.xxhash64("doc_id").alias("_order"))
+    return docs.join(F.broadcast(known.orderBy("_order", "doc_id").limit(limit)), "doc_id")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, langid, linededup, packing
-from .common import fold
+from . import chat, decontam, langid, linededup, packing, rules, toxicity
+from .common import fold, learning_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -112,3 +112,57 @@ def line_dedup_cuckoo(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply(docs, linededup.build(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+DECONTAM_SQL = """
+with lowered as (
+    select 'd' as kind, cast(doc_id as varchar) as id, doc_id, coalesce(text, '') as text from documents
+    union all select 'i', cast(item_id as varchar), null, coalesce(text, '') from benchmark
+), w as (
+    select *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from lowered
+), i as (
+    select id as item, words, least(13, len(words)) as width from w where kind = 'i' and len(words) > 0
+), wins as (
+    select distinct item, width, array_to_string(words[s:s + width - 1], ' ') as gram
+    from (select *, unnest(range(1, len(words) - width + 2)) as s from i)
+), widths as (select distinct width from wins),
+p as (select doc_id, words, unnest(range(1, len(words) + 1)) as s from w where kind = 'd'),
+hits as (
+    select distinct p.doc_id, p.s, wins.width, wins.item
+    from p join widths on p.s + widths.width - 1 <= len(p.words)
+        join wins on wins.width = widths.width and wins.gram = array_to_string(p.words[p.s:p.s + widths.width - 1], ' ')
+), n as (
+    select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(s, s + width)) as place from hits) group by doc_id
+), o as (
+    select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by doc_id
+)
+select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from w left join n using (doc_id) left join o using (doc_id) where kind = 'd'
+"""
+
+
+@query("op9_decontamination_prefix_join", DECONTAM_SQL)
+def decontamination_prefix_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def scored(spark, sf_dir, operator, label: str, parts: int, held_out: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = learning_sample(docs, table(spark, sf_dir, "labels"), label, parts, held_out, operator.SAMPLE)
+    out = operator.score(docs, operator.fit(sample))
+    return out.select("doc_id", (fold(F.col("doc_id"), parts) == held_out).alias("held_out"), "score", "predicted")
+
+
+@query("op4_quality_rule_ensemble")
+def quality_rule_ensemble(spark, sf_dir):
+    return scored(spark, sf_dir, rules, "quality", 3, 1)
+
+
+@query("op5_toxicity_counterfactual")
+def toxicity_counterfactual(spark, sf_dir):
+    return scored(spark, sf_dir, toxicity, "toxic", 5, 0)
