@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import map_columns
 
 SAMPLE, LEARN_BYTES = 6_000, 16_384
-FEATURES, LEAST_DOCS = 2_048, 3
+#: of the words and beginnings in so many texts, those whose share in toxic texts is higher by so many standard errors, the strongest first
+LEAST_DOCS, STRENGTH, FEATURES = 3, 4.0, 2_048
 STEMS = (4, 5, 6, 7, 8)
-RIDGE, SWAP, STEPS = 1e-3, 5.0, 300
+RIDGE, SWAP, STEPS = 3e-4, 5.0, 1_000
 WORDS_KEPT = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,10 +99,10 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
     def strength(f: str) -> float:
         a, b = seen[0][f] / n[0], seen[1][f] / n[1]
         p = (seen[0][f] + seen[1][f]) / n.sum()
-        return abs(a - b) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-9)
+        return (b - a) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-9)
 
-    usual = [f for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= LEAST_DOCS]
-    names = sorted(usual, key=lambda f: (-strength(f), f))[:FEATURES]
+    usual = {f: strength(f) for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= LEAST_DOCS}
+    names = sorted((f for f, s in usual.items() if s >= STRENGTH), key=lambda f: (-usual[f], f))[:FEATURES]
     at = {f: i for i, f in enumerate(names)}
 
     def rows(bags: list[Counter]) -> np.ndarray:
