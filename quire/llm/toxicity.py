@@ -25,7 +25,7 @@ SAMPLE, LEARN_BYTES = 6_000, 16_384
 #: of the words and beginnings in so many texts, those whose share in toxic texts is higher by so many standard errors, the strongest first
 LEAST_DOCS, STRENGTH, FEATURES = 3, 4.0, 2_048
 STEMS = (4, 5, 6, 7, 8)
-RIDGE, SWAP, STEPS = 3e-4, 5.0, 1_000
+RIDGE, SWAP, STEPS = 5e-4, 5.0, 1_000
 WORDS_KEPT = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -118,6 +118,8 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
     mentions = [(i, words_of(t)) for i, t in enumerate(texts)]
     mentions = [(i, w) for i, w in mentions if not to.keys().isdisjoint(w)]
     change = x[[i for i, _ in mentions]] - rows([counts({to.get(w, w) for w in ws}) for _, ws in mentions])
+    scale = np.sqrt((x ** 2).mean(0))  # rare words move as fast as frequent ones
+    x, change = x / scale, change / scale
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 0
     top = np.linalg.norm(x, 2) ** 2 / (4 * len(y)) + RIDGE
@@ -131,6 +133,7 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
             pull += 2 * swap * change.T @ (change @ v) / len(change)
         new, later = v - pull / top, (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, v, t = new, new + (t - 1) / later * (new - w), later
+    w = w / scale
     return ToxicityModel(float(w[-1]), tuple(zip(names, w[:-1].tolist(), strict=True)))
 
 
