@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, decontam, langid, linededup, packing, rules, toxicity
+from . import chat, decontam, langid, linededup, neardup, packing, rules, toxicity
 from .common import fold, learning_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,31 @@ def quality_rule_ensemble(spark, sf_dir):
 @query("op5_toxicity_counterfactual")
 def toxicity_counterfactual(spark, sf_dir):
     return scored(spark, sf_dir, toxicity, "toxic", 5, 0)
+
+
+NEAR_SQL = """
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') as words from documents
+), s as (
+    select distinct doc_id, array_to_string(words[i:i + 3], ' ') as shingle
+    from (select *, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+usual as (select shingle from s group by shingle having count(*) > 1),
+few as (select s.* from s join usual using (shingle)),
+links as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared from few a join few b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), kept_links as (
+    select a, b from links join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)
+), reach as (
+    select a, b from kept_links union select reach.a, kept_links.b from reach join kept_links on reach.b = kept_links.a
+), least as (select a as doc_id, min(b) as other from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id,
+    doc_id = least(doc_id, coalesce(other, doc_id)) as kept
+from w left join n using (doc_id) left join least using (doc_id)
+"""
+
+
+@query("op7_neardup_setsketch", NEAR_SQL)
+def neardup_setsketch(spark, sf_dir):
+    return neardup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
