@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
-SAMPLE, LEARN_BYTES = 6_000, 16_384
+SAMPLE, LEARN_BYTES = 5_000, 16_384
 #: of the words and beginnings in so many texts, those whose share in toxic texts is higher by so many standard errors, the strongest first
-LEAST_DOCS, STRENGTH, FEATURES = 3, 4.0, 2_048
+LEAST_DOCS, STRENGTH, FEATURES = 3, 4.0, 1_024
 STEMS = (4, 5, 6, 7, 8)
 RIDGE, SWAP, STEPS = 5e-4, 5.0, 1_000
 WORDS_KEPT = 400_000
@@ -90,34 +90,34 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel(float(np.log(share / (1 - share))), ())
-    bags = [counts(words_of(t)) for t in texts]
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        seen[int(label)].update(bag.keys())
+    bags = [words_of(t) for t in texts]
+    # only what toxic texts hold can speak for toxicity, so only that is counted
+    toxic = Counter(f for bag, label in zip(bags, y, strict=True) if label for f in counts(bag))
+    toxic = {f: c for f, c in toxic.items() if c >= LEAST_DOCS}
+    clean = Counter(f for bag, label in zip(bags, y, strict=True) if not label for f in counts(bag) if f in toxic)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
 
     def strength(f: str) -> float:
-        a, b = seen[0][f] / n[0], seen[1][f] / n[1]
-        p = (seen[0][f] + seen[1][f]) / n.sum()
+        a, b = clean[f] / n[0], toxic[f] / n[1]
+        p = (clean[f] + toxic[f]) / n.sum()
         return (b - a) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-9)
 
-    usual = {f: strength(f) for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= LEAST_DOCS}
+    usual = {f: strength(f) for f in toxic}
     names = sorted((f for f, s in usual.items() if s >= STRENGTH), key=lambda f: (-usual[f], f))[:FEATURES]
     at = {f: i for i, f in enumerate(names)}
 
-    def rows(bags: list[Counter]) -> np.ndarray:
+    def rows(bags: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(bags), len(names) + 1))
         out[:, -1] = 1
         for i, bag in enumerate(bags):
-            for f, c in bag.items():
+            for f, c in counts(bag).items():
                 if f in at:
                     out[i, at[f]] = c
         return out
 
     x, to = rows(bags), swaps()
-    mentions = [(i, words_of(t)) for i, t in enumerate(texts)]
-    mentions = [(i, w) for i, w in mentions if not to.keys().isdisjoint(w)]
-    change = x[[i for i, _ in mentions]] - rows([counts({to.get(w, w) for w in ws}) for _, ws in mentions])
+    mentions = [i for i, bag in enumerate(bags) if not to.keys().isdisjoint(bag)]
+    change = x[mentions] - rows([{to.get(w, w) for w in bags[i]} for i in mentions])
     scale = np.sqrt((x ** 2).mean(0))  # rare words move as fast as frequent ones
     x, change = x / scale, change / scale
     ridge = np.full(x.shape[1], RIDGE)
