@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, decontam, langid, linededup, neardup, packing, rules, toxicity
+from . import chat, decontam, langid, linededup, neardup, packing, rules, toxicity, vafile
 from .common import fold, learning_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,20 @@ from w left join n using (doc_id) left join least using (doc_id)
 @query("op7_neardup_setsketch", NEAR_SQL)
 def neardup_setsketch(spark, sf_dir):
     return neardup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+TOP_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op3_topk_va_file", TOP_SQL)
+def topk_va_file(spark, sf_dir):
+    return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0, k=5)
