@@ -36,6 +36,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 MARGIN = 4.5
 BLOCK = 256
+#: a list of at most so many ids (16 MB) is broadcast; a longer one is shuffled
+BROADCAST_IDS = 1 << 20
 _mix = np.random.default_rng(20_240_607)
 FACTORS = (_mix.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 SALTS = _mix.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -157,6 +159,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             held = [shingles(t, width).tobytes() for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["doc", "held"])
 
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi")
     return rows.mapInArrow(run, "doc long, held binary")
 
@@ -205,45 +210,65 @@ def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
-def left_pairs(buckets: DataFrame, comps: DataFrame, hubs: DataFrame, overlaps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and may still be linked."""
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """sets(doc, held) -> doc, own: how many shingles of a document no other of these documents has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.frombuffer(h, "<i8") for h in b.column(1).to_pylist()]
+            for at in range(0, len(held), 1024):
+                docs = b.column(0).slice(at, 1024).take(pa.array(np.repeat(np.arange(len(held[at:at + 1024])), [len(h) for h in held[at:at + 1024]])))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(np.concatenate(held[at:at + 1024]))], names=["doc", "shingle"])
+
+    each = sets.select("doc", "held").mapInArrow(run, "doc long, shingle long")
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")).where("n = 1")
+    return single.groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+
+
+def left_pairs(buckets: DataFrame, comps: DataFrame, hubs: DataFrame, overlaps: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that share a bucket and may still be linked. Two documents share at most what both
+    share with the hub, and of the rest what each shares with any other document. A pair is judged in its first bucket alone."""
     members = with_component(buckets.select("band", "place", "doc"), comps)
     by_comp = members.groupBy("band", "place", "comp").agg(F.count(F.lit(1)).alias("n"))
     bucket = by_comp.groupBy("band", "place").agg(F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     bucket = bucket.where("n_comps > 1 and size > 2")
+    active = stored(members.join(bucket, ["band", "place"]).join(hubs, ["band", "place"]), "active")
+    own = own_shingles(sets.join(active.select("doc").distinct(), "doc", "left_semi"))
     near_hub = overlaps.select(F.col("a").alias("doc"), F.col("b").alias("hub"), "both")
-    rows = members.join(bucket, ["band", "place"]).join(hubs, ["band", "place"]).join(near_hub, ["doc", "hub"], "left")
-    rows = rows.join(reps.select("doc", F.col("n_shingles").alias("n"), "registers"), "doc")
+    facts = reps.select("doc", F.col("n_shingles").alias("n"), "registers").join(own, "doc", "left")
+    rows = active.join(near_hub, ["doc", "hub"], "left").join(facts, "doc")
     rows = rows.withColumn("both", F.when(F.col("doc") == F.col("hub"), F.col("n")).otherwise(F.coalesce("both", "n")))
+    rows = rows.withColumn("rest", F.greatest(F.col("n") - F.col("both") - F.coalesce("own", F.lit(0)), F.lit(0)))
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
-    held = F.struct("doc", "comp", "n", "both", "registers")
+    held = F.struct("doc", "comp", "n", "both", "rest", "registers")
     sides = rows.groupBy("band", "place", "blocks", "block").agg(
         F.collect_list(held).alias("rows"), F.collect_list(F.when(F.col("comp") != F.col("main"), held)).alias("outer"))
     outer = sides.where(F.size("outer") > 0).select("band", "place", F.col("outer").alias("left"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    pairs = outer.join(sides.select("band", "place", "block", F.col("rows").alias("right")), ["band", "place", "block"]).select("left", "right")
+    pairs = outer.join(sides.select("band", "place", "block", F.col("rows").alias("right")), ["band", "place", "block"]).select("left", "right", "band")
 
     def unpack(column: pa.ListArray) -> Iterator[tuple]:
         ends, flat = column.offsets.to_numpy(), column.values
-        fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        registers = np.frombuffer(b"".join(flat.field(4).to_pylist()), "<u2").reshape(-1, REGISTERS)
+        fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        registers = np.frombuffer(b"".join(flat.field(5).to_pylist()), "<u2").reshape(-1, REGISTERS)
         for a, b in zip(ends, ends[1:], strict=False):
             yield (*(f[a:b] for f in fields), registers[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(unpack(batch.column(0)), unpack(batch.column(1)), strict=True):
-                (da, ca, na, oa, ra), (db, cb, nb, ob, rb) = x, y
-                most = np.minimum(oa[:, None], ob) + np.minimum((na - oa)[:, None], nb - ob)
+            for x, y, band in zip(unpack(batch.column(0)), unpack(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                (da, ca, na, oa, sa, ra), (db, cb, nb, ob, sb, rb) = x, y
+                most = np.minimum(oa[:, None], ob) + np.minimum(sa[:, None], sb)
                 most = np.minimum(most, np.minimum(na[:, None], nb))
                 i, j = np.nonzero((ca[:, None] != cb) & (100 * most >= percent * (na[:, None] + nb - most)))
-                if len(i):
-                    sure = np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-                    stay = np.concatenate([estimate(ra[i[s:s + 4096]], rb[j[s:s + 4096]], na[i[s:s + 4096]], nb[j[s:s + 4096]])
-                                           for s in range(0, len(i), 4096)]) >= percent / 100 - MARGIN * sure
-                    i, j = i[stay], j[stay]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[i], db[j])), pa.array(np.maximum(da[i], db[j]))], names=["a", "b"])
-
+                for s in range(0, len(i), 4096):
+                    p, q = i[s:s + 4096], j[s:s + 4096]
+                    same = (ra[p] == rb[q]).reshape(-1, BANDS, ROWS).all(-1)
+                    near = estimate(ra[p], rb[q], na[p], nb[q]) >= percent / 100 - MARGIN * sure
+                    stay = near & (same.argmax(1) == band)
+                    p, q = p[stay], q[stay]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da[p], db[q])), pa.array(np.maximum(da[p], db[q]))], names=["a", "b"])
+
+    sure = float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -262,7 +287,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     overlaps = stored(confirm(starred.distinct(), sets), "overlaps")
     links = overlaps.where(linked(percent)).select("a", "b")
     comps = components(links)
-    more = stored(confirm(left_pairs(buckets, comps, hubs, overlaps, reps, percent), sets).where(linked(percent)).select("a", "b"), "more-links")
+    more = stored(confirm(left_pairs(buckets, comps, hubs, overlaps, reps, sets, percent), sets).where(linked(percent)).select("a", "b"), "more-links")
     if not more.isEmpty():
         comps = components(comps.select(F.col("doc").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
