@@ -103,8 +103,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     by_doc = aligned.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "offset", "width", "words")).alias("_aligned"))
 
     stay = [c for c in docs.columns if c not in OUTPUT]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), *key_columns(), words_of(F.col("text")).alias("own"))
-    rows = rows.join(by_doc, ["k1", "k2"], "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), *key_columns())
+    rows = rows.join(by_doc, ["k1", "k2"], "left").select("row", words_of(F.col("row.text")).alias("own"), "_aligned")
     hits = F.transform("_aligned", lambda c: F.struct(c["item"].alias("item"), runs(F.col("own"), c["words"], c["offset"], c["width"]).alias("runs")))
     rows = rows.select("row", F.size("own").cast("long").alias("n_words"), F.when(F.col("_aligned").isNotNull(), hits).alias("hits"))
     hit = F.filter("hits", lambda h: F.size(h["runs"]) > 0)

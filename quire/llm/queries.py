@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, decontam, langid, linededup, neardup, packing, rules, toxicity, vafile
+from . import chat, decontam, langid, linededup, neardup, packing, rules, secrets, toxicity, vafile
 from .common import fold, learning_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,8 +198,8 @@ def neardup_setsketch(spark, sf_dir):
 
 TOP_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
     select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
     from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
@@ -211,3 +211,22 @@ select query_id, rank, vec_id, score from r where rank <= 5
 @query("op3_topk_va_file", TOP_SQL)
 def topk_va_file(spark, sf_dir):
     return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0, k=5)
+
+
+def span_text(spans) -> "F.Column":
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op2_secret_scan_crf")
+def secret_scan_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.learn(docs))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
