@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quire.plans.registry import CHECKS, QUERIES
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -9,7 +10,7 @@ SAMPLE = ["issue_counts", "marker_normalize", "parse_structure", "default_fill",
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry_has_rows(spark):
