@@ -208,7 +208,7 @@ M = "((doc_id + {i} * 5 + length({t})) % 9)"
 
 def structured_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs(doc_id, source, lang, filename, html) rich in headings."""
-    t = "substr(trim(t), 1, 30)"
+    t = "trim(t)"
     lines = f"transform(split(text, '\\n'), (t, i) -> {structured_case(t, 'i', M.format(t='trim(t)', i='i'))})"
     return placed(spark, sf_dir).select(
         "doc_id", "source", "lang", F.expr("'doc-' || cast(doc_id as string) || '.docx'").alias("filename"),
@@ -221,7 +221,7 @@ hs_el as (
     (case m when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 2 when 4 then 3 when 8 then 5 end)::INT as level,
     (case when m = 0 then nullif((doc_id + line_no) % 4, 0) end)::INT as word_level,
     case when m in (1, 2, 3) then case (doc_id + line_no) % 4 when 1 then 'idevice-title' when 2 then 'accordion' when 3 then 'tabs' end end as word_option
-  from (select *, {structured_case('substr(txt, 1, 30)', 'line_no', 'm')} as html from (select *, {M.format(t='txt', i='line_no')} as m from lines))
+  from (select *, {structured_case("txt", 'line_no', 'm')} as html from (select *, {M.format(t='txt', i='line_no')} as m from lines))
 ),
 hs as (
   select *, (level is not null and text <> '') as is_real,

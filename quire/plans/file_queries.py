@@ -97,9 +97,9 @@ def docx_image_sizes(spark, sf):
     return D.image_sizes(word_xml(spark, sf))
 
 
-@query("docx_core_props", f"""select doc_id as doc, {C.collapse("substr(text, 1, 40)")} as title, case when doc_id % 3 <> 0 then source end as author, case when doc_id % 4 = 0 then 'a b & <é>' end as description from documents""")
+@query("docx_core_props", f"""select doc_id as doc, {C.collapse("text")} as title, case when doc_id % 3 <> 0 then source end as author, case when doc_id % 4 = 0 then 'a b & <é>' end as description from documents""")
 def docx_core_props(spark, sf):
-    x = F.expr("'<cp:coreProperties><dc:title xml:lang=\"es\"> ' || " + ESC.format(t="substr(text, 1, 40)") + " || '</dc:title><dc:creator>' || (case when doc_id % 3 <> 0 then source else '  ' end) || '</dc:creator>' || "
+    x = F.expr("'<cp:coreProperties><dc:title xml:lang=\"es\"> ' || " + ESC.format(t="text") + " || '</dc:title><dc:creator>' || (case when doc_id % 3 <> 0 then source else '  ' end) || '</dc:creator>' || "
                "(case when doc_id % 4 = 0 then '<dc:description>a_x000D_b &amp; &lt;&#xE9;&gt;</dc:description>' else '' end) || '</cp:coreProperties>'")
     return D.core_properties(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), x.alias("xml")))
 

@@ -379,7 +379,7 @@ def _archives(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("fixture"), "text")
     parts = F.filter(F.array(
         F.struct(F.lit("content.xml").alias("part"), F.encode("text", "UTF-8").alias("content")),
-        F.when(F.col("fixture") % 3 != 0, F.struct(F.lit("ode.xml").alias("part"), F.encode(F.substring("text", 1, 50), "UTF-8").alias("content"))),
+        F.when(F.col("fixture") % 3 != 0, F.struct(F.lit("ode.xml").alias("part"), F.encode(F.col("text"), "UTF-8").alias("content"))),
         F.when(F.col("fixture") % 4 != 0, F.struct(F.lit("META-INF/manifest.xml").alias("part"), F.encode(F.lit("m"), "UTF-8").alias("content")))),
         lambda x: x.isNotNull())
     return d.select("fixture", F.encode("text", "UTF-8").alias("content")), d.select("fixture", F.inline(parts))
@@ -387,7 +387,7 @@ def _archives(spark, sf):
 
 SUMS = """sums as (select doc_id as fixture, 'archive' as part, sha256(text) as sha256 from documents
 union all select doc_id, 'content.xml', sha256(text) from documents
-union all select doc_id, 'ode.xml', case when doc_id % 3 <> 0 then sha256(substr(text, 1, 50)) else 'MISSING' end from documents
+union all select doc_id, 'ode.xml', case when doc_id % 3 <> 0 then sha256(text) else 'MISSING' end from documents
 union all select doc_id, 'META-INF/manifest.xml', case when doc_id % 4 <> 0 then sha256('m') else 'MISSING' end from documents)"""
 
 
