@@ -42,14 +42,14 @@ def _uint(b: Column, start: int, n: int, little: bool = False) -> Column:
     return F.conv(F.hex(raw), 16, 10).cast("bigint")
 
 
-def _jpeg(content: Column) -> Column:
-    """Walk the segments of the first 64 KB to the frame header.
+def _jpeg(content: Column, scan: int | None) -> Column:
+    """Walk the segments of the first `scan` bytes (None: of all) to the frame header.
 
     Each fold step jumps to the next 0xFF byte or over one segment, so the number of
     0xFF bytes bounds the steps.
     """
     # ".FF.D8.." keeps byte borders visible, so a search never straddles two bytes
-    return let(F.regexp_replace(F.hex(F.substring(content, 1, 65536)), "(..)", ".$1"), _jpeg_frame)
+    return let(F.regexp_replace(F.hex(content if scan is None else F.substring(content, 1, scan)), "(..)", ".$1"), _jpeg_frame)
 
 
 def _jpeg_frame(hx: Column) -> Column:
@@ -86,12 +86,13 @@ def _jpeg_frame(hx: Column) -> Column:
     return F.when(end["w"].isNotNull(), F.struct(end["w"].cast("bigint").alias("width"), end["h"].cast("bigint").alias("height")))
 
 
-def image_size(content: Column, kind: Column) -> Column:
-    """struct(width, height) from the header bytes, null when they say nothing."""
-    return let(F.struct(content.alias("c"), kind.alias("k")), lambda x: _image_size(x["c"], x["k"]))
+def image_size(content: Column, kind: Column, scan: int | None = None) -> Column:
+    """struct(width, height) from the header bytes, null when they say nothing. `scan` bounds
+    how far a JPEG is searched for its frame header; by default all of it is."""
+    return let(F.struct(content.alias("c"), kind.alias("k")), lambda x: _image_size(x["c"], x["k"], scan))
 
 
-def _image_size(content: Column, kind: Column) -> Column:
+def _image_size(content: Column, kind: Column, scan: int | None) -> Column:
     def size(w: Column, h: Column) -> Column:
         return F.struct(w.alias("width"), h.alias("height"))
     n = F.length(content)
@@ -100,11 +101,12 @@ def _image_size(content: Column, kind: Column) -> Column:
     return (F.when((kind == "png") & (n >= 24), size(_uint(content, 17, 4), _uint(content, 21, 4)))
             .when((kind == "gif") & (n >= 10), size(_uint(content, 7, 2, True), _uint(content, 9, 2, True)))
             .when((kind == "bmp") & (n >= 26), size(_uint(content, 19, 4, True), signed))
-            .when(kind == "jpg", _jpeg(content)))
+            .when(kind == "jpg", _jpeg(content, scan)))
 
 
-def data_url_size(url: Column) -> Column:
-    return let(url, lambda u: image_size(data_url_bytes(u), word_image_ext(data_url_subtype(u))))
+def data_url_size(url: Column, scan: int | None = 65536) -> Column:
+    """Size of an embedded image. The format looks for a JPEG frame in the first 64 KB only here."""
+    return let(url, lambda u: image_size(data_url_bytes(u), word_image_ext(data_url_subtype(u)), scan))
 
 
 def half_up(x: Column) -> Column:

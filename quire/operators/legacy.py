@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,33 +87,55 @@ def list_members(nodes: DataFrame, flds: DataFrame, key: str, inst: DataFrame) -
     return resolve(m.join(lists, ["doc_id", "parent_pos"]), inst).filter("target is not null").select("doc_id", "owner", "sib", "target")
 
 
+def _walk(batches):
+    """Pages of each package in reading order, from its edges and roots. An edge back to a page
+    that is open already is left out; the stack is explicit, so depth has no limit."""
+    for batch in batches:
+        docs, pages = [], []
+        for doc_id, edges, roots, alone in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            below = {}
+            for e in sorted(edges, key=lambda e: (e["sib"], e["target"]), reverse=True):
+                below.setdefault(e["owner"], []).append(e["target"])
+            out, on_path, path = [], set(), []
+            todo = [(r, 0) for r in sorted(roots, reverse=True)]
+            if not roots:
+                out = [{"page_ord": i, "node": n, "depth": 0} for i, n in enumerate(sorted(alone))]
+            while todo:
+                node, depth = todo.pop()
+                while len(path) > depth:
+                    on_path.discard(path.pop())
+                if node in on_path:
+                    continue
+                path.append(node)
+                on_path.add(node)
+                out.append({"page_ord": len(out), "node": node, "depth": depth})
+                todo += [(c, depth + 1) for c in below.get(node, [])]
+            docs.append(doc_id)
+            pages.append(out)
+        kind = pa.list_(pa.struct([("page_ord", pa.int32()), ("node", pa.int32()), ("depth", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(pages, kind)], names=["doc_id", "ps"])
+
+
 def page_tree(nodes: DataFrame) -> DataFrame:
     """(doc_id, page_ord, node, depth): pages in reading order.
 
-    The tree is walked level by level, one join per level, until a level is empty. A
-    package without a root page lists all its nodes at depth 0. Edges and levels are kept
-    (spilling to disk) between the joins; a lost block is computed again.
+    A tree lies within one package: its edges meet as pairs of positions and are walked there,
+    in one lazy plan whatever the depth. A package without a root page lists all its nodes at
+    depth 0.
     """
     inst, flds = instances(nodes), fields(nodes)
     node_pos = inst.filter(F.col("class") == NODE).select("doc_id", F.col("pos").alias("target"))
     packages = inst.filter(F.col("class") == fixed.CLASS_PACKAGE).groupBy("doc_id").agg(F.min("pos").alias("owner"))
-    root = resolve(flds.filter("key = 'root'"), inst).join(packages, ["doc_id", "owner"]).join(node_pos, ["doc_id", "target"], "left_semi")
-    edges = list_members(nodes, flds, "children", inst).join(node_pos, ["doc_id", "target"], "left_semi").persist()
-    pad = lambda c: F.lpad(c.cast("string"), 9, "0")
-    level = root.select("doc_id", F.col("target").alias("node"), F.lit(0).alias("depth"), F.array("target").alias("path"), pad(F.lit(0)).alias("sort"))
-    found = level
-    while True:
-        step = edges.select("doc_id", F.col("owner").alias("node"), F.col("target").alias("child"), "sib")
-        level = (level.join(step, ["doc_id", "node"]).filter(~F.array_contains("path", F.col("child")))
-                 .select("doc_id", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"),
-                         F.concat("path", F.array("child")).alias("path"), F.concat("sort", F.lit("/"), pad(F.col("sib"))).alias("sort"))).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    flat = node_pos.join(root.select("doc_id"), "doc_id", "left_anti").select(
-        "doc_id", F.col("target").alias("node"), F.lit(0).alias("depth"), F.array("target").alias("path"), pad(F.col("target")).alias("sort"))
-    w = Window.partitionBy("doc_id").orderBy("sort")
-    return found.unionByName(flat).select("doc_id", (F.row_number().over(w) - 1).alias("page_ord"), "node", "depth")
+    roots = resolve(flds.filter("key = 'root'"), inst).join(packages, ["doc_id", "owner"]).join(node_pos, ["doc_id", "target"], "left_semi")
+    edges = list_members(nodes, flds, "children", inst).join(node_pos, ["doc_id", "target"], "left_semi")
+    none = F.lit(None).cast("int")
+    rows = (edges.select("doc_id", F.struct(F.col("owner").cast("int").alias("owner"), F.col("sib").cast("int").alias("sib"),
+                                            F.col("target").cast("int").alias("target")).alias("edge"), none.alias("root"), none.alias("alone"))
+            .unionByName(roots.select("doc_id", F.col("target").cast("int").alias("root")), allowMissingColumns=True)
+            .unionByName(node_pos.select("doc_id", F.col("target").cast("int").alias("alone")), allowMissingColumns=True))
+    trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "alone")])
+    key = nodes.schema["doc_id"].dataType.simpleString()
+    return trees.mapInArrow(_walk, f"doc_id {key}, ps array<struct<page_ord:int,node:int,depth:int>>").select("doc_id", F.inline("ps"))
 
 
 def _pick(flds: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -162,7 +185,7 @@ def items(nodes: DataFrame, pgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = f.withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_id", "target").orderBy("pos")) - 1)
     full = i.join(f.select("doc_id", "target", "field_ord", "html"), ["doc_id", "target"])
     bare = i.join(f.select("doc_id", "target"), ["doc_id", "target"], "left_anti")
-    warn = bare.select("doc_id", (F.col("page_ord") * 1000000 + F.col("item_ord")).alias("ord"), F.concat(
+    warn = bare.select("doc_id", "page_ord", "item_ord", F.concat(
         F.lit("En la página «"), "page_title", F.lit("»: iDevice «"), T.blank_to(F.col("title"), F.col("type")), F.lit("» sin texto extraíble, omitido.")).alias("warning"))
     return full.select("doc_id", "page_ord", "item_ord", "type", "title", "field_ord", "html"), warn
 

@@ -19,7 +19,7 @@ from ..functions import text as T
 from . import tokens as K
 
 IU = "(?iu)"
-_CUT = "\uE030"  # private-use mark, removed again below
+_CUT, _LONE = "\uE030", "\uE031"  # private-use marks, removed again below
 
 
 def sub(c: Column, pattern: str, repl: str) -> Column:
@@ -67,7 +67,10 @@ def normalize_markers(docs: DataFrame, col: str = "html") -> DataFrame:
     out = sub(out, rf"{IU}(?:{BR}{WS}*)+({LINE_MARKER})", "$1")
     # leading marker to its own paragraph, then the same for a trailing one
     out = sub(out, rf"{IU}({P_OPEN}){WS}*({LINE_MARKER}){WS}*+(?!</p>)", rf"<p>$2</p>{_CUT}$1")
-    out = sub(out, rf"{IU}(?={WS}*\[)(?<!{WS})(?<!<p(?:\s[^>]{{0,400}})?>){WS}*({LINE_MARKER}){WS}*</p>", "</p><p>$1</p>")
+    # a marker alone in its paragraph is held back from the second step, however long the paragraph's tag is
+    out = sub(out, rf"{IU}({P_OPEN}{WS}*)(?={LINE_MARKER}{WS}*</p>)", f"$1{_LONE}")
+    out = sub(out, rf"{IU}(?={WS}*\[)(?<!{WS})(?<!{_LONE}){WS}*({LINE_MARKER}){WS}*</p>", "</p><p>$1</p>")
+    out = sub(out, _LONE, "")
     out = sub(out, rf"{IU}{_CUT}{P_OPEN}{WS}*({LINE_MARKER}){WS}*</p>", "<p>$1</p>")
     out = sub(out, _CUT, "")
     return d.withColumn(col, F.when(F.col(col).contains("["), out).otherwise(F.col(col))).drop("_rounds")
@@ -235,7 +238,10 @@ def structure_tables(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataF
                               F.concat(F.lit(f' {a}="'), T.attr(F.col("tok"), a), F.lit('"'))).otherwise("")
                        for a in ("colspan", "rowspan")])
     scope = F.when(head, F.when(F.col("orient") == "horizontal", ' scope="col"').otherwise(' scope="row"')).otherwise("")
-    open_cell = F.concat(F.lit("<"), want, attrs, scope, F.lit(">"))
+    # a cell of the right kind keeps its attributes; only its scope is set or dropped
+    unscoped = F.regexp_replace("tok", r"""(?i)\sscope=("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    scoped = F.concat(F.regexp_extract(unscoped, r"(?s)^(.*?)>$", 1), scope, F.lit(">"))
+    open_cell = F.when(F.col("tag") == want, scoped).otherwise(F.concat(F.lit("<"), want, attrs, scope, F.lit(">")))
     row_tag = in_table & (F.col("tag") == "tr")
     horizontal, is_open = F.col("orient") == "horizontal", F.col("kind") == "open"
     w = Window.partitionBy("doc_id", "tdepth", "table_id").orderBy("pos").rowsBetween(
@@ -256,6 +262,31 @@ def structure_tables(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataF
     return _keep(out)
 
 
+def split_resource_lines(toks: DataFrame) -> DataFrame:
+    """`split_resource_breaks` on tokens, for use after boxes and tables are formed: a line break
+    before a resource marker ends its paragraph and opens the same one again."""
+    w = K.doc_window()
+    p_open, p_close = (F.col("tag") == "p") & (F.col("kind") == "open"), (F.col("tag") == "p") & (F.col("kind") == "close")
+    t = _neighbours(toks)
+    t = t.withColumn("_p", F.last(F.when(p_open, F.col("tok")).when(p_close, ""), ignorenulls=True).over(K.upto(w)))
+    t = t.withColumn("_t", F.when(~F.col("tok").rlike(rf"^{NBSP_OR_WS}*$"), F.col("tok")))
+    marker = F.expr("lead(_t) ignore nulls over (partition by doc_id order by pos)").rlike(RESOURCE_LEADING)
+    t = t.withColumn("_cut", F.coalesce((F.col("tag") == "br") & (F.col("_p") != "") & marker, F.lit(False)))
+    t = t.withColumn("_c", F.when(~F.col("tok").rlike(rf"^{WS}*$"), F.col("_cut")))
+    cut_next = F.expr("lead(_c) ignore nulls over (partition by doc_id order by pos)")
+    parts = (F.when(F.col("_cut") & (F.col("p1") == "p"), F.array("_p")).when(F.col("_cut"), F.array(F.lit("</p>"), F.col("_p")))
+             .when(p_open & cut_next, F.array().cast("array<string>")).otherwise(F.array("tok")))
+    return _resplit(t.withColumn("_parts", parts))
+
+
+def _resplit(t: DataFrame) -> DataFrame:
+    """Tokens anew from the pieces (`_parts`) each became, so that later passes see new tags as tags."""
+    out = t.select("doc_id", "pos", F.posexplode_outer("_parts").alias("_i", "tok")).filter("tok is not null")
+    kind, tag = K.classify(F.col("tok"))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "_i")) - 1
+    return out.select("doc_id", ordinal.alias("pos"), "tok", kind.alias("kind"), tag.alias("tag"))
+
+
 def resource_lines(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFrame:
     """A line that opens with a resource marker and has text after it gets the class."""
     w = K.doc_window()
@@ -314,7 +345,11 @@ def with_anchor(toks: DataFrame) -> DataFrame:
     return toks.withColumn("in_anchor", F.sum(step).over(K.upto(K.doc_window())) > 0)
 
 
-URL = r"""(?:https?://[^\s<>"'`)\]]+|www\.[^\s<>"'`)\]]+)"""
+# addresses in written text: a character that ends an address also ends it when written as an entity
+_URL_CHAR = rf"""(?:(?!&(?:lt|gt|quot|apos|nbsp|#39|#34|#60|#62|#96|#160|#x27|#xA0);)(?!{WS})[^<>"'`)\]])"""
+URL = rf"(?:https?://{_URL_CHAR}+|www\.{_URL_CHAR}+)"
+# punctuation after an address; the semicolon of an ampersand belongs to it
+URL_TAIL = r"(?:[.,:!?]|(?<!&amp);)+$"
 
 
 def _href(url: Column) -> Column:
@@ -324,26 +359,21 @@ def _href(url: Column) -> Column:
 def found_links(toks: DataFrame) -> DataFrame:
     """(doc_id, pos, ord, url, href): plain addresses in text outside anchors."""
     t = with_anchor(toks).filter("kind in ('text', 'bracket') and not in_anchor")
-    hits = t.select("doc_id", "pos", F.posexplode_outer(F.regexp_extract_all(T.swap(F.col("tok"), ("&amp;", "&")), F.lit(URL), F.lit(0))).alias("ord", "raw")).filter("raw is not null")
-    url = F.regexp_replace("raw", r"[.,;:!?]+$", "")
+    hits = t.select("doc_id", "pos", F.posexplode_outer(F.regexp_extract_all("tok", F.lit(URL), F.lit(0))).alias("ord", "raw")).filter("raw is not null")
+    url = T.swap(F.regexp_replace("raw", URL_TAIL, ""), ("&amp;", "&"))
     return hits.select("doc_id", "pos", "ord", url.alias("url"), _href(url).alias("href"))
 
 
 def autolink(toks: DataFrame) -> DataFrame:
     def one(m: Column) -> Column:
-        url = F.regexp_replace(m, r"[.,;:!?]+$", "")
+        url = F.regexp_replace(m, URL_TAIL, "")
         return F.concat(F.lit('<a href="'), _href(url), F.lit('">'), url, F.lit("</a>"), F.substring(m, F.length(url) + 1, F.length(m)))
     t = with_anchor(toks)
     plain = F.col("kind").isin("text", "bracket") & ~F.col("in_anchor") & F.col("tok").rlike(URL)
     new = F.when(plain, rewrite_matches(F.col("tok"), URL, one)).otherwise(F.col("tok"))
-    # linked text is re-split so that later passes see the new anchors as tags
     out = t.withColumn("tok", new)
-    out = out.select("doc_id", "pos", F.posexplode_outer(
-        F.when(F.col("kind") == "text", F.regexp_extract_all("tok", F.lit(r"<[^>]+>|[^<]+|<"), F.lit(0)))
-        .otherwise(F.array("tok"))).alias("_i", "tok"))
-    kind, tag = K.classify(F.col("tok"))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "_i")) - 1
-    return out.select("doc_id", ordinal.alias("pos"), "tok", kind.alias("kind"), tag.alias("tag"))
+    return _resplit(out.withColumn("_parts", F.when(F.col("kind") == "text", F.regexp_extract_all("tok", F.lit(r"<[^>]+>|[^<]+|<"), F.lit(0)))
+                                   .otherwise(F.array("tok"))))
 
 
 def link_flags(toks: DataFrame) -> DataFrame:
@@ -368,18 +398,25 @@ IMAGE_BLOCKS = ["p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "bloc
 def image_blocks(toks: DataFrame) -> DataFrame:
     """Image tokens with their block's text length and image count, and their size.
 
-    The block of a token is the innermost open one; blocks of these kinds that contain
-    images do not nest further ones in converted documents, so the last block tag before
-    the image decides.
+    The block of a token is the innermost open one, also after a block inside it has closed:
+    at each depth the block opened last is the one still open. Its text and images are those
+    counted between its tags, inner blocks included.
     """
     w = K.doc_window()
-    blk = F.col("tag").isin(IMAGE_BLOCKS)
-    event = F.when(blk & (F.col("kind") == "open"), F.col("pos")).when(blk & (F.col("kind") == "close"), -1)
-    t = toks.withColumn("blk", F.last(event, ignorenulls=True).over(K.upto(w)))
-    b = Window.partitionBy("doc_id", "blk")
+    blk = F.coalesce(F.col("tag").isin(IMAGE_BLOCKS), F.lit(False))
+    opens, closes = blk & (F.col("kind") == "open"), blk & (F.col("kind") == "close")
     img = F.col("tag") == "img"
     txt = F.when(F.col("kind").isin("text", "bracket"), F.length(T.plain_text(F.col("tok")))).otherwise(0)
-    t = t.withColumn("blk_text", F.sum(txt).over(b)).withColumn("blk_imgs", F.sum(F.coalesce(img, F.lit(False)).cast("int")).over(b))
+    t = (toks.withColumn("_step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("_txt", txt)
+         .withColumn("_img", F.coalesce(img, F.lit(False)).cast("int")))
+    t = t.withColumn("_depth", F.sum("_step").over(K.upto(w)) + F.when(closes, 1).otherwise(0))
+    t = t.withColumn("_txt", F.sum("_txt").over(K.upto(w))).withColumn("_img", F.sum("_img").over(K.upto(w)))
+    d = Window.partitionBy("doc_id", "_depth").orderBy("pos")
+    last = F.last(F.when(opens, F.col("pos")), ignorenulls=True).over(K.upto(d))
+    t = t.withColumn("blk", F.when(F.col("_depth") > 0, last).otherwise(-1))
+    b = Window.partitionBy("doc_id", "_depth", "blk")
+    t = (t.withColumn("blk_text", F.max("_txt").over(b) - F.min("_txt").over(b))
+         .withColumn("blk_imgs", F.max("_img").over(b) - F.min("_img").over(b)).drop("_step", "_txt", "_img", "_depth"))
     tok = F.col("tok")
     aw, ah = T.attr(tok, "data-w").try_cast("int"), T.attr(tok, "data-h").try_cast("int")
     sniff = F.when(img & tok.contains("data:image/"), I.data_url_size(T.attr(tok, "src")))
@@ -396,19 +433,23 @@ def inline_images(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFram
     bare = F.regexp_replace(tok, r"""(?i)\sdata-[wh]=("[^"]*"|'[^']*')""", "")
     cls = add_class(bare, F.lit(prefix + "img_inline"))
     px = F.concat(F.lit("width:"), F.col("img_w").cast("string"), F.lit("px;height:"), F.col("img_h").cast("string"), F.lit("px"))
+    # the size replaces an earlier one; an earlier style stays before it
+    own = F.coalesce(T.attr(tok, "style"), F.lit(""))
+    style = F.when(own != "", F.concat(own, F.lit(";"), px)).otherwise(px)
+    free = F.regexp_replace(cls, r"""(?i)\s(width|height|style)=("[^"]*"|'[^']*'|[^\s>"']+)""", "")
     sized = F.when((F.col("img_w") >= 1) & (F.col("img_h") >= 1), F.concat(
-        F.regexp_extract(cls, r"(?s)^(.*?)\s*/?>$", 1), F.lit(' width="'), F.col("img_w").cast("string"), F.lit('" height="'),
-        F.col("img_h").cast("string"), F.lit('" style="'), px, F.lit('" />'))).otherwise(cls)
+        F.regexp_extract(free, r"(?s)^(.*?)\s*/?>$", 1), F.lit(' width="'), F.col("img_w").cast("string"), F.lit('" height="'),
+        F.col("img_h").cast("string"), F.lit('" style="'), style, F.lit('" />'))).otherwise(cls)
     new = F.when(F.col("tag") == "img", F.when(F.col("inline"), sized).otherwise(bare)).otherwise(tok)
     return t.select("doc_id", "pos", F.coalesce(new, tok).alias("tok"), "kind", "tag")
 
 
 # --- the fold -----------------------------------------------------------------------
 
-ROW_PASSES = [("iframes", embed_iframes), ("markers", normalize_markers), ("line breaks", split_resource_breaks)]
+ROW_PASSES = [("iframes", embed_iframes), ("markers", normalize_markers)]
 TOKEN_PASSES = [
     ("boxes", form_boxes), ("tables", orient_tables), ("table structure", structure_tables),
-    ("resource lines", resource_lines), ("ordered lists", continue_lists),
+    ("line breaks", split_resource_lines), ("resource lines", resource_lines), ("ordered lists", continue_lists),
     ("autolink", autolink), ("external links", external_links), ("inline images", inline_images),
 ]
 

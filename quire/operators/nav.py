@@ -90,7 +90,9 @@ def nav_tree(pages: DataFrame) -> DataFrame:
     cols = [c for c in pages.columns if c != "doc_id"]
     d = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", *[c for c in cols if c != "page_idx"]))).alias("ps"))
     d = d.withColumn("up", F.transform("ps", lambda x: x["parent_idx"]))
-    pad = lambda c: F.lpad(c.cast("string"), 6, "0")
+    # as wide as the largest index needs: no number is cut, and text order is page order
+    width = F.greatest(F.lit(6), F.length(F.size("ps").cast("string")))
+    pad = lambda c: F.lpad(c.cast("string"), width, F.lit("0"))
 
     def placed(x: Column) -> Column:
         a1 = x["parent_idx"]

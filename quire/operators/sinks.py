@@ -112,9 +112,9 @@ def render_summary(pages: DataFrame, blocks: DataFrame) -> DataFrame:
         "doc_id", "page_count", F.coalesce("block_count", F.lit(0)).alias("block_count"))
 
 
-def write_pages(page_rows: DataFrame, path: str) -> None:
+def write_pages(page_rows: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace the page texts under `path`, one folder per hash bucket of documents."""
-    (page_rows.withColumn("bucket", F.pmod(F.hash("doc_id"), F.lit(64))).write.mode("overwrite")
+    (page_rows.withColumn("bucket", F.pmod(F.hash("doc_id"), F.lit(buckets))).write.mode("overwrite")
      .partitionBy("bucket").parquet(path))
 
 

@@ -134,11 +134,8 @@ def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same documents for work that needs no placement: they stay in the splits they
-    were read in, unless there are fewer of those than cores."""
-    d = table(spark, sf_dir, "documents")
-    few = d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    return marked(d.repartition("doc_id") if few else d)
+    """The same documents for work within the row: spread evenly however the files are cut."""
+    return marked(placed(spark, sf_dir))
 
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ from .table_queries import MEM_SQL
 
 
 def _stream(spark, sf, name):
+    """The files of a table one by one, be it a single file or a folder of them. A pattern that
+    only the table's name fits: a plain path would have to be a folder."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_issues", C.with_sql(FULL_SQL) + "select doc_id, family, ord, kind, context from all_issues")

@@ -140,7 +140,7 @@ RAW_COLS = """
 def raw_blocks(spark, sf):
     r = C.lines(spark, sf).select("doc_id", F.col("line_no").alias("i"), "k", *[F.expr(x) for x in _split_cols(RAW_COLS)])
     return r.select("doc_id", "i", "node", "style_id", "text", "has_image", "is_list", "anchor", F.lit(None).cast("string").alias("field_code"),
-                    F.when(F.col("node") == "tbl", F.array(F.substring("text", 1, 5), F.lit(""), F.lit("b"))).alias("first_row"))
+                    F.when(F.col("node") == "tbl", F.array("text", F.lit(""), F.lit("b"))).alias("first_row"))
 
 
 def _split_cols(text):
@@ -180,7 +180,7 @@ ck as (select *, case when node = 'sdt' then 'toc' when node = 'tbl' then 'table
    when tx = '' and not has_image then 'empty' when style_id = 'Prrafodelista' or is_list then 'list' else 'para' end as kind from rb),
 cl as (select doc_id, i, kind, case kind when 'toc' then 'remove' when 'cover' then 'remove' when 'table' then 'table:horizontal' when 'heading' then 'h' || substr(style_id, 2)
     when 'box' then 'box:' || (case when style_id like '%ejemplo' then 'ejemplo' when style_id like '%definicion' then 'definición' else 'importante' end) else 'keep' end as role,
-  case when node = 'sdt' then 'Índice automático' when kind = 'table' then 'Tabla ' || tbl_no || ' · ' || (case when substr(text, 1, 5) = '' then 'b' else substr(text, 1, 5) || ' / b' end)
+  case when node = 'sdt' then 'Índice automático' when kind = 'table' then 'Tabla ' || tbl_no || ' · ' || (case when text = '' then 'b' else text || ' / b' end)
     when kind = 'toc' then case when tx = '' then '(entrada de índice)' else tx end when kind = 'empty' then '(línea en blanco)'
     when style_id = 'Ttulo' and kind = 'cover' and tx = '' then '(portada / índice)' when kind in ('para', 'list') and tx = '' then '(imagen)' else tx end as text from ck),
 sh as (select *, min(case when kind = 'heading' then substr(role, 2, 1)::INT end) over (partition by doc_id) as low, min(case when kind = 'heading' then i end) over (partition by doc_id) as first_h from cl),

@@ -40,6 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-checkpoint-")
+        where = spark.sparkContext.getCheckpointDir()
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = where or tempfile.mkdtemp(prefix="quire-checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -40,9 +40,11 @@ def run_issues(docs: DataFrame, path: str) -> DataFrame:
     def each(batch: DataFrame, batch_id: int) -> None:
         S.detect(batch).write.mode("overwrite").parquet(f"{path}/issues/batch={batch_id}")
 
+    # a stream without files leaves an empty table
+    spark, schema = docs.sparkSession, "doc_id bigint, family int, ord int, kind string, label string, marker string, context string"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/issues/batch=-1")
     _run(docs, path, each)
-    return docs.sparkSession.read.schema(
-        "doc_id bigint, family int, ord int, kind string, label string, marker string, context string, batch int").parquet(f"{path}/issues")
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/issues")
 
 
 def run_memory(events: DataFrame, path: str, width: int = 86_400_000) -> DataFrame:
@@ -69,6 +71,7 @@ def run_memory(events: DataFrame, path: str, width: int = 86_400_000) -> DataFra
         Y.remember(new, width=width).select(*cols).write.mode("overwrite").parquet(f"{path}/memory/v{batch_id}")
         spark.createDataFrame([(batch_id,)], "v int").write.mode("overwrite").parquet(f"{path}/latest")
 
+    spark.createDataFrame([(-1,)], "v int").write.mode("overwrite").parquet(f"{path}/latest")
     _run(events, path, each)
     last = spark.read.schema("v int").parquet(f"{path}/latest").first().v
     return memory(last)
