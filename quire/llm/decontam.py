@@ -104,9 +104,14 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
     stay = [c for c in docs.columns if c not in OUTPUT]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), *key_columns())
-    rows = rows.join(by_doc, ["k1", "k2"], "left").select("row", words_of(F.col("row.text")).alias("own"), "_aligned")
-    hits = F.transform("_aligned", lambda c: F.struct(c["item"].alias("item"), runs(F.col("own"), c["words"], c["offset"], c["width"]).alias("runs")))
-    rows = rows.select("row", F.size("own").cast("long").alias("n_words"), F.when(F.col("_aligned").isNotNull(), hits).alias("hits"))
+    rows = rows.join(by_doc, ["k1", "k2"], "left")
+
+    # the words are bound once a row, and the generator keeps a later filter on the result from computing them anew for each word
+    def judged(own: Column) -> Column:
+        hits = F.transform("_aligned", lambda c: F.struct(c["item"].alias("item"), runs(own, c["words"], c["offset"], c["width"]).alias("runs")))
+        return F.struct(F.size(own).cast("long").alias("n_words"), hits.alias("hits"))
+
+    rows = rows.select("row", F.inline_outer(F.transform(F.array(words_of(F.col("row.text"))), judged)))
     hit = F.filter("hits", lambda h: F.size(h["runs"]) > 0)
     rows = rows.select("row", "n_words", F.coalesce(hit, F.array().cast("array<struct<item:string,runs:array<struct<a:int,b:int>>>>")).alias("hits"))
     n_hit = covered(F.array_sort(F.flatten(F.transform("hits", lambda h: h["runs"])))).cast("long")
