@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 END_ID = 2
 POOL_WINDOWS = 64
-WORDS_KEPT = 1_000_000
-SLICE_BYTES = 1 << 24
+WORDS_KEPT = 200_000
+SLICE_BYTES = 1 << 22
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 #: characters that some take for blanks and the tokenizer doesn't
 SEPARATORS = "[\\x1c-\\x1f]"
