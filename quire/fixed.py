@@ -115,6 +115,9 @@ CLASS_NODE = "exe.engine.node.Node"
 INTERNAL_FILES = ["contentv3.xml", "contentv2.xml", "content.data", "content.xsd", "content.xml"]
 ERR_MODERN = ("Este archivo es un paquete del eXeLearning moderno (.elpx), no del clásico. "
               "Ábrelo directamente con eXeLearning.")
+ERR_NO_PACKAGE = "El contentv3.xml no contiene un paquete de eXeLearning reconocible."
+ERR_NO_PAGES = "El paquete no contiene ninguna página."
+PACKAGE_TITLE = "Documento"
 ERR_NO_CONTENT = ("No se ha encontrado contentv3.xml: el archivo no parece un .elp del "
                   "eXeLearning clásico (2.x).")
 

@@ -13,21 +13,50 @@ from .tokens import by_doc, upto
 
 XML_TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^>]+>|[^<]+"
 NODE = fixed.CLASS_NODE
+TITLES = ["_title", "title"]
+CONTENT = ["content_w_resourcePaths", "_content", "content"]
 
 
 def _win():
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
+def repair_escapes(xml: Column) -> Column:
+    """`\\xNN` that an old writer left in the text becomes its character, where XML allows that character."""
+    parts = F.regexp_extract_all(xml, F.lit(r"(?s)\\x(?:0[9AaDd]|[2-9A-Fa-f][0-9A-Fa-f])|\\|[^\\]+"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        code = F.conv(F.substring(p, 3, 2), 16, 10).cast("int")
+        # two hex digits reach U+00FF: above U+007F the character takes two bytes
+        wide = F.concat(F.lpad(F.hex(F.shiftright(code, 6) + 0xC0), 2, "0"), F.lpad(F.hex(code.bitwiseAND(0x3F) + 0x80), 2, "0"))
+        made = F.decode(F.unhex(F.when(code < 0x80, F.lpad(F.hex(code), 2, "0")).otherwise(wide)), "UTF-8")
+        return F.when(p.startswith("\\x") & (F.length(p) == 4), made).otherwise(p)
+
+    return F.when(xml.contains("\\x"), F.array_join(F.transform(parts, one), "")).otherwise(xml)
+
+
+def _from_parent(elements: DataFrame, **held: Column) -> DataFrame:
+    """Adds what the parent of an element holds. Each element appears once for itself and once among the children of its parent."""
+    both = elements.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    both = both.withColumn("_at", F.when(F.col("_own"), F.col("pos")).otherwise(F.coalesce("parent_pos", F.lit(-1))))
+    up = F.max(F.when(F.col("_own"), F.struct(*[c.alias(n) for n, c in held.items()]))).over(Window.partitionBy("doc_id", "_at"))
+    return both.withColumn("_up", up).filter("not _own").withColumns({n: F.col(f"_up.{n}") for n in held}).drop("_own", "_at", "_up")
+
+
 def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
-    """(doc_id, pos, depth, tag, tok, value, close_pos, parent_pos, sib): one row per XML
-    element of docs(doc_id, xml), in document order.
+    """One row per XML element of docs(doc_id, xml), in document order, with all that relates it to others, so that what
+    follows needs no joins of elements:
+
+    doc_id, pos, depth, tag, tok, value, close_pos, parent_pos, sib;
+    key, owner: the name a dictionary gives the element and the instance the dictionary belongs to;
+    list_key, list_owner: the same of the list the element is a member of;
+    target: the instance it is, or the one its reference names.
 
     The parent of an element is the last element opened one level up. To find it with a
     window, each row also appears as a seeker in the level above its own.
     """
     base = by_doc(docs.select("doc_id", "xml"), placed)
-    t = base.select("doc_id", F.posexplode_outer(F.regexp_extract_all("xml", F.lit(XML_TOKEN), F.lit(0))).alias("pos", "tok")).filter(
+    t = base.select("doc_id", F.posexplode_outer(F.regexp_extract_all(repair_escapes(F.col("xml")), F.lit(XML_TOKEN), F.lit(0))).alias("pos", "tok")).filter(
         "tok is not null and not tok like '<?%' and not tok like '<!--%'")
     tag = F.regexp_extract("tok", r"^</?(?:[\w.-]+:)?([\w.-]+)", 1)
     kind = (F.when(tag == "", "text").when(F.col("tok").startswith("</"), "close").when(F.col("tok").endswith("/>"), "void").otherwise("open"))
@@ -35,7 +64,6 @@ def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     t = t.withColumn("_s", F.sum(step).over(upto(_win())))
     t = t.withColumn("depth", F.when(F.col("kind") == "open", F.col("_s")).otherwise(F.col("_s") + 1))
-    lvl = Window.partitionBy("doc_id", "depth").orderBy("pos")
     closing = F.when(F.col("kind") == "void", F.col("pos")).when(F.col("kind") == "open", F.expr(
         "lead(case when kind = 'close' then pos end) ignore nulls over (partition by doc_id, depth order by pos)"))
     # the text of an element without children sits one level below it, right behind it
@@ -48,43 +76,45 @@ def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
     e = e.select("doc_id", "pos", "depth", "tag", "tok", "value", "close_pos")
     both = e.withColumn("_lvl", F.explode(F.array(F.col("depth"), F.col("depth") - 1))).withColumn("_own", F.col("_lvl") == F.col("depth"))
     above = Window.partitionBy("doc_id", "_lvl").orderBy("pos", F.col("_own").desc())
-    seek = both.withColumn("parent_pos", F.last(F.when(F.col("_own"), F.col("pos")), ignorenulls=True).over(upto(above)))
-    e = seek.filter("not _own").drop("_lvl", "_own")
-    return e.withColumn("sib", F.row_number().over(Window.partitionBy("doc_id", "parent_pos").orderBy("pos")))
+    up = F.last(F.when(F.col("_own"), F.struct("pos", "tag")), ignorenulls=True).over(upto(above))
+    e = both.withColumn("_up", up).filter("not _own").drop("_lvl", "_own")
+    e = e.withColumn("parent_pos", F.col("_up.pos")).withColumn("_in", F.col("_up.tag")).drop("_up")
+    siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
+    e = e.withColumn("sib", F.row_number().over(siblings))
 
+    # in a dictionary a key string names the element after it
+    named = F.when((F.col("tag") == "string") & (T.attr(F.col("tok"), "role") == "key"), F.coalesce(T.attr(F.col("tok"), "value"), F.lit("")))
+    e = e.withColumn("_names", named).withColumn("_key", F.lag("_names").over(siblings))
+    e = e.withColumn("key", F.when(F.col("_names").isNull() & (F.col("_in") == "dictionary"), F.col("_key"))).drop("_names", "_key")
+    e = _from_parent(e, _over=F.col("parent_pos"))
+    e = e.withColumn("owner", F.when(F.col("key").isNotNull(), F.col("_over"))).drop("_over")
+    e = _from_parent(e, list_key=F.when(F.col("tag") == "list", F.col("key")), list_owner=F.when(F.col("tag") == "list", F.col("owner")))
 
-def instances(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pos, close_pos, class, ref)."""
-    return nodes.filter("tag = 'instance'").select(
-        "doc_id", "pos", "close_pos", T.attr(F.col("tok"), "class").alias("class"), T.attr(F.col("tok"), "reference").alias("ref"))
+    ref = F.when(F.col("tag") == "instance", T.attr(F.col("tok"), "reference")).when(F.col("tag") == "reference", T.attr(F.col("tok"), "key"))
+    e = e.withColumn("_ref", ref)
+    meant = F.max(F.when((F.col("tag") == "instance") & F.col("_ref").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "_ref"))
+    e = e.withColumn("target", F.when(F.col("tag") == "instance", F.col("pos")).when(F.col("tag") == "reference", meant))
+    return e.drop("_ref", "_in")
 
 
-def fields(nodes: DataFrame) -> DataFrame:
-    """(doc_id, owner, key, pos, tag, value, ref_key): dictionary entries of instances.
+def class_of(tok: Column) -> Column:
+    return T.attr(tok, "class")
 
-    In a dictionary a key string names the element after it.
-    """
-    n = nodes.withColumn("_key", F.when((F.col("tag") == "string") & (T.attr(F.col("tok"), "role") == "key"), F.coalesce(T.attr(F.col("tok"), "value"), F.lit(""))))
-    s = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
-    n = n.withColumn("key", F.lag("_key").over(s)).filter("key is not null and _key is null")
-    dicts = nodes.filter("tag = 'dictionary'").select("doc_id", F.col("pos").alias("parent_pos"), F.col("parent_pos").alias("owner"), F.col("sib").alias("_n"))
-    return n.join(dicts, ["doc_id", "parent_pos"]).select(
-        "doc_id", "owner", "key", "pos", "tag", "value", F.when(F.col("tag") == "reference", T.attr(F.col("tok"), "key")).alias("ref_key"))
 
+def instances(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, depth, close_pos, class, ref)."""
+    return nodes.filter("tag = 'instance'").select(
+        "doc_id", "pos", "depth", "close_pos", class_of(F.col("tok")).alias("class"), T.attr(F.col("tok"), "reference").alias("ref"))
 
-def resolve(rows: DataFrame, inst: DataFrame) -> DataFrame:
-    """Adds `target`: the instance a row is, or the one its reference names."""
-    by_ref = inst.filter("ref is not null").groupBy("doc_id", F.col("ref").alias("ref_key")).agg(F.max("pos").alias("_t"))
-    r = rows.join(by_ref, ["doc_id", "ref_key"], "left")
-    return r.withColumn("target", F.when(F.col("tag") == "instance", F.col("pos")).otherwise(F.col("_t"))).drop("_t")
+
+def fields(nodes: DataFrame) -> DataFrame:
+    """(doc_id, owner, key, pos, tag, value, target): dictionary entries of instances."""
+    return nodes.filter("key is not null").select("doc_id", "owner", "key", "pos", "tag", "value", "target")
 
 
-def list_members(nodes: DataFrame, flds: DataFrame, key: str, inst: DataFrame) -> DataFrame:
+def list_members(nodes: DataFrame, key: str) -> DataFrame:
     """(doc_id, owner, sib, target): resolved members of an instance's list field."""
-    lists = flds.filter((F.col("key") == key) & (F.col("tag") == "list")).select("doc_id", "owner", F.col("pos").alias("parent_pos"))
-    m = nodes.filter("tag in ('instance', 'reference')").select(
-        "doc_id", "pos", "tag", "parent_pos", "sib", F.when(F.col("tag") == "reference", T.attr(F.col("tok"), "key")).alias("ref_key"))
-    return resolve(m.join(lists, ["doc_id", "parent_pos"]), inst).filter("target is not null").select("doc_id", "owner", "sib", "target")
+    return nodes.filter((F.col("list_key") == key) & F.col("target").isNotNull()).select("doc_id", F.col("list_owner").alias("owner"), "sib", "target")
 
 
 def _walk(batches):
@@ -92,14 +122,16 @@ def _walk(batches):
     that is open already is left out; the stack is explicit, so depth has no limit."""
     for batch in batches:
         docs, pages = [], []
-        for doc_id, edges, roots, alone in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            below = {}
+        for doc_id, edges, roots, nodes, package in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            known, below = set(nodes), {}
             for e in sorted(edges, key=lambda e: (e["sib"], e["target"]), reverse=True):
-                below.setdefault(e["owner"], []).append(e["target"])
+                if e["target"] in known:
+                    below.setdefault(e["owner"], []).append(e["target"])
+            starts = sorted((r["target"] for r in roots if r["owner"] == package and r["target"] in known), reverse=True)
             out, on_path, path = [], set(), []
-            todo = [(r, 0) for r in sorted(roots, reverse=True)]
-            if not roots:
-                out = [{"page_ord": i, "node": n, "depth": 0} for i, n in enumerate(sorted(alone))]
+            todo = [(r, 0) for r in starts]
+            if not starts:
+                out = [{"page_ord": i, "node": n, "depth": 0} for i, n in enumerate(sorted(known))]
             while todo:
                 node, depth = todo.pop()
                 while len(path) > depth:
@@ -123,71 +155,80 @@ def page_tree(nodes: DataFrame) -> DataFrame:
     in one lazy plan whatever the depth. A package without a root page lists all its nodes at
     depth 0.
     """
-    inst, flds = instances(nodes), fields(nodes)
-    node_pos = inst.filter(F.col("class") == NODE).select("doc_id", F.col("pos").alias("target"))
-    packages = inst.filter(F.col("class") == fixed.CLASS_PACKAGE).groupBy("doc_id").agg(F.min("pos").alias("owner"))
-    roots = resolve(flds.filter("key = 'root'"), inst).join(packages, ["doc_id", "owner"]).join(node_pos, ["doc_id", "target"], "left_semi")
-    edges = list_members(nodes, flds, "children", inst).join(node_pos, ["doc_id", "target"], "left_semi")
-    none = F.lit(None).cast("int")
-    rows = (edges.select("doc_id", F.struct(F.col("owner").cast("int").alias("owner"), F.col("sib").cast("int").alias("sib"),
-                                            F.col("target").cast("int").alias("target")).alias("edge"), none.alias("root"), none.alias("alone"))
-            .unionByName(roots.select("doc_id", F.col("target").cast("int").alias("root")), allowMissingColumns=True)
-            .unionByName(node_pos.select("doc_id", F.col("target").cast("int").alias("alone")), allowMissingColumns=True))
-    trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "alone")])
+    n = lambda c: F.col(c).cast("int").alias(c)
+    known = F.col("target").isNotNull()
+    of = lambda name: (F.col("tag") == "instance") & (class_of(F.col("tok")) == name)
+    rows = nodes.select(
+        "doc_id", F.when((F.col("list_key") == "children") & known, F.struct(F.col("list_owner").cast("int").alias("owner"), n("sib"), n("target"))).alias("edge"),
+        F.when((F.col("key") == "root") & known, F.struct(n("owner"), n("target"))).alias("root"),
+        F.when(of(NODE), F.col("pos").cast("int")).alias("node"), F.when(of(fixed.CLASS_PACKAGE), F.col("pos").cast("int")).alias("package"))
+    trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "node")], F.min("package").alias("package"))
     key = nodes.schema["doc_id"].dataType.simpleString()
     return trees.mapInArrow(_walk, f"doc_id {key}, ps array<struct<page_ord:int,node:int,depth:int>>").select("doc_id", F.inline("ps"))
 
 
-def _pick(flds: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(doc_id, owner, name): the first non-empty text among the fields `keys`."""
-    by = {k: F.max(F.when(F.col("key") == k, F.nullif("value", F.lit("")))) for k in keys}
-    return flds.filter(F.col("key").isin(keys)).groupBy("doc_id", "owner").agg(F.coalesce(*by.values()).alias(name))
-
-
-CONTENT = ["content_w_resourcePaths", "_content", "content"]
+def _first_text(keys: list[str]) -> Column:
+    """The first non-empty text among the fields `keys` of a group of fields."""
+    return F.coalesce(*[F.max(F.when(F.col("key") == k, F.nullif("value", F.lit("")))) for k in keys])
 
 
 def pages(nodes: DataFrame) -> DataFrame:
     """(doc_id, page_ord, depth, title, node)."""
-    inst, flds = instances(nodes), fields(nodes)
-    titled = flds.filter("key in ('_title', 'title')")
-    first = titled.groupBy("doc_id", "owner").agg(F.min_by(F.struct("pos", "tag", "value", "ref_key"), F.when(F.col("key") == "_title", 0).otherwise(1)).alias("f"))
-    own = resolve(first.select("doc_id", "owner", "f.*"), inst).select("doc_id", F.col("owner").alias("node"), F.nullif("value", F.lit("")).alias("direct"), "target")
-    inner = _pick(flds, CONTENT, "inner").withColumnRenamed("owner", "target")
+    rank = F.when(F.col("key") == TITLES[0], 0).otherwise(1)
+    by_owner = fields(nodes).filter(F.col("key").isin(TITLES + CONTENT)).groupBy("doc_id", "owner").agg(
+        F.min_by(F.struct("value", "target"), F.when(F.col("key").isin(TITLES), F.struct(rank, "pos"))).alias("own"), _first_text(CONTENT).alias("inner"))
+    own = by_owner.select("doc_id", F.col("owner").alias("node"), F.nullif("own.value", F.lit("")).alias("direct"), F.col("own.target").alias("target"))
+    inner = by_owner.select("doc_id", F.col("owner").alias("target"), "inner")
     t = page_tree(nodes).join(own, ["doc_id", "node"], "left").join(inner, ["doc_id", "target"], "left")
     return t.select("doc_id", "page_ord", "depth", F.coalesce("direct", "inner", F.lit("Página sin título")).alias("title"), "node")
 
 
+def package_info(nodes: DataFrame) -> DataFrame:
+    """(doc_id, title, author, language, error): a package's own texts, and why it cannot be read, null if it can."""
+    is_a = lambda name: (F.col("tag") == "instance") & (class_of(F.col("tok")) == name)
+    first = F.min(F.when(is_a(fixed.CLASS_PACKAGE), F.col("pos"))).over(Window.partitionBy("doc_id"))
+    mine = F.col("owner") == F.col("_package")
+    text = lambda k: F.coalesce(F.max(F.when(mine & (F.col("key") == k), F.col("value"))), F.lit(""))
+    error = F.when(F.max("_package").isNull(), fixed.ERR_NO_PACKAGE).when(F.count_if(is_a(NODE)) == 0, fixed.ERR_NO_PAGES)
+    return nodes.withColumn("_package", first).groupBy("doc_id").agg(
+        T.blank_to(text("_title"), F.lit(fixed.PACKAGE_TITLE)).alias("title"), text("_author").alias("author"), text("_lang").alias("language"), error.alias("error"))
+
+
+def text_areas(nodes: DataFrame) -> DataFrame:
+    """(doc_id, target, pos, html): the text fields below a widget, at any depth and behind closed inner widgets. A field looks for
+    the last widget opened at each level above its own."""
+    widgets = list_members(nodes, "idevices").select("doc_id", F.col("target").alias("pos")).distinct().withColumn("_widget", F.lit(True))
+    is_area = F.col("class").endswith(".TextAreaField")
+    i = instances(nodes).join(widgets, ["doc_id", "pos"], "left").filter(is_area | F.col("_widget"))
+    above = F.when(is_area & (F.col("depth") > 1), F.sequence(F.lit(1), (F.col("depth") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    own = F.when(F.col("_widget"), F.array(F.col("depth").cast("int"))).otherwise(F.array().cast("array<int>"))
+    i = i.select("doc_id", "pos", "depth", "close_pos", "_widget", F.explode(F.concat(above, own)).alias("lvl"))
+    held = F.when(F.col("lvl") == F.col("depth"), F.struct("pos", "close_pos"))
+    w = F.last(held, ignorenulls=True).over(upto(Window.partitionBy("doc_id", "lvl").orderBy("pos")))
+    inside = i.withColumn("w", w).filter((F.col("lvl") < F.col("depth")) & (F.col("w.close_pos") > F.col("pos")))
+    html = fields(nodes).filter(F.col("key").isin(CONTENT)).groupBy("doc_id", F.col("owner").alias("pos")).agg(_first_text(CONTENT).alias("html"))
+    return inside.select("doc_id", F.col("w.pos").alias("target"), "pos").join(html, ["doc_id", "pos"]).filter(T.strip(F.col("html")) != "")
+
+
 def items(nodes: DataFrame, pgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, warnings): items(doc_id, page_ord, item_ord, type, title, field_ord, html)
     with one row per HTML field; widgets without text become warnings."""
-    inst, flds = instances(nodes), fields(nodes)
-    members = list_members(nodes, flds, "idevices", inst).join(
+    members = list_members(nodes, "idevices").join(
         pgs.select("doc_id", "page_ord", F.col("title").alias("page_title"), F.col("node").alias("owner")), ["doc_id", "owner"])
-    i = members.join(inst.select("doc_id", F.col("pos").alias("target"), "close_pos", "class"), ["doc_id", "target"])
-    names = (flds.filter(F.col("key").isin("_title", "_iDeviceDir", "_typeName", "__name__")).groupBy("doc_id", F.col("owner").alias("target"))
-             .agg(*[F.max(F.when(F.col("key") == k, F.nullif("value", F.lit("")))).alias(a)
-                    for k, a in (("_title", "t"), ("_iDeviceDir", "dir"), ("_typeName", "tn"), ("__name__", "gn"))]))
+    i = members.join(instances(nodes).select("doc_id", F.col("pos").alias("target"), "class"), ["doc_id", "target"])
+    names = (fields(nodes).filter(F.col("key").isin("_title", "_iDeviceDir", "_typeName", "__name__")).groupBy("doc_id", F.col("owner").alias("target"))
+             .agg(*[_first_text([k]).alias(a) for k, a in (("_title", "t"), ("_iDeviceDir", "dir"), ("_typeName", "tn"), ("__name__", "gn"))]))
     i = i.join(names, ["doc_id", "target"], "left")
     last = F.element_at(F.split("class", r"\."), -1)
     kind = (F.when(F.col("class").endswith(".JsIdevice"), F.coalesce("dir", "tn", last))
             .when(F.col("class").endswith(".GenericIdevice"), F.coalesce("gn", last)).otherwise(last))
-    i = i.select("doc_id", "page_ord", "page_title", F.col("sib").alias("item_ord"), "target", "close_pos", kind.alias("type"),
-                 T.strip(F.coalesce("t", F.lit(""))).alias("title"))
-    # a text field belongs to the last widget opened before it that is still open
-    areas = inst.filter(F.col("class").endswith(".TextAreaField")).select("doc_id", "pos")
-    marks = inst.join(i.select("doc_id", F.col("target").alias("pos")).distinct(), ["doc_id", "pos"], "left_semi").select(
-        "doc_id", "pos", F.struct("pos", "close_pos").alias("w"))
-    seq = areas.withColumn("w", F.lit(None).cast("struct<pos:int,close_pos:int>")).withColumn("area", F.lit(True)).unionByName(marks.withColumn("area", F.lit(False)))
-    seq = seq.withColumn("w", F.last("w", ignorenulls=True).over(upto(_win()))).filter("area and w.close_pos > pos")
-    html = _pick(flds, CONTENT, "html").withColumnRenamed("owner", "pos")
-    f = seq.select("doc_id", "pos", F.col("w.pos").alias("target")).join(html, ["doc_id", "pos"]).filter(T.strip(F.col("html")) != "")
+    i = i.select("doc_id", "page_ord", "page_title", F.col("sib").alias("item_ord"), "target", kind.alias("type"), T.strip(F.coalesce("t", F.lit(""))).alias("title"))
+    f = text_areas(nodes)
     f = f.withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_id", "target").orderBy("pos")) - 1)
-    full = i.join(f.select("doc_id", "target", "field_ord", "html"), ["doc_id", "target"])
-    bare = i.join(f.select("doc_id", "target"), ["doc_id", "target"], "left_anti")
-    warn = bare.select("doc_id", "page_ord", "item_ord", F.concat(
+    both = i.join(f.select("doc_id", "target", "field_ord", "html"), ["doc_id", "target"], "left")
+    warn = both.filter("field_ord is null").select("doc_id", "page_ord", "item_ord", F.concat(
         F.lit("En la página «"), "page_title", F.lit("»: iDevice «"), T.blank_to(F.col("title"), F.col("type")), F.lit("» sin texto extraíble, omitido.")).alias("warning"))
-    return full.select("doc_id", "page_ord", "item_ord", "type", "title", "field_ord", "html"), warn
+    return both.filter("field_ord is not null").select("doc_id", "page_ord", "item_ord", "type", "title", "field_ord", "html"), warn
 
 
 def summary(pgs: DataFrame, itms: DataFrame, resources: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -244,10 +244,23 @@ def src_legacy_package(spark, sf):
 @query("join_references", PKG + "select doc_id, (i * 10 + 100)::VARCHAR as ref_key, 'exe.engine.node.Node' as class from kid where o >= 0 and g = 0 and i % 5 = 2")
 def join_references(spark, sf):
     n = nodes(spark, sf)
-    inst = E.instances(n)
-    refs = n.filter("tag = 'reference'").select("doc_id", "pos", "tag", T.attr(F.col("tok"), "key").alias("ref_key"))
-    r = E.resolve(refs, inst)
-    return r.join(inst.select("doc_id", F.col("pos").alias("target"), "class"), ["doc_id", "target"]).select("doc_id", "ref_key", "class")
+    refs = n.filter("tag = 'reference'").select("doc_id", "target", T.attr(F.col("tok"), "key").alias("ref_key"))
+    named = E.instances(n).select("doc_id", F.col("pos").alias("target"), "class")
+    return refs.join(named, ["doc_id", "target"]).select("doc_id", "ref_key", "class")
+
+
+@query("legacy_package_info", """select doc_id, case when doc_id % 4 = 0 then 'Documento' else 'Título de ' || source end as title, 'Autor ' || lang as author,
+  lang as language, case when doc_id % 11 = 5 then 'El paquete no contiene ninguna página.' end as error from documents""")
+def legacy_package_info(spark, sf):
+    """Metadata of packages; titles carry an escape of the old writer, some packages have no page."""
+    d = table(spark, sf, "documents").filter("doc_id is not null")
+    key = lambda k, v: F.concat(F.lit(f'<string role="key" value="{k}"></string><unicode value="'), v, F.lit('"></unicode>'))
+    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("T\\xedtulo de "), F.col("source")))
+    page = F.when(F.col("doc_id") % 11 != 5, F.concat(F.lit('<string role="key" value="root"></string><instance class="exe.engine.node.Node" reference="3"><dictionary>'),
+                                                      key("_title", F.lit("other")), F.lit("</dictionary></instance>"))).otherwise("")
+    xml = F.concat(F.lit('<instance class="exe.engine.package.Package" reference="2"><dictionary>'), key("_title", title), key("_author", F.concat(F.lit("Autor "), "lang")),
+                   key("_lang", F.col("lang")), page, F.lit("</dictionary></instance>"))
+    return E.package_info(E.xml_nodes(d.select("doc_id", xml.alias("xml"))))
 
 
 SRC = """case line_no % 6 when 0 then 'https://e.com/a.png' when 1 then 'data:image/png;base64,AAAA' when 2 then 'resources/my%20pic' || cast(line_no as string) || '.png' when 3 then './none.png'

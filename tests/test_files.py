@@ -95,6 +95,52 @@ def test_legacy_package(spark):
     assert [r.warning for r in warn.collect()] == ["En la página «Presentación»: iDevice «text» sin texto extraíble, omitido."]
 
 
+def test_word_blocks_nested(spark):
+    p = lambda inner: f"<w:p>{inner}</w:p>"
+    t = lambda text: f"<w:r><w:t>{text}</w:t></w:r>"
+    link = lambda a: f'<w:hyperlink w:anchor="{a}">{t(a)}</w:hyperlink>'
+    table = lambda inner: f"<w:tbl><w:tr><w:tc>{inner}</w:tc></w:tr></w:tbl>"
+    doc = ("<w:document><w:body>" + p(t("one")) + table(p(t("a")) + table(p(t("b"))) + p(t("c"))) + "<w:p/>"
+           + p(t("box") + "<w:txbxContent>" + p(t("in")) + "</w:txbxContent>" + t("end")) + p(link("other") + link("_Toc7"))
+           + "<w:sdt><w:sdtContent>" + p(t("toc")) + "</w:sdtContent></w:sdt>" + '<w:p w:x="1"><w:pPr/>' + t("last") + "</w:p><w:sectPr/></w:body></w:document>")
+    d = spark.createDataFrame([(1, doc), (2, "<w:document><w:body></w:body></w:document>"), (3, None)], "doc bigint, xml string")
+    got = [(r.i, r.node, r.text, r.anchor) for r in D.raw_blocks(d).orderBy("i").collect()]
+    assert got == [(0, "p", "one", None), (1, "tbl", None, None), (2, "p", "", None), (3, "p", "boxinend", None), (4, "p", "other_Toc7", "_Toc7"),
+                   (5, "sdt", None, None), (6, "p", "last", None)]
+
+
+def test_image_containers_of_one_kind(spark):
+    inner = '<wp:anchor><wp:extent cx="9525" cy="9525"/></wp:anchor>'
+    doc = f'<wp:inline><wp:extent cx="19050" cy="28575"/>{inner}<a:blip r:embed="r"/></wp:inline><w:pict><v:imagedata r:id="x"/></w:pict>'
+    d = spark.createDataFrame([(1, doc)], "doc bigint, xml string")
+    assert [(r.img_ord, r.w, r.h) for r in D.image_sizes(d).orderBy("img_ord").collect()] == [(0, 2, 3), (1, None, None)]
+
+
+def test_old_escapes(spark):
+    rows = ["plain", "a\\xe9\\x41\\x01\\xzz \\ b", "\\x0A", None]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string")
+    assert [r.v for r in d.orderBy("i").select(E.repair_escapes(F.col("s")).alias("v")).collect()] == ["plain", "aéA\\x01\\xzz \\ b", "\n", None]
+
+
+def test_fields_behind_a_nested_widget(spark):
+    """A field after a closed inner widget belongs to the outer one, a field of the inner widget to both."""
+    area = lambda v: (f'<instance class="x.TextAreaField"><dictionary><string role="key" value="content"/><unicode value="{v}"/></dictionary></instance>')
+    wid = lambda inner: f'<instance class="x.Idevice"><dictionary><string role="key" value="fields"/><list>{inner}</list></dictionary></instance>'
+    held = f'<instance class="y"><dictionary><string role="key" value="idevices"/><list>{wid(area("in"))}</list></dictionary></instance>'
+    xml = f'<instance class="n"><dictionary><string role="key" value="idevices"/><list>{wid(area("a") + held + area("b"))}</list></dictionary></instance>'
+    n = E.xml_nodes(spark.createDataFrame([(1, xml)], "doc_id bigint, xml string"))
+    got = [(r.target, r.html) for r in E.text_areas(n).orderBy("target", "pos").collect()]
+    outer, inner = got[0][0], got[-1][0]
+    assert got == [(outer, "a"), (outer, "in"), (outer, "b"), (inner, "in")] and outer < inner
+
+
+def test_package_errors(spark):
+    d = spark.createDataFrame([(1, "<instance class='z'/>"), (2, '<instance class="exe.engine.package.Package"/>')], "doc_id bigint, xml string")
+    got = {r.doc_id: (r.title, r.author, r.error) for r in E.package_info(E.xml_nodes(d)).collect()}
+    assert got == {1: ("Documento", "", "El contentv3.xml no contiene un paquete de eXeLearning reconocible."),
+                   2: ("Documento", "", "El paquete no contiene ninguna página.")}
+
+
 def test_catalogue_file(spark, tmp_path):
     f = tmp_path / "c.json"
     f.write_text('{"themes": [{"id": "a", "name": "A"}]}', encoding="utf-8")

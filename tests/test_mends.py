@@ -42,9 +42,11 @@ def test_page_order_of_a_large_and_deep_package():
     edges = [{"owner": 0, "sib": i, "target": i + 1} for i in range(2500)] + [{"owner": 5, "sib": 0, "target": 9000}, {"owner": 9000, "sib": 0, "target": 5}]
     edges += [{"owner": n, "sib": 1, "target": n + 1} for n in range(9000, 12000)]
     kind = pa.list_(pa.struct([("owner", pa.int32()), ("sib", pa.int32()), ("target", pa.int32())]))
-    ints = pa.list_(pa.int32())
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([edges, [], []], kind), pa.array([[0], [], []], ints), pa.array([[], [4, 2], []], ints)],
-                                       names=["doc_id", "edge", "root", "alone"])
+    ints, roots = pa.list_(pa.int32()), pa.list_(pa.struct([("owner", pa.int32()), ("target", pa.int32())]))
+    known = [*range(2501), *range(9000, 12001)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([edges, [], []], kind), pa.array([[{"owner": 20000, "target": 0}], [], []], roots),
+                                        pa.array([known, [4, 2], []], ints), pa.array([20000, None, None], pa.int32())],
+                                       names=["doc_id", "edge", "root", "node", "package"])
     (out,) = E._walk([batch])
     big, flat, none = out.column(1).to_pylist()
     assert len(big) == 1 + 2500 + 3001 and max(p["depth"] for p in big) == 3002
