@@ -153,6 +153,13 @@ def src_archive_entries(spark, sf):
     return e.select("path", "entry", "entry_ord", F.sha2("content", 256).alias("sha"))
 
 
+@query("src_archive_errors", "select 'z' || doc_id as path, 'not an archive' as error from documents where doc_id % 7 = 3")
+def src_archive_errors(spark, sf):
+    """Every seventh archive is cut off before its directory."""
+    cut = F.when(F.substring("path", 2, 20).cast("long") % 7 == 3, F.substring("content", 1, 40)).otherwise(F.col("content"))
+    return A.failures(archives(spark, sf).select("path", cut.alias("content"))).select("path", "error")
+
+
 @query("archive_unwrap_root", f"with {ENT} select path, n as entry from ent")
 def archive_unwrap_root(spark, sf):
     return A.unwrap_root(A.entries(archives(spark, sf)).select("path", "entry")).select("path", "entry")

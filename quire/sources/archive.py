@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 
-ENTRY = "path string, entry string, entry_ord int, content binary"
+ENTRY = "path string, entry string, entry_ord int, content binary, error string"
+NO_ARCHIVE, NO_ENTRY = "not an archive", "unreadable entry"
 
 
 def _reader(wanted: str | None, flush_bytes: int = 8 << 20):
@@ -25,39 +26,52 @@ def _reader(wanted: str | None, flush_bytes: int = 8 << 20):
 
     def read(batches):
         import pandas as pd
-        names = ["path", "entry", "entry_ord", "content"]
+        names = ["path", "entry", "entry_ord", "content", "error"]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"entry_ord": "Int32"})
         rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
                 except (zipfile.BadZipFile, TypeError):
-                    continue  # not an archive: no entries
+                    rows.append((path, None, None, None, NO_ARCHIVE))
+                    continue
                 with z:
                     for n, info in enumerate(z.infolist()):
                         if pattern and not pattern.search(info.filename):
                             continue
                         try:
-                            data = z.read(info)
+                            data, error = z.read(info), None
                         except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
-                            continue  # a damaged entry is an absent one
-                        rows.append((path, info.filename, n, data))
-                        held += len(data)
+                            data, error = None, NO_ENTRY
+                        rows.append((path, info.filename, n, data, error))
+                        held += len(data or b"")
                         # what is held is a few megabytes, never a whole archive
                         if held >= flush_bytes or len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=names)
+                            yield frame(rows)
                             rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield frame(rows)
     return read
 
 
-def entries(archives: DataFrame, wanted: str | None = None) -> DataFrame:
-    """(path, entry, entry_ord, content) of archives(path, content); `wanted` is a regular
-    expression over entry names."""
+def read_entries(archives: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(path, entry, entry_ord, content, error) of archives(path, content); `wanted` is a regular
+    expression over entry names. A file that is no archive and an entry that cannot be read are
+    rows with an error and without content."""
     return archives.select("path", "content").mapInPandas(_reader(wanted), ENTRY)
 
 
+def entries(archives: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(path, entry, entry_ord, content): the readable entries alone; `failures` has the others."""
+    return read_entries(archives, wanted).filter("error is null").drop("error")
+
+
+def failures(archives: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(path, entry, error): what could not be read; entry is null where the whole file could not."""
+    return read_entries(archives, wanted).filter("error is not null").select("path", "entry", "error")
+
+
 def read_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 

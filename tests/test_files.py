@@ -57,6 +57,11 @@ def test_archives(spark):
     d = spark.createDataFrame([(p, bytearray(b)) for p, b in files.items()], "path string, content binary")
     assert {(r.path, r.entry) for r in A.entries(d, r"core\.xml$").collect()} == {("w.docx", "docProps/core.xml")}
     assert D.core_properties(D.parts(d, D.CORE)).first().title == "T & U"
+    hurt = bytearray(zipped({"a": "x" * 50, "b": "y"}))
+    hurt[33] ^= 0xFF  # within the packed bytes of the first entry
+    bad = spark.createDataFrame([("hurt.zip", hurt), ("bad.docx", bytearray(b"no zip")), ("none.zip", None)], "path string, content binary")
+    assert {tuple(r) for r in A.failures(bad).collect()} == {("hurt.zip", "a", A.NO_ENTRY), ("bad.docx", None, A.NO_ARCHIVE), ("none.zip", None, A.NO_ARCHIVE)}
+    assert [(r.entry, r.entry_ord) for r in A.entries(bad).collect()] == [("b", 1)]
     deep = A.entries(d.filter("path = 'deep.zip'"))
     assert {r.entry for r in A.unwrap_root(deep).collect()} == {"s/config.xml", "s/x/style.css"}
     assert {r.entry for r in A.unwrap_root(deep, deep=True).collect()} == {"config.xml", "x/style.css"}
