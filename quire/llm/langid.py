@@ -1,8 +1,8 @@
 """Language identification by cross-parsing: a text is cut greedily into the longest phrases that a language's labelled text holds;
 the language that needs the fewest phrases, weighed by the bits that point to a place in its text, wins.
 
-Each language's suffix automaton becomes a table of transitions; a missing one starts the next phrase. All texts of a batch walk
-their tables in step, in stretches of `STRETCH` code points that start a phrase of their own.
+Each language's suffix automaton becomes an array of its transitions alone, so the alphabet has no limit: every learned letter is a
+symbol. A missing transition starts the next phrase. All texts of a batch walk their arrays in step, in stretches of `STRETCH` code points that start a phrase of their own.
 
 Learned from a bounded sample: per language at most `SAMPLE_DOCS` labelled documents in the order of a hash of their ids, of which
 as many as give `SAMPLE_CHARS` code points. Whole texts are scored.
@@ -64,32 +64,51 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+def packed(go: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An automaton's transitions in one array, and those of its start. A state is the number from which its transitions are laid:
+    place state + symbol holds (state, next state, 0), rows of several states interleaved. The start is 0 and has no places, as what
+    a state lacks is found in the second array: by symbol (next state, 1), the mark of a new phrase."""
+    places = 1 << (3 * sum(map(len, go)) + width).bit_length()
+    owner, to, base = [-1] * places, [0] * places, [0] * len(go)
+    used, at = {0}, 0
+    for state in sorted(range(1, len(go)), key=lambda s: (-len(go[s]), s)):
+        row = go[state]
+        for _ in range(64):  # a sequence that meets every number
+            at = (at * 0x5851F42D + 0x3C6EF35F) % places
+            if at not in used and at + width <= len(owner) and all(owner[at + c] < 0 for c in row):
+                break
+        else:
+            at = len(owner)
+            owner += [-1] * width
+            to += [0] * width
+        used.add(at)
+        base[state] = at
+        for c, target in row.items():
+            owner[at + c], to[at + c] = at, target
+        at %= places
+    base = np.array(base, dtype=np.int64)
+    table = np.array(owner + [-1] * width, dtype=np.int64) << 32 | base[np.array(to + [0] * width)] << 1
+    start = np.ones(width, dtype=np.int64)  # a symbol the language lacks is a phrase, then a new start
+    for c, target in go[0].items():
+        start[c] = base[target] << 1 | 1
+    start[PAD] = 0  # ends a stretch, without a phrase
+    return table, start
+
+
 class Model:
-    """samples: (language, text), sorted."""
+    """samples: (language, text), sorted. Every letter of the samples has a symbol of its own; UNKNOWN is any other letter, BLANK
+    what is no letter."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
-        letters = sorted({c for _, text in samples for c in plain(text) if c.isalpha()})[:250]
-        self.code = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        for point in range(0x3000):
-            if not chr(point).isalpha():
-                self.code[point] = BLANK
-        for i, c in enumerate(letters):
-            self.code[ord(c)] = PAD + 1 + i
+        letters = sorted({c for _, text in samples for c in plain(text) if c.isalpha()})
         width = PAD + 1 + len(letters)
-        self.tables, self.bits, self.width = [], [], width
+        self.code = np.where(np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000), UNKNOWN, BLANK).astype(np.min_scalar_type(width))
+        self.code[np.array([ord(c) for c in letters], dtype=np.int64)] = np.arange(PAD + 1, width)
+        self.tables, self.bits = [], []
         for _, text in samples:
             symbols = self.symbols(text)
-            go = automaton(symbols)
-            table = np.full((len(go), width), -1, dtype=np.int32)
-            for state, to in enumerate(go):
-                for c, target in to.items():
-                    table[state, c] = target * width * 2
-            start = np.where(table[0] < 0, 1, table[0] | 1)  # a symbol the language lacks is a phrase, then a new start
-            table = np.where(table < 0, start[None, :], table)
-            table[0] = start
-            table[:, PAD] = 0  # ends a stretch, without a phrase
-            self.tables.append(table.ravel())
+            self.tables.append(packed(automaton(symbols), width))
             self.bits.append(np.log2(max(len(symbols), 2)))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -107,15 +126,16 @@ class Model:
         for at in range(0, len(cut), LANES):
             lanes = order[at:at + LANES]
             size = np.array([len(cut[i]) for i in lanes])
-            block = np.full((len(lanes), size[0]), PAD, dtype=np.uint8)
+            block = np.full((len(lanes), size[0]), PAD, dtype=self.code.dtype)
             for j, i in enumerate(lanes):
                 block[j, :size[j]] = cut[i]
             steps = np.ascontiguousarray(block.T).astype(np.int32)
             live = [int(np.searchsorted(-size, -t, side="left")) for t in range(len(steps))]  # lanes longer than t
-            for k, table in enumerate(self.tables):
-                state, count = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
+            for k, (table, start) in enumerate(self.tables):
+                state, count = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
                 for t, n in enumerate(live):
                     v = table[state[:n] + steps[t, :n]]
+                    v = np.where(v >> 32 == state[:n], v & 0xFFFFFFFF, start[steps[t, :n]])
                     count[:n] += v & 1
                     np.right_shift(v, 1, out=state[:n])
                 np.add.at(out[:, k], owner[lanes], count)

@@ -144,6 +144,22 @@ def test_phrases_by_brute_force():
     assert model.phrases(texts).tolist() == want
 
 
+def test_every_learned_letter_has_a_symbol():
+    """Two languages of large scripts: letters far beyond one byte's worth stay apart."""
+    rng = np.random.default_rng(5)
+    run = lambda low, n: "".join(map(chr, rng.integers(low, low + 3000, n)))
+    latin, han, hangul = "the quick brown fox jumps over it " * 9, run(0x4E00, 6000), run(0xAC00, 6000)
+    model = langid.Model((("en", latin), ("ko", hangul), ("zh", han)))
+    letters = sorted({c for c in latin + han + hangul if c.isalpha()})
+    assert len({int(model.code[ord(c)]) for c in letters} - {langid.UNKNOWN, langid.BLANK, langid.PAD}) == len(letters) > 5000
+    assert model.code[ord("\u042f")] == langid.UNKNOWN and {model.code[ord(c)] for c in " 7\u3002\U0001f600"} == {langid.BLANK}
+    texts = [han[100:160], hangul[700:760], han[5:9] + hangul[3:8] + "\u042f fox", hangul[::-1][:300]]
+    as_text = lambda t: "".join(map(chr, model.symbols(t).tolist()))
+    want = [[brute_phrases(as_text(t), as_text(s)) for s in (latin, hangul, han)] for t in texts]
+    assert model.phrases(texts).tolist() == want
+    assert model.predict(texts)[0][:2] == ["zh", "ko"]
+
+
 def test_language_of_odd_texts(docs_of):
     samples = (("de", "der die das und ist nicht ein eine mit von " * 5), ("en", "the and of to in is that it was for " * 5))
     got = {(r["doc_id"], r["text"]): r for r in langid.identify(docs_of([*ODD, (8, "that is the one and only"), (9, "12 34 !!")]), samples).collect()}
