@@ -49,7 +49,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: A-Z alone, and exactly the six blanks
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(words) <= width:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n, out = len(h) - width + 1, np.zeros(len(h) - width + 1, dtype=np.uint64)

@@ -55,6 +55,13 @@ def test_neardup_equals_brute_force(docs_of):
     assert neardup.group(docs_of([(None, "a b"), (None, None)])).where("component_id is null").count() == 2
 
 
+def test_neardup_texts_of_one_repeated_word(docs_of):
+    """A text of exactly `width` words has the hash of that shingle in longer texts."""
+    rows = [(1, "x x x x"), (2, "x x x x x x"), (3, "x x x"), (4, "y y y y y"), (5, "Y y y y")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.group(docs_of(rows), width=4).collect()}
+    assert got == brute_components(rows) and [got[i][1] for i in range(1, 6)] == [1, 1, 3, 4, 4]
+
+
 def test_sketches_merge_and_estimate():
     a, b = (neardup.shingles(" ".join(words(s, 400)).encode(), 4) for s in (1, 2))
     both = np.unique(np.concatenate([a, b]))
