@@ -2,7 +2,8 @@
 
 1. Every document gets its set of shingle hashes, a fingerprint of that set and a SetSketch: per register the smallest of its
    shingles' exponential values, written as a truncated exponent. Registers merge by maximum and agree about as often as the sets do.
-2. Documents with one fingerprint are copies; the one with the smallest id stands for them.
+2. Documents with one fingerprint are copies and become one representative. It goes by a number of the set, a hash of the
+   fingerprint that no other set has; ids come back when components are formed: sets that share an id are linked.
 3. Bands of registers put representatives into buckets. A bucket does not emit its pairs: each member is compared with the bucket's
    hub, the member that shares most places with others. The sets themselves confirm links; links are contracted to components.
 4. What is left are buckets that still hold several components. Their members outside the largest component meet all others in
@@ -130,6 +131,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, registers binary")
 
 
+def number(salt: int) -> Column:
+    """The number of a set."""
+    return F.xxhash64("fp1", "fp2", "n_shingles", F.lit(salt))
+
+
 def places(reps: DataFrame) -> DataFrame:
     """reps(doc, registers) -> band, place, doc: the buckets a document lies in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,17 +159,20 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of the wanted(doc) documents: doc, held (sorted hashes)."""
+    """The shingle sets of the wanted(doc_id) documents: fp1, fp2, n_shingles, held (sorted hashes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [shingles(t, width).tobytes() for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["doc", "held"])
+            held = [shingles(t, width).tobytes() for t in texts_of(b.column(0))]
+            halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held)), dtype="<i8").reshape(-1, 2)
+            n = pa.array([len(h) // 8 for h in held], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), n, pa.array(held, pa.binary())], names=["fp1", "fp2", "n_shingles", "held"])
 
     wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    return rows.mapInArrow(run, "doc long, held binary")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    return rows.mapInArrow(run, "fp1 long, fp2 long, n_shingles long, held binary").where(F.col("n_shingles") > 0)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,6 +219,23 @@ def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
+def with_first_id(sets: DataFrame) -> DataFrame:
+    """sets(doc, comp, first_id, ...) with comp as the smallest id of the component's documents."""
+    of_several = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("least")).where("n > 1").drop("n")
+    of_several = stored(of_several, "least-ids")
+    if of_several.count() <= BROADCAST_IDS:
+        of_several = F.broadcast(of_several)
+    return sets.join(of_several, "comp", "left").withColumn("comp", F.coalesce("least", "first_id")).drop("least")
+
+
+def one_id(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, doc) -> a, b: links of the sets that share an id."""
+    several = stored(rows.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b <> last").drop("last"), "repeated-ids")
+    if several.isEmpty():
+        return several.select(F.col("b").alias("a"), "b")
+    return rows.join(several, "doc_id").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+
+
 def own_shingles(sets: DataFrame) -> DataFrame:
     """sets(doc, held) -> doc, own: how many shingles of a document no other of these documents has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,21 +303,25 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     (it is that one); one row a row of docs."""
     table = stored(sketches(docs, width), "sketches")
     some = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    copies = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min_by("registers", "doc_id").alias("registers"))
-    reps = stored(copies, "representatives")
+    copies = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min_by("registers", "doc_id").alias("registers"))
+    reps, salt = stored(copies, "representatives"), 0
+    while not reps.groupBy(number(salt).alias("doc")).count().where("count > 1").isEmpty():
+        salt += 1
+    reps = reps.withColumn("doc", number(salt))
     buckets = stored(shared_buckets(reps), "shared-buckets")
-    hubs = stored(buckets.groupBy("band", "place").agg(F.max_by("doc", F.struct("reach", -F.col("doc"))).alias("hub")), "hubs")
+    hubs = stored(buckets.groupBy("band", "place").agg(F.max_by("doc", F.struct("reach", F.bitwise_not("doc"))).alias("hub")), "hubs")
 
     starred = buckets.join(hubs, ["band", "place"]).where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    sets = stored(sets_of(docs, buckets.select("doc").distinct(), width).dropDuplicates(["doc"]), "sets")
+    wanted = reps.join(buckets.select("doc").distinct(), "doc", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+    sets = stored(sets_of(docs, wanted, width).select(number(salt).alias("doc"), "held").dropDuplicates(["doc"]), "sets")
     overlaps = stored(confirm(starred.distinct(), sets), "overlaps")
-    links = overlaps.where(linked(percent)).select("a", "b")
+    links = overlaps.where(linked(percent)).select("a", "b").unionByName(one_id(some.select("doc_id", number(salt).alias("doc"))))
     comps = components(links)
     more = stored(confirm(left_pairs(buckets, comps, hubs, overlaps, reps, sets, percent), sets).where(linked(percent)).select("a", "b"), "more-links")
     if not more.isEmpty():
         comps = components(comps.select(F.col("doc").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    of_set = with_component(reps.select("fp1", "fp2", "n_shingles", "doc"), comps).drop("doc")
+    of_set = with_first_id(with_component(reps.select("fp1", "fp2", "n_shingles", "doc", "first_id"), comps)).drop("doc", "first_id")
     rows = table.select("doc_id", "n_shingles", "fp1", "fp2").join(of_set, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(

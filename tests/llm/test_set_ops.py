@@ -62,6 +62,16 @@ def test_neardup_texts_of_one_repeated_word(docs_of):
     assert got == brute_components(rows) and [got[i][1] for i in range(1, 6)] == [1, 1, 3, 4, 4]
 
 
+def test_neardup_ids_that_repeat(docs_of):
+    """An id stands for all its rows: each of its texts has links of its own."""
+    one, two, three = (words(s, 60) for s in (21, 22, 23))
+    near = lambda w, i: " ".join([*w[:57], f"other{i}"])
+    rows = [(8, " ".join(one)), (8, " ".join(two)), (2, near(one, 1)), (9, near(two, 2)), (11, near(two, 3)),  # 8 ties two groups
+            (5, " ".join(three)), (7, " ".join(three)), (7, " ".join(words(24, 60))), (3, " ".join(words(25, 60)))]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.group(docs_of(rows), width=4).collect()}
+    assert got == {(8, 2), (2, 2), (9, 2), (11, 2), (5, 5), (7, 5), (3, 3)}
+
+
 def test_sketches_merge_and_estimate():
     a, b = (neardup.shingles(" ".join(words(s, 400)).encode(), 4) for s in (1, 2))
     both = np.unique(np.concatenate([a, b]))
