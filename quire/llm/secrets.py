@@ -8,7 +8,8 @@ texts, with the base spans as the tags, by maximum likelihood with a ridge penal
 secrets of a known shape are found.
 
 Tagging is exact Viterbi. Most tokens are plain words: a token whose outside score leads both secret tags by more than the transitions
-can make up for is outside on the best path, so the chain is cut there and only what lies between such tokens is decoded.
+can make up for is outside on the best path, so the chain is cut there and only what lies between such tokens is decoded. As inside
+can't follow outside, an inside after such a token would turn into a begin, and the lead makes up for that loss too.
 
 Defined cases: a null or empty text has no tokens and no spans; very long texts are scanned whole; repeated rows are scanned each; a
 null doc_id is allowed; without any base span to learn from the field adds nothing; empty tables give no rows; columns of the input
@@ -180,14 +181,26 @@ def train(texts: list[str]) -> Field | None:
     return Field(tuple(map(tuple, emit.tolist())), tuple(map(tuple, move.tolist())), tuple(start.tolist()))
 
 
+def needed_leads(move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For begin and inside: what the transitions around a token can lose at most by making it outside, where the next tag is not
+    inside or there is none, and where it is inside and becomes begin."""
+    into = np.vstack([move, start])  # from a tag or the chain's start
+    after = np.hstack([move, np.zeros((3, 1))])  # to a tag or the chain's end
+    ahead = [(into[:, x] - into[:, OUTSIDE]).max() for x in (BEGIN, INSIDE)]
+    stays = [(after[x] - after[OUTSIDE])[[OUTSIDE, BEGIN, 3]].max() for x in (BEGIN, INSIDE)]
+    turns = [move[x, INSIDE] - move[OUTSIDE, BEGIN] + (after[INSIDE] - after[BEGIN]).max() for x in (BEGIN, INSIDE)]
+    return np.add(ahead, stays), np.add(ahead, turns)
+
+
 class Tagger:
     """Spans of a text by Viterbi. A token's scores are sums of table rows by the shape classes of it and its neighbours."""
 
     def __init__(self, field: Field):
         self.emit, free = np.array(field.emit), np.array(field.move)
         self.move, self.start = free + BARRED, np.array(field.start) + BARRED[0]
-        #: by so much the transitions can favour a secret tag at most
-        self.slack = 2 * float(free.max() - free.min()) + float(np.ptp(np.array(field.start)))
+        #: by so much the transitions can favour begin and inside over outside at most: if what follows stays, and if an inside
+        #: that follows turns into a begin
+        self.stays, self.turns = needed_leads(self.move, self.start)
         self.classes: dict[tuple[int, ...], int] = {}
         self.known: dict[str, int] = {}
         self.rows: list[list[np.ndarray]] = [[] for _ in OFFSETS]
@@ -218,13 +231,18 @@ class Tagger:
                 out[:n] += table[ids[offset:]]
         return out
 
+    def sure(self, emit: np.ndarray) -> np.ndarray:
+        """Which tokens are outside on the best path of the whole chain, whatever tags the others have."""
+        lead = emit[:, OUTSIDE, None] - emit[:, 1:]
+        loss = np.append(emit[1:, INSIDE] - emit[1:, BEGIN], -np.inf)  # of the next token, if it turns from inside to begin
+        return ((lead > self.stays + 1e-9) & (lead > self.turns + loss[:, None] + 1e-9)).all(1)
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         words = TOKEN.findall(text)
         if not words:
             return []
         emit = self.scores(words)
-        sure = (emit[:, OUTSIDE, None] - emit[:, 1:]).min(1) > self.slack
-        open_tokens = np.flatnonzero(~sure)
+        open_tokens = np.flatnonzero(~self.sure(emit))
         if not len(open_tokens):
             return []
         tags = np.full(len(words), OUTSIDE)

@@ -70,6 +70,22 @@ def test_cut_chains_decode_as_whole_ones(field):
     assert len(tags) == sum(len(secrets.TOKEN.findall(text[s:e])) for _, s, e in tagger.spans(text))
 
 
+def test_cut_tokens_are_outside_on_the_best_path():
+    """On random fields and emissions, also where the next token is far better as inside than as begin."""
+    rng, cut = np.random.default_rng(4), 0
+    for n in range(3000):
+        move, start = rng.normal(size=(3, 3)), rng.normal(size=3)
+        tagger = secrets.Tagger(secrets.Field(tuple(map(tuple, np.zeros((secrets.WIDTH, 3)))), tuple(map(tuple, move)), tuple(start)))
+        emit = rng.normal(size=(7, 3)) * (2, 5, 15)[n % 3]
+        sure = tagger.sure(emit)
+        cut += int(sure.sum())
+        assert not tagger.viterbi(emit, True, False)[sure].any()
+    assert cut > 1000
+    zero = secrets.Field(tuple(map(tuple, np.zeros((secrets.WIDTH, 3)))), ((0.0,) * 3,) * 3, (0.0,) * 3)
+    emit = np.array([[0, 9, 0], [1, 0, 0.5], [0, -50, 30.0]])  # the middle token leads as outside, but an inside follows
+    assert secrets.Tagger(zero).viterbi(emit, True, False).tolist() == [1, 2, 2] and not secrets.Tagger(zero).sure(emit)[1]
+
+
 def test_secret_scan_of_odd_texts(docs_of, field):
     got = {(r["doc_id"], r["text"]): r for r in secrets.scan(docs_of(ODD), field).collect()}
     assert got[1, None]["spans"] == [] and got[2, ""]["base"] == []
