@@ -11,7 +11,8 @@ Queries and vectors meet in blocks on a grid (`QUERIES` queries, `VECTORS` vecto
 Defined cases: a vector that is null or holds a null or non-finite component takes no part; ties go to the smaller id; shorter
 vectors count as filled up with zeros, an empty one scores 0; rows that repeat id and vector are one, rows with one id and several
 vectors stay candidates each; a null id takes no part; fewer rows than k give fewer results; an empty table gives no rows; other
-columns are ignored. Scores are longs; components must be below 2^52 / 256.
+columns are ignored. Scores are longs and must fit one; components must be below
+2^52 / 256. Where sums of products may pass 2^53, bounds are widened by their rounding error.
 """
 
 from __future__ import annotations
@@ -61,7 +62,12 @@ class Marks:
         least = self.low + cells.astype(np.int64) * self.width
         least, most = least.astype(float), (least + self.width - 1).astype(float)
         up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        return up @ least.T + down @ most.T, up @ most.T + down @ least.T
+        low, high = up @ least.T + down @ most.T, up @ most.T + down @ least.T
+        size, largest = np.abs(queries).astype(float), np.maximum(np.abs(least), np.abs(most))
+        if len(size) and len(largest) and (size @ largest.max(0)).max() >= 2.0 ** 52:  # below it every sum is exact
+            margin = size @ largest.T * ((cells.shape[1] + 4) * np.finfo(float).eps)
+            low, high = low - margin, high + margin
+        return low, high
 
 
 def approximation_file(distinct: DataFrame, marks: Marks) -> DataFrame:

@@ -160,6 +160,20 @@ def test_cuckoo_filter_has_no_false_negatives():
     assert small.kept and small.holds(h1[:100], h2[:100]).all()
 
 
+def test_bounds_hold_beyond_exact_sums():
+    rng = np.random.default_rng(6)
+    for scale in (1 << 10, 1 << 24, 1 << 29):
+        v, q = rng.integers(-scale, scale, (60, 16)), rng.integers(-scale, scale, (20, 16))
+        marks = vafile.Marks(v.min(0), v.max(0), 1 << 31)  # a cell a value: the bounds are the scores, but for rounding
+        marks.quantise = lambda x, m=marks: (x - m.low) // m.width
+        low, high = marks.bounds(marks.quantise(v), q)
+        for i in range(20):
+            for j in range(60):
+                score = sum(int(a) * int(b) for a, b in zip(q[i], v[j], strict=True))
+                assert int(low[i, j]) <= score <= int(high[i, j])
+                assert scale > 1 << 10 or low[i, j] == score == high[i, j]
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     vecs = {i: rng.normal(size=8).round(2).tolist() for i in range(1, 200)}
