@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import chat, decontam, langid, linededup, neardup, packing, rules, secrets, toxicity, vafile
-from .common import fold, learning_sample
+from . import chat, decontam, langid, linededup, manifest, neardup, packing, periodic, rules, secrets, tokencount, toxicity, vafile
+from .common import ascii_lower, fold, learning_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -230,3 +231,147 @@ def secret_scan_crf(spark, sf_dir):
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+#: crc32 of a column `id` in SQL
+CRC_SQL = """xor(list_reduce([ascii(x) for x in string_split(cast(doc_id as varchar), '')], lambda c, b:
+        list_reduce(range(8), lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end, xor(c, b)), 4294967295), 4294967295)"""
+
+
+def hash_sql(text: str) -> str:
+    fields = ["cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE_SQL = f"""
+with recursive hashed as (
+    select doc_id, lang, {hash_sql('text')} as leaf,
+        {hash_sql("case when crc % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end")} as shown
+    from (select *, coalesce({CRC_SQL}, 0) as crc from documents)
+), leaves as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from hashed
+), lower_levels as (
+    select lang, 0 as level, pos as idx, n, leaf as digest from leaves
+    union all
+    select lang, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from lower_levels where n > 1 group by all
+), tops as (
+    select lang, level as height, digest, row_number() over (order by lang nulls first) - 1 as tree, count(*) over () as n from lower_levels where n = 1
+), upper_levels as (
+    select 0 as level, tree as idx, n, digest from tops
+    union all
+    select level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from upper_levels where n > 1 group by all
+), beside as (
+    select a.lang, a.level, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as l,
+        coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as r
+    from lower_levels a join lower_levels b on a.lang is not distinct from b.lang and a.level = b.level and a.idx // 8 = b.idx // 8
+    where a.n > 1 group by all
+), beside_top as (
+    select a.level, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as l,
+        coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as r
+    from upper_levels a join upper_levels b on a.level = b.level and a.idx // 8 = b.idx // 8 where a.n > 1 group by all
+), steps as (
+    select v.lang, v.pos, s.level as step, s.l, s.r
+    from leaves v join beside s on s.lang is not distinct from v.lang and s.idx = v.pos // cast(8 ** s.level as bigint)
+    union all
+    select v.lang, v.pos, t.height + s.level, s.l, s.r
+    from leaves v join tops t on t.lang is not distinct from v.lang join beside_top s on s.idx = t.tree // cast(8 ** s.level as bigint)
+), fold as (
+    select lang, pos, 0 as step, shown as digest from leaves
+    union all
+    select f.lang, f.pos, f.step + 1, sha256(s.l || f.digest || s.r)
+    from fold f join steps s on s.lang is not distinct from f.lang and s.pos = f.pos and s.step = f.step
+), proofs as (select lang, pos, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from steps group by all),
+folded as (select lang, pos, max_by(digest, step) as folded_root from fold group by all)
+select v.doc_id, v.leaf, t.digest as subroot, u.digest as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = u.digest as verified
+from leaves v join tops t on t.lang is not distinct from v.lang join (select digest from upper_levels where n = 1) u on true
+    left join proofs p on p.lang is not distinct from v.lang and p.pos = v.pos
+    join folded f on f.lang is not distinct from v.lang and f.pos = v.pos
+"""
+
+
+@query("op11_merkle_pointer_jumping", MERKLE_SQL)
+def merkle_pointer_jumping(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    return digest_merkle(docs)
+
+
+def digest_merkle(docs: DataFrame) -> DataFrame:
+    """The manifest of docs, each proof folded from the row as shown: in a third of them the text has lost its capitals."""
+    shown = F.when(fold(F.col("doc_id"), 3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    changed = manifest.leaf([*[F.col(f) for f in manifest.FIELDS[:-1]], shown])
+    made = manifest.build(docs, carry=[F.col("doc_id"), changed.alias("shown")])
+    rows = made.rows.select("carried.doc_id", manifest.hexed(F.col("digest")).alias("leaf"), "subroot", F.lit(made.root).cast("string").alias("root"),
+                            made.proof_digest().alias("proof_sha256"), made.folded(F.col("carried.shown")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def piece_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_token_count_resync")
+def token_count_resync(spark, sf_dir):
+    return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe())
+
+
+RUNS_SQL = f"""
+with d as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+        coalesce({CRC_SQL}, 0) as h
+    from documents
+), g as (
+    select *, len(words) as n, h // 10 as g, case when len(words) > 0 then (h // 10) % len(words) end as a from d
+), e as (
+    select *, 1 + (n - a) // (3 + g % 8) as p from g
+), w as (
+    select doc_id, n, case when h % 10 = 0 and n > 0 then
+        list_transform(range(n), lambda i: case when i >= a then words[a + (i - a) % p + 1] else words[i + 1] end) else words end as words from e
+), six as (
+    select doc_id, i, array_to_string(words[i + 1:i + 6], ' ') as gram from (select *, unnest(range(greatest(n - 5, 0))) as i from w)
+), twice as (select x.doc_id, x.i, y.i - x.i as q from six x join six y on x.doc_id = y.doc_id and x.gram = y.gram and x.i < y.i),
+islands as (
+    select doc_id, q, min(i) as s, count(*) + 5 + q as length
+    from (select *, i - row_number() over (partition by doc_id, q order by i) as island from twice) group by doc_id, q, island
+), runs as (
+    select doc_id, s, length, min(q) as q from islands where length >= greatest(12, 2 * q) group by doc_id, s, length
+), dropped as (select distinct doc_id, unnest(range(s + q, s + length)) as i from runs),
+kept as (
+    select w.doc_id, string_agg(w.words[x.i + 1], ' ' order by x.i) as collapsed
+    from (select doc_id, unnest(range(n)) as i from w) x join w using (doc_id) left join dropped on dropped.doc_id = x.doc_id and dropped.i = x.i
+    where dropped.i is null group by w.doc_id
+), r as (
+    select doc_id, count(*) as n_runs, first(s order by length desc, s, q) as start, first(length order by length desc, s, q) as length,
+        first(q order by length desc, s, q) as period, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as listed
+    from runs group by doc_id
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+    sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from w left join r using (doc_id) left join kept using (doc_id)
+"""
+
+
+def planted_words(row: dict) -> list[bytes]:
+    """The words of a document; where its number says so, they repeat with a period from some place on."""
+    words, h = periodic.words_of(row["text"]), zlib.crc32(b"" if row["doc_id"] is None else str(row["doc_id"]).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs_baier", RUNS_SQL)
+def periodic_runs_baier(spark, sf_dir):
+    return digest_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def digest_runs(docs: DataFrame) -> DataFrame:
+    found = periodic.find(docs, words=planted_words)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("shorter"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", (-F.col("top.back")).alias("start"), "top.length", (-F.col("top.shorter")).alias("period"),
+                       F.floor(1000 * F.col("top.length") / -F.col("top.shorter")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
