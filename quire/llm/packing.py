@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 END_ID = 2
 POOL_WINDOWS = 64
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
+WORDS_AT_ONCE = 1 << 14
 SLICE_BYTES = 1 << 22
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 #: characters that some take for blanks and the tokenizer doesn't
 SEPARATORS = "[\\x1c-\\x1f]"
-#: what a chunk may end with; the tokenizer starts a new piece between a letter and these
-TAIL = ",."
+#: a letter and ASCII punctuation (no apostrophe) at a word's end: the tokenizer starts a new piece between them, so a blank changes nothing
+TAIL = "(\\pL)([!-&(-/:-@\\[-`{-~]+)(\\s|$)"
 
 _encoders: dict = {}
 
@@ -50,6 +51,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
         encoded = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
@@ -61,14 +63,25 @@ class Encoder:
         data, cuts = flat.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def learn(self, words: list[str]) -> None:
-        stems = {w: w[:-1] if w[-1] in TAIL and w[:-1].isalpha() else w for w in words}
-        ask = {*stems.values(), *(w[-1] for w in words if stems[w] != w)}.difference(self.known)
-        plain = [w for w in ask if w.isalpha()]
-        other = [w for w in ask if not w.isalpha()]
-        self.known.update(zip(plain, self.letters(plain), strict=True))
-        self.known.update(zip(other, self.ids(other), strict=True))
-        self.known.update({w: self.known[s] + self.known[w[-1]] for w, s in stems.items() if s != w})
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not known."""
+        plain, other = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        got = dict(zip(other, self.ids(other), strict=True))
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[i:i + WORDS_AT_ONCE]
+            got.update(zip(part, self.letters(part), strict=True))
+        return got
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Words not seen for WORDS_KEPT others are forgotten, so usual ones stay."""
+        parts = list(map(self.known.get, words))
+        new = [w for w, p in zip(words, parts, strict=True) if p is None]
+        got = dict(zip(new, map(self.older.get, new), strict=True))
+        got.update(self.learn([w for w, p in got.items() if p is None]))
+        self.known.update(got)
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {"": b""}, self.known
+        return [got[w] if p is None else p for w, p in zip(words, parts, strict=True)]
 
     def encode(self, column: pa.StringArray) -> list[bytes]:
         """The ids of each text; null as the empty text."""
@@ -76,16 +89,10 @@ class Encoder:
         odd = {i for i, t in enumerate(texts) if t and not t.isascii() and ("\u0130" in t or not unicodedata.is_normalized("NFC", t))}
         odd.update(np.flatnonzero(pc.match_substring_regex(column.fill_null(""), SEPARATORS).to_numpy(zero_copy_only=False)).tolist())
         plain = pa.array(["" if i in odd or t is None else t for i, t in enumerate(texts)], pa.large_string())
-        words = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), TAIL, "\\1 \\2\\3"))
         coded = words.flatten().dictionary_encode()
         names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        if len(self.known) > WORDS_KEPT:
-            self.known = {"": b""}
-        parts = list(map(self.known.get, names))
-        if new := [i for i, p in enumerate(parts) if p is None]:
-            self.learn([names[i] for i in new])
-            for i in new:
-                parts[i] = self.known[names[i]]
+        parts = self.look_up(names)
         size = np.array([len(p) // 4 for p in parts], dtype=np.int64)
         flat, first, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(size) - size, size[index]
         ends = np.concatenate(([0], np.cumsum(sizes)))
