@@ -38,11 +38,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, limit: int) -> DataFrame:
-    """The rows of docs to fit on, with their 0/1 label as _label and a fixed order as _order: at most `limit` labelled ids outside
+    """The ids and texts of docs to fit on, with their 0/1 label as _label and a fixed order as _order: at most `limit` labelled ids outside
     the held-out fold, in the order of a hash. The ids are that bounded list, so the documents are not shuffled."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).select("*", F.xxhash64("doc_id").alias("_order"))
-    return docs.join(F.broadcast(known.orderBy("_order", "doc_id").limit(limit)), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known.orderBy("_order", "doc_id").limit(limit)), "doc_id")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

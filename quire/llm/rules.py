@@ -149,6 +149,7 @@ def fit(rows: DataFrame) -> RuleModel:
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs(text, ...) with score (0 to 1) and predicted (1 if score >= 0.5)."""
     stay = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), *statistics(F.col("text")))
+    # the generator binds the statistics once a row: a filter on the result cannot pass it and write them out again for each rule
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), F.inline(F.array(F.struct(*statistics(F.col("text"))))))
     rows = rows.select("row", model.score().alias("score"))
     return rows.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
