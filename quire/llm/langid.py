@@ -13,8 +13,6 @@ name; repeated rows are scored each; a null doc_id is in fold 0; empty tables gi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +23,6 @@ from .common import map_columns
 SAMPLE_DOCS, SAMPLE_CHARS, SHORT_BYTES = 64, 32_000, 8_192
 STRETCH, LANES = 1024, 4096
 UNKNOWN, BLANK, PAD = 0, 1, 2
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
 _models: dict = {}
@@ -147,7 +144,7 @@ class Model:
         cost = self.phrases(texts) * np.array(self.bits)
         best = cost.argmin(1)
         score = 1 / np.exp2(np.maximum(cost.min(1)[:, None] - cost, -1000)).sum(1)
-        known = np.array([bool(LETTER.search(t)) for t in texts], dtype=bool)
+        known = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
         return [self.languages[b] if k else UND for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 

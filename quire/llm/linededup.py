@@ -230,12 +230,13 @@ def repeated(index: Index) -> DataFrame:
 
 def apply(docs: DataFrame, index: Index) -> DataFrame:
     """docs with text replaced by the lines that stay, and n_lines and n_dropped (long)."""
-    drops = repeated(index).groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("_drops")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(drops, docs["doc_id"] == drops["_id"], "left").drop("_id")
+    stay = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    drops = repeated(index).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct(*KEY)).alias("drops"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), F.col("doc_id").alias("id"), "text").join(drops, "id", "left")
 
     def cut(batch: pa.RecordBatch):
         named = lambda n: batch.column(batch.schema.get_field_index(n))
-        drops = named("_drops")
+        drops = named("drops")
         starts, halves = drops.offsets.to_numpy(), drops.values
         pairs = np.stack([halves.field(0).to_numpy(zero_copy_only=False), halves.field(1).to_numpy(zero_copy_only=False)], 1).astype("<i8")
         kept, n_lines, n_dropped = [], [], []
@@ -253,6 +254,5 @@ def apply(docs: DataFrame, index: Index) -> DataFrame:
             kept.append(b"\n".join(stay))
         return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
 
-    keep = [c for c in docs.columns if c not in ("text", "_drops")]
     made = [("text", "string"), ("n_lines", "long"), ("n_dropped", "long")]
-    return map_columns(rows, made, cut, keep=keep, need=["text", "_drops"])
+    return map_columns(rows, made, cut, keep=["row"], need=["text", "drops"]).select("row.*", *[n for n, _ in made])
