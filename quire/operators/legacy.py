@@ -278,36 +278,46 @@ def marker_of(tok: Column, kind: str, prefix: str = fixed.CLASS_PREFIX) -> Colum
     return F.try_element_at(m, F.get(hits, F.lit(0)))
 
 
-def marked_lines(toks: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFrame:
-    """(doc_id, pos, style, text): structured content written back as marker lines.
+def marked_lines(docs: DataFrame, prefix: str = fixed.CLASS_PREFIX, placed: bool = False) -> DataFrame:
+    """(doc_id, pos, sub, style, text): structured content written back as marker lines, from docs(doc_id, html).
 
-    A box is its opening marker, its content and [fin]; a table comes after its
-    orientation marker; a resource line starts with its marker; embedded content leaves a
-    notice. `pos` orders the lines of a document.
+    A box is its opening marker, its content and [fin]; a table comes after its orientation marker; a resource line starts with its marker;
+    embedded content leaves a notice; preformatted text keeps its lines. Which text makes a line follows from the element stack, see
+    `tree.lines`. `pos` and `sub` order the lines of a document.
     """
-    from .content import with_partner
-    t = with_partner(toks, F.lit(False))
-    is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
-    blk = F.col("tag").isin("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre")
-    t = t.withColumn("_blk", F.last(F.when(blk & is_open, F.col("pos")).when(F.coalesce(blk & is_close, F.lit(False)), -1), ignorenulls=True).over(
-        upto(Window.partitionBy("doc_id").orderBy("pos"))))
-    box = marker_of(F.col("open_tok"), "box", prefix)
-    is_box = (F.col("tag") == "div") & box.isNotNull()
-    source = F.coalesce(F.nullif(F.coalesce(T.attr(F.col("tok"), "src"), F.lit("")), F.lit("")), F.nullif(F.coalesce(T.attr(F.col("tok"), "data"), F.lit("")), F.lit("")), F.lit("sin URL"))
-    line = (F.when(is_box & is_open, F.concat(F.lit("["), box, F.lit("]"))).when(is_box & is_close, "[fin]")
-            .when((F.col("tag") == "table") & is_open, F.concat(F.lit("["), F.coalesce(marker_of(F.col("tok"), "table", prefix), F.lit("horizontal")), F.lit("]")))
-            .when(F.col("tag").isin(fixed.EMBED_TAGS) & ~is_close, F.concat(F.lit("[Contenido incrustado omitido: "), source, F.lit("]"))))
-    marks = t.withColumn("text", line).filter("text is not null").select("doc_id", "pos", F.lit("marker").alias("style"), "text")
-    words = F.when(F.col("kind").isin("text", "bracket"), F.col("tok"))
-    head = F.when(F.col("pos") == F.col("_blk"), F.col("tok"))
-    body = (t.filter("_blk >= 0").withColumn("_w", words).withColumn("_h", head).groupBy("doc_id", F.col("_blk").alias("pos"))
-            .agg(F.expr("listagg(_w, '') within group (order by pos)").alias("w"), F.max("_h").alias("h")))
-    tag = F.regexp_extract("h", r"^<(\w+)", 1)
-    style = F.when(tag.rlike("^h[1-6]$"), F.concat(F.lit("heading "), F.greatest(F.lit(2), F.substring(tag, 2, 1).cast("int")).cast("string"))).otherwise(tag)
-    res = marker_of(F.col("h"), "resource", prefix)
-    text = T.plain_text(F.coalesce("w", F.lit("")))
-    body = body.select("doc_id", "pos", style.alias("style"), F.when(res.isNotNull(), F.concat(F.lit("["), res, F.lit("] "), text)).otherwise(text).alias("text"))
-    return body.filter("text <> ''").unionByName(marks)
+    from .tree import BOX, NOTICE, PRE, TABLE, element_tree
+    t = element_tree(docs, lambda tok: marker_of(tok, "box", prefix).isNotNull(), placed)
+    tok, starts = F.col("tok"), F.col("kind").isin("open", "void")
+    given = lambda name: F.nullif(F.coalesce(T.attr(tok, name), F.lit("")), F.lit(""))
+    source = F.coalesce(given("src"), given("data"), F.lit("sin URL"))
+    head = F.struct("tok", "role", "tag")
+    none = F.lit(None).cast("struct<tok:string,role:string,tag:string>")
+
+    def entry(pos, sub, text, first, mark: bool) -> Column:
+        return F.struct(pos.alias("pos"), sub.alias("sub"), F.col("pos").alias("at"), text.alias("w"), first.alias("head"), F.lit(mark).alias("mark"))
+
+    at, role = F.col("pos"), F.col("role")
+    own = F.when(starts & (at == F.col("line")), head).otherwise(none)
+    word = F.when(F.col("line").isNotNull(), entry(F.col("line"), F.lit(0), F.when(F.col("kind").isin("text", "bracket"), tok), own, False))
+    said = lambda text, pos=at, sub=F.lit(0): entry(pos, sub, text, none, True)
+    # inner boxes that end with the same token come before outer ones, and before what the token starts
+    fin = F.when(role == BOX, said(F.lit("[fin]"), F.col("close"), -1 - at))
+    mark = (F.when(role == BOX, said(F.concat(F.lit("["), marker_of(tok, "box", prefix), F.lit("]"))))
+            .when((role == TABLE) & (F.col("tag") == "table"), said(F.concat(F.lit("["), F.coalesce(marker_of(tok, "table", prefix), F.lit("horizontal")), F.lit("]"))))
+            .when(role == NOTICE, said(F.concat(F.lit("[Contenido incrustado omitido: "), source, F.lit("]")))))
+    entries = t.select("doc_id", F.inline_outer(F.filter(F.array(word, mark, fin), lambda x: x.isNotNull()))).filter("pos is not null")
+    body = entries.groupBy("doc_id", "pos", "sub").agg(F.expr("listagg(w, '') within group (order by at)").alias("w"),
+                                                       F.first("head", ignorenulls=True).alias("h"), F.bool_or("mark").alias("mark"))
+    tag, w = F.col("h.tag"), F.coalesce("w", F.lit(""))
+    style = (F.when(F.col("mark"), "marker").when(F.col("h.role") == PRE, "pre")
+             .when(tag.rlike("^h[1-6]$"), F.concat(F.lit("heading "), F.greatest(F.lit(2), F.substring(tag, 2, 1).cast("int")).cast("string")))
+             .when(tag.isin("li", "td", "th"), tag).otherwise("p"))
+    res = F.when(tag.isin("p", "li"), marker_of(F.col("h.tok"), "resource", prefix))
+    plain = T.let(T.plain_text(w), lambda x: F.when(res.isNotNull() & (x != ""), F.concat(F.lit("["), res, F.lit("] "), x)).otherwise(x))
+    kept = F.split(T.unescape_xml(T.swap(F.regexp_replace(w, "\r\n?", "\n"), ("&nbsp;", " "))), "\n", -1)
+    texts = F.when(F.col("mark"), F.array(w)).when(F.col("h.role") == PRE, kept).otherwise(F.filter(F.array(plain), lambda x: x != ""))
+    rows = body.select("doc_id", "pos", "sub", style.alias("style"), F.posexplode_outer(texts).alias("k", "text")).filter("text is not null")
+    return rows.select("doc_id", "pos", (F.col("sub") + F.col("k")).alias("sub"), "style", "text")
 
 
 def page_lines(pgs: DataFrame) -> DataFrame:

@@ -310,10 +310,56 @@ ml as (
 @query("sink_marked_text", C.with_sql(MARKED_SQL) + "select doc_id, row_number() over (partition by doc_id order by pos, s) - 1 as ord, style, text from ml")
 def sink_marked_text(spark, sf):
     """Back to marker lines from the fully transformed documents."""
+    return numbered(E.marked_lines(M.apply_passes(C.marked_docs(spark, sf), placed=True), placed=True))
+
+
+def numbered(lines):
     from pyspark.sql import Window
-    r = E.marked_lines(K.tokens(M.apply_passes(C.marked_docs(spark, sf), placed=True), placed=True))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return r.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "style", "text")
+    w = Window.partitionBy("doc_id").orderBy("pos", "sub")
+    return lines.select("doc_id", (F.row_number().over(w) - 1).alias("ord"), "style", "text")
+
+
+# every line of a document as a piece of nested HTML: blocks in items, cells, quotes and boxes, loose text beside them, missing end tags
+def nested_docs(spark, sf):
+    line = "transform(split(text, '\\n'), (x, i) -> " + NEST.format(a=C.escape_text("trim(x)"), t="('w' || cast(i as string))", m="((doc_id + i) % 9)") + ")"
+    return C.placed(spark, sf).select("doc_id", F.array_join(F.expr(line), "").alias("html"))
+
+
+NEST = """case {m} when 0 then '<ul><li><p>' || {a} || '</p>' || {t} || '</li><li>' || {t} || '<ul><li>' || {a} || '</ul>z</ul>'
+  when 1 then '<table class="sem_tabla_vertical"><tr><td><p>' || {a} || '</p>' || {t} || '<td>' || {t} || ' <b>' || {a} || '</b></table>'
+  when 2 then '<blockquote>' || {t} || '<p>' || {a} || '</p>z<b>' || {a} || '</b></blockquote>'
+  when 3 then '<div>' || {t} || '<p>' || {a} || '</div>z</span>y'
+  when 4 then '<div class="x sem_ejemplo">' || {t} || '<ol><li>' || {a} || '<blockquote>' || {t} || '</blockquote></ol><div class="sem_pie"><h1>' || {a} || '</div></div>'
+  when 5 then '<p>' || {t} || '<p class="sem_recurso_video">' || {a} || '<h3>' || {t} || '<i>' || {a} || '</i></h4>'
+  when 6 then '<section><span>' || {a} || '</span><span>' || {t} || '</span></section><article>' || {t} || '<section>' || {a} || '</section></article>'
+  when 7 then '<pre>' || {t} || '<b>' || chr(10) || '  ' || {a} || '</b>' || chr(10) || '</pre><object data="u"><p>n</p></object>'
+  else '<table><caption>c</caption><tbody><tr><th>' || {t} || '<td>' || {a} || '<tr><td><ul><li>' || {a} || '</ul>' || {t} || '</tbody></table><hr>' end"""
+
+NESTED_SQL = f""",
+n0 as (select doc_id, line_no, txt, {C.escape_text('txt')} as a, 'w' || line_no as t, (doc_id + line_no) % 9 as m from lines),
+n1 as (
+  select doc_id, line_no, unnest(case m
+    when 0 then [{{'style': 'li', 'text': a || t}}, {{'style': 'li', 'text': t || 'z'}}, {{'style': 'li', 'text': a}}]
+    when 1 then [{{'style': 'marker', 'text': '[vertical]'}}, {{'style': 'p', 'text': a}}, {{'style': 'p', 'text': t}}, {{'style': 'td', 'text': t || ' ' || a}}]
+    when 2 then [{{'style': 'p', 'text': t}}, {{'style': 'p', 'text': a}}, {{'style': 'p', 'text': 'z'}}, {{'style': 'p', 'text': a}}]
+    when 3 then [{{'style': 'p', 'text': t}}, {{'style': 'p', 'text': a}}, {{'style': 'p', 'text': 'zy'}}]
+    when 4 then [{{'style': 'marker', 'text': '[ejemplo]'}}, {{'style': 'p', 'text': t}}, {{'style': 'li', 'text': a || t}}, {{'style': 'marker', 'text': '[pie]'}},
+      {{'style': 'heading 2', 'text': a}}, {{'style': 'marker', 'text': '[fin]'}}, {{'style': 'marker', 'text': '[fin]'}}]
+    when 5 then [{{'style': 'p', 'text': t}}, {{'style': 'p', 'text': case when {C.plain('a')} <> '' then '[vídeo:] ' || a else '' end}}, {{'style': 'heading 3', 'text': t || a}}]
+    when 6 then [{{'style': 'p', 'text': a || t}}, {{'style': 'p', 'text': t}}, {{'style': 'p', 'text': a}}]
+    when 7 then [{{'style': 'pre', 'text': t}}, {{'style': 'pre', 'text': '  ' || txt}}, {{'style': 'pre', 'text': ''}}, {{'style': 'marker', 'text': '[Contenido incrustado omitido: u]'}}]
+    else [{{'style': 'marker', 'text': '[horizontal]'}}, {{'style': 'th', 'text': t}}, {{'style': 'td', 'text': a}}, {{'style': 'li', 'text': a}}, {{'style': 'p', 'text': t}}] end) as x,
+    unnest(range(7)) as s
+  from n0),
+n2 as (select doc_id, line_no, s, x.style as style, case x.style when 'pre' then x.text else {C.plain('x.text')} end as text from n1 where x is not null)
+"""
+
+
+@query("sink_marked_nested", C.with_sql(C.LINES_SQL + NESTED_SQL) + """select doc_id, row_number() over (partition by doc_id order by line_no, s) - 1 as ord, style, text
+from n2 where text <> '' or style = 'pre'""")
+def sink_marked_nested(spark, sf):
+    """Back to marker lines from nested markup with loose text and implied end tags."""
+    return numbered(E.marked_lines(nested_docs(spark, sf), placed=True))
 
 
 @query("sink_marked_pages", PKG + "select doc_id, page_ord, title || (case depth when 0 then '' when 1 then ' [Subpágina]' else ' [3er nivel]' end) as text from pg")
