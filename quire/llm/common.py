@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +53,20 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn over the batches of a task, after which the worker gives back the memory it has freed: workers outlive their tasks, and idle
+    ones would hold it beside the next stage's."""
+    @wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def map_columns(df: DataFrame, made: list[tuple[str, str]], fn, keep: list[str] | None = None, need: list[str] | None = None) -> DataFrame:
     """Adds columns that `fn(batch) -> list of arrays` makes from each Arrow batch. An input column of the same name is replaced.
     keep: the input columns that stay (all); need: those that fn reads besides."""
@@ -58,6 +75,7 @@ def map_columns(df: DataFrame, made: list[tuple[str, str]], fn, keep: list[str]
     schema = T.StructType(stay + [T.StructField(n, T._parse_datatype_string(t)) for n, t in made])
     kept = [f.name for f in stay]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

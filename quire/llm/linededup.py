@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, map_columns, stored, texts_of
+from .common import BLANKS, map_columns, stored, texts_of, tidy
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SLOTS, KICKS = 4, 500
@@ -43,6 +43,7 @@ def key_of(line: bytes) -> bytes | None:
 
 def line_refs(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, h1, h2: each key once a row of docs."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, counts = [], []
@@ -203,6 +204,7 @@ def repeated(index: Index) -> DataFrame:
     """doc_id, h1, h2: the lines each document loses. The filters pass refs whose key may be repeated; the counts decide."""
     shards = index.shards
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, h1, h2 = (np.ascontiguousarray(b.column(i).to_numpy(zero_copy_only=False), dtype="<i8") for i in range(3))
@@ -211,6 +213,7 @@ def repeated(index: Index) -> DataFrame:
             blocks = [np.stack([ids[g], h1[g], h2[g]]).tobytes() for g in groups]
             yield pa.RecordBatch.from_arrays([pa.array([of[g[0]] for g in groups], pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import stored, texts_of, tidy
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -115,6 +115,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, fp1, fp2 (of the set), registers."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, prints, registers = [], [], []
@@ -138,6 +139,7 @@ def number(salt: int) -> Column:
 
 def places(reps: DataFrame) -> DataFrame:
     """reps(doc, registers) -> band, place, doc: the buckets a document lies in."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -160,6 +162,7 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The shingle sets of the wanted(doc_id) documents: fp1, fp2, n_shingles, held (sorted hashes)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [shingles(t, width).tobytes() for t in texts_of(b.column(0))]
@@ -177,6 +180,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) -> a, b, n_a, n_b, both: the sizes of the sets and of their intersection."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = []
@@ -238,6 +242,7 @@ def one_id(rows: DataFrame) -> DataFrame:
 
 def own_shingles(sets: DataFrame) -> DataFrame:
     """sets(doc, held) -> doc, own: how many shingles of a document no other of these documents has."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [np.frombuffer(h, "<i8") for h in b.column(1).to_pylist()]
@@ -279,6 +284,7 @@ def left_pairs(buckets: DataFrame, comps: DataFrame, hubs: DataFrame, overlaps:
         for a, b in zip(ends, ends[1:], strict=False):
             yield (*(f[a:b] for f in fields), registers[a:b])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, band in zip(unpack(batch.column(0)), unpack(batch.column(1)), batch.column(2).to_pylist(), strict=True):

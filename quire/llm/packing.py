@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 CAPACITY = 4096
 END_ID = 2
 POOL_WINDOWS = 64
@@ -217,6 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 32)
         for b in batches:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 SHORTEST = 12
 SLICE_WORDS = 1 << 18
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
@@ -231,6 +233,7 @@ def find(docs: DataFrame, shortest: int = SHORTEST, words: Callable[[dict], list
     if any(f.name != "text" and f.name in made.names for f in docs.schema.fields):
         docs = docs.drop(*made.names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in slices(b, split):

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 LIMIT = 4096
 CHUNK = 1 << 14
@@ -120,6 +120,7 @@ def splice(code: Codec, tail: dict, head: dict) -> tuple[int, int] | None:
 
 def pieces_of(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """texts(key, text) -> a row a chunk: key, part, last, text."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -142,6 +143,7 @@ def chunk_ends(chunks: DataFrame, model: str, chunk: int, overlap: int) -> DataF
     names = [c.split()[0] for c in END.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_()), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(model)
         for b in batches:
@@ -166,6 +168,7 @@ def seam_counts(ends: DataFrame, model: str) -> DataFrame:
     tails = ends.where("seam >= 0 and not head").select("key", "seam", sides.alias("tail"))
     heads = ends.where("seam >= 0 and head").select("key", "seam", sides.alias("head"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(model)
         for b in batches:
@@ -204,6 +207,7 @@ def count(docs: DataFrame, model: str, keep: list[str] | None = None, limit: int
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("row"), text.alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(model)
         for b in batches:

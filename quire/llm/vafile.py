@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 CELLS = 64
 QUERIES, VECTORS = 512, 2048
@@ -74,6 +74,7 @@ def approximation_file(distinct: DataFrame, marks: Marks) -> DataFrame:
     """distinct(v_id, v) -> block, v_ids, cells: blocks of VECTORS quantised rows."""
     dims = len(marks.low)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, VECTORS):
@@ -89,6 +90,7 @@ def approximation_file(distinct: DataFrame, marks: Marks) -> DataFrame:
 
 def query_blocks(queries: DataFrame, dims: int, blocks: int) -> DataFrame:
     """queries(v_id, v) -> q_block, q_ids, vectors."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of = b.column(0).to_numpy()
@@ -106,6 +108,7 @@ def scan(blocks: DataFrame, queries: DataFrame, marks: Marks, k: int, n_query_bl
     """query, v_id, low, high: of each block of vectors, the ones whose upper bound reaches the block's k-th lower bound."""
     dims = len(marks.low)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_ids, vectors, v_ids, cells in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
