@@ -116,6 +116,43 @@ def recall(structures: DataFrame, memory: DataFrame) -> DataFrame:
                                  e["levels"].alias("levels"), e["options"].alias("options"))
 
 
+GROUP = ["owner", "shape", "tags"]
+
+
+def in_ranges(events: DataFrame, width: int) -> DataFrame:
+    """Events placed by (owner, shape, tags) and the range of `width` time units they lie in, so that a busy owner is dealt over many tasks.
+    Events without owner have no memory and are left out."""
+    ev = events.filter("owner is not null").withColumn("tags", F.coalesce("tags", F.lit(""))).withColumn("range", F.floor(F.col("at") / width))
+    return ev.repartition(*GROUP, "range")
+
+
+def recall_history(events: DataFrame, width: int = 86_400_000) -> DataFrame:
+    """What every one of events(doc_id, owner, shape, titles, tags, levels, options, at, is_default) recalls from all older ones of its
+    owner: (doc_id, kind, levels, options), only where there is something to recall.
+
+    An as-of join without a join on the owner: the newest older entry is a running maximum per (owner, shape, tags), and one per titles besides.
+    It is taken within ranges of `at` and carried from range to range, so no key's history meets in one task: a task holds a key's events of
+    one range, and the carry one row a range. Events of one moment do not see each other; a default event asks but leaves nothing.
+    """
+    ev = in_ranges(events, width)
+    entry = F.when(~F.col("is_default"), F.struct("at", "doc_id", "levels", "options"))
+
+    def newest(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+        older = Window.partitionBy(*key, "range").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*key, "range").agg(F.max(entry).alias("end"))
+        earlier = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select(*key, "range", F.max("end").over(earlier).alias("carry")).filter("carry is not null")
+        # strings that compare alike are alike, so plain keys join; the rows stay where they are
+        out = rows.withColumn("_here", F.max(entry).over(older)).join(carry, [*key, "range"], "left")
+        return out.withColumn(name, F.coalesce("_here", "carry")).drop("_here", "carry")
+
+    rows = newest(newest(ev, GROUP, "similar"), [*GROUP, "titles"], "same")
+    e = F.coalesce("same", "similar")
+    fits = (F.size(e["levels"]) == F.size("levels")) & (F.size(e["options"]) == F.size("options"))
+    return rows.filter(fits).select("doc_id", F.when(F.col("same").isNotNull(), "same").otherwise("similar").alias("kind"),
+                                    e["levels"].alias("levels"), e["options"].alias("options"))
+
+
 def apply_recalled(sects: DataFrame, items: DataFrame, recalled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sections and items with the recalled levels and options put back by position."""
     r = recalled.select("doc_id", "levels", "options")

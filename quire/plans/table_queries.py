@@ -96,25 +96,44 @@ def remember_structure(spark, sf):
     return Y.remember(events(spark, sf), width=100).select("owner", "shape", "titles", "at", "rank")
 
 
-# odd documents recall what even ones of the same owner left
+# every document asks what the older ones of its owner left; a default structure leaves nothing
 REC_SQL = FP_SQL + """,
 st as (select fp.*, d.lang as owner from fp join documents d using (doc_id)),
-me as (select * from st where doc_id % 2 = 0),
-qs as (select q.doc_id, q.titles, m.doc_id as m_id, m.titles = q.titles as same, m.levels, m.options,
-    row_number() over (partition by q.doc_id order by (m.titles = q.titles) desc, m.doc_id desc) as rn
-  from st q join me m on m.owner = q.owner and m.shape = q.shape and m.tags = q.tags where q.doc_id % 2 = 1)"""
+rc as (
+  select *, last_value(case when not is_default then levels end ignore nulls) over g as l0, last_value(case when not is_default then options end ignore nulls) over g as o0,
+    last_value(case when not is_default then levels end ignore nulls) over t as l1, last_value(case when not is_default then options end ignore nulls) over t as o1
+  from st window g as (partition by owner, shape, tags order by doc_id rows between unbounded preceding and 1 preceding),
+    t as (partition by owner, shape, tags, titles order by doc_id rows between unbounded preceding and 1 preceding)),
+recalled as (select doc_id, case when l1 is not null then 'same' else 'similar' end as kind, coalesce(l1, l0) as levels, coalesce(o1, o0) as options
+  from rc where coalesce(l1, l0) is not null)"""
+RECALL_WIDTH = 250
 
 
-@query("recall_structure", C.with_sql(REC_SQL) + """select doc_id, case when same then 'same' else 'similar' end as kind, levels, options from qs where rn = 1""")
+def recall_events(spark, sf):
+    owners = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("owner"))
+    return structures(spark, sf).join(owners, "doc_id").withColumn("at", F.col("doc_id"))
+
+
+@query("recall_structure", C.with_sql(REC_SQL) + "select doc_id, kind, levels, options from recalled")
 def recall_structure(spark, sf):
-    f = structures(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("owner")), "doc_id")
-    mem = f.filter("doc_id % 2 = 0").withColumn("at", F.col("doc_id"))
-    s = f.filter("doc_id % 2 = 1").withColumn("n_sections", F.size("levels")).withColumn("n_items", F.size("options"))
-    r = Y.recall(s, mem)
+    r = Y.recall_history(recall_events(spark, sf), RECALL_WIDTH)
     return r.select("doc_id", "kind", F.array_join(F.transform("levels", lambda x: x.cast("string")), ",").alias("levels"),
                     F.array_join("options", ",").alias("options"))
 
 
+@query("recall_applied", C.with_sql(REC_SQL) + """select s.doc_id, s.h1_ord, 0 as h2_ord, coalesce(string_split(r.levels, ',')[s.idx + 1], s.chosen::VARCHAR) as choice
+from ch_s s left join recalled r using (doc_id)
+union all select i.doc_id, i.h1_ord, i.h2_ord, coalesce(nullif(string_split(r.options, ','), [''])[i.h2_ord], i.chosen) from ch_i i left join recalled r using (doc_id)""")
+def recall_applied(spark, sf):
+    """Sections and items with the recalled choices put back."""
+    fl = R.flow(K.elements(C.structured_docs(spark, sf), placed=True))
+    s = R.sections(fl).withColumn("level", F.expr(CHOICE_LEVEL))
+    i = R.section_items(fl).withColumn("option", F.expr(CHOICE_OPTION))
+    s, i = Y.apply_recalled(s, i, Y.recall_history(recall_events(spark, sf), RECALL_WIDTH))
+    return (s.select("doc_id", "h1_ord", F.lit(0).alias("h2_ord"), F.col("level").cast("string").alias("choice"))
+            .unionByName(i.select("doc_id", "h1_ord", "h2_ord", F.col("option").alias("choice"))))
+
+
 STORE = """case doc_id % 5 when 0 then 'not json' when 1 then '[]' else '[{"shape":"' || doc_id || '","titles":"ab","levels":[1,2],"options":["html"],"at":' || doc_id || '},' ||
   '{"shape":"x","titles":"y","levels":[1,7],"options":[],"at":1},{"shape":"x","titles":"y","levels":[1],"options":["none"],"at":1},' ||
   '{"shape":"z","titles":"w","tags":"-,2","levels":[],"options":["tabs","accordion"],"at":2},{"titles":"w","levels":[],"options":[],"at":2}]' end"""

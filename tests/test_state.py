@@ -76,3 +76,56 @@ def test_streams_match_their_batch_twins(spark, docs, tmp_path):
     mem = run_memory(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), str(tmp_path / "mem"), width=10)
     want = {(o, s, t, a) for o, s, t, a in walk([(e[1], e[2], e[3], e[7], e[8]) for e in events], 20)}
     assert {(r.owner, r.shape, r.titles, r.at) for r in mem.collect()} == want
+
+
+HISTORY = "doc_id bigint, owner string, shape string, titles string, tags string, levels array<int>, options array<string>, at bigint, is_default boolean"
+
+
+def history(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        busy = rng.random() < 0.9
+        out.append((i, "busy" if busy else rng.choice(["o1", "o2", None]), "1", f"t{rng.randint(0, 30)}", rng.choice(["", "", None, "-,2"]),
+                    [i] * rng.choice([1, 1, 1, 2]), ["html"], rng.randint(0, n), rng.random() < 0.2))
+    return out
+
+
+def test_history_is_asked_as_of_each_event(spark):
+    events = history(400, 5) + [(1000, "x", "1", "a", "", [1], [], 7, False), (1001, "x", "1", "a", "", [2], [], 7, False)]
+    want = set()
+    for d, o, s, t, g, lv, op, at, _ in events:
+        older = [e for e in events if o is not None and e[1] == o and e[2] == s and (e[4] or "") == (g or "") and e[7] < at and not e[8]]
+        same = [e for e in older if e[3] == t]
+        if older:
+            e = max(same or older, key=lambda e: (e[7], e[0]))
+            if len(e[5]) == len(lv) and len(e[6]) == len(op):
+                want.add((d, "same" if same else "similar", tuple(e[5])))
+    df = spark.createDataFrame(events, HISTORY)
+    for width in (1, 37, 10**6):
+        assert {(r.doc_id, r.kind, tuple(r.levels)) for r in Y.recall_history(df, width).collect()} == want
+    assert any(k == "same" for _, k, _ in want) and any(k == "similar" for _, k, _ in want)
+    assert Y.recall_history(df.limit(0)).count() == 0
+
+
+def test_a_busy_owner_is_dealt_over_many_tasks(spark):
+    df = spark.createDataFrame(history(30_000, 6), HISTORY)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sizes = sorted(r["count"] for r in Y.in_ranges(df, 100).groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+        plan = Y.recall_history(df, 100)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(owner" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_recalled_choices_are_put_back(spark):
+    s = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 1)], "doc_id bigint, idx int, level int")
+    i = spark.createDataFrame([(1, 1, "html"), (1, 2, "html"), (2, 1, "html")], "doc_id bigint, h2_ord int, option string")
+    r = spark.createDataFrame([(1, [1, 3], ["tabs", "accordion"])], "doc_id bigint, levels array<int>, options array<string>")
+    s, i = Y.apply_recalled(s, i, r)
+    assert sorted(map(tuple, s.select("doc_id", "idx", "level").collect())) == [(1, 0, 1), (1, 1, 3), (2, 0, 1)]
+    assert sorted(map(tuple, i.select("doc_id", "h2_ord", "option").collect())) == [(1, 1, "tabs"), (1, 2, "accordion"), (2, 1, "html")]
