@@ -15,35 +15,31 @@ KEY = ["owner", "shape", "titles"]
 
 
 def fingerprints(sects: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, shape, titles, tags, levels, options, is_default) of every structure.
+    """(doc_id, shape, titles, tags, levels, options, is_default) of every structure, from sections and items apart."""
+    i = items.groupBy("doc_id", "h1_ord").agg(F.array_sort(F.collect_list(F.struct("h2_ord", "text", "option", "word_option"))).alias("items"))
+    none = F.array().cast(i.schema["items"].dataType)
+    return fingerprints_of(sects.join(i, ["doc_id", "h1_ord"], "left").withColumn("items", F.coalesce("items", none)))
 
-    One row per heading, ordered by section and item; two aggregates on the document's
-    placement turn them into the fingerprint.
-    """
+
+def fingerprints_of(sects: DataFrame) -> DataFrame:
+    """(doc_id, shape, titles, title_text, tags, levels, options, is_default) of every structure, from sections that hold their items: one aggregate
+    on the documents' placement."""
     lvl = F.when(F.col("idx") == 0, 1).otherwise(F.coalesce("word_level", F.lit(1)))
-    s = sects.select("doc_id", "h1_ord", F.lit(0).alias("h2_ord"), F.col("title").alias("t"),
-                     F.coalesce(F.col("word_level").cast("string"), F.lit("-")).alias("tag"), "level",
-                     F.lit(None).cast("string").alias("option"), (F.col("level") == lvl).alias("std"))
-    i = items.select("doc_id", "h1_ord", "h2_ord", F.col("text").alias("t"), F.coalesce("word_option", F.lit("-")).alias("tag"),
-                     F.lit(None).cast("int").alias("level"), "option",
-                     (F.col("option") == F.coalesce("word_option", F.lit("html"))).alias("std"))
-    rows = s.unionByName(i).withColumn("t", T.normalize_title(F.col("t")))
-    per_sec = rows.groupBy("doc_id", "h1_ord").agg(
-        F.count_if(F.col("h2_ord") > 0).cast("string").alias("n"), F.max("level").alias("level"),
-        F.expr("listagg(t, '\n') within group (order by h2_ord)").alias("t"),
-        F.expr("listagg(tag, ',') within group (order by h2_ord)").alias("tag"),
-        F.bool_or(F.col("tag") != "-").alias("tagged"), F.bool_and("std").alias("std"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("h2_ord") > 0, F.struct("h2_ord", "option")))), lambda x: x["option"]).alias("options"))
-    d = per_sec.groupBy("doc_id").agg(
-        F.expr("listagg(n, ',') within group (order by h1_ord)").alias("shape"),
-        F.expr("listagg(t, '\n') within group (order by h1_ord)").alias("title_text"),
-        F.expr("listagg(tag, ',') within group (order by h1_ord)").alias("tag_text"),
-        F.bool_or("tagged").alias("tagged"), F.bool_and("std").alias("is_default"),
-        F.array_sort(F.collect_list(F.struct("h1_ord", "level", "options"))).alias("secs"))
-    return d.select("doc_id", "shape", T.fnv1a(F.col("title_text")).alias("titles"), "title_text",
-                    F.when(F.col("tagged"), F.col("tag_text")).otherwise("").alias("tags"),
-                    F.transform("secs", lambda x: x["level"]).alias("levels"),
-                    F.flatten(F.transform("secs", lambda x: x["options"])).alias("options"), "is_default")
+    over = lambda name: F.transform("items", lambda x: x[name])
+    with_head = lambda head, rest: F.concat(F.array(head), rest)
+    s = sects.select(
+        "doc_id", "h1_ord", "level", over("option").alias("options"), F.size("items").cast("string").alias("n"),
+        F.transform(with_head(F.col("title"), over("text")), T.normalize_title).alias("t"),
+        with_head(F.coalesce(F.col("word_level").cast("string"), F.lit("-")), F.transform("items", lambda x: F.coalesce(x["word_option"], F.lit("-")))).alias("tag"),
+        ((F.col("level") == lvl) & F.forall("items", lambda x: x["option"] == F.coalesce(x["word_option"], F.lit("html")))).alias("std"))
+    d = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("h1_ord", "level", "options", "n", "t", "tag"))).alias("secs"),
+                                F.bool_and("std").alias("is_default"))
+    part = lambda name: F.transform("secs", lambda x: x[name])
+    d = d.withColumn("title_text", F.array_join(F.flatten(part("t")), "\n")).withColumn("tag_list", F.flatten(part("tag")))
+    tagged = F.exists("tag_list", lambda x: x != "-")
+    return d.select("doc_id", F.array_join(part("n"), ",").alias("shape"), T.fnv1a(F.col("title_text")).alias("titles"), "title_text",
+                    F.when(tagged, F.array_join("tag_list", ",")).otherwise("").alias("tags"),
+                    part("level").alias("levels"), F.flatten(part("options")).alias("options"), "is_default")
 
 
 def parse_entries(stored: DataFrame, col: str = "value") -> DataFrame:
@@ -132,21 +128,23 @@ def recall_history(events: DataFrame, width: int = 86_400_000) -> DataFrame:
 
     An as-of join without a join on the owner: the newest older entry is a running maximum per (owner, shape, tags), and one per titles besides.
     It is taken within ranges of `at` and carried from range to range, so no key's history meets in one task: a task holds a key's events of
-    one range, and the carry one row a range. Events of one moment do not see each other; a default event asks but leaves nothing.
+    one range, and the carry one row a range. The events are read three times: hand in a stored table. Events of one moment do not see each other; a default event asks but leaves nothing.
     """
     ev = in_ranges(events, width)
     entry = F.when(~F.col("is_default"), F.struct("at", "doc_id", "levels", "options"))
 
-    def newest(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-        older = Window.partitionBy(*key, "range").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-        ends = rows.groupBy(*key, "range").agg(F.max(entry).alias("end"))
+    def older(key: list[str]) -> Column:
+        return F.max(entry).over(Window.partitionBy(*key, "range").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+
+    def carried(key: list[str], name: str) -> DataFrame:
+        ends = ev.groupBy(*key, "range").agg(F.max(entry).alias("end"))
         earlier = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select(*key, "range", F.max("end").over(earlier).alias("carry")).filter("carry is not null")
-        # strings that compare alike are alike, so plain keys join; the rows stay where they are
-        out = rows.withColumn("_here", F.max(entry).over(older)).join(carry, [*key, "range"], "left")
-        return out.withColumn(name, F.coalesce("_here", "carry")).drop("_here", "carry")
+        return ends.select(*key, "range", F.max("end").over(earlier).alias(name)).filter(F.col(name).isNotNull())
 
-    rows = newest(newest(ev, GROUP, "similar"), [*GROUP, "titles"], "same")
+    titles = [*GROUP, "titles"]
+    rows = ev.withColumn("similar", older(GROUP)).withColumn("same", older(titles))
+    rows = rows.join(carried(GROUP, "_similar"), [*GROUP, "range"], "left").join(carried(titles, "_same"), [*titles, "range"], "left")
+    rows = rows.withColumns({"similar": F.coalesce("similar", "_similar"), "same": F.coalesce("same", "_same")})
     e = F.coalesce("same", "similar")
     fits = (F.size(e["levels"]) == F.size("levels")) & (F.size(e["options"]) == F.size("options"))
     return rows.filter(fits).select("doc_id", F.when(F.col("same").isNotNull(), "same").otherwise("similar").alias("kind"),

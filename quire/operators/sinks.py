@@ -53,19 +53,32 @@ def doc_properties(docs: DataFrame, themes: DataFrame, author: str = "") -> Data
     return d.select("doc_id", F.inline(pairs))
 
 
-def page_html(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+def with_blocks(pages: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """Pages that hold their blocks (title, html) in order; without `blocks` they do already."""
+    if blocks is None:
+        return pages
+    b = blocks.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("block_idx", "title", "html"))).alias("blocks"))
+    return pages.join(b, ["doc_id", "page_idx"], "left")
+
+
+def joined_blocks(one) -> Column:
+    """The text that `one` makes of each block, line by line; '' for a page without any."""
+    return F.coalesce(F.array_join(F.transform("blocks", one), "\n"), F.lit(""))
+
+
+def page_html(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_idx, href, html): one text per page from its blocks in order."""
-    title = F.when(T.strip(F.col("title")) != "", "box minimized").otherwise("box")
-    art = F.concat(F.lit('<article class="'), title, F.lit('"><h1>'), T.escape_xml(T.blank_to(F.col("title"), fixed.DEFAULT_BLOCK_TITLE)),
-                   F.lit("</h1>\n"), F.col("html"), F.lit("\n</article>"))
-    body = (blocks.withColumn("art", art).groupBy("doc_id", "page_idx")
-            .agg(F.expr("listagg(art, '\n') within group (order by block_idx)").alias("html")))
-    p = N.page_neighbours(N.page_hrefs(pages)).withColumn("_t", N.page_titles(pages)).drop("html")
-    out = p.join(body, ["doc_id", "page_idx"], "left")
+    def article(b: Column) -> Column:
+        kind = F.when(T.strip(b["title"]) != "", "box minimized").otherwise("box")
+        return F.concat(F.lit('<article class="'), kind, F.lit('"><h1>'), T.escape_xml(T.blank_to(b["title"], fixed.DEFAULT_BLOCK_TITLE)),
+                        F.lit("</h1>\n"), b["html"], F.lit("\n</article>"))
+
+    p = with_blocks(pages, blocks).withColumn("_body", joined_blocks(article)).drop("blocks")
+    p = N.page_neighbours(N.page_hrefs(p)).withColumn("_t", N.page_titles(p))
     head = F.concat(F.lit("<h2>"), T.escape_xml(F.col("_t")), F.lit("</h2>\n"))
     link = lambda c, n: F.when(F.col(c) != "", F.concat(F.lit(f'\n<a class="{n}" href="'), F.col(c), F.lit('"></a>'))).otherwise("")
-    return out.select("doc_id", "page_idx", "href",
-                      F.concat(head, F.coalesce("html", F.lit("")), link("prev_href", "prev"), link("next_href", "next")).alias("html"))
+    return p.select("doc_id", "page_idx", "href",
+                    F.concat(head, F.col("_body"), link("prev_href", "prev"), link("next_href", "next")).alias("html"))
 
 
 def print_block(title: Column, html: Column) -> Column:
@@ -90,26 +103,24 @@ def iframe_links(html: Column) -> Column:
     return F.when(html.contains("<iframe"), rewrite_matches(html, pat, one)).otherwise(html)
 
 
-def print_html(pages: DataFrame, blocks: DataFrame, numbered: bool = False) -> DataFrame:
+def print_html(pages: DataFrame, blocks: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """(doc_id, html): one text per document, sections in page order."""
-    b = (blocks.withColumn("_b", print_block(F.col("title"), iframe_links(F.col("html")))).groupBy("doc_id", "page_idx")
-         .agg(F.expr("listagg(_b, '\n') within group (order by block_idx)").alias("_body")))
-    p = (N.heading_numbers(pages) if numbered else pages.withColumn("number", F.lit(None).cast("string"))).join(b, ["doc_id", "page_idx"], "left")
+    p = with_blocks(pages, blocks).withColumn("_body", joined_blocks(lambda b: print_block(b["title"], iframe_links(b["html"])))).drop("blocks")
+    p = N.heading_numbers(p) if numbered else p.withColumn("number", F.lit(None).cast("string"))
     lvl, idx = F.col("level").cast("string"), F.col("page_idx").cast("string")
     title = F.concat_ws(" ", "number", "title")
     sec = F.concat(F.lit('<section id="section-'), idx, F.lit('" class="section-level-'), lvl, F.lit('">\n  <h'), lvl,
                    F.lit(' class="section-title-'), lvl, F.lit('">'), T.escape_text(F.upper(title)), F.lit("</h"), lvl, F.lit(">\n  "),
-                   F.coalesce("_body", F.lit("")), F.lit("\n</section>"))
+                   F.col("_body"), F.lit("\n</section>"))
     return (p.withColumn("_sec", sec).groupBy("doc_id")
             .agg(F.concat(F.lit('<div class="content-pages">\n'), F.expr("listagg(_sec, '\n') within group (order by page_idx)"),
                           F.lit("\n</div>")).alias("html")))
 
 
-def render_summary(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+def render_summary(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_count, block_count)."""
-    n = blocks.groupBy("doc_id").agg(F.count("*").alias("block_count"))
-    return pages.groupBy("doc_id").agg(F.count("*").alias("page_count")).join(n, "doc_id", "left").select(
-        "doc_id", "page_count", F.coalesce("block_count", F.lit(0)).alias("block_count"))
+    p = with_blocks(pages, blocks)
+    return p.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.sum(F.coalesce(F.size("blocks"), F.lit(0)).cast("long")).alias("block_count"))
 
 
 def write_pages(page_rows: DataFrame, path: str, buckets: int = 64) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 from . import heading_tags as H
+from . import tokens as K
 from .tokens import before, doc_window, upto
 
 
@@ -34,28 +35,54 @@ def flow(elements: DataFrame) -> DataFrame:
     return e.withColumn("h2_key", F.coalesce(F.last("_k", ignorenulls=True).over(upto(w)), F.lit(0))).drop("_h1", "_h2", "_k")
 
 
+def with_own(elements: DataFrame, docs: DataFrame, own: Column) -> DataFrame:
+    """Elements with those of the documents themselves beside them."""
+    return elements.unionByName(K.own_elements(docs, own), allowMissingColumns=True)
+
+
+def early() -> Column:
+    """Whether an element before the first level-1 heading needs a section of its own."""
+    return (F.col("h1_ord") == 0) & ((F.col("real") & (F.col("level") == 2)) | (~F.col("tag").isin("h1", "h2") & T.has_content(F.col("html"))))
+
+
+def numbered_sections(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, h1_ord, early, title, word_level, pos, …), a row a section and one for what comes before: the sections in order, the first one
+    synthetic if something comes before or there is no other."""
+    w = Window.partitionBy("doc_id")
+    keep = (F.col("h1_ord") > 0) | F.coalesce("early", F.lit(False)) | (F.max("h1_ord").over(w) == 0)
+    s = rows.withColumn("_keep", keep).filter("_keep").drop("_keep", "early").withColumn("synthetic", F.col("h1_ord") == 0)
+    s = s.withColumn("idx", (F.row_number().over(w.orderBy("h1_ord")) - 1).cast("int"))
+    level = F.when(F.col("idx") == 0, 1).otherwise(F.coalesce("word_level", F.lit(1)))
+    return (s.withColumn("level", level.cast("int")).withColumn("pos", F.when(F.col("synthetic"), -1).otherwise(F.col("pos")))
+            .withColumn("title", F.when(F.col("synthetic"), fixed.DEFAULT_BLOCK_TITLE).otherwise(F.col("title"))))
+
+
 def sections(fl: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, h1_ord, idx, title, level, word_level, synthetic, pos).
 
-    `docs` adds documents without any element, whose only section is the synthetic one.
+    Documents without any element, whose only section is the synthetic one, are those that `docs` adds, or that have an element
+    of their own (`tokens.elements` with `own`).
     """
-    real_h1 = F.col("real") & (F.col("level") == 1)
-    early = (F.col("h1_ord") == 0) & (
-        (F.col("real") & (F.col("level") == 2))
-        | (~F.col("tag").isin("h1", "h2") & T.has_content(F.col("html"))))
-    per_doc = fl.groupBy("doc_id").agg(F.bool_or(early).alias("early"), F.bool_or(F.coalesce(real_h1, F.lit(False))).alias("any_h1"))
     if docs is not None:
-        per_doc = docs.select("doc_id").join(per_doc, "doc_id", "left")
-    synth = (per_doc.filter(F.coalesce("early", F.lit(False)) | ~F.coalesce("any_h1", F.lit(False)))
-             .select("doc_id", F.lit(0).alias("h1_ord"), F.lit(fixed.DEFAULT_BLOCK_TITLE).alias("title"),
-                     F.lit(None).cast("int").alias("word_level"), F.lit(True).alias("synthetic"), F.lit(-1).alias("pos")))
-    word = H.tag_value(F.col("open_tag"), 1).cast("int")
-    own = fl.filter(real_h1).select("doc_id", "h1_ord", F.col("text").alias("title"), word.alias("word_level"),
-                                    F.lit(False).alias("synthetic"), "pos")
-    w = Window.partitionBy("doc_id").orderBy("h1_ord")
-    s = synth.unionByName(own).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
-    level = F.when(F.col("idx") == 0, 1).otherwise(F.coalesce("word_level", F.lit(1)))
-    return s.select("doc_id", "h1_ord", "idx", "title", level.cast("int").alias("level"), "word_level", "synthetic", "pos")
+        fl = with_own(fl, docs, F.lit("")).withColumns({"real": F.coalesce("real", F.lit(False)), "h1_ord": F.coalesce("h1_ord", F.lit(0))})
+    head = F.col("real") & (F.col("level") == 1)
+    rows = fl.groupBy("doc_id", "h1_ord").agg(
+        F.bool_or(early()).alias("early"), F.max(F.when(head, F.col("text"))).alias("title"),
+        F.max(F.when(head, H.tag_value(F.col("open_tag"), 1).cast("int"))).alias("word_level"), F.min(F.when(head, F.col("pos"))).alias("pos"))
+    return numbered_sections(rows).select("doc_id", "h1_ord", "idx", "title", "level", "word_level", "synthetic", "pos")
+
+
+def sections_with_items(fl: DataFrame) -> DataFrame:
+    """(doc_id, h1_ord, idx, title, level, word_level, synthetic, items): the sections with their items (h2_ord, text, option, word_option) in
+    order, from a flow with the documents' own elements; one fold, no join."""
+    head, item = F.col("real") & (F.col("level") == 1), F.col("real") & (F.col("level") == 2)
+    word = H.tag_value(F.col("open_tag"), 2)
+    one = F.struct("h2_ord", "text", F.coalesce(word, F.lit("html")).alias("option"), word.alias("word_option"))
+    rows = fl.groupBy("doc_id", "h1_ord").agg(
+        F.bool_or(early()).alias("early"), F.max(F.when(head, F.col("text"))).alias("title"),
+        F.max(F.when(head, H.tag_value(F.col("open_tag"), 1).cast("int"))).alias("word_level"), F.min(F.when(head, F.col("pos"))).alias("pos"),
+        F.array_sort(F.collect_list(F.when(item, one))).alias("items"))
+    return numbered_sections(rows).select("doc_id", "h1_ord", "idx", "title", "level", "word_level", "synthetic", "items")
 
 
 def section_items(fl: DataFrame) -> DataFrame:
@@ -154,18 +181,21 @@ def contents(fl: DataFrame) -> DataFrame:
     """(doc_id, h1_ord, h2_key, content, media, text_html, text, option): the serialised
     content of every item with the item's own text and option, and under `h2_key` 0 what
     comes before the first item."""
-    f = with_heading_media(fl)
-    e = f.filter("real or level is null")
+    return _contents(fl.filter("real or level is null"))
+
+
+def _contents(fl: DataFrame, **more: Column) -> DataFrame:
+    e = with_heading_media(fl)
     head = F.concat(F.col("media"), T.blank_to(F.col("text_html"), T.escape_xml(F.col("text"))))
     piece = (F.when(F.col("level").isNull(), F.col("html"))
-             .when(F.col("level").isin(3, 4), F.concat(F.lit("<h"), F.col("level").cast("string"), F.lit(">"), head,
+             .when(F.col("real") & F.col("level").isin(3, 4), F.concat(F.lit("<h"), F.col("level").cast("string"), F.lit(">"), head,
                                                        F.lit("</h"), F.col("level").cast("string"), F.lit(">"))).otherwise(""))
     lead = F.col("real") & (F.col("level") <= 2)
     own = F.when(F.col("real") & (F.col("level") == 2), F.coalesce(H.tag_value(F.col("open_tag"), 2), F.lit("html")))
     return (e.withColumn("piece", piece).withColumn("own_option", own).groupBy("doc_id", "h1_ord", "h2_key")
             .agg(F.expr("listagg(piece, '') within group (order by pos)").alias("content"),
                  F.max(F.when(lead, F.col("media"))).alias("media"), F.max(F.when(lead, F.col("text_html"))).alias("text_html"),
-                 F.max(F.when(lead, F.col("text"))).alias("text"), F.max("own_option").alias("option"))
+                 F.max(F.when(lead, F.col("text"))).alias("text"), F.max("own_option").alias("option"), *[c.alias(n) for n, c in more.items()])
             .withColumn("media", F.coalesce("media", F.lit(""))).withColumn("text_html", F.coalesce("text_html", F.lit(""))))
 
 
@@ -182,9 +212,14 @@ def item_chunks(fl: DataFrame, items: DataFrame | None = None) -> DataFrame:
     `items` brings options other than the document's own (remembered ones, for instance).
     """
     c = contents(fl).withColumnRenamed("h2_key", "h2_ord")
-    w = Window.partitionBy("doc_id", "h1_ord").orderBy("h2_ord")
     i = c if items is None else c.drop("option").join(
         items.select("doc_id", "h1_ord", "h2_ord", "option"), ["doc_id", "h1_ord", "h2_ord"], "left")
+    return _chunks(i).filter("used").drop("used")
+
+
+def _chunks(i: DataFrame) -> DataFrame:
+    """Adds what item_chunks says to rows of contents; a lead-in without content is not `used`, and does not act on the others."""
+    w = Window.partitionBy("doc_id", "h1_ord").orderBy("h2_ord")
     i = i.withColumn("panel", F.coalesce(F.col("option").isin("accordion", "tabs"), F.lit(False)))
     halves = split_group_end(F.col("content"))
     body = F.when(F.col("panel"), halves["body"]).otherwise(strip_group_end(F.col("content")))
@@ -192,7 +227,7 @@ def item_chunks(fl: DataFrame, items: DataFrame | None = None) -> DataFrame:
                        F.concat(F.lit("<p>"), F.col("media"), F.lit("</p>")))
     i = (i.withColumn("spill", F.when(F.col("panel"), halves["spill"]).otherwise(""))
           .withColumn("body", F.concat_ws("\n", own_media, F.when(body != "", body))))
-    i = i.filter((F.col("h2_ord") > 0) | (F.col("body") != ""))
+    i = i.withColumn("used", (F.col("h2_ord") > 0) | (F.col("body") != ""))
     fresh = F.col("panel") & (~F.coalesce(F.lag("panel").over(w), F.lit(False)) | (F.lag("option").over(w) != F.col("option"))
                               | (F.lag("spill").over(w) != ""))
     i = i.withColumn("_new", fresh)
@@ -250,11 +285,45 @@ def blocks(pgs: DataFrame, opt_blocks: DataFrame) -> DataFrame:
                     F.coalesce("title", F.lit("")).alias("title"), F.coalesce("html", F.lit("<p></p>")).alias("html")))
 
 
+def outline(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, title, level, parent_idx, h1_ord, word_level, synthetic, blocks): every page with its blocks (title, html), from
+    converted elements with those of the documents themselves.
+
+    One ordered flow on the documents' placement: elements are folded to stretches, stretches to blocks, blocks to sections, and the sections
+    are numbered. Each step keeps what the next one needs, so nothing is read, tokenised or joined a second time.
+    """
+    head = F.col("real") & (F.col("level") == 1)
+    c = _contents(flow(elements), early=F.bool_or(early()), pos=F.min(F.when(head, F.col("pos"))),
+                  word_level=F.max(F.when(head, H.tag_value(F.col("open_tag"), 1).cast("int"))))
+    c = c.withColumnRenamed("h2_key", "h2_ord").withColumn("section", F.when(F.col("h2_ord") == 0, F.struct("text", "word_level", "pos")))
+    b = _chunks(c).groupBy("doc_id", "h1_ord", "block_seq").agg(
+        F.bool_or("used").alias("used"), F.max("section").alias("section"), F.bool_or("early").alias("early"),
+        F.coalesce(F.max(F.when(F.col("option") == "idevice-title", F.col("text"))), F.lit("")).alias("title"),
+        F.expr("listagg(case when used then chunk end, '\n') within group (order by h2_ord)").alias("html"))
+    block = F.struct("block_seq", "title", T.blank_to(F.coalesce("html", F.lit("")), "<p></p>").alias("html"))
+    s = b.groupBy("doc_id", "h1_ord").agg(F.max("section").alias("s"), F.bool_or("early").alias("early"), F.array_sort(F.collect_list(F.when(F.col("used"), block))).alias("blocks"))
+    bare = F.array(F.struct(F.lit("").alias("title"), F.lit("<p></p>").alias("html")))
+    blocks = F.transform("blocks", lambda x: F.struct(x["title"].alias("title"), x["html"].alias("html")))
+    s = s.select("doc_id", "h1_ord", F.col("s.text").alias("title"), "s.word_level", "s.pos", "early",
+                 F.when(F.size("blocks") > 0, blocks).otherwise(bare).alias("blocks"))
+    return page_parents(numbered_sections(s).withColumnRenamed("idx", "page_idx")).select(
+        "doc_id", "page_idx", "title", "level", "parent_idx", "h1_ord", "word_level", "synthetic", "blocks")
+
+
+def page_blocks(rows: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, block_idx, title, html) of pages with their blocks."""
+    return rows.select("doc_id", "page_idx", F.posexplode_outer("blocks").alias("block_idx", "b")).select("doc_id", "page_idx", "block_idx", "b.title", "b.html")
+
+
+def outline_of(docs: DataFrame, placed: bool = False) -> DataFrame:
+    """The outline straight from docs(doc_id, html), placed and tokenised once."""
+    return outline(K.elements(docs, placed, own=F.lit("")))
+
+
 def build(docs: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, blocks) of the structured route, from converted elements."""
-    fl = flow(elements)
-    pgs = pages(sections(fl, docs))
-    return pgs, blocks(pgs, option_blocks(item_chunks(fl)))
+    """(pages, blocks) of the structured route, from converted elements. Whoever needs both reads them from one `outline`."""
+    rows = outline(with_own(elements, docs, F.lit("")))
+    return rows.select("doc_id", "page_idx", "title", "level", "h1_ord", "parent_idx"), page_blocks(rows)
 
 
 # --- structure choices ----------------------------------------------------------------
@@ -277,16 +346,16 @@ def word_structure_state(sects: DataFrame, items: DataFrame) -> DataFrame:
 
 # --- the second route -------------------------------------------------------------------
 
-def heading_mode_pages(elements: DataFrame, docs: DataFrame, h1: str = "page", h2: str = "page",
-                       h3: str = "block", h4: str = "block", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
-    """(pages, blocks) straight from headings and per-level modes.
+def heading_outline(elements: DataFrame, h1: str = "page", h2: str = "page", h3: str = "block", h4: str = "block", html_col: str = "html") -> DataFrame:
+    """(doc_id, page_idx, title, level, parent_idx, blocks) straight from headings and per-level modes.
 
-    `html_col` names the sanitised HTML. Unlike the structured route, a higher level
-    resets the parent chain, and an implicit first page holds content that comes first.
+    Elements include those of the documents themselves, which carry the file name. `html_col` names the sanitised HTML. Unlike the structured
+    route, a higher level resets the parent chain, and an implicit first page holds content that comes first.
     """
     w = doc_window()
+    is_own = F.col("pos") < 0
     e = elements.withColumn("clean", F.col(html_col))
-    e = e.filter((F.col("text") != "") | T.has_content(F.col("clean")))
+    e = e.filter((F.col("text") != "") | T.has_content(F.col("clean")) | is_own)
     if h1 == "resource":
         nth = F.sum(F.coalesce(F.col("level") == 1, F.lit(False)).cast("int")).over(upto(w))
         e = e.withColumn("_n", nth).filter(~((F.coalesce("level", F.lit(0)) == 1) & (F.col("_n") == 1)))
@@ -294,7 +363,7 @@ def heading_mode_pages(elements: DataFrame, docs: DataFrame, h1: str = "page", h
     else:
         eff = F.col("level")
     e = e.withColumn("eff", eff)
-    role = F.when(F.col("eff") == 1, "page")
+    role = F.when(is_own, "own").when(F.col("eff") == 1, "page")
     if h2 == "page":
         role = role.when(F.col("eff") == 2, "page").when(F.col("eff") == 3, "page" if h3 == "page" else "block")
         if h3 == "page":
@@ -302,37 +371,47 @@ def heading_mode_pages(elements: DataFrame, docs: DataFrame, h1: str = "page", h
     else:
         role = role.when(F.col("eff") == 2, "block")
     e = e.withColumn("role", F.coalesce(role, F.lit("content")))
-    e = e.withColumn("_rn", F.row_number().over(w))
-    implicit = F.max(F.when((F.col("_rn") == 1) & ~((F.col("role") == "page") & (F.col("eff") == 1)), 1).otherwise(0)).over(upto(w))
-    e = e.withColumn("_imp", implicit)
     is_page = F.col("role") == "page"
-    e = e.withColumn("page_idx", (F.sum(is_page.cast("int")).over(upto(w)) - 1 + F.col("_imp")).cast("int"))
+    nth = F.sum((~is_own).cast("int")).over(upto(w))
+    starts = F.when((nth == 1) & ~is_own, (~(is_page & (F.coalesce("eff", F.lit(0)) == 1))).cast("int"))
+    e = e.withColumn("_first", starts).withColumn("_imp", F.coalesce(F.max("_first").over(upto(w)), F.lit(0)))
+    # the document's own row stands for the implicit page, which may hold nothing else
+    implied = F.coalesce(F.max("_first").over(Window.partitionBy("doc_id")), F.lit(0)) - 1
+    e = e.withColumn("page_idx", F.when(is_own, implied).otherwise(F.sum(is_page.cast("int")).over(upto(w)) - 1 + F.col("_imp")).cast("int"))
     last = lambda k: F.last(F.when(is_page & (F.col("eff") == k), F.col("page_idx")), ignorenulls=True).over(before(w))
-    e = e.withColumn("_p1", last(1)).withColumn("_p2", last(2)).withColumn("_p3", last(3))
+    e = e.withColumns({f"_p{k}": last(k) for k in (1, 2, 3)})
     second = F.when(F.col("_p2") > F.coalesce("_p1", F.lit(-1)), F.col("_p2"))
     third = F.when(F.col("_p3") > F.greatest(F.coalesce("_p1", F.lit(-1)), F.coalesce("_p2", F.lit(-1))), F.col("_p3"))
     prev = F.col("page_idx") - 1
     parent = (F.when(F.col("eff") == 2, F.coalesce("_p1", prev)).when(F.col("eff") == 3, F.coalesce(second, F.col("_p1"), prev))
               .when(F.col("eff") == 4, F.coalesce(third, second, F.col("_p1"), prev)))
-    own = e.filter(is_page).select("doc_id", "page_idx", F.col("text").alias("title"), F.col("eff").alias("level"), parent.alias("parent_idx"))
-    first = e.filter("_rn = 1 and _imp = 1").select("doc_id", F.lit(0).alias("page_idx"), F.lit("Página 1").alias("title"),
-                                                   F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_idx"))
-    bare = (docs.select("doc_id", "filename").join(e.select("doc_id"), "doc_id", "left_anti"))
-    empty = bare.select("doc_id", F.lit(0).alias("page_idx"), T.blank_to(T.stem(F.col("filename")), "Página 1").alias("title"),
-                        F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_idx"))
-    pgs = own.unionByName(first).unionByName(empty)
 
     v = Window.partitionBy("doc_id", "page_idx").orderBy("pos")
-    c = e.filter(~is_page).withColumn("block_seq", F.sum((F.col("role") == "block").cast("int")).over(upto(v)))
-    piece = F.when(F.col("role") == "content", F.col("clean"))
-    b = (c.withColumn("piece", piece).groupBy("doc_id", "page_idx", "block_seq")
-         .agg(F.coalesce(F.max(F.when(F.col("role") == "block", F.col("text"))), F.lit(fixed.DEFAULT_BLOCK_TITLE)).alias("title"),
-              F.expr("listagg(piece, '\n') within group (order by pos)").alias("html")))
-    u = Window.partitionBy("doc_id", "page_idx").orderBy("block_seq")
-    b = b.select("doc_id", "page_idx", (F.row_number().over(u) - 1).cast("int").alias("block_idx"), "title", "html")
-    b = pgs.join(bare.select("doc_id").withColumn("_bare", F.lit(True)), "doc_id", "left").select("doc_id", "page_idx", "_bare").join(
-        b, ["doc_id", "page_idx"], "left")
-    blk = b.select("doc_id", "page_idx", F.coalesce("block_idx", F.lit(0)).alias("block_idx"),
-                   F.coalesce("title", F.lit(fixed.DEFAULT_BLOCK_TITLE)).alias("title"),
-                   F.when(F.col("_bare"), fixed.EMPTY_DOC_HTML).otherwise(T.blank_to(F.col("html"), "<p></p>")).alias("html"))
-    return pgs, blk
+    is_block, is_content = F.col("role") == "block", F.col("role") == "content"
+    c = e.withColumn("block_seq", F.sum(is_block.cast("int")).over(upto(v))).withColumn("piece", F.when(is_content, F.col("clean")))
+    page = F.when(is_page, F.struct(F.col("text").alias("title"), F.col("eff").alias("level"), parent.alias("parent_idx")))
+    b = c.groupBy("doc_id", "page_idx", "block_seq").agg(
+        F.bool_or(is_block | is_content).alias("used"), F.max(page).alias("page"), F.max(F.when(is_own, F.col("open_tag"))).alias("own"),
+        F.coalesce(F.max(F.when(is_block, F.col("text"))), F.lit(fixed.DEFAULT_BLOCK_TITLE)).alias("title"),
+        F.expr("listagg(piece, '\n') within group (order by pos)").alias("html"))
+    block = F.struct("block_seq", "title", T.blank_to(F.coalesce("html", F.lit("")), "<p></p>").alias("html"))
+    p = b.groupBy("doc_id", "page_idx").agg(F.max("page").alias("page"), F.max("own").alias("own"),
+                                            F.array_sort(F.collect_list(F.when(F.col("used"), block))).alias("bs"))
+    # the document's own row is a page only where nothing else is
+    p = p.withColumn("_top", F.max("page_idx").over(Window.partitionBy("doc_id"))).filter("page_idx >= 0 or _top < 0")
+    empty = F.col("page_idx") < 0
+    title = F.when(empty, T.blank_to(T.stem(F.col("own")), "Página 1")).otherwise(F.coalesce("page.title", F.lit("Página 1")))
+    bare = F.array(F.struct(F.lit(fixed.DEFAULT_BLOCK_TITLE).alias("title"), F.when(empty, fixed.EMPTY_DOC_HTML).otherwise("<p></p>").alias("html")))
+    blocks = F.when(F.size("bs") > 0, F.transform("bs", lambda x: F.struct(x["title"].alias("title"), x["html"].alias("html")))).otherwise(bare)
+    return p.select("doc_id", F.greatest("page_idx", F.lit(0)).alias("page_idx"), title.alias("title"), F.coalesce("page.level", F.lit(1)).alias("level"),
+                    F.col("page.parent_idx").alias("parent_idx"), blocks.alias("blocks"))
+
+
+def heading_mode_pages(elements: DataFrame, docs: DataFrame, h1: str = "page", h2: str = "page",
+                       h3: str = "block", h4: str = "block", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(pages, blocks) of the second route; `docs` brings documents without elements and the names of their files."""
+    e = with_own(elements, docs, F.col("filename"))
+    if html_col != "html":
+        e = e.withColumn(html_col, F.coalesce(html_col, F.lit("")))
+    rows = heading_outline(e, h1, h2, h3, h4, html_col)
+    return rows.drop("blocks"), page_blocks(rows)

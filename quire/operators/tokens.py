@@ -53,15 +53,24 @@ def classify(tok: Column) -> tuple[Column, Column]:
     return kind, F.when(tag != "", tag)
 
 
-def tokens(docs: DataFrame, placed: bool = False) -> DataFrame:
-    """(doc_id, pos, tok, kind, tag): one row per tag, bracket group or text run."""
-    base = by_doc(docs.select("doc_id", "html"), placed)
+def tokens(docs: DataFrame, placed: bool = False, own: Column | None = None) -> DataFrame:
+    """(doc_id, pos, tok, kind, tag): one row per tag, bracket group or text run.
+
+    `own` adds a row of the document itself, at pos -1, of kind `own` and with that text:
+    documents without any token then stay in the flow, and need no join to come back.
+    """
+    base = by_doc(docs, placed)
     toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN), F.lit(0))
+    if own is not None:
+        toks = F.concat(F.array(own.cast("string")), F.coalesce(toks, F.array().cast("array<string>")))
     # the outer form: the plain one makes the optimizer filter on the array's size below the
     # generator, which computes the array twice
-    out = base.select("doc_id", F.posexplode_outer(toks).alias("pos", "tok")).filter("tok is not null")
+    out = base.select("doc_id", F.posexplode_outer(toks).alias("pos", "tok"))
     kind, tag = classify(F.col("tok"))
-    return out.select("doc_id", "pos", "tok", kind.alias("kind"), tag.alias("tag"))
+    if own is None:
+        return out.filter("tok is not null").select("doc_id", "pos", "tok", kind.alias("kind"), tag.alias("tag"))
+    first = F.col("pos") == 0
+    return out.select("doc_id", (F.col("pos") - 1).alias("pos"), "tok", F.when(first, "own").otherwise(kind).alias("kind"), F.when(~first, tag).alias("tag"))
 
 
 def with_code(toks: DataFrame) -> DataFrame:
@@ -107,19 +116,28 @@ def with_depth(toks: DataFrame) -> DataFrame:
 def elements_of(toks: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """Top-level blocks of a token table; `extra` maps output names to token columns
     whose values are joined beside `html`."""
-    t = with_depth(toks).filter("inside and block >= 0")
+    t = with_depth(toks).filter("inside and block >= 0 or kind = 'own'")
     joined = [F.expr(f"listagg({c}, '') within group (order by pos)").alias(n) for n, c in (extra or {}).items()]
     e = (t.groupBy("doc_id", "block")
          .agg(F.min_by("tag", "pos").alias("tag"), F.min_by("tok", "pos").alias("open_tag"),
               F.expr("listagg(tok, '') within group (order by pos)").alias("html"), *joined))
     level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
+    e = e.withColumn("html", F.when(F.col("block") < 0, "").otherwise(F.col("html")))
     return e.select("doc_id", F.col("block").cast("int").alias("pos"), "tag", level.alias("level"),
                     T.plain_text(F.col("html")).alias("text"), "html", "open_tag", *(extra or {}))
 
 
-def elements(docs: DataFrame, placed: bool = False) -> DataFrame:
-    """(doc_id, pos, tag, level, text, html, open_tag): top-level blocks in order."""
-    return elements_of(tokens(docs, placed))
+def elements(docs: DataFrame, placed: bool = False, own: Column | None = None) -> DataFrame:
+    """(doc_id, pos, tag, level, text, html, open_tag): top-level blocks in order; with `own` an
+    element of the document itself before them (pos -1, no tag, `own` as its open_tag)."""
+    return elements_of(tokens(docs, placed, own))
+
+
+def own_elements(docs: DataFrame, own: Column) -> DataFrame:
+    """The elements of the documents themselves, for elements that were made without."""
+    none = F.lit("")
+    return docs.select("doc_id", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("level"),
+                       none.alias("text"), none.alias("html"), own.cast("string").alias("open_tag"))
 
 
 def paired(toks: DataFrame, tags: list[str]) -> DataFrame:

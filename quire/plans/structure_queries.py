@@ -38,8 +38,8 @@ def pages(spark, sf):
     return R.pages(sections(spark, sf))
 
 
-def built(spark, sf):
-    return R.build(docs(spark, sf), K.elements(docs(spark, sf), placed=True))
+def outline(spark, sf):
+    return R.outline_of(docs(spark, sf), placed=True)
 
 
 @query("src_html_docs", """
@@ -145,7 +145,7 @@ def group_end_split(spark, sf):
 
 @query("default_fill", HS + "select doc_id, page_idx, block_idx, title, html from page_blocks")
 def default_fill(spark, sf):
-    return built(spark, sf)[1]
+    return R.page_blocks(outline(spark, sf))
 
 
 WORD = "case when idx = 0 then 1 else coalesce(word_level, 1) end"
@@ -228,7 +228,7 @@ def _mode_query(key, h1, h2, h3):
     @query(key, C.with_sql(_modes(h1, h2, h3)) + "select doc_id, page_idx, title, level, parent_idx from mp")
     def run(spark, sf):
         d = docs(spark, sf)
-        return R.heading_mode_pages(K.elements(d, placed=True), d, h1=h1, h2=h2, h3=h3)[0]
+        return R.heading_outline(K.elements(d, placed=True, own=F.col("filename")), h1=h1, h2=h2, h3=h3).drop("blocks")
 
 
 _mode_query("heading_mode_pages", "page", "page", "page")
@@ -246,7 +246,7 @@ select p.doc_id, p.page_idx, coalesce(b.block_idx, 0)::INT as block_idx, coalesc
 from mp p left join bb b on b.doc_id = p.doc_id and b.page_idx = p.page_idx""")
 def heading_mode_blocks(spark, sf):
     d = docs(spark, sf)
-    return R.heading_mode_pages(K.elements(d, placed=True), d, h1="page", h2="block", h3="block")[1]
+    return R.page_blocks(R.heading_outline(K.elements(d, placed=True, own=F.col("filename")), h1="page", h2="block", h3="block"))
 
 
 # --- navigation -----------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def sink_nav_rows(spark, sf):
 @query("sink_component_rows", HS + f"""select doc_id, page_idx, block_idx as ord, {C.upper('title')} as name, trim(title) <> '' as minimized
 from page_blocks""")
 def sink_component_rows(spark, sf):
-    return W.component_rows(built(spark, sf)[1]).select("doc_id", "page_idx", "ord", "name", "minimized")
+    return W.component_rows(R.page_blocks(outline(spark, sf))).select("doc_id", "page_idx", "ord", "name", "minimized")
 
 
 @query("sink_component_payload", C.with_sql(C.LINES_SQL) + f"""select doc_id, line_no::INT as ord,
@@ -340,8 +340,7 @@ def sink_component_payload(spark, sf):
   from page_blocks group by all)
 select p.doc_id, p.page_idx, md5('<h2>' || {C.escape_xml('p.title')} || '</h2>' || chr(10) || b.html) as digest from pages_out p join body b on b.doc_id = p.doc_id and b.page_idx = p.page_idx""")
 def sink_page_html(spark, sf):
-    p, b = built(spark, sf)
-    out = W.page_html(p, b)
+    out = W.page_html(outline(spark, sf))
     return out.select("doc_id", "page_idx", F.md5(F.regexp_replace("html", r'(\n<a class="(prev|next)" href="[^"]*"></a>)+$', "")).alias("digest"))
 
 
@@ -356,15 +355,14 @@ sc as (select p.doc_id, p.page_idx, '<section id="section-' || p.page_idx || '"
   {C.escape_text(C.upper('title'))} || '</h' || level || '>' || chr(10) || '  ' || body || chr(10) || '</section>' as sec from pages_out p join bd using (doc_id, page_idx))
 select doc_id, md5('<div class="content-pages">' || chr(10) || string_agg(sec, chr(10) order by page_idx) || chr(10) || '</div>') as digest from sc group by doc_id""")
 def sink_print_html(spark, sf):
-    p, b = built(spark, sf)
-    plain = b.withColumn("html", T.swap(F.col("html"), ("<h2>", "<h4>"), ("</h2>", "</h4>")))
-    return W.print_html(p, plain).select("doc_id", F.md5("html").alias("digest"))
+    lower = F.transform("blocks", lambda b: F.struct(b["title"].alias("title"), T.swap(b["html"], ("<h2>", "<h4>"), ("</h2>", "</h4>")).alias("html")))
+    return W.print_html(outline(spark, sf).withColumn("blocks", lower)).select("doc_id", F.md5("html").alias("digest"))
 
 
 @query("render_summary", HS + """select p.doc_id, count(distinct p.page_idx) as page_count, count(*) as block_count
 from page_blocks p group by p.doc_id""")
 def render_summary(spark, sf):
-    return W.render_summary(*built(spark, sf))
+    return W.render_summary(outline(spark, sf))
 
 
 @query("sink_image_store", """with i as (select sha256(from_base64(md5(trim(t)))) as sha from (

@@ -13,6 +13,7 @@ from ..operators import regress as X
 from ..operators import structure as R
 from ..operators import tokens as K
 from . import corpus as C
+from ..session import ensure_checkpoint_dir
 from .registry import query, table
 
 # --- fingerprints and memory -------------------------------------------------------------
@@ -22,12 +23,15 @@ CHOICE_LEVEL = "case when doc_id % 3 <> 0 and idx = 1 then 2 else level end"
 CHOICE_OPTION = "case when doc_id % 3 <> 0 and h2_ord % 4 = 0 then 'accordion' else option end"
 
 
+def chosen_sections(spark, sf):
+    s = R.sections_with_items(R.flow(K.elements(C.structured_docs(spark, sf), placed=True, own=F.lit(""))))
+    option = F.expr("transform(items, x -> named_struct('h2_ord', x.h2_ord, 'text', x.text, 'option', case when doc_id % 3 <> 0 and x.h2_ord % 4 = 0 "
+                    "then 'accordion' else x.option end, 'word_option', x.word_option))")
+    return s.withColumn("level", F.expr(CHOICE_LEVEL)).withColumn("items", option)
+
+
 def structures(spark, sf):
-    d = C.structured_docs(spark, sf)
-    fl = R.flow(K.elements(d, placed=True))
-    s = R.sections(fl).withColumn("level", F.expr(CHOICE_LEVEL))
-    i = R.section_items(fl).withColumn("option", F.expr(CHOICE_OPTION))
-    return Y.fingerprints(s, i)
+    return Y.fingerprints_of(chosen_sections(spark, sf))
 
 
 FP_SQL = C.HS_SQL + f""",
@@ -110,8 +114,10 @@ RECALL_WIDTH = 250
 
 
 def recall_events(spark, sf):
+    """Stored, because the operator reads them three times."""
+    ensure_checkpoint_dir(spark)
     owners = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("owner"))
-    return structures(spark, sf).join(owners, "doc_id").withColumn("at", F.col("doc_id"))
+    return structures(spark, sf).drop("title_text").join(owners, "doc_id").withColumn("at", F.col("doc_id")).checkpoint()
 
 
 @query("recall_structure", C.with_sql(REC_SQL) + "select doc_id, kind, levels, options from recalled")
@@ -126,9 +132,8 @@ from ch_s s left join recalled r using (doc_id)
 union all select i.doc_id, i.h1_ord, i.h2_ord, coalesce(nullif(string_split(r.options, ','), [''])[i.h2_ord], i.chosen) from ch_i i left join recalled r using (doc_id)""")
 def recall_applied(spark, sf):
     """Sections and items with the recalled choices put back."""
-    fl = R.flow(K.elements(C.structured_docs(spark, sf), placed=True))
-    s = R.sections(fl).withColumn("level", F.expr(CHOICE_LEVEL))
-    i = R.section_items(fl).withColumn("option", F.expr(CHOICE_OPTION))
+    c = chosen_sections(spark, sf)
+    s, i = c.drop("items"), c.select("doc_id", "h1_ord", F.inline("items")).drop("word_option")
     s, i = Y.apply_recalled(s, i, Y.recall_history(recall_events(spark, sf), RECALL_WIDTH))
     return (s.select("doc_id", "h1_ord", F.lit(0).alias("h2_ord"), F.col("level").cast("string").alias("choice"))
             .unionByName(i.select("doc_id", "h1_ord", "h2_ord", F.col("option").alias("choice"))))

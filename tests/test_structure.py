@@ -89,3 +89,28 @@ def test_rows_do_not_depend_on_partitioning(spark, docs):
     d = docs(*[f"<p>[ejemplo]</p><h2>h{i}</h2><p>[fin]</p><p>[fin]</p>" for i in range(20)])
     a = S.detect(d.repartition(1)).exceptAll(S.detect(d.repartition(7, F.rand(1))))
     assert a.count() == 0
+
+
+def test_structure_is_one_flow(spark):
+    """Pages, blocks and texts read the documents once, tokenise once and shuffle once."""
+    import __spark_entry__ as entry
+    for name in ("default_fill", "heading_mode_blocks", "sink_page_html", "sink_print_html", "render_summary", "parse_structure", "structure_choices"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and plan.count("Exchange ") == 1 and plan.count(K.TOKEN) == 1, name
+
+
+def test_outline_and_its_parts_agree(docs):
+    """Both ways to the same pages: straight from documents, and from elements with the documents beside them."""
+    d = docs("<h3><img src='a'></h3><h1>A</h1><h2>x</h2>", "", None, "<h1></h1>", "<h1>A</h1><h2 data-structure-tag='acordeon'>x</h2><p>y</p>", "<h2>x</h2>")
+    rows = R.outline_of(d)
+    pages, blocks = R.build(d, K.elements(d))
+    cols = ["doc_id", "page_idx", "title", "level", "h1_ord", "parent_idx"]
+    assert sorted(map(tuple, rows.select(cols).collect())) == sorted(map(tuple, pages.select(cols).collect()))
+    assert sorted(map(tuple, R.page_blocks(rows).collect())) == sorted(map(tuple, blocks.collect()))
+    assert [(r.doc_id, r.title) for r in pages.orderBy("doc_id", "page_idx").collect()] == [
+        (0, "Contenido"), (0, "A"), (1, "Contenido"), (2, "Contenido"), (3, "Contenido"), (4, "A"), (5, "Contenido")]
+    p, b = R.heading_mode_pages(K.elements(d), d, h2="page", h3="page")
+    q = R.heading_outline(K.elements(d, own=F.col("filename")), h2="page", h3="page")
+    assert sorted(map(tuple, p.collect())) == sorted(map(tuple, q.drop("blocks").collect()))
+    assert sorted(map(tuple, b.collect())) == sorted(map(tuple, R.page_blocks(q).collect()))
+    assert {(r.doc_id, r.title) for r in p.collect()} >= {(1, "f1"), (2, "f2"), (3, "f3")}
