@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .. import fixed
 from ..functions import text as T
@@ -41,12 +43,36 @@ def toc(pages: DataFrame, numbered: bool = True) -> DataFrame:
         F.upper("title").alias("title"), "level", "number")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def free_names(slugs: pd.Series) -> pd.Series:
+    """Each document's slugs in order, a taken one with the smallest free number from 2 on."""
+    def named(row) -> list[str] | None:
+        if row is None:
+            return None
+        out: list[str] = []
+        used: set[str] = set()
+        following: dict[str, int] = {}
+        for s in row:
+            name = s
+            if s in used:
+                k = following.get(s, 2)
+                while f"{s}-{k}" in used:
+                    k += 1
+                following[s], name = k + 1, f"{s}-{k}"
+            used.add(name)
+            out.append(name)
+        return out
+
+    return slugs.map(named, na_action=None)
+
+
 def page_hrefs(pages: DataFrame) -> DataFrame:
     """Adds `href`: index.html, then html/<slug>.html with -2, -3, … on collisions.
 
     A repeated slug takes the next number. Only where a document also has a slug that ends
-    in a number can such a name be taken already; those documents go through an ordered
-    fold over their own pages, the others through the count of the slug so far.
+    in a number can such a name be taken already; the slugs of those documents are named in
+    order with the next free number of each, in time linear in their pages, the others by
+    the count of the slug so far.
     """
     n = (F.col("page_idx") + 1).cast("string")
     slug = T.blank_to(T.slug(T.blank_to(F.col("title"), F.concat(F.lit("pagina-"), n))), F.concat(F.lit("pagina-"), n))
@@ -58,13 +84,8 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("page_idx", *cols))).alias("ps"),
         ((F.max("_nth") > 1) & F.bool_or(F.col("_slug").rlike(r"-\d+$"))).alias("clash"))
 
-    def place(used: Column, s: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda k: ~F.array_contains(used, F.concat(s, F.lit("-"), k.cast("string"))))
-        return F.when(F.array_contains(used, s), F.concat(s, F.lit("-"), F.get(free, F.lit(0)).cast("string"))).otherwise(s)
-
-    fold = F.aggregate(F.filter("ps", lambda x: x["page_idx"] > 0), F.array().cast("array<string>"),
-                       lambda used, x: F.concat(used, F.array(place(used, x["_slug"]))))
-    g = g.withColumn("names", F.when(F.col("clash"), fold))
+    slugs = F.transform(F.filter("ps", lambda x: x["page_idx"] > 0), lambda x: x["_slug"])
+    g = g.withColumn("names", free_names(F.when(F.col("clash"), slugs)))
     plain = lambda x: F.when(x["_nth"] > 1, F.concat(x["_slug"], F.lit("-"), x["_nth"].cast("string"))).otherwise(x["_slug"])
     rows = F.transform("ps", lambda x: F.struct(x.alias("p"), F.when(x["page_idx"] == 0, "index.html").otherwise(
         F.concat(F.lit("html/"), F.coalesce(F.get("names", x["page_idx"] - 1), plain(x)), F.lit(".html"))).alias("href")))

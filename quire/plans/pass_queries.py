@@ -35,13 +35,22 @@ def box_form(spark, sf):
     return K.untokenize(M.form_boxes(clean_tokens(spark, sf)))
 
 
-@query("embed_iframe", f"""
-select doc_id, '<p>a</p><div class="sem_video"><iframe style="display: block; margin: 1em auto; max-width: 100%;" src="https://www.youtube.com/embed/v' || doc_id || '?a=1&b=2"></iframe></div><p>' || n_chars || '</p>' as html
-from documents""")
+# every line of the text; a third of them bring an embed in a paragraph of its own, a third one inside their text
+_FRAME = "'&lt;iframe src=\"https://www.youtube.com/embed/v' || doc_id || '-' || {i} || '?a=1&amp;b=2\"&gt;&lt;/iframe&gt;'"
+_SHOWN = ("""'<div class="sem_video"><iframe style="display: block; margin: 1em auto; max-width: 100%;" src="https://www.youtube.com/embed/v' || doc_id || '-' || line_no """
+          """|| '?a=1&b=2"></iframe></div>'""")
+
+
+def _embedded(a: str, i: str, own: str, inner: str) -> str:
+    return (f"case {i} % 3 when 0 then '<p>' || {a} || '</p>' || {own} when 1 then '<p>' || {a} || {inner} || {a} || '</p>' else '<p>' || {a} || '</p>' end")
+
+
+@query("embed_iframe", C.with_sql(C.LINES_SQL) + f"""select doc_id, string_agg({_embedded(C.escape_text('txt'), 'line_no', _SHOWN, _SHOWN)}, '' order by line_no) as html
+from lines group by doc_id""")
 def embed_iframe(spark, sf):
-    esc = ("concat('<p>a</p><p> &lt;iframe src=\"https://www.youtube.com/embed/v', doc_id, "
-           "'?a=1&amp;b=2\"&gt;&lt;/iframe&gt; </p><p>', n_chars, '</p>')")
-    docs = C.table(spark, sf, "documents").select("doc_id", F.expr(esc).alias("html"))
+    frame = _FRAME.format(i="i")
+    line = _embedded(C.escape_text("trim(x)"), "i", f"'<p> ' || {frame} || ' </p>'", frame)
+    docs = C.placed(spark, sf).select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (x, i) -> {line})"), "").alias("html"))
     return M.embed_iframes(docs)
 
 

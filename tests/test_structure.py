@@ -114,3 +114,11 @@ def test_outline_and_its_parts_agree(docs):
     assert sorted(map(tuple, p.collect())) == sorted(map(tuple, q.drop("blocks").collect()))
     assert sorted(map(tuple, b.collect())) == sorted(map(tuple, R.page_blocks(q).collect()))
     assert {(r.doc_id, r.title) for r in p.collect()} >= {(1, "f1"), (2, "f2"), (3, "f3")}
+
+
+def test_many_colliding_pages_are_named_in_linear_time(spark):
+    titles = ["Inicio"] + ["Tema", "Tema 2"] * 5000
+    p = spark.createDataFrame([(1, i, t, 1, None) for i, t in enumerate(titles)], "doc_id bigint, page_idx int, title string, level int, parent_idx int")
+    got = [r.href for r in N.page_hrefs(p).orderBy("page_idx").collect()]
+    assert got[:6] == ["index.html", "html/tema.html", "html/tema-2.html", "html/tema-3.html", "html/tema-2-2.html", "html/tema-4.html"]
+    assert len(set(got)) == len(titles)
