@@ -1,6 +1,11 @@
 """Toxicity by a counterfactual-regularised classifier: a logistic model over words and word beginnings, fitted with a penalty on how
 much a labelled sentence's score changes when its identity terms are swapped for others of their kind.
 
+Few labelled texts may hold such a term, or none, while its beginnings speak for a label all the same. So the penalty also has a counterfactual for
+every term that fewer than `LEAST_MENTIONS` of them hold: labelled sentences with the term put in, against the same with its swap. No label
+is needed for it, and in a model that adds up words the rest of the sentence cancels, so one row a term stands for them all. The model
+tells how many texts held a term (`mentions`) and how many terms were put in (`put_in`).
+
 Fitted on the driver on at most `SAMPLE` labelled texts of at most `LEARN_BYTES` each; whole texts of all rows are scored.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept; without labels of both kinds the score is the
@@ -26,6 +31,7 @@ SAMPLE, LEARN_BYTES = 5_000, 16_384
 LEAST_DOCS, STRENGTH, FEATURES = 3, 4.0, 1_024
 STEMS = (4, 5, 6, 7, 8)
 RIDGE, SWAP, STEPS = 5e-4, 5.0, 1_000
+LEAST_MENTIONS = 20
 WORDS_KEPT = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,6 +68,8 @@ def features_of(word: str) -> list[str]:
 class ToxicityModel:
     base: float
     weights: tuple[tuple[str, float], ...]
+    mentions: int = 0
+    put_in: int = 0
 
     def scorer(self):
         """Texts -> scores; the weight of a word is kept once known."""
@@ -85,7 +93,8 @@ def counts(words: set[str]) -> Counter:
     return Counter(f for w in words for f in features_of(w))
 
 
-def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityModel:
+def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP, least: int = LEAST_MENTIONS) -> ToxicityModel:
+    """swap: the weight of the penalty; least: terms that fewer texts hold are put in (0: none)."""
     y = np.asarray(y, dtype=float)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -118,6 +127,9 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
     x, to = rows(bags), swaps()
     mentions = [i for i, bag in enumerate(bags) if not to.keys().isdisjoint(bag)]
     change = x[mentions] - rows([{to.get(w, w) for w in bags[i]} for i in mentions])
+    held = Counter(w for i in mentions for w in bags[i] if w in to)
+    rare = [(a, b) for a, b in to.items() if held[a] < least]
+    change = np.concatenate([change, rows([{a} for a, _ in rare]) - rows([{b} for _, b in rare])])
     scale = np.sqrt((x ** 2).mean(0))  # rare words move as fast as frequent ones
     x, change = x / scale, change / scale
     ridge = np.full(x.shape[1], RIDGE)
@@ -134,7 +146,7 @@ def fit_texts(texts: list[str], y: np.ndarray, swap: float = SWAP) -> ToxicityMo
         new, later = v - pull / top, (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, v, t = new, new + (t - 1) / later * (new - w), later
     w = w / scale
-    return ToxicityModel(float(w[-1]), tuple(zip(names, w[:-1].tolist(), strict=True)))
+    return ToxicityModel(float(w[-1]), tuple(zip(names, w[:-1].tolist(), strict=True)), len(mentions), len(rare))
 
 
 def fit(rows: DataFrame, swap: float = SWAP) -> ToxicityModel:

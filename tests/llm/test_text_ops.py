@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import chat, langid, packing, rules, secrets, toxicity
+from quire.llm.common import learning_sample
 from quire.llm.queries import digest_chat, word_bpe
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (None, "b c"), (5, "wörd " * 30_000), (6, "\x00é　z")]
@@ -213,3 +214,26 @@ def test_swaps_lower_scores_of_neutral_mentions(docs_of):
     got = {(r["doc_id"], r["text"]): r for r in toxicity.score(docs_of(ODD), fair).collect()}
     assert got[1, None]["score"] == got[2, ""]["score"] < 0.5
     assert toxicity.fit_texts([], np.array([])).weights == () and toxicity.score(docs_of([]), fair).count() == 0
+
+
+def test_terms_no_labelled_text_holds_are_put_in():
+    """Beginnings of a toxic word are those of an identity term: neutral mentions suffer, though no text to learn from holds a term."""
+    toxic = [f"muslimhater trash w{c}" for c in range(30)] + [f"what a moron w{c}" for c in range(30)]
+    clean = [f"the weather is fine w{c}" for c in range(60)]
+    y = np.array([1] * len(toxic) + [0] * len(clean))
+    plain, fair = toxicity.fit_texts(toxic + clean, y, least=0), toxicity.fit_texts(toxic + clean, y)
+    assert (plain.mentions, plain.put_in) == (0, 0) and fair.mentions == 0 and fair.put_in == len(toxicity.swaps())
+    assert toxicity.fit_texts(toxic + clean, y, swap=0.0, least=0).weights == plain.weights  # without rows the penalty says nothing
+    mentions = ["muslims met today", "the muslim family next door", "a muslim and a christian talk"]
+    before, after = [[m.scorer()(t) for t in mentions] for m in (plain, fair)]
+    assert all(a < b for a, b in zip(after, before, strict=True)) and sum(b >= 0.5 for b in before) > sum(a >= 0.5 for a in after) == 0
+    assert min(fair.scorer()(t) for t in toxic) > 0.5
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(learning_sample(docs.select("doc_id", "text"), labels, "toxic", 5, 0, toxicity.SAMPLE))
+    held = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and toxic is not null").select("doc_id", "toxic")
+    got = toxicity.score(docs.select("doc_id", "text"), model).join(held, "doc_id").select("toxic", "predicted").collect()
+    assert len(got) > 50 and sum(r["toxic"] == r["predicted"] for r in got) >= 0.95 * len(got)
