@@ -367,13 +367,17 @@ def sink_marked_pages(spark, sf):
     return E.page_lines(E.pages(nodes(spark, sf))).select("doc_id", "page_ord", "text")
 
 
-@query("storage_injection", """with s as (select doc_id, lang from documents where doc_id % 5 > 1)
-select q.doc_id, 'similar' as kind, '1,2' as levels from documents q where exists (select 1 from s where s.doc_id = q.doc_id)""")
+@query("storage_injection", """select doc_id, case doc_id % 4 when 0 then 'same' else 'similar' end as kind,
+  (case doc_id % 4 when 0 then '1' else '2' end) || ',' || (1 + length(coalesce(text, '')) % 3) as levels, case length(coalesce(text, '')) % 2 when 0 then 'tabs' else 'html' end as options
+from documents where doc_id % 5 > 1""")
 def storage_injection(spark, sf):
-    """Recall against a memory handed in as stored JSON of each document's own owner."""
-    text = "'[{\"shape\":\"1,0\",\"titles\":\"ab\",\"levels\":[1,2],\"options\":[\"html\"],\"at\":' || doc_id || '}]'"
+    """Recall against a memory handed in as stored JSON of each document's own owner: two entries, the older one with the titles that some ask for."""
+    entry = ("'{\"shape\":\"1,0\",\"titles\":\"%s\",\"levels\":[%d,' || (1 + length(coalesce(text, '')) %% 3) || '],\"options\":[\"' || "
+             "case length(coalesce(text, '')) %% 2 when 0 then 'tabs' else 'html' end || '\"],\"at\":%d}'")
     d = table(spark, sf, "documents")
+    text = f"'[' || {entry % ('ab', 1, 1)} || ',' || {entry % ('cd', 2, 2)} || ']'"
     store = d.filter("doc_id % 5 > 1").select(F.col("doc_id").alias("owner"), F.expr(text).alias("value"))
-    s = d.select("doc_id", F.col("doc_id").alias("owner"), F.lit("1,0").alias("shape"), F.lit("zz").alias("titles"), F.lit("").alias("tags"),
-                 F.lit(2).alias("n_sections"), F.lit(1).alias("n_items"))
-    return Y.recall(s, Y.parse_entries(store)).select("doc_id", "kind", F.array_join(F.transform("levels", lambda x: x.cast("string")), ",").alias("levels"))
+    s = d.select("doc_id", F.col("doc_id").alias("owner"), F.lit("1,0").alias("shape"), F.expr("case doc_id % 4 when 0 then 'ab' else 'zz' end").alias("titles"),
+                 F.lit("").alias("tags"), F.lit(2).alias("n_sections"), F.lit(1).alias("n_items"))
+    return Y.recall(s, Y.parse_entries(store)).select("doc_id", "kind", F.array_join(F.transform("levels", lambda x: x.cast("string")), ",").alias("levels"),
+                                                      F.array_join("options", ",").alias("options"))

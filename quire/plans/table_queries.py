@@ -189,9 +189,21 @@ def styles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.inline(rows))
 
 
-@query("style_levels", """select doc_id, v.level, v.style_id from documents, (values (2, 'H2'), (3, 'H3'), (4, 'H4')) v(level, style_id)""")
+# every line of a document is a style of its sheet: names, outline levels (one unreadable), tables of contents, character styles
+SHEET = """
+  case when k % 5 = 0 then 'character' else 'paragraph' end as type, 'S' || line_no as style_id,
+  case k % 4 when 1 then 'Heading ' || (1 + length(txt) % 6) when 2 then 'TOC ' || (length(txt) % 3) else txt end as name,
+  case when k % 7 = 0 then 'x' when k % 3 < 2 then '' || (length(txt) % 6) end as outline"""
+
+
+@query("style_levels", C.with_sql(C.LINES_SQL + f""",
+sh as (select doc_id, line_no, {SHEET} from lines),
+nm as (select *, regexp_extract(lower(name), '^heading\\s*([1-9])$', 1) as named from sh where type = 'paragraph'),
+lv as (select *, case when named <> '' then named::INT when not regexp_matches(lower(name), '^(toc|tdc|índice|indice|contents)') then try_cast(outline as INT) + 1 end as level from nm)""")
+       + "select doc_id, level, first(style_id order by (named = '')::INT, line_no) as style_id from lv where level between 1 and 4 group by doc_id, level")
 def style_levels(spark, sf):
-    return L.style_levels(styles(spark, sf))
+    sheet = C.lines(spark, sf).select("doc_id", F.col("line_no").alias("pos"), *[F.expr(x) for x in _split_cols(SHEET)])
+    return L.style_levels(sheet)
 
 
 RAW_SQL = C.LINES_SQL + f""",
