@@ -138,23 +138,3 @@ def own_elements(docs: DataFrame, own: Column) -> DataFrame:
     none = F.lit("")
     return docs.select("doc_id", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("level"),
                        none.alias("text"), none.alias("html"), own.cast("string").alias("open_tag"))
-
-
-def paired(toks: DataFrame, tags: list[str]) -> DataFrame:
-    """Match end tags to start tags of the same name at the same depth of that name.
-
-    Adds `open_pos` (own position on a start tag, the start's on an end tag) and
-    `close_pos`; both null where there is no partner.
-    """
-    hit = F.col("tag").isin(tags) & F.col("kind").isin("open", "close")
-    w = Window.partitionBy("doc_id", "tag").orderBy("pos")
-    step = F.when(~hit, 0).when(F.col("kind") == "open", 1).otherwise(-1)
-    t = toks.withColumn("_run", F.sum(F.coalesce(step, F.lit(0))).over(upto(w)))
-    t = t.withColumn("_lvl", F.when(hit, F.col("_run") + F.when(F.col("kind") == "close", 1).otherwise(0)))
-    v = Window.partitionBy("doc_id", "tag", "_lvl").orderBy("pos")
-    nxt, prv = F.lead("kind").over(v), F.lag("kind").over(v)
-    t = (t.withColumn("open_pos", F.when(hit & (F.col("kind") == "open"), F.col("pos"))
-                      .when(hit & (prv == "open"), F.lag("pos").over(v)))
-          .withColumn("close_pos", F.when(hit & (F.col("kind") == "close"), F.col("pos"))
-                      .when(hit & (nxt == "close"), F.lead("pos").over(v))))
-    return t.drop("_run", "_lvl")
