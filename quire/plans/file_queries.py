@@ -19,6 +19,8 @@ from ..operators import memory as Y
 from ..operators import tokens as K
 from ..sources import archive as A
 from ..sources import docx as D
+from ..sources import files as FS
+from ..streaming import workspace
 from . import corpus as C
 from .issue_queries import CTX_SQL, FORM_SQL
 from .registry import query, table
@@ -153,6 +155,15 @@ def src_archive_entries(spark, sf):
     return e.select("path", "entry", "entry_ord", F.sha2("content", 256).alias("sha"))
 
 
+@query("src_archive_files", f"with {ENT} select path, root || n as entry, o as entry_ord, sha256(body) as sha from ent where n <> 'pic.png'")
+def src_archive_files(spark, sf):
+    """Archives written as files with a commit, and read back entry by entry from the files."""
+    where = workspace(spark, "archives")
+    FS.write_files(archives(spark, sf), where)
+    e = FS.read_archive_files(spark, where, r"\.(xml|txt)$").filter("error is null")
+    return e.select("path", "entry", "entry_ord", F.sha2("content", 256).alias("sha"))
+
+
 @query("src_archive_errors", "select 'z' || doc_id as path, 'not an archive' as error from documents where doc_id % 7 = 3")
 def src_archive_errors(spark, sf):
     """Every seventh archive is cut off before its directory."""
