@@ -109,7 +109,7 @@ IMAGE_EXT = {"jpeg": "jpg", "jpg": "jpg", "png": "png", "gif": "gif", "webp": "w
 WORD_IMAGE_EXT = {"png": "png", "jpg": "jpg", "jpeg": "jpg", "gif": "gif", "bmp": "bmp"}
 RESOURCE_DIR = "content/resources"
 
-# --- legacy package ---------------------------------------------------------------
+# --- legacy package: fixed values ----------------------------------------------------
 CLASS_PACKAGE = "exe.engine.package.Package"
 CLASS_NODE = "exe.engine.node.Node"
 INTERNAL_FILES = ["contentv3.xml", "contentv2.xml", "content.data", "content.xsd", "content.xml"]
@@ -118,6 +118,7 @@ ERR_MODERN = ("Este archivo es un paquete del eXeLearning moderno (.elpx), no de
 ERR_NO_PACKAGE = "El contentv3.xml no contiene un paquete de eXeLearning reconocible."
 ERR_NO_PAGES = "El paquete no contiene ninguna página."
 PACKAGE_TITLE = "Documento"
+PAGE_WITHOUT_TITLE = "Página sin título"
 ERR_NO_CONTENT = ("No se ha encontrado contentv3.xml: el archivo no parece un .elp del "
                   "eXeLearning clásico (2.x).")
 

@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import images as I
 from ..functions import text as T
-from .tokens import by_doc, upto
+from .tokens import by_doc
 
 XML_TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^>]+>|[^<]+"
+XML_TAG = r"^</?(?:[\w.-]+:)?([\w.-]+)"
 NODE = fixed.CLASS_NODE
 TITLES = ["_title", "title"]
 CONTENT = ["content_w_resourcePaths", "_content", "content"]
 
 
-def _win():
-    return Window.partitionBy("doc_id").orderBy("pos")
-
-
 def repair_escapes(xml: Column) -> Column:
     """`\\xNN` that an old writer left in the text becomes its character, where XML allows that character."""
     parts = F.regexp_extract_all(xml, F.lit(r"(?s)\\x(?:0[9AaDd]|[2-9A-Fa-f][0-9A-Fa-f])|\\|[^\\]+"), F.lit(0))
@@ -35,12 +32,107 @@ def repair_escapes(xml: Column) -> Column:
     return F.when(xml.contains("\\x"), F.array_join(F.transform(parts, one), "")).otherwise(xml)
 
 
-def _from_parent(elements: DataFrame, **held: Column) -> DataFrame:
-    """Adds what the parent of an element holds. Each element appears once for itself and once among the children of its parent."""
-    both = elements.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    both = both.withColumn("_at", F.when(F.col("_own"), F.col("pos")).otherwise(F.coalesce("parent_pos", F.lit(-1))))
-    up = F.max(F.when(F.col("_own"), F.struct(*[c.alias(n) for n, c in held.items()]))).over(Window.partitionBy("doc_id", "_at"))
-    return both.withColumn("_up", up).filter("not _own").withColumns({n: F.col(f"_up.{n}") for n in held}).drop("_own", "_at", "_up")
+#: kinds of tokens, and what start tags mean; a token's code is its kind and eight times its meaning
+OPEN, CLOSE, VOID, TEXT, SKIP = range(5)
+PLAIN, DICTIONARY, LIST, INSTANCE, REFERENCE, KEY = range(6)
+RELATED = ("pos int, depth int, close_pos int, parent_pos int, sib int, key string, owner int, list_key string, list_owner int, target int, "
+           "text_pos int, in_title boolean, widgets array<int>")
+_TYPES = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+RELATED_TYPE = pa.struct([(name, _TYPES[kind]) for name, kind in (c.split() for c in RELATED.split(", "))])
+
+
+def relate(codes: list[int], labels: list[str]) -> list[list]:
+    """The columns of RELATED for the elements of one package, in document order, by a stack of open elements.
+
+    An end tag closes the element opened last; one that closes nothing is passed over. `labels` holds, in order, the texts of key strings and
+    the numbers of instances and references ('' without one); of several instances with one number the last is meant. Linear in the tokens."""
+    # element 0 stands for what is outside of all elements
+    pos, depth, close, parent, sib, key, owner, list_key, list_owner, target, text = ([None] for _ in range(11))
+    what, children, named, above, stack, meant = [PLAIN], [0], [None], [0], [0], {}
+    label, before, before_that, at = iter(labels), SKIP, SKIP, None
+    for i, code in enumerate(codes):
+        kind, w = code & 7, code >> 3
+        if kind == SKIP:
+            continue
+        if kind == CLOSE:
+            if len(stack) > 1:
+                e = stack.pop()
+                close[e] = i
+                if before == TEXT and before_that == OPEN:
+                    text[e] = at
+        elif kind == TEXT:
+            at = i
+        else:
+            up, n = stack[-1], len(pos)
+            children[up] += 1
+            around, name = what[up], next(label) if w >= INSTANCE else None
+            # in a dictionary a key string names the element after it
+            k = named[up] if around == DICTIONARY and w != KEY else None
+            named[up] = name if w == KEY else None
+            pos.append(i)
+            depth.append(len(stack))
+            close.append(i if kind == VOID else None)
+            parent.append(pos[up])
+            sib.append(children[up])
+            key.append(k)
+            owner.append(None if k is None else parent[up])
+            list_key.append(key[up] if around == LIST else None)
+            list_owner.append(owner[up] if around == LIST else None)
+            target.append(i if w == INSTANCE else name if w == REFERENCE else None)
+            text.append(None)
+            what.append(w)
+            above.append(up)
+            children.append(0)
+            named.append(None)
+            if w == INSTANCE and name:
+                meant[name] = i
+            if kind == OPEN:
+                stack.append(n)
+        before_that, before = before, kind
+    target = [meant.get(t) if isinstance(t, str) else t for t in target]
+    titles = {t for k, t in zip(key, target, strict=True) if t is not None and k in TITLES}
+    in_title = [o in titles for o in owner]
+    shown = {t for k, t in zip(list_key, target, strict=True) if t is not None and k == "idevices"}
+    widgets = [()]
+    for e in range(1, len(pos)):
+        up = above[e]
+        widgets.append((*widgets[up], pos[up]) if pos[up] in shown else widgets[up])
+    widgets = [x if w == INSTANCE and x else None for w, x in zip(what, widgets, strict=True)]
+    return [c[1:] for c in (pos, depth, close, parent, sib, key, owner, list_key, list_owner, target, text, in_title, widgets)]
+
+
+def _lists(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    """One list a row."""
+    ends = [0]
+    for part in parts:
+        ends.append(ends[-1] + len(part))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts) if parts else pa.array([], kind))
+
+
+def _relate(codes: pa.Array, labels: pa.Array) -> pa.Array:
+    """`relate` for every package of a batch."""
+    made = []
+    for code, label in zip(codes, labels, strict=True):
+        columns = relate(code.values.to_numpy().tolist(), label.values.to_pylist())
+        made.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RELATED_TYPE, strict=True)], fields=list(RELATED_TYPE)))
+    return _lists(made, RELATED_TYPE)
+
+
+def token_code(tok: Column) -> Column:
+    """The code of a token, see `relate`."""
+    def of(tag: Column) -> Column:
+        meaning = (F.when(tag == "dictionary", DICTIONARY).when(tag == "list", LIST).when(tag == "instance", INSTANCE)
+                   .when(tag == "reference", REFERENCE).when((tag == "string") & (T.attr(tok, "role") == "key"), KEY).otherwise(PLAIN))
+        return (F.when(tok.startswith("<?") | tok.startswith("<!--"), SKIP).when(tag == "", TEXT).when(tok.startswith("</"), CLOSE)
+                .otherwise(F.when(tok.endswith("/>"), VOID).otherwise(OPEN) + F.lit(8) * meaning)).cast("tinyint")
+    return T.let(F.regexp_extract(tok, XML_TAG, 1), of)
+
+
+def token_label(tok: Column, code: Column) -> Column:
+    """The text of a key string, the number of an instance or a reference; null for other tokens."""
+    means = F.shiftright(code, 3)
+    named = F.when(means == KEY, T.attr(tok, "value")).when(means == INSTANCE, T.attr(tok, "reference")).otherwise(T.attr(tok, "key"))
+    return F.when(means >= INSTANCE, F.coalesce(named, F.lit("")))
 
 
 def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
@@ -50,51 +142,33 @@ def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
     doc_id, pos, depth, tag, tok, value, close_pos, parent_pos, sib;
     key, owner: the name a dictionary gives the element and the instance the dictionary belongs to;
     list_key, list_owner: the same of the list the element is a member of;
-    target: the instance it is, or the one its reference names.
+    target: the instance it is, or the one its reference names;
+    in_title: whether the instance that owns it is what a title names; widgets: the widgets around an instance, outermost first.
 
-    The parent of an element is the last element opened one level up. To find it with a
-    window, each row also appears as a seeker in the level above its own.
+    A package is read once, within its row: Spark cuts and codes the tokens, a stack relates them (`relate`; token texts do not cross to
+    Python), and the elements stay placed by package. A null text has no elements.
     """
-    base = by_doc(docs.select("doc_id", "xml"), placed)
-    t = base.select("doc_id", F.posexplode_outer(F.regexp_extract_all(repair_escapes(F.col("xml")), F.lit(XML_TOKEN), F.lit(0))).alias("pos", "tok")).filter(
-        "tok is not null and not tok like '<?%' and not tok like '<!--%'")
-    tag = F.regexp_extract("tok", r"^</?(?:[\w.-]+:)?([\w.-]+)", 1)
-    kind = (F.when(tag == "", "text").when(F.col("tok").startswith("</"), "close").when(F.col("tok").endswith("/>"), "void").otherwise("open"))
-    t = t.select("doc_id", "pos", "tok", F.when(tag != "", tag).alias("tag"), kind.alias("kind"))
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    t = t.withColumn("_s", F.sum(step).over(upto(_win())))
-    t = t.withColumn("depth", F.when(F.col("kind") == "open", F.col("_s")).otherwise(F.col("_s") + 1))
-    closing = F.when(F.col("kind") == "void", F.col("pos")).when(F.col("kind") == "open", F.expr(
-        "lead(case when kind = 'close' then pos end) ignore nulls over (partition by doc_id, depth order by pos)"))
-    # the text of an element without children sits one level below it, right behind it
-    t = t.withColumn("close_pos", closing)
-    t = t.withColumn("_text", F.when((F.lead("kind").over(_win()) == "text") & (F.lead("kind", 2).over(_win()) == "close"), F.lead("tok").over(_win())))
-    e = t.filter("kind in ('open', 'void')")
-    attr = F.coalesce(T.attr(F.col("tok"), "value"), F.lit(""))
-    text = T.unescape_xml(F.regexp_replace(F.coalesce("_text", F.lit("")), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
-    e = e.withColumn("value", F.when(F.col("tag").isin("string", "unicode"), F.when(attr != "", attr).otherwise(text)))
-    e = e.select("doc_id", "pos", "depth", "tag", "tok", "value", "close_pos")
-    both = e.withColumn("_lvl", F.explode(F.array(F.col("depth"), F.col("depth") - 1))).withColumn("_own", F.col("_lvl") == F.col("depth"))
-    above = Window.partitionBy("doc_id", "_lvl").orderBy("pos", F.col("_own").desc())
-    up = F.last(F.when(F.col("_own"), F.struct("pos", "tag")), ignorenulls=True).over(upto(above))
-    e = both.withColumn("_up", up).filter("not _own").drop("_lvl", "_own")
-    e = e.withColumn("parent_pos", F.col("_up.pos")).withColumn("_in", F.col("_up.tag")).drop("_up")
-    siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
-    e = e.withColumn("sib", F.row_number().over(siblings))
-
-    # in a dictionary a key string names the element after it
-    named = F.when((F.col("tag") == "string") & (T.attr(F.col("tok"), "role") == "key"), F.coalesce(T.attr(F.col("tok"), "value"), F.lit("")))
-    e = e.withColumn("_names", named).withColumn("_key", F.lag("_names").over(siblings))
-    e = e.withColumn("key", F.when(F.col("_names").isNull() & (F.col("_in") == "dictionary"), F.col("_key"))).drop("_names", "_key")
-    e = _from_parent(e, _over=F.col("parent_pos"))
-    e = e.withColumn("owner", F.when(F.col("key").isNotNull(), F.col("_over"))).drop("_over")
-    e = _from_parent(e, list_key=F.when(F.col("tag") == "list", F.col("key")), list_owner=F.when(F.col("tag") == "list", F.col("owner")))
-
-    ref = F.when(F.col("tag") == "instance", T.attr(F.col("tok"), "reference")).when(F.col("tag") == "reference", T.attr(F.col("tok"), "key"))
-    e = e.withColumn("_ref", ref)
-    meant = F.max(F.when((F.col("tag") == "instance") & F.col("_ref").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "_ref"))
-    e = e.withColumn("target", F.when(F.col("tag") == "instance", F.col("pos")).when(F.col("tag") == "reference", meant))
-    return e.drop("_ref", "_in")
+    base = by_doc(docs.select("doc_id", "xml"), placed).filter("xml is not null")
+    base = base.select("doc_id", F.regexp_extract_all(repair_escapes(F.col("xml")), F.lit(XML_TOKEN), F.lit(0)).alias("toks"))
+    base = base.withColumn("codes", F.transform("toks", token_code))
+    labels = F.filter(F.zip_with("toks", "codes", token_label), lambda x: x.isNotNull())
+    related = F.arrow_udf(_relate, f"array<struct<{RELATED.replace(' ', ':').replace(',:', ',')}>>")
+    rows = base.withColumn("labels", labels).select("doc_id", "toks", related("codes", "labels").alias("made"))
+    # an element takes its tokens while its package is one row: exploded rows must not carry the whole package. What is read from a token is
+    # read there too, once, whatever filters follow
+    def value_of(tag: Column, tok: Column, text: Column) -> Column:
+        plain = T.let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"), T.unescape_xml)
+        return F.when(tag.isin("string", "unicode"), T.let(T.attr(tok, "value"), lambda v: F.when(F.coalesce(v, F.lit("")) != "", v).otherwise(plain)))
+
+    def element(x: Column) -> Column:
+        tok = F.get("toks", x["pos"])
+        tag = F.regexp_extract(tok, XML_TAG, 1)
+        return T.let(F.struct(x.alias("x"), tok.alias("tok"), tag.alias("tag")), lambda e: F.struct(
+            e["x"].alias("x"), e["tok"].alias("tok"), e["tag"].alias("tag"), value_of(e["tag"], e["tok"], F.get("toks", e["x"]["text_pos"])).alias("value")))
+
+    e = rows.select("doc_id", F.inline(F.transform("made", element))).select("doc_id", "x.*", "tok", "tag", "value")
+    return e.select("doc_id", "pos", "depth", "tag", "tok", "value", "close_pos", "parent_pos", "sib", "key", "owner", "list_key", "list_owner", "target",
+                    "in_title", "widgets")
 
 
 def class_of(tok: Column) -> Column:
@@ -117,54 +191,47 @@ def list_members(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.filter((F.col("list_key") == key) & F.col("target").isNotNull()).select("doc_id", F.col("list_owner").alias("owner"), "sib", "target")
 
 
-def _walk(batches):
-    """Pages of each package in reading order, from its edges and roots. An edge back to a page
-    that is open already is left out; the stack is explicit, so depth has no limit."""
-    for batch in batches:
-        docs, pages = [], []
-        for doc_id, edges, roots, nodes, package in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            known, below = set(nodes), {}
-            for e in sorted(edges, key=lambda e: (e["sib"], e["target"]), reverse=True):
-                if e["target"] in known:
-                    below.setdefault(e["owner"], []).append(e["target"])
-            starts = sorted((r["target"] for r in roots if r["owner"] == package and r["target"] in known), reverse=True)
-            out, on_path, path = [], set(), []
-            todo = [(r, 0) for r in starts]
-            if not starts:
-                out = [{"page_ord": i, "node": n, "depth": 0} for i, n in enumerate(sorted(known))]
-            while todo:
-                node, depth = todo.pop()
-                while len(path) > depth:
-                    on_path.discard(path.pop())
-                if node in on_path:
-                    continue
-                path.append(node)
-                on_path.add(node)
-                out.append({"page_ord": len(out), "node": node, "depth": depth})
-                todo += [(c, depth + 1) for c in below.get(node, [])]
-            docs.append(doc_id)
-            pages.append(out)
-        kind = pa.list_(pa.struct([("page_ord", pa.int32()), ("node", pa.int32()), ("depth", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(pages, kind)], names=["doc_id", "ps"])
-
-
-def page_tree(nodes: DataFrame) -> DataFrame:
-    """(doc_id, page_ord, node, depth): pages in reading order.
-
-    A tree lies within one package: its edges meet as pairs of positions and are walked there,
-    in one lazy plan whatever the depth. A package without a root page lists all its nodes at
-    depth 0.
-    """
-    n = lambda c: F.col(c).cast("int").alias(c)
-    known = F.col("target").isNotNull()
-    of = lambda name: (F.col("tag") == "instance") & (class_of(F.col("tok")) == name)
-    rows = nodes.select(
-        "doc_id", F.when((F.col("list_key") == "children") & known, F.struct(F.col("list_owner").cast("int").alias("owner"), n("sib"), n("target"))).alias("edge"),
-        F.when((F.col("key") == "root") & known, F.struct(n("owner"), n("target"))).alias("root"),
-        F.when(of(NODE), F.col("pos").cast("int")).alias("node"), F.when(of(fixed.CLASS_PACKAGE), F.col("pos").cast("int")).alias("package"))
-    trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "node")], F.min("package").alias("package"))
-    key = nodes.schema["doc_id"].dataType.simpleString()
-    return trees.mapInArrow(_walk, f"doc_id {key}, ps array<struct<page_ord:int,node:int,depth:int>>").select("doc_id", F.inline("ps"))
+PAGE_TYPE = pa.struct([("page_ord", pa.int32()), ("node", pa.int32()), ("depth", pa.int32()), ("title", pa.string())])
+
+
+def walk_pages(edges, roots, nodes, package, titles, inner) -> list[dict]:
+    """Pages of one package in reading order, from its edges and roots. An edge back to a page that is open already is left out; the
+    stack is explicit, so depth has no limit. A page's title is the text of its first title field, else the text inside the instance that field names."""
+    known, below = set(nodes), {}
+    for e in sorted(edges, key=lambda e: (e["sib"], e["target"]), reverse=True):
+        if e["target"] in known:
+            below.setdefault(e["owner"], []).append(e["target"])
+    title_of, text_of = {}, {}
+    for t in sorted(titles, key=lambda t: (t["rank"], t["pos"])):
+        title_of.setdefault(t["owner"], t)
+    for t in sorted(inner, key=lambda t: (-t["rank"], t["value"])):
+        text_of[t["owner"]] = t["value"]
+    none = {"value": None, "target": None}
+
+    def page(i: int, node: int, depth: int) -> dict:
+        t = title_of.get(node, none)
+        return {"page_ord": i, "node": node, "depth": depth, "title": t["value"] or text_of.get(t["target"]) or fixed.PAGE_WITHOUT_TITLE}
+
+    starts = sorted((r["target"] for r in roots if r["owner"] == package and r["target"] in known), reverse=True)
+    if not starts:
+        return [page(i, n, 0) for i, n in enumerate(sorted(known))]
+    out, on_path, path, todo = [], set(), [], [(r, 0) for r in starts]
+    while todo:
+        node, depth = todo.pop()
+        while len(path) > depth:
+            on_path.discard(path.pop())
+        if node in on_path:
+            continue
+        path.append(node)
+        on_path.add(node)
+        out.append(page(len(out), node, depth))
+        todo += [(c, depth + 1) for c in below.get(node, [])]
+    return out
+
+
+def _walk(*columns: pa.Array) -> pa.Array:
+    """`walk_pages` for every package of a batch."""
+    return _lists([pa.array(walk_pages(*(c.as_py() for c in row)), PAGE_TYPE) for row in zip(*columns, strict=True)], PAGE_TYPE)
 
 
 def _first_text(keys: list[str]) -> Column:
@@ -173,14 +240,33 @@ def _first_text(keys: list[str]) -> Column:
 
 
 def pages(nodes: DataFrame) -> DataFrame:
-    """(doc_id, page_ord, depth, title, node)."""
-    rank = F.when(F.col("key") == TITLES[0], 0).otherwise(1)
-    by_owner = fields(nodes).filter(F.col("key").isin(TITLES + CONTENT)).groupBy("doc_id", "owner").agg(
-        F.min_by(F.struct("value", "target"), F.when(F.col("key").isin(TITLES), F.struct(rank, "pos"))).alias("own"), _first_text(CONTENT).alias("inner"))
-    own = by_owner.select("doc_id", F.col("owner").alias("node"), F.nullif("own.value", F.lit("")).alias("direct"), F.col("own.target").alias("target"))
-    inner = by_owner.select("doc_id", F.col("owner").alias("target"), "inner")
-    t = page_tree(nodes).join(own, ["doc_id", "node"], "left").join(inner, ["doc_id", "target"], "left")
-    return t.select("doc_id", "page_ord", "depth", F.coalesce("direct", "inner", F.lit("Página sin título")).alias("title"), "node")
+    """(doc_id, page_ord, depth, title, node): pages in reading order with their titles.
+
+    A tree lies within one package: its edges meet there as pairs of positions, with the title fields, in one aggregate on the
+    packages' placement, whatever the depth. A package without a root page lists all its nodes at depth 0.
+    """
+    n = lambda c: F.col(c).alias(c)
+    known, text = F.col("target").isNotNull(), F.nullif("value", F.lit("")).alias("value")
+    of = lambda name: (F.col("tag") == "instance") & (class_of(F.col("tok")) == name)
+    rank = lambda keys: F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key")).cast("int").alias("rank")
+    counts = (F.col("tag") == "instance") | (F.col("list_key") == "children") | F.col("key").isin(["root", *TITLES, *CONTENT])
+    rows = nodes.filter(counts).select(
+        "doc_id", F.when((F.col("list_key") == "children") & known, F.struct(F.col("list_owner").alias("owner"), n("sib"), n("target"))).alias("edge"),
+        F.when((F.col("key") == "root") & known, F.struct(n("owner"), n("target"))).alias("root"),
+        F.when(of(NODE), F.col("pos")).alias("node"), F.when(of(fixed.CLASS_PACKAGE), F.col("pos")).alias("package"),
+        F.when(F.col("key").isin(TITLES), F.struct(n("owner"), rank(TITLES), n("pos"), text, n("target"))).alias("title"),
+        F.when(F.col("in_title") & F.col("key").isin(CONTENT) & text.isNotNull(), F.struct(n("owner"), rank(CONTENT), text)).alias("inner"))
+    held = ("edge", "root", "node", "package", "title", "inner")
+    trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "node")], F.min("package").alias("package"),
+                                       *[F.collect_list(c).alias(c) for c in ("title", "inner")])
+    walk = F.arrow_udf(_walk, "array<struct<page_ord:int,node:int,depth:int,title:string>>")
+    p = trees.select("doc_id", F.inline(walk(*held)))
+    return p.select("doc_id", "page_ord", "depth", "title", "node")
+
+
+def page_tree(nodes: DataFrame) -> DataFrame:
+    """(doc_id, page_ord, node, depth): the tree alone."""
+    return pages(nodes).select("doc_id", "page_ord", "node", "depth")
 
 
 def package_info(nodes: DataFrame) -> DataFrame:
@@ -194,41 +280,63 @@ def package_info(nodes: DataFrame) -> DataFrame:
         T.blank_to(text("_title"), F.lit(fixed.PACKAGE_TITLE)).alias("title"), text("_author").alias("author"), text("_lang").alias("language"), error.alias("error"))
 
 
+NAMES = {"t": "_title", "dir": "_iDeviceDir", "tn": "_typeName", "gn": "__name__"}
+
+
+def widgets(nodes: DataFrame) -> DataFrame:
+    """(doc_id, target, page, sib, class, t, dir, tn, gn, areas): a row for each place where a page lists a widget, with the widget's names and the
+    text fields (pos, html) below it, at any depth and behind closed inner widgets.
+
+    Two aggregates on the packages' placement: what belongs to an instance (its tag, its fields, the lists it stands in) becomes its row;
+    then text fields go to the widgets around them. A text field listed nowhere and a widget that is nothing but listed meet there."""
+    own, listed = F.col("tag") == "instance", (F.col("list_key") == "idevices") & F.col("target").isNotNull()
+    field = F.col("key").isin([*CONTENT, *NAMES.values()])
+    instance = F.struct(F.col("pos").alias("inst"), class_of(F.col("tok")).alias("class"), "widgets")
+    none = F.lit(None)
+    of_field = F.struct(F.col("owner").alias("inst"), F.col("key"), F.nullif("value", F.lit("")).alias("value"))
+    of_list = F.struct(F.col("target").alias("inst"), F.col("list_owner").alias("page"), "sib")
+    rows = nodes.filter(own | listed | field).select(
+        "doc_id", F.when(own, instance).alias("i"), F.when(field & F.col("owner").isNotNull(), of_field).alias("f"), F.when(listed, of_list).alias("l"))
+    # an instance that is a member of a list, or a field's value besides, counts for each
+    roles = F.array(*[F.when(F.col(c).isNotNull(), F.struct(
+        F.col(f"{c}.inst").alias("inst"), *[(F.col(c) if c == o else none.cast(rows.schema[o].dataType)).alias(o) for o in "ifl"])) for c in "ifl"])
+    each = rows.select("doc_id", F.inline(F.filter(roles, lambda x: x.isNotNull())))
+    text = lambda k: F.max(F.when(F.col("f.key") == k, F.col("f.value")))
+    inst = each.groupBy("doc_id", "inst").agg(
+        F.max("i.class").alias("class"), F.max("i.widgets").alias("widgets"), F.coalesce(*[text(k) for k in CONTENT]).alias("html"),
+        *[text(k).alias(n) for n, k in NAMES.items()], F.collect_list("l").alias("places"))
+    shown = F.when(F.size("places") > 0, F.struct("class", *NAMES, "places"))
+    is_area = F.col("class").endswith(".TextAreaField") & (T.strip(F.coalesce("html", F.lit(""))) != "")
+    area = F.when(is_area, F.struct(F.col("inst").alias("pos"), "html"))
+    inst = inst.select("doc_id", "inst", "widgets", shown.alias("shown"), area.alias("area"))
+    to = F.concat(F.when(F.col("shown").isNotNull(), F.array(F.struct(F.col("inst").alias("target"), F.lit(True).alias("own")))).otherwise(F.array()),
+                  F.when(F.col("area").isNotNull(), F.transform(F.coalesce("widgets", F.array()), lambda w: F.struct(w.alias("target"), F.lit(False).alias("own"))))
+                  .otherwise(F.array()))
+    met = inst.select("doc_id", "shown", "area", F.inline(to)).groupBy("doc_id", "target").agg(
+        F.first(F.when(F.col("own"), F.col("shown")), ignorenulls=True).alias("shown"),
+        F.array_sort(F.collect_list(F.when(~F.col("own"), F.col("area")))).alias("areas"))
+    met = met.filter("shown is not null").select("doc_id", "target", "areas", "shown.class", *[f"shown.{n}" for n in NAMES], F.inline("shown.places"))
+    return met.select("doc_id", "target", "page", "sib", "class", *NAMES, "areas")
+
+
 def text_areas(nodes: DataFrame) -> DataFrame:
-    """(doc_id, target, pos, html): the text fields below a widget, at any depth and behind closed inner widgets. A field looks for
-    the last widget opened at each level above its own."""
-    widgets = list_members(nodes, "idevices").select("doc_id", F.col("target").alias("pos")).distinct().withColumn("_widget", F.lit(True))
-    is_area = F.col("class").endswith(".TextAreaField")
-    i = instances(nodes).join(widgets, ["doc_id", "pos"], "left").filter(is_area | F.col("_widget"))
-    above = F.when(is_area & (F.col("depth") > 1), F.sequence(F.lit(1), (F.col("depth") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    own = F.when(F.col("_widget"), F.array(F.col("depth").cast("int"))).otherwise(F.array().cast("array<int>"))
-    i = i.select("doc_id", "pos", "depth", "close_pos", "_widget", F.explode(F.concat(above, own)).alias("lvl"))
-    held = F.when(F.col("lvl") == F.col("depth"), F.struct("pos", "close_pos"))
-    w = F.last(held, ignorenulls=True).over(upto(Window.partitionBy("doc_id", "lvl").orderBy("pos")))
-    inside = i.withColumn("w", w).filter((F.col("lvl") < F.col("depth")) & (F.col("w.close_pos") > F.col("pos")))
-    html = fields(nodes).filter(F.col("key").isin(CONTENT)).groupBy("doc_id", F.col("owner").alias("pos")).agg(_first_text(CONTENT).alias("html"))
-    return inside.select("doc_id", F.col("w.pos").alias("target"), "pos").join(html, ["doc_id", "pos"]).filter(T.strip(F.col("html")) != "")
+    """(doc_id, target, pos, html): the text fields below each widget."""
+    return widgets(nodes).select("doc_id", "target", F.inline("areas")).distinct()
 
 
 def items(nodes: DataFrame, pgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, warnings): items(doc_id, page_ord, item_ord, type, title, field_ord, html)
     with one row per HTML field; widgets without text become warnings."""
-    members = list_members(nodes, "idevices").join(
-        pgs.select("doc_id", "page_ord", F.col("title").alias("page_title"), F.col("node").alias("owner")), ["doc_id", "owner"])
-    i = members.join(instances(nodes).select("doc_id", F.col("pos").alias("target"), "class"), ["doc_id", "target"])
-    names = (fields(nodes).filter(F.col("key").isin("_title", "_iDeviceDir", "_typeName", "__name__")).groupBy("doc_id", F.col("owner").alias("target"))
-             .agg(*[_first_text([k]).alias(a) for k, a in (("_title", "t"), ("_iDeviceDir", "dir"), ("_typeName", "tn"), ("__name__", "gn"))]))
-    i = i.join(names, ["doc_id", "target"], "left")
+    on_page = pgs.select("doc_id", "page_ord", F.col("title").alias("page_title"), F.col("node").alias("page"))
+    i = widgets(nodes).filter("class is not null").join(on_page, ["doc_id", "page"])
     last = F.element_at(F.split("class", r"\."), -1)
     kind = (F.when(F.col("class").endswith(".JsIdevice"), F.coalesce("dir", "tn", last))
             .when(F.col("class").endswith(".GenericIdevice"), F.coalesce("gn", last)).otherwise(last))
-    i = i.select("doc_id", "page_ord", "page_title", F.col("sib").alias("item_ord"), "target", kind.alias("type"), T.strip(F.coalesce("t", F.lit(""))).alias("title"))
-    f = text_areas(nodes)
-    f = f.withColumn("field_ord", F.row_number().over(Window.partitionBy("doc_id", "target").orderBy("pos")) - 1)
-    both = i.join(f.select("doc_id", "target", "field_ord", "html"), ["doc_id", "target"], "left")
-    warn = both.filter("field_ord is null").select("doc_id", "page_ord", "item_ord", F.concat(
+    i = i.select("doc_id", "page_ord", "page_title", F.col("sib").alias("item_ord"), kind.alias("type"), T.strip(F.coalesce("t", F.lit(""))).alias("title"), "areas")
+    warn = i.filter(F.size("areas") == 0).select("doc_id", "page_ord", "item_ord", F.concat(
         F.lit("En la página «"), "page_title", F.lit("»: iDevice «"), T.blank_to(F.col("title"), F.col("type")), F.lit("» sin texto extraíble, omitido.")).alias("warning"))
-    return both.filter("field_ord is not null").select("doc_id", "page_ord", "item_ord", "type", "title", "field_ord", "html"), warn
+    with_text = i.select("doc_id", "page_ord", "item_ord", "type", "title", F.posexplode("areas").alias("field_ord", "area"))
+    return with_text.select("doc_id", "page_ord", "item_ord", "type", "title", "field_ord", "area.html"), warn
 
 
 def summary(pgs: DataFrame, itms: DataFrame, resources: DataFrame, warnings: DataFrame) -> DataFrame:

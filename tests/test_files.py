@@ -151,3 +151,54 @@ def test_catalogue_file(spark, tmp_path):
     f.write_text('{"themes": [{"id": "a", "name": "A"}]}', encoding="utf-8")
     assert [r.id for r in read_catalogue(spark, str(f)).collect()] == ["a"]
     assert read_catalogue(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def zip_of(entries):
+    import io
+    import zipfile
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in entries:
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def test_archive_files_are_cut_and_errors_are_rows(spark, tmp_path):
+    from quire.sources import files as FS
+    big = zip_of([(f"d/{i:03d}.txt", bytes([i]) * 1000) for i in range(100)])
+    rows = [("big.zip", big), ("sub/small.zip", zip_of([("a.xml", b"x"), ("b.txt", b"")])), ("broken.zip", big[:500]), ("empty", None)]
+    where = str(tmp_path / "z")
+    FS.write_files(spark.createDataFrame(rows, "path string, content binary"), where)
+    got = FS.read_archive_files(spark, where, split=20_000)
+    assert got.rdd.getNumPartitions() >= 5
+    assert {(r.path, r.error) for r in got.filter("error is not null").collect()} == {("broken.zip", "not an archive"), ("empty", "not an archive")}
+    mine = sorted((r.entry_ord, r.entry, bytes(r.content)) for r in got.filter("path = 'big.zip'").collect())
+    assert mine == [(i, f"d/{i:03d}.txt", bytes([i]) * 1000) for i in range(100)]
+    assert [r.entry for r in got.filter("entry = 'a.xml'").collect()] == ["a.xml"]
+    assert FS.read_archive_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_files_are_replaced_as_a_whole_or_not_at_all(spark, tmp_path):
+    import os
+
+    import pytest
+    from quire.sources import files as FS
+    where = str(tmp_path / "out")
+    first = spark.createDataFrame([(f"p/{i}.zip", zip_of([("a", str(i))])) for i in range(6)], "path string, content binary")
+    FS.write_files(first.repartition(3), where)
+    seen = lambda: sorted((r.path, bytes(r.content)) for r in FS.read_archive_files(spark, where).collect())
+    before = seen()
+    assert before == [(f"p/{i}.zip", str(i).encode()) for i in range(6)]
+    with pytest.raises(Exception, match="not a path below"):
+        FS.write_files(spark.createDataFrame([("p/0.zip", b"new"), ("../x", b"")], "path string, content binary").repartition(2), where)
+    assert seen() == before
+    FS.write_files(first.limit(2), where)
+    assert len(seen()) == 2 and len([n for n in os.listdir(where) if n.startswith("run-")]) == 1
+
+
+def test_related_elements_in_broken_packages(spark):
+    xml = '</x><!--c--><instance class="p" reference="1"><dictionary><string role="key" value="a"/><reference key="2"/></dictionary><instance reference="2"/>'
+    rows = spark.createDataFrame([(1, xml), (2, ""), (3, None)], "doc_id bigint, xml string")
+    got = [(r.tag, r.depth, r.key, r.close_pos is None, r.target) for r in E.xml_nodes(rows).orderBy("doc_id", "pos").collect()]
+    assert got == [("instance", 1, None, True, 2), ("dictionary", 2, None, False, None), ("string", 3, None, False, None),
+                   ("reference", 3, "a", False, 7), ("instance", 2, None, False, 7)]
