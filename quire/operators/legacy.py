@@ -194,7 +194,7 @@ def list_members(nodes: DataFrame, key: str) -> DataFrame:
 PAGE_TYPE = pa.struct([("page_ord", pa.int32()), ("node", pa.int32()), ("depth", pa.int32()), ("title", pa.string())])
 
 
-def walk_pages(edges, roots, nodes, package, titles, inner) -> list[dict]:
+def walk_pages(edges, roots, nodes, package, titles=(), inner=()) -> list[dict]:
     """Pages of one package in reading order, from its edges and roots. An edge back to a page that is open already is left out; the
     stack is explicit, so depth has no limit. A page's title is the text of its first title field, else the text inside the instance that field names."""
     known, below = set(nodes), {}
@@ -229,14 +229,12 @@ def walk_pages(edges, roots, nodes, package, titles, inner) -> list[dict]:
     return out
 
 
-def _walk(*columns: pa.Array) -> pa.Array:
-    """`walk_pages` for every package of a batch."""
-    return _lists([pa.array(walk_pages(*(c.as_py() for c in row)), PAGE_TYPE) for row in zip(*columns, strict=True)], PAGE_TYPE)
-
-
-def _first_text(keys: list[str]) -> Column:
-    """The first non-empty text among the fields `keys` of a group of fields."""
-    return F.coalesce(*[F.max(F.when(F.col("key") == k, F.nullif("value", F.lit("")))) for k in keys])
+def _walk(batches):
+    """`walk_pages` for every package of the batches: doc_id, edges, roots, nodes, package and, where titles are asked for, title fields and texts."""
+    for batch in batches:
+        rows = zip(*batch.columns[1:], strict=True)
+        made = _lists([pa.array(walk_pages(*(c.as_py() for c in row)), PAGE_TYPE) for row in rows], PAGE_TYPE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "ps"])
 
 
 def pages(nodes: DataFrame) -> DataFrame:
@@ -259,8 +257,9 @@ def pages(nodes: DataFrame) -> DataFrame:
     held = ("edge", "root", "node", "package", "title", "inner")
     trees = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("edge", "root", "node")], F.min("package").alias("package"),
                                        *[F.collect_list(c).alias(c) for c in ("title", "inner")])
-    walk = F.arrow_udf(_walk, "array<struct<page_ord:int,node:int,depth:int,title:string>>")
-    p = trees.select("doc_id", F.inline(walk(*held)))
+    key = nodes.schema["doc_id"].dataType.simpleString()
+    trees = trees.select("doc_id", *held[:3], "package", *held[4:])
+    p = trees.mapInArrow(_walk, f"doc_id {key}, ps array<struct<page_ord:int,node:int,depth:int,title:string>>").select("doc_id", F.inline("ps"))
     return p.select("doc_id", "page_ord", "depth", "title", "node")
 
 
