@@ -146,7 +146,7 @@ def xml_nodes(docs: DataFrame, placed: bool = False) -> DataFrame:
     in_title: whether the instance that owns it is what a title names; widgets: the widgets around an instance, outermost first.
 
     A package is read once, within its row: Spark cuts and codes the tokens, a stack relates them (`relate`; token texts do not cross to
-    Python), and the elements stay placed by package. A null text has no elements.
+    Python). Placement by package does not outlast that step: what groups or joins elements later plans its own exchange. A null text has no elements.
     """
     base = by_doc(docs.select("doc_id", "xml"), placed).filter("xml is not null")
     base = base.select("doc_id", F.regexp_extract_all(repair_escapes(F.col("xml")), F.lit(XML_TOKEN), F.lit(0)).alias("toks"))
@@ -240,8 +240,8 @@ def _walk(batches):
 def pages(nodes: DataFrame) -> DataFrame:
     """(doc_id, page_ord, depth, title, node): pages in reading order with their titles.
 
-    A tree lies within one package: its edges meet there as pairs of positions, with the title fields, in one aggregate on the
-    packages' placement, whatever the depth. A package without a root page lists all its nodes at depth 0.
+    A tree lies within one package: its edges meet there as pairs of positions, with the title fields, in one aggregate a
+    package, whatever the depth. A package without a root page lists all its nodes at depth 0.
     """
     n = lambda c: F.col(c).alias(c)
     known, text = F.col("target").isNotNull(), F.nullif("value", F.lit("")).alias("value")
@@ -286,7 +286,7 @@ def widgets(nodes: DataFrame) -> DataFrame:
     """(doc_id, target, page, sib, class, t, dir, tn, gn, areas): a row for each place where a page lists a widget, with the widget's names and the
     text fields (pos, html) below it, at any depth and behind closed inner widgets.
 
-    Two aggregates on the packages' placement: what belongs to an instance (its tag, its fields, the lists it stands in) becomes its row;
+    Two aggregates, each keyed by package and instance: what belongs to an instance (its tag, its fields, the lists it stands in) becomes its row;
     then text fields go to the widgets around them. A text field listed nowhere and a widget that is nothing but listed meet there."""
     own, listed = F.col("tag") == "instance", (F.col("list_key") == "idevices") & F.col("target").isNotNull()
     field = F.col("key").isin([*CONTENT, *NAMES.values()])
