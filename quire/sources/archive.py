@@ -21,19 +21,21 @@ ENTRY = "path string, entry string, entry_ord int, content binary, error string"
 NO_ARCHIVE, NO_ENTRY = "not an archive", "unreadable entry"
 
 
-def _reader(wanted: str | None, flush_bytes: int = 8 << 20):
+def _reader(wanted: str | None, flush_bytes: int = 2 << 20):
     pattern = re.compile(wanted) if wanted else None
 
     def read(batches):
-        import pandas as pd
-        names = ["path", "entry", "entry_ord", "content", "error"]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"entry_ord": "Int32"})
+        import pyarrow as pa
+        kinds = {"path": pa.string(), "entry": pa.string(), "entry_ord": pa.int32(), "content": pa.binary(), "error": pa.string()}
+        made = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
         rows, held = [], 0
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                path = path.as_py()
                 try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, TypeError):
+                    z = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                except zipfile.BadZipFile:
                     rows.append((path, None, None, None, NO_ARCHIVE))
                     continue
                 with z:
@@ -48,10 +50,10 @@ def _reader(wanted: str | None, flush_bytes: int = 8 << 20):
                         held += len(data or b"")
                         # what is held is a few megabytes, never a whole archive
                         if held >= flush_bytes or len(rows) >= 10_000:
-                            yield frame(rows)
+                            yield made(rows)
                             rows, held = [], 0
         if rows:
-            yield frame(rows)
+            yield made(rows)
     return read
 
 
@@ -59,7 +61,7 @@ def read_entries(archives: DataFrame, wanted: str | None = None) -> DataFrame:
     """(path, entry, entry_ord, content, error) of archives(path, content); `wanted` is a regular
     expression over entry names. A file that is no archive and an entry that cannot be read are
     rows with an error and without content."""
-    return archives.select("path", "content").mapInPandas(_reader(wanted), ENTRY)
+    return archives.select("path", "content").mapInArrow(_reader(wanted), ENTRY)
 
 
 def entries(archives: DataFrame, wanted: str | None = None) -> DataFrame:

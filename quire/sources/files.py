@@ -22,7 +22,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 from .archive import ENTRY, NO_ARCHIVE, NO_ENTRY
 
 CURRENT = "_current"
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 2 << 20
 #: what damaged archives raise; a failing read of the store is none of these and fails the task, so that Spark tries again
 BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, pa.ArrowInvalid)
 ENTRY_TYPE = pa.schema([("path", pa.string()), ("entry", pa.string()), ("entry_ord", pa.int32()), ("content", pa.binary()), ("error", pa.string())])

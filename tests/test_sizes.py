@@ -25,3 +25,27 @@ def test_references_meet_their_instances_in_one_reading(spark):
     found = E.references(E.xml_nodes(rows))
     assert sorted((r.doc_id, r.ref_key, r["class"]) for r in found.collect()) == [(1, "2", None)] * 2 + [(2, "2", None)] * 8
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_documents_are_dealt_by_bytes_before_they_become_tokens(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.plans import corpus as C
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.sha2((F.col("id") * 1000 + i).cast("string"), 256)), "\n")
+    spark.range(800).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    parts = C.placed(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.sum(F.length("text")).alias("n"))
+    assert parts.agg(F.max("n")).first()[0] < 4e6
+
+
+def test_entries_leave_the_worker_in_parts():
+    import io
+    import zipfile
+
+    from quire.sources import archive as A
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for i in range(8):
+            z.writestr(f"{i}.txt", bytes(1 << 20))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "none"]), pa.array([buf.getvalue(), None], pa.binary())], names=["path", "content"])
+    out = list(A._reader(None)(iter([batch])))
+    assert max(b.nbytes for b in out) < 3 << 20 and sum(b.num_rows for b in out) == 9
+    assert out[-1].to_pylist()[-1] == {"path": "none", "entry": None, "entry_ord": None, "content": None, "error": A.NO_ARCHIVE}
