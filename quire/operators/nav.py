@@ -66,8 +66,9 @@ def free_names(slugs: pd.Series) -> pd.Series:
     return slugs.map(named, na_action=None)
 
 
-def page_hrefs(pages: DataFrame) -> DataFrame:
-    """Adds `href`: index.html, then html/<slug>.html with -2, -3, … on collisions.
+def page_hrefs(pages: DataFrame, around: bool = False) -> DataFrame:
+    """Adds `href`: index.html, then html/<slug>.html with -2, -3, … on collisions. `around` adds `_before` and `_after`, the addresses
+    beside it, for `page_neighbours`: pages leave the document's row with them, and need no placing again.
 
     A repeated slug takes the next number. Only where a document also has a slug that ends
     in a number can such a name be taken already; the slugs of those documents are named in
@@ -87,18 +88,23 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
     slugs = F.transform(F.filter("ps", lambda x: x["page_idx"] > 0), lambda x: x["_slug"])
     g = g.withColumn("names", free_names(F.when(F.col("clash"), slugs)))
     plain = lambda x: F.when(x["_nth"] > 1, F.concat(x["_slug"], F.lit("-"), x["_nth"].cast("string"))).otherwise(x["_slug"])
-    rows = F.transform("ps", lambda x: F.struct(x.alias("p"), F.when(x["page_idx"] == 0, "index.html").otherwise(
-        F.concat(F.lit("html/"), F.coalesce(F.get("names", x["page_idx"] - 1), plain(x)), F.lit(".html"))).alias("href")))
-    return g.select("doc_id", F.inline_outer(rows)).select("doc_id", "p.*", "href").drop("_slug", "_nth")
+    href = lambda x: F.when(x["page_idx"] == 0, "index.html").otherwise(
+        F.concat(F.lit("html/"), F.coalesce(F.get("names", x["page_idx"] - 1), plain(x)), F.lit(".html")))
+    g = g.withColumn("hrefs", F.transform("ps", href))
+    beside = {"href": 0, "_before": -1, "_after": 1} if around else {"href": 0}
+    rows = F.transform("ps", lambda x, i: F.struct(x.alias("p"), *[F.get("hrefs", i + k).alias(name) for name, k in beside.items()]))
+    return g.select("doc_id", F.inline_outer(rows)).select("doc_id", "p.*", *beside).drop("_slug", "_nth")
 
 
 def page_neighbours(pages: DataFrame) -> DataFrame:
-    """Adds `prev_href`, `next_href` relative to the page ('' at the ends)."""
+    """Adds `prev_href`, `next_href` relative to the page ('' at the ends); reads and drops `_before` and `_after` where pages have them."""
     w = page_window()
+    given = "_before" in pages.columns
+    last, following = (F.col("_before"), F.col("_after")) if given else (F.lag("href").over(w), F.lead("href").over(w))
     local = lambda c: F.regexp_replace(c, "^html/", "")
-    prev = F.when(F.col("page_idx") == 0, "").when(F.col("page_idx") == 1, "../index.html").otherwise(local(F.lag("href").over(w)))
-    nxt = F.when(F.col("page_idx") == 0, F.lead("href").over(w)).otherwise(local(F.lead("href").over(w)))
-    return pages.withColumn("prev_href", prev).withColumn("next_href", F.coalesce(nxt, F.lit("")))
+    prev = F.when(F.col("page_idx") == 0, "").when(F.col("page_idx") == 1, "../index.html").otherwise(local(last))
+    nxt = F.when(F.col("page_idx") == 0, following).otherwise(local(following))
+    return pages.withColumn("prev_href", prev).withColumn("next_href", F.coalesce(nxt, F.lit(""))).drop("_before", "_after")
 
 
 def nav_tree(pages: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def page_html(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
                         F.lit("</h1>\n"), b["html"], F.lit("\n</article>"))
 
     p = with_blocks(pages, blocks).withColumn("_body", joined_blocks(article)).drop("blocks")
-    p = N.page_neighbours(N.page_hrefs(p)).withColumn("_t", N.page_titles(p))
+    p = N.page_neighbours(N.page_hrefs(p, around=True)).withColumn("_t", N.page_titles(p))
     head = F.concat(F.lit("<h2>"), T.escape_xml(F.col("_t")), F.lit("</h2>\n"))
     link = lambda c, n: F.when(F.col(c) != "", F.concat(F.lit(f'\n<a class="{n}" href="'), F.col(c), F.lit('"></a>'))).otherwise("")
     return p.select("doc_id", "page_idx", "href",

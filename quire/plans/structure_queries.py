@@ -294,7 +294,7 @@ def page_hrefs(spark, sf):
   coalesce(case when page_idx = 0 then lead(href) over w else replace(lead(href) over w, 'html/', '') end, '') as next_href
 from hr window w as (partition by doc_id order by page_idx)""")
 def page_prev_next(spark, sf):
-    p = N.page_neighbours(N.page_hrefs(repeated_pages(spark, sf)))
+    p = N.page_neighbours(N.page_hrefs(repeated_pages(spark, sf), around=True))
     return p.select("doc_id", "page_idx", "prev_href", "next_href")
 
 

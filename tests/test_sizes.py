@@ -49,3 +49,10 @@ def test_entries_leave_the_worker_in_parts():
     out = list(A._reader(None)(iter([batch])))
     assert max(b.nbytes for b in out) < 3 << 20 and sum(b.num_rows for b in out) == 9
     assert out[-1].to_pylist()[-1] == {"path": "none", "entry": None, "entry_ord": None, "content": None, "error": A.NO_ARCHIVE}
+
+
+def test_neighbours_need_no_second_placing(spark):
+    import __spark_entry__ as entry
+    df = entry.queries()["page_prev_next"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert "_before" not in df.columns
