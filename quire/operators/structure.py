@@ -96,27 +96,43 @@ def section_items(fl: DataFrame) -> DataFrame:
 def sectionize(fl: DataFrame) -> DataFrame:
     """(doc_id, sec, level, text, html, h1_ord, h2_key, pos): headings, and the runs of
     content between them joined to one row of level 999. Empty headings vanish."""
-    w = doc_window()
-    e = fl.filter("real or level is null").withColumn("_isl", F.sum(F.col("real").cast("int")).over(upto(w)))
-    heads = e.filter("real").select("doc_id", "pos", "level", "text", F.lit("").alias("html"), "h1_ord", "h2_key")
-    runs = (e.filter("not real").groupBy("doc_id", "_isl", "h1_ord", "h2_key")
-            .agg(F.min("pos").alias("pos"), T.strip(F.expr("listagg(html, '') within group (order by pos)")).alias("html"))
-            .filter("html <> ''")
-            .select("doc_id", "pos", F.lit(999).alias("level"), F.lit("").alias("text"), "html", "h1_ord", "h2_key"))
-    s = heads.unionByName(runs)
-    return s.withColumn("sec", (F.row_number().over(w) - 1).cast("int"))
-
-
-def section_ranges(secs: DataFrame, sects: DataFrame) -> DataFrame:
-    """(doc_id, h1_ord, start, end): half-open ranges of section rows; the synthetic
-    section covers what precedes the first level-1 heading."""
-    n = secs.groupBy("doc_id").agg((F.max("sec") + 1).alias("n"), F.min(F.when(F.col("level") == 1, F.col("sec"))).alias("h1"))
-    w = Window.partitionBy("doc_id").orderBy("sec")
-    heads = (secs.filter("level = 1").select("doc_id", "h1_ord", "sec", F.lead("sec").over(w).alias("nxt")))
-    return (sects.select("doc_id", "h1_ord", "synthetic").join(n, "doc_id", "left").join(heads, ["doc_id", "h1_ord"], "left")
-            .select("doc_id", "h1_ord",
-                    F.when(F.col("synthetic"), 0).otherwise(F.col("sec") + 1).alias("start"),
-                    F.when(F.col("synthetic"), F.coalesce("h1", "n", F.lit(0))).otherwise(F.coalesce("nxt", "n")).alias("end")))
+    real = F.col("real")
+    s = _stretches(fl).filter(real | (F.col("html") != ""))
+    return s.select("doc_id", F.when(real, F.col("level")).otherwise(999).alias("level"), "text", "html", "h1_ord", "h2_key", "pos",
+                    (F.row_number().over(doc_window()) - 1).cast("int").alias("sec"))
+
+
+def _stretches(fl: DataFrame) -> DataFrame:
+    """(doc_id, real, pos, level, text, html, h1_ord, h2_key, early, word_level): a row for every heading with text, and one for what follows up to
+    the next; its `html` is that of the content there, '' without any. One aggregate on the documents' placement."""
+    real = F.col("real")
+    e = fl.withColumn("_isl", F.sum(real.cast("int")).over(upto(doc_window())))
+    content = ~real & F.col("level").isNull()
+    e = e.withColumns({"_html": F.when(content, F.col("html")), "_at": F.when(real | content, F.col("pos"))})
+    return (e.groupBy("doc_id", "_isl", "real")
+            .agg(F.min("_at").alias("pos"), F.max(F.when(real, F.col("level"))).alias("level"), F.coalesce(F.max(F.when(real, F.col("text"))), F.lit("")).alias("text"),
+                 F.coalesce(T.strip(F.expr("listagg(_html, '') within group (order by pos)")), F.lit("")).alias("html"),
+                 F.min("h1_ord").alias("h1_ord"), F.min("h2_key").alias("h2_key"), F.bool_or(early()).alias("early"),
+                 F.max(F.when(real & (F.col("level") == 1), H.tag_value(F.col("open_tag"), 1).cast("int"))).alias("word_level"))
+            .drop("_isl"))
+
+
+def section_ranges(fl: DataFrame) -> DataFrame:
+    """(doc_id, h1_ord, start, end): the `sections` of a flow with their half-open ranges of the rows of `sectionize`; the synthetic
+    section covers what precedes the first level-1 heading.
+
+    Both come from the same stretches: rows are counted by section, and a section's range ends at the count up to it. Rows without a
+    document have no range.
+    """
+    head = F.col("real") & (F.col("level") == 1)
+    rows = _stretches(fl).groupBy("doc_id", "h1_ord").agg(
+        F.bool_or("early").alias("early"), F.max(F.when(head, F.col("text"))).alias("title"), F.max("word_level").alias("word_level"),
+        F.min(F.when(head, F.col("pos"))).alias("pos"), F.count_if(F.col("real") | (F.col("html") != "")).alias("n"))
+    upper = F.sum("n").over(upto(Window.partitionBy("doc_id").orderBy("h1_ord")))
+    s = numbered_sections(rows.withColumn("end", upper))
+    known = F.col("doc_id").isNotNull()
+    return s.select("doc_id", "h1_ord", F.when(F.col("synthetic"), 0).when(known, F.col("end") - F.col("n") + 1).alias("start"),
+                    F.when(known, F.col("end")).when(F.col("synthetic"), 0).alias("end"))
 
 
 def serialize(level: Column, text: Column, html: Column) -> Column:

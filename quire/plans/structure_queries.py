@@ -102,8 +102,7 @@ select s.doc_id, s.h1_ord, case when synthetic then 0 else h.sec + 1 end::INT as
   case when synthetic then coalesce(n.h1, n.n, 0) else coalesce((select min(x.sec) from secs x where x.doc_id = s.doc_id and x.level = 1 and x.sec > h.sec), n.n) end::INT as "end"
 from sect s left join n on n.doc_id = s.doc_id left join secs h on h.doc_id = s.doc_id and h.level = 1 and h.h1_ord = s.h1_ord and not s.synthetic""")
 def section_ranges(spark, sf):
-    fl = flow(spark, sf)
-    r = R.section_ranges(R.sectionize(fl), R.sections(fl))
+    r = R.section_ranges(flow(spark, sf))
     return r.select("doc_id", "h1_ord", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 

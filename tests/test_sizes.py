@@ -56,3 +56,14 @@ def test_neighbours_need_no_second_placing(spark):
     df = entry.queries()["page_prev_next"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert "_before" not in df.columns
+
+
+def _plan(spark, name):
+    import __spark_entry__ as entry
+    return entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_of_sections_come_from_one_flow(spark):
+    from quire.operators import tokens as K
+    plan = _plan(spark, "section_ranges")
+    assert plan.count(K.TOKEN) == 1 and plan.count("Exchange ") == 1
