@@ -157,3 +157,10 @@ def apply_recalled(sects: DataFrame, items: DataFrame, recalled: DataFrame) -> t
     s = sects.join(r, "doc_id", "left").withColumn("level", F.coalesce(F.get("levels", F.col("idx")), "level")).drop("levels", "options")
     i = items.join(r, "doc_id", "left").withColumn("option", F.coalesce(F.get("options", F.col("h2_ord") - 1), "option")).drop("levels", "options")
     return s, i
+
+
+def apply_recalled_inside(sects: DataFrame, recalled: DataFrame) -> DataFrame:
+    """The same for sections that hold their items (`structure.sections_with_items`): read once, one join."""
+    s = sects.join(recalled.select("doc_id", F.col("levels").alias("_levels"), F.col("options").alias("_options")), "doc_id", "left")
+    chosen = F.transform("items", lambda x: x.withField("option", F.coalesce(F.get(F.col("_options"), x["h2_ord"] - 1), x["option"])))
+    return s.withColumns({"level": F.coalesce(F.get("_levels", F.col("idx")), "level"), "items": chosen}).drop("_levels", "_options")

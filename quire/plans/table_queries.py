@@ -113,11 +113,12 @@ recalled as (select doc_id, case when l1 is not null then 'same' else 'similar'
 RECALL_WIDTH = 250
 
 
-def recall_events(spark, sf):
+def recall_events(spark, sf, chosen=None):
     """Stored, because the operator reads them three times."""
     ensure_checkpoint_dir(spark)
     owners = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("owner"))
-    return structures(spark, sf).drop("title_text").join(owners, "doc_id").withColumn("at", F.col("doc_id")).checkpoint()
+    found = structures(spark, sf) if chosen is None else Y.fingerprints_of(chosen)
+    return found.drop("title_text").join(owners, "doc_id").withColumn("at", F.col("doc_id")).checkpoint()
 
 
 @query("recall_structure", C.with_sql(REC_SQL) + "select doc_id, kind, levels, options from recalled")
@@ -131,12 +132,14 @@ def recall_structure(spark, sf):
 from ch_s s left join recalled r using (doc_id)
 union all select i.doc_id, i.h1_ord, i.h2_ord, coalesce(nullif(string_split(r.options, ','), [''])[i.h2_ord], i.chosen) from ch_i i left join recalled r using (doc_id)""")
 def recall_applied(spark, sf):
-    """Sections and items with the recalled choices put back."""
-    c = chosen_sections(spark, sf)
-    s, i = c.drop("items"), c.select("doc_id", "h1_ord", F.inline("items")).drop("word_option")
-    s, i = Y.apply_recalled(s, i, Y.recall_history(recall_events(spark, sf), RECALL_WIDTH))
-    return (s.select("doc_id", "h1_ord", F.lit(0).alias("h2_ord"), F.col("level").cast("string").alias("choice"))
-            .unionByName(i.select("doc_id", "h1_ord", "h2_ord", F.col("option").alias("choice"))))
+    """Sections and items with the recalled choices put back. The sections are stored, so that the documents are cut once for what they
+    leave and for what they get."""
+    ensure_checkpoint_dir(spark)
+    c = chosen_sections(spark, sf).checkpoint()
+    s = Y.apply_recalled_inside(c, Y.recall_history(recall_events(spark, sf, c), RECALL_WIDTH))
+    choice = lambda h2_ord, x: F.struct(h2_ord.alias("h2_ord"), x.alias("choice"))
+    rows = F.concat(F.array(choice(F.lit(0), F.col("level").cast("string"))), F.transform("items", lambda x: choice(x["h2_ord"], x["option"])))
+    return s.select("doc_id", "h1_ord", F.inline(rows))
 
 
 STORE = """case doc_id % 5 when 0 then 'not json' when 1 then '[]' else '[{"shape":"' || doc_id || '","titles":"ab","levels":[1,2],"options":["html"],"at":' || doc_id || '},' ||

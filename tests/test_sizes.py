@@ -74,3 +74,8 @@ def test_list_items_come_from_one_tokenising(spark):
     from quire.operators import tokens as K
     assert _plan(spark, "list_flatten").count(K.TOKEN) == 1
     assert Q.walk_lists([Q.OL, Q.ITEM, 0, Q.UL, Q.ITEM, Q.OL, Q.END, Q.END, Q.END, Q.OL])[2::2] == [(1, 1, 1), (2, 0, 4), (2, 0, 4), (0, 0, None)]
+
+
+def test_recalled_choices_need_no_second_tokenising(spark):
+    from quire.operators import tokens as K
+    assert _plan(spark, "recall_applied").count(K.TOKEN) == 0  # the sections are stored
