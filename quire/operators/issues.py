@@ -59,19 +59,21 @@ class Cut:
 
     def following(self, i: Column) -> Column:
         """The source after marker i, at least its next 400 characters: a marker is five
-        characters or more, so 81 pieces always reach that far."""
-        return F.array_join(F.slice(self.pieces, i + 2, F.lit(81)), "")
+        characters or more, so 81 pieces always reach that far. Mostly a few do."""
+        piece = lambda n: F.array_join(F.slice(self.pieces, i + 2, F.lit(n)), "")
+        return T.let(piece(4), lambda few: F.when(F.length(few) >= 400, few).otherwise(piece(81)))
 
     def preceding(self, i: Column) -> Column:
-        start = F.greatest(F.lit(1), i - 80)
-        return F.concat(F.array_join(F.slice(self.pieces, start, i - start + 1), ""), self.gap(i))
+        def pieces(n: int) -> Column:
+            start = F.greatest(F.lit(1), i - (n - 1))
+            return F.concat(F.array_join(F.slice(self.pieces, start, i - start + 1), ""), self.gap(i))
+        return T.let(pieces(4), lambda few: F.when(F.length(few) >= 400, few).otherwise(pieces(81)))
 
     def context(self, i: Column) -> Column:
         return T.context_after(self.following(i))
 
     def context_or_before(self, i: Column) -> Column:
-        after = self.context(i)
-        return F.when(after != "", after).otherwise(T.context_before(self.preceding(i)))
+        return T.let(self.context(i), lambda after: F.when(after != "", after).otherwise(T.context_before(self.preceding(i))))
 
 
 def _label(marker: Column) -> Column:

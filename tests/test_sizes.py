@@ -79,3 +79,8 @@ def test_list_items_come_from_one_tokenising(spark):
 def test_recalled_choices_need_no_second_tokenising(spark):
     from quire.operators import tokens as K
     assert _plan(spark, "recall_applied").count(K.TOKEN) == 0  # the sections are stored
+
+
+def test_a_heading_tag_is_looked_up_once(spark):
+    plan = _plan(spark, "heading_tag_parse")
+    assert plan.count("levenshtein(") == 1
