@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,42 +103,55 @@ def blocks_of(raw: DataFrame, styles: DataFrame) -> DataFrame:
     return front_matter(shift_to_top(classify(raw, style_levels(styles))))
 
 
-def box_runs(blocks: DataFrame) -> DataFrame:
-    """(doc_id, i, part, style, text): neighbouring blocks of one box role become one box.
-
-    Paragraphs that only name the box go, << and >> at its ends too. `part` orders what
-    shares a position: 0 opening marker, 1 the block, 2 closing marker.
-    """
-    b = blocks.filter(F.col("role").startswith("box:"))
+def _with_runs(blocks: DataFrame) -> DataFrame:
+    """Adds where the run of neighbours of one role that a block lies in begins, and its first and last block that is more than the box's name."""
     r = Window.partitionBy("doc_id", "role").orderBy("i")
-    b = b.withColumn("grp", F.col("i") - F.row_number().over(r))
+    b = blocks.withColumn("grp", F.col("i") - F.row_number().over(r))
     g = Window.partitionBy("doc_id", "role", "grp")
     label_only = F.col("text").rlike("(?iu)^(ejemplo|importante|definici[oó]n|pie)$")
     b = b.withColumn("kept", ~label_only)
     pos = F.when(F.col("kept"), F.col("i"))
-    b = (b.withColumn("first", F.min(pos).over(g)).withColumn("last", F.max(pos).over(g))
-          .withColumn("anchor", F.min("i").over(g)))
+    return (b.withColumn("first", F.min(pos).over(g)).withColumn("last", F.max(pos).over(g))
+             .withColumn("anchor", F.min("i").over(g)))
+
+
+def _row(part: int, text: Column, style: Column | None = None) -> Column:
+    return F.struct(F.lit(part).alias("part"), (F.lit(None).cast("string") if style is None else style).alias("style"), text.alias("text"))
+
+
+def _box_rows() -> Column:
+    """What a block of a box becomes: the box's opening marker, the block, the closing marker."""
     text = F.when(F.col("i") == F.col("first"), F.regexp_replace("text", r"^\s*<<\s*", "")).otherwise(F.col("text"))
     text = F.when(F.col("i") == F.col("last"), F.regexp_replace(text, r"\s*>>\s*$", "")).otherwise(text)
-    row = lambda part, txt: F.struct(F.lit(part).alias("part"), txt.alias("text"))
     tag = F.concat(F.lit("["), F.substring("role", 5, 100), F.lit("]"))
     opens = (F.col("i") == F.col("first")) | (F.col("first").isNull() & (F.col("i") == F.col("anchor")))
     closes = (F.col("i") == F.col("last")) | (F.col("first").isNull() & (F.col("i") == F.col("anchor")))
-    rows = F.filter(F.array(F.when(opens, row(0, tag)), F.when(F.col("kept"), row(1, text)), F.when(closes, row(2, F.lit("[fin]")))),
-                    lambda x: x.isNotNull())
-    return b.select("doc_id", "i", F.inline(rows)).select("doc_id", "i", "part", F.lit(None).cast("string").alias("style"), "text")
+    return F.array(F.when(opens, _row(0, tag)), F.when(F.col("kept"), _row(1, text)), F.when(closes, _row(2, F.lit("[fin]"))))
+
+
+def _rows_of(blocks: DataFrame, rows: Column) -> DataFrame:
+    # the outer form keeps the optimizer from computing the arrays a second time in a filter
+    out = blocks.select("doc_id", "i", F.inline_outer(F.filter(rows, lambda x: x.isNotNull())))
+    return out.filter("part is not null").select("doc_id", "i", "part", "style", "text")
+
+
+def box_runs(blocks: DataFrame) -> DataFrame:
+    """(doc_id, i, part, style, text): neighbouring blocks of one box role become one box.
+
+    Paragraphs that only name the box go, << and >> at its ends too. `part` orders what
+    shares a position: 0 opening marker, 1 the block, 2 closing marker.
+    """
+    return _rows_of(_with_runs(blocks.filter(F.col("role").startswith("box:"))), _box_rows())
 
 
 def apply_roles(blocks: DataFrame) -> DataFrame:
-    """(doc_id, i, part, style, text) of the cleaned document, in (i, part) order."""
-    b = blocks.filter("role <> 'remove'")
-    lvl = level_of(F.col("role"))
-    style = F.when(lvl.isNotNull(), F.concat(F.lit("heading "), lvl.cast("string"))).when(F.col("role") == "keep", F.col("kind"))
-    plain = b.filter(~F.col("role").startswith("box:")).select("doc_id", "i", F.lit(1).alias("part"), style.alias("style"), "text")
-    marks = b.filter(F.col("role").startswith("table:")).select(
-        "doc_id", "i", F.lit(0).alias("part"), F.lit(None).cast("string").alias("style"),
-        F.concat(F.lit("["), F.substring("role", 7, 100), F.lit("]")).alias("text"))
-    return reduce(DataFrame.unionByName, [plain, marks, box_runs(b)])
+    """(doc_id, i, part, style, text) of the cleaned document, in (i, part) order. Blocks are read once: each becomes its rows in place."""
+    b = _with_runs(blocks.filter("role <> 'remove'"))
+    role = F.col("role")
+    lvl = level_of(role)
+    style = F.when(lvl.isNotNull(), F.concat(F.lit("heading "), lvl.cast("string"))).when(role == "keep", F.col("kind"))
+    mark = F.when(role.startswith("table:"), _row(0, F.concat(F.lit("["), F.substring("role", 7, 100), F.lit("]"))))
+    return _rows_of(b, F.when(role.startswith("box:"), _box_rows()).otherwise(F.array(mark, _row(1, F.col("text"), style))))
 
 
 def role_counts(blocks: DataFrame) -> DataFrame:
