@@ -318,17 +318,19 @@ def list_starts(toks: DataFrame) -> DataFrame:
     explicit = F.when(ol, F.coalesce(T.attr(F.col("tok"), "start").try_cast("int"), F.lit(1)))
     has_start = ol & T.has_attr(F.col("tok"), "start")
     item = (F.col("tag") == "li") & is_open & (F.col("depth") == 1)
-    # a run begins at a reset or at a list with its own start
+    # the top-level list a token lies in is what the last start of a block says
     t = (t.withColumn("_ol", ol).withColumn("_own", has_start).withColumn("_start", explicit).withColumn("_li", item)
-         .withColumn("_run", F.sum((reset | has_start).cast("int")).over(K.upto(w))))
-    o = Window.partitionBy("doc_id", "block")
-    t = t.withColumn("_blk", F.max(F.col("_ol").cast("int")).over(o))
-    r = Window.partitionBy("doc_id", "_run").orderBy("pos")
-    items = F.coalesce(F.sum((F.col("_li") & (F.col("_blk") == 1)).cast("int")).over(K.before(r)), F.lit(0))
-    base = F.coalesce(F.max(F.when(F.col("_own"), F.col("_start") - 1)).over(K.upto(r)), F.lit(0))
-    first = F.coalesce(F.sum(F.col("_ol").cast("int")).over(K.before(r)), F.lit(0)) == 0
+         .withColumn("_new", reset | has_start).withColumn("_blk", F.last(F.when(top, ol), ignorenulls=True).over(K.upto(w))))
+    # a run begins at a reset or at a list with its own start: counts of a run are those of the document less what they were there
+    t = (t.withColumn("_items", F.coalesce(F.sum((F.col("_li") & F.col("_blk")).cast("int")).over(K.before(w)), F.lit(0)))
+         .withColumn("_lists", F.coalesce(F.sum(F.col("_ol").cast("int")).over(K.before(w)), F.lit(0))))
+    at = F.when(F.col("_new"), F.struct("_items", "_lists", F.when(F.col("_own"), F.col("_start") - 1).alias("base")))
+    t = t.withColumn("_at", F.last(at, ignorenulls=True).over(K.upto(w)))
+    items = F.col("_items") - F.coalesce("_at._items", F.lit(0))
+    base = F.coalesce("_at.base", F.lit(0))
+    first = F.col("_lists") == F.coalesce("_at._lists", F.lit(0))
     start = F.when(F.col("_ol") & ~F.col("_own") & ~first & (items + base > 0), items + base + 1)
-    return t.withColumn("start_at", start).drop("_ol", "_own", "_start", "_li", "_run", "_blk")
+    return t.withColumn("start_at", start).drop("_ol", "_own", "_start", "_li", "_new", "_blk", "_items", "_lists", "_at")
 
 
 def continue_lists(toks: DataFrame) -> DataFrame:

@@ -84,3 +84,11 @@ def test_recalled_choices_need_no_second_tokenising(spark):
 def test_a_heading_tag_is_looked_up_once(spark):
     plan = _plan(spark, "heading_tag_parse")
     assert plan.count("levenshtein(") == 1
+
+
+def test_roles_are_applied_in_one_reading(spark):
+    assert _plan(spark, "apply_roles").count("Scan parquet") == 2  # the lines and the style sheets
+
+
+def test_list_starts_sort_a_document_once(spark):
+    assert _plan(spark, "list_continue").count("Sort [") == 1
