@@ -155,21 +155,27 @@ def heading_link_text(html: Column) -> Column:
     """
     link = r"(?is)<a\b[^>]*\shref=[^>]*>.*?</a>"
     inner = F.regexp_replace(html, r"(?is)^<h[1-6][^>]*>|</h[1-6]>$", "")
-    words = lambda c: T.escape_xml(T.unescape_xml(F.regexp_replace(c, r"<[^>]+>", "")))
+    def words(c: Column) -> Column:
+        bare = F.regexp_replace(c, r"<[^>]+>", "")
+        return T.escape_xml(F.when(c.contains("&"), T.unescape_xml(bare)).otherwise(bare))
+
+    def made(v: Column) -> Column:
+        ext = F.when(v["href"].rlike("(?i)^https?://"), ' target="_blank" rel="noopener noreferrer"').otherwise("")
+        return F.when((F.coalesce(v["href"], F.lit("")) == "") | T.is_blank(v["body"]), v["body"]).otherwise(
+            F.concat(F.lit('<a href="'), T.escape_xml(v["href"]), F.lit('"'), ext, F.lit(">"), v["body"], F.lit("</a>")))
 
     def one(a: Column) -> Column:
-        start = F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1)
-        href = T.strip(T.attr(start, "href"))
-        body = words(F.substring(a, F.length(start) + 1, F.length(a) - F.length(start) - 4))
-        ext = F.when(href.rlike("(?i)^https?://"), ' target="_blank" rel="noopener noreferrer"').otherwise("")
-        return F.when((F.coalesce(href, F.lit("")) == "") | (T.strip(body) == ""), body).otherwise(
-            F.concat(F.lit('<a href="'), T.escape_xml(href), F.lit('"'), ext, F.lit(">"), body, F.lit("</a>")))
-
-    links = F.regexp_extract_all(inner, F.lit(link), F.lit(0))
-    gaps = F.transform(F.split(inner, link), words)
-    out = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.transform(links, one), F.array(F.lit(""))), lambda g, a: F.array(g, a))), "")
-    texty = F.exists(links, lambda a: T.plain_text(a) != "")
-    return F.when(texty, T.collapse(out)).otherwise("")
+        def cut(start: Column) -> Column:
+            body = words(F.substring(a, F.length(start) + 1, F.length(a) - F.length(start) - 4))
+            return T.let(F.struct(T.strip(T.attr(start, "href")).alias("href"), body.alias("body")), made)
+        return T.let(F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1), cut)
+
+    def joined(v: Column) -> Column:
+        gaps = F.transform(F.split(v["inner"], link), words)
+        out = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.transform(v["links"], one), F.array(F.lit(""))), lambda g, a: F.array(g, a))), "")
+        return F.when(F.exists(v["links"], lambda a: T.plain_text(a) != ""), T.collapse(out)).otherwise("")
+
+    return T.let(inner, lambda x: T.let(F.struct(x.alias("inner"), F.regexp_extract_all(x, F.lit(link), F.lit(0)).alias("links")), joined))
 
 
 def with_heading_media(fl: DataFrame) -> DataFrame:

@@ -161,5 +161,4 @@ def heading_media_place(spark, sf):
     """Level-2 headings kept as text: the image goes in front, the link stays."""
     one = HEAD_HTML.format(i="i", t=HEAD_TEXT.format(t="trim(t)"))
     d = C.placed(spark, sf).select("doc_id", F.array_join(F.expr(f"transform(split(text, '\\n'), (t, i) -> {one})"), "").alias("html"))
-    _, blocks = R.build(d, K.elements(d, placed=True))
-    return blocks.select("doc_id", "html")
+    return R.page_blocks(R.outline_of(d, placed=True)).select("doc_id", "html")

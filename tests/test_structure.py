@@ -122,3 +122,26 @@ def test_many_colliding_pages_are_named_in_linear_time(spark):
     got = [r.href for r in N.page_hrefs(p).orderBy("page_idx").collect()]
     assert got[:6] == ["index.html", "html/tema.html", "html/tema-2.html", "html/tema-3.html", "html/tema-2-2.html", "html/tema-4.html"]
     assert len(set(got)) == len(titles)
+
+
+def test_blocks_of_headings_come_from_one_flow(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["heading_media_place"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange ") == 1 and plan.count(K.TOKEN) == 1
+
+
+def test_texts_read_as_before(spark):
+    """White space and tags, whatever their characters: shorter ways to the same texts."""
+    import re
+    from quire import fixed
+    from quire.functions import text as T
+    ws = re.sub(r"\\x\{(....)\}", r"\\u\1", fixed.WS).replace(r"\s", " \\t\\n\\x0b\\f\\r")
+    texts = ["", " ", "  a", "a \n", "\u00a0a\u3000 b", "a b", "a\tb", "a  b", "é ñ\u2003\ufeffç ", "𝄞 \u2028𝄞", "\x1c a\x85", "a & b", "x\u200bx"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", T.collapse(F.col("t")).alias("c"), T.strip(F.col("t")).alias("s"), T.is_blank(F.col("t")).alias("b")).orderBy("i").collect()
+    for r, t in zip(got, texts):
+        assert r.c == re.sub(ws + "+", " ", t).strip(" ") and r.s == re.sub(f"^{ws}+|{ws}+$", "", t) and r.b == (r.s == ""), repr(t)
+    tags = spark.createDataFrame([("<DIV CLASS='a'>",), ("</Li>",), ("<BR>",), ("<x/>",), ("<3>",), ("<",), ("[a]",), ("[a\nb]",), ("a",), ("<!DOCTYPE x>",)], "t string")
+    kind, tag = K.classify(F.col("t"))
+    assert [tuple(r) for r in tags.select(kind, tag).collect()] == [
+        ("open", "div"), ("close", "li"), ("void", "br"), ("void", "x"), ("text", None), ("text", None), ("bracket", None), ("text", None), ("text", None), ("open", "!doctype")]

@@ -52,3 +52,25 @@ def test_every_text_keeps_its_owner(spark, docs):
 def test_implied_ends(spark, docs, html, tags):
     rows = [r for r in tree.element_tree(docs(html)).orderBy("pos").collect() if r["tag"] in tags and r["kind"] == "open"]
     assert rows[0]["close"] == rows[1]["pos"] and rows[0]["parent"] == rows[1]["parent"]
+
+
+def test_lines_are_made_within_the_row(spark):
+    """Documents are dealt once; only those that share an id are dealt again, and no token is."""
+    import re
+
+    import __spark_entry__ as entry
+    plan = entry.queries()["sink_marked_nested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\(doc_id#\d+L?, pos", plan) and "MapInArrow" not in plan
+    assert plan.count("Window [row_number") == 1
+
+
+def test_documents_of_one_id_write_on_the_same_lines(spark):
+    one = "<p>a</p><ul><li>b<ul><li>c</ul>d</ul><div class='sem_pie'>e</div><pre>x\ny</pre>"
+    rows = [(1, one), (2, one), (2, one), (None, one), (None, "<p>a</p>"), (None, None), (3, "")]
+    got = {}
+    for r in legacy.marked_lines(spark.createDataFrame(rows, "doc_id bigint, html string")).orderBy("doc_id", "ord").collect():
+        got.setdefault(r["doc_id"], []).append((r["ord"], f"{r['style']}:{r['text']}"))
+    want = ["p:a", "li:bd", "li:c", "marker:[pie]", "p:e", "marker:[fin]", "pre:x", "pre:y"]
+    assert got[1] == list(enumerate(want)) and 3 not in got
+    assert got[2] == list(enumerate(["p:aa", "li:bbdd", "li:cc", "marker:[pie][pie]", "p:ee", "marker:[fin][fin]", "pre:x", "pre:yx", "pre:y"]))
+    assert got[None] == list(enumerate(["p:aa", *want[1:]]))
