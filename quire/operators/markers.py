@@ -16,6 +16,7 @@ from .. import fixed
 from ..fixed import ANY_MARKER, BR, LINE_MARKER, NBSP_OR_WS, P_OPEN, RESOURCE_MARKER, WS
 from ..functions import images as I
 from ..functions import text as T
+from . import fold
 from . import tokens as K
 
 IU = "(?iu)"
@@ -393,8 +394,7 @@ def external_links(toks: DataFrame) -> DataFrame:
     return toks.withColumn("tok", F.when(hit, new).otherwise(tok))
 
 
-IMAGE_BLOCKS = ["p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre",
-                "figcaption", "dt", "dd"]
+IMAGE_BLOCKS = fold.IMAGE_BLOCKS
 
 
 def image_blocks(toks: DataFrame) -> DataFrame:
@@ -459,11 +459,30 @@ TOKEN_PASSES = [
 def apply_passes(docs: DataFrame, row_passes=None, token_passes=None, placed: bool = False) -> DataFrame:
     """All passes in their fixed order as one plan: docs in, docs out.
 
-    One exchange places the documents; every pass after it is a window or a projection.
+    One exchange places the documents; what follows it stays with the document's row. TOKEN_PASSES walk its tokens there
+    (`fold`); other token passes are windows or projections of a token table.
     """
-    placed = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html"), placed))
-    toks = reduce(lambda d, p: d.transform(p[1]), token_passes or TOKEN_PASSES, K.tokens(placed, placed=True))
-    return K.untokenize(toks)
+    done = reduce(lambda d, p: d.transform(p[1]), row_passes or ROW_PASSES, K.by_doc(docs.select("doc_id", "html"), placed))
+    if token_passes and token_passes != TOKEN_PASSES:
+        return K.untokenize(reduce(lambda d, p: d.transform(p[1]), token_passes, K.tokens(done, placed=True)))
+    return walk_passes(done)
+
+
+def walk_passes(docs: DataFrame, prefix: str = fixed.CLASS_PREFIX) -> DataFrame:
+    """TOKEN_PASSES over placed documents, each in its row; documents without a token have no row. Documents of one id are one list of
+    tokens. The sizes of images that only their own bytes tell are read afterwards, by Spark."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", K.clean_markup(F.col("html")).alias("html")).groupBy("doc_id").agg(F.collect_list("html").alias("html"))
+    made = texts.mapInArrow(fold.run(prefix, URL, URL_TAIL), f"doc_id {kind}, {fold.MADE}")
+
+    def sized(i: Column) -> Column:
+        return T.let(I.data_url_size(T.attr(i["tok"], "src")), lambda s: F.when((s["width"] >= 1) & (s["height"] >= 1), F.concat(
+            i["before"], F.lit(' width="'), s["width"].cast("string"), F.lit('" height="'), s["height"].cast("string"), F.lit('" style="'), i["style"], F.lit("width:"),
+            s["width"].cast("string"), F.lit("px;height:"), s["height"].cast("string"), F.lit('px" />'))).otherwise(i["plain"]))
+
+    tags = F.concat(F.transform("images", sized), F.array(F.lit("")))
+    whole = F.array_join(F.flatten(F.zip_with("html", tags, lambda h, t: F.array(h, t))), "")
+    return made.select("doc_id", F.when(F.size("images") == 0, F.get("html", F.lit(0))).otherwise(whole).alias("html"))
 
 
 # --- embedded images ------------------------------------------------------------------
