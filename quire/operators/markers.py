@@ -2,7 +2,9 @@
 
 Row passes rewrite the `html` column of a document table inside its row, with no shuffle.
 Token passes rewrite `tok` in a token table that is already placed by document; tokens
-that disappear become empty and are filtered. Both map a DataFrame to a DataFrame.
+that disappear become empty and are filtered. Both map a DataFrame to a DataFrame. All token
+passes together walk each document's tokens within its row instead (`fold`): what changes in one
+of them changes in the other.
 """
 
 from __future__ import annotations

@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.operators import fold
+from quire.operators import legacy as E
 from quire.operators import markers as M
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +46,18 @@ def test_passes_sort_no_tokens(spark, name):
     assert "Window" not in plan and "Sort [" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_lines_of_folded_documents(spark):
+    docs = spark.createDataFrame([(1, '<p>[vertical]</p><table><tr><td>a</td></tr></table><p>[enlace:] see http://x.org.</p>'), (2, "<p>[pie]</p><p>b</p><p>[fin]</p>"),
+                                  (2, "<p>[pie]</p><p>b</p><p>[fin]</p>"), (3, "")], "doc_id bigint, html string")
+    lines = E.marked_lines(M.apply_passes(docs).withColumn("copies", F.lit(1))).orderBy("doc_id", "ord")
+    assert [(r.doc_id, r.ord, r.style, r.text) for r in lines.collect() if r.doc_id == 1] == [
+        (1, 0, "marker", "[vertical]"), (1, 1, "th", "a"), (1, 2, "p", "[enlace:] see http://x.org.")]
+    windows = M.apply_passes(docs, token_passes=[*M.TOKEN_PASSES, ("same", lambda t: t)]).withColumn("copies", F.lit(1))
+    assert lines.collect() == E.marked_lines(windows).orderBy("doc_id", "ord").collect()
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_passes_take_time_in_proportion():
     url = re.compile("http://[a-z]+")
     one = "<p>[ejemplo]</p> <p> x</p>\n<ol><li>y</li></ol><table><tr><td>1</td></tr></table><p>[fin]</p>"
